@@ -22,6 +22,12 @@ WITH n AS (
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t
 """
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.suffix_dedup import repeat_report
+
+    return repeat_report(table(spark, sf_dir, "documents"), window=200)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.minhash_dedup import near_duplicates
 
@@ -30,6 +36,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 

@@ -34,6 +34,7 @@ import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import Scratch, checkpointed, require
 from quillspark.llm.kernels import Hasher, mix, text_chunks, window_min
@@ -214,7 +215,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return checkpointed(spans.select(F.col("doc_id").alias(id_col), merged(F.col("s.start"), F.col("s.end")).alias("spans")))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def merged(starts: pd.Series, ends: pd.Series) -> pd.Series:
     """Sorted by start: overlapping and touching spans become one."""
 
@@ -233,13 +234,13 @@ def kept_bytes(raw: bytes, spans) -> bytes:
     return b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
     """The text without its spans; a character that a span cuts goes with it."""
     return pd.Series([None if t is None else kept_bytes(t.encode("utf-8", "surrogatepass"), s).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])
 
 
-@F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+@F.pandas_udf(T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string"))
 def summary(z: pd.Series, spans: pd.Series) -> pd.DataFrame:
     out = []
     for x, s in zip(z, spans, strict=True):

@@ -14,8 +14,10 @@ Very long texts are read whole. Runs of single letters are also read as one word
 
 from __future__ import annotations
 
+import math
 import re
 import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -144,31 +146,40 @@ class Likeness:
         return out
 
 
-def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int) -> list[str]:
-    """Greedy cover of the toxic texts by words and beginnings of words that clean texts (nearly) never hold."""
+def copy_key(text: str | None) -> int:
+    """One MinHash value of the text's word triples: near copies mostly share it and then count once."""
+    words = (text or "").lower().split()
+    return min((zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))), default=0)
+
+
+def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int, chance: float = 0.5) -> list[str]:
+    """Words and beginnings of words that toxic texts hold and clean ones (nearly) never do.
+
+    A string needs so many toxic texts (near copies count once) that fewer than `chance` strings would reach that by
+    accident. Of strings in much the same texts, the one with the most texts, then the longest, stands for all.
+    """
     marks = []
     for t in texts:
         words = {w.strip(".,;:!?\"'()") for w in (t or "").lower().split()}
         marks.append({w[:n] for w in words for n in {*range(4, min(len(w), 12) + 1)}})
     good = Counter(x for m, y in zip(marks, toxic, strict=True) if not y for x in m)
     bad = Counter(x for m, y in zip(marks, toxic, strict=True) if y for x in m)
-    holders: dict[str, set[int]] = {x: set() for x, n in bad.items() if n >= 2 and n >= 9 * good[x]}
+    rate = min(0.5, max(1e-3, float(toxic.mean()) if len(toxic) else 0.5))
+    least = max(3, math.ceil(math.log(max(2, len(bad)) / chance) / -math.log(rate)))
+    holders: dict[str, set[int]] = {x: set() for x, n in bad.items() if n >= least and n >= 9 * good[x]}
+    keys = [copy_key(t) if y else 0 for t, y in zip(texts, toxic, strict=True)]
     for k, m in enumerate(marks):
         if toxic[k]:
             for x in m & holders.keys():
-                holders[x].add(k)
-    left, chosen = {k for k in range(len(texts)) if toxic[k]}, []
-    enough = max(2, len(left) // 400)
-    while holders and len(chosen) < most:
-        best = max(holders, key=lambda x: (len(holders[x] & left), len(holders[x]), len(x), x))
-        if len(holders[best] & left) < enough:
-            break
-        chosen.append(best)
-        left -= holders.pop(best)
+                holders[x].add(keys[k])
+    chosen: list[str] = []
+    for x in sorted((x for x in holders if len(holders[x]) >= least), key=lambda x: (-len(holders[x]), -len(x), x)):
+        if len(chosen) < most and not any(len(holders[x] & holders[c]) > 0.7 * len(holders[x]) for c in chosen):
+            chosen.append(x)
     return chosen
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, most_landmarks: int = 48, cost: float = 10.0, rounds: int = 4) -> Model:
+def fit(texts: list[str | None], toxic: np.ndarray, most_landmarks: int = 48, cost: float = 1000.0, rounds: int = 4) -> Model:
     landmarks = choose_landmarks(texts, toxic, most_landmarks)
     if not landmarks:
         return Model([], np.zeros(0), -1.0, 0.0, -50.0)

@@ -62,9 +62,9 @@ def encoder(vocabulary: str):
         special = [x["content"] for x in model.get("added_tokens", [])]
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow = Tokenizer.from_str(vocabulary)
-        cache[key] = fast.encode_ordinary, lambda t: slow.encode(t, add_special_tokens=False).ids, special
+        merger = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        library = Tokenizer.from_str(vocabulary)
+        cache[key] = merger.encode_ordinary, lambda t: library.encode(t, add_special_tokens=False).ids, special
     fast, slow, special = cache[key]
     return lambda text: slow(text) if any(s in text for s in special) else fast(text)
 

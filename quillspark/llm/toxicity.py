@@ -23,10 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import require
 
@@ -276,9 +278,6 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def text_scorer(model: Model):
     """The score of a text column, for filters that keep all columns."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.DoubleType())
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         likeness = Likeness(model.landmarks)

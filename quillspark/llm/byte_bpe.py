@@ -57,22 +57,25 @@ def encode_word(word: Column, table: Column) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
     def step(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-        ranks = F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda a, b: rank(F.concat(a, b)))
-
-        def join(at: Column) -> Column:
-            joined = F.concat(
-                F.slice(pieces, F.lit(1), (at - 1).cast("int")),
-                F.array(F.concat(F.element_at(pieces, at.cast("int")), F.element_at(pieces, (at + 1).cast("int")))),
-                F.slice(pieces, (at + 2).cast("int"), F.size(pieces)),
+        # ranks[k] stands between pieces k - 1 and k (from 1) and is null at both ends, so a merge looks up two pairs
+        pieces, ranks = state["pieces"], state["ranks"]
+
+        def merged(at: Column, token: Column) -> Column:
+            new = F.transform(F.array(F.concat(F.get(pieces, at - 3), token), F.concat(token, F.get(pieces, at))), rank)
+            return F.struct(
+                F.concat(F.slice(pieces, F.lit(1), at - 2), F.array(token), F.slice(pieces, at + 1, F.size(pieces))).alias("pieces"),
+                F.concat(F.slice(ranks, F.lit(1), at - 2), new, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
             )
-            return F.when(at.isNull(), F.struct(pieces.alias("pieces"), F.lit(False).alias("more"))).otherwise(F.struct(joined.alias("pieces"), F.lit(True).alias("more")))
 
-        return F.when(state["more"], let(ranks, lambda r: let(F.array_position(r, F.array_min(r)), join))).otherwise(state)
+        best = F.array_position(ranks, F.array_min(ranks)).cast("int")
+        return F.when(F.array_min(ranks).isNull(), state).otherwise(
+            let(best, lambda at: let(F.concat(F.get(pieces, at - 2), F.get(pieces, at - 1)), lambda token: merged(at, token)))
+        )
 
     chars = F.filter(F.split(word, ""), lambda c: c != "")
-    start = F.struct(chars.alias("pieces"), (F.length(word) > 1).alias("more"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), start, step, lambda s: F.transform(s["pieces"], rank))
+    none = F.array(F.lit(None).cast("int"))
+    start = let(chars, lambda c: F.struct(c.alias("pieces"), F.concat(none, F.zip_with(c, F.slice(c, 2, F.size(c)), lambda a, b: rank(F.concat(a, b)))).alias("ranks")))
+    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), start, step, lambda s: F.transform(s["pieces"], rank))
     return let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(word == "", F.array().cast("array<int>")).otherwise(folded))
 
 

@@ -2,7 +2,7 @@
 
 A literal map of ranks, dealt into small maps by checksum so that a lookup is constant, is folded over the bytes of
 distinct words: each step joins the adjacent pair of lowest rank, until none has a rank. Distinctness is per block of
-texts (some 16 MB, or one longer text): an Arrow pass before the fold replaces a block's words by places in its list
+texts (some 12 MB, or one longer text): an Arrow pass before the fold replaces a block's words by places in its list
 of distinct words, one after it spreads the ids back over the texts, so no text, word or id is shuffled and memory
 follows the block. Bytes are carried as characters up to U+00FF, which string functions handle natively. Words of more
 than `longest` bytes, where a fold would take quadratic time, are merged in the Arrow pass with a heap.
@@ -102,9 +102,8 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def blocks(ranks: dict[bytes, int], block_bytes: int, longest: int):
     """(doc_id, words) -> one row per block."""
 
-    def close(ids: list, lists: list[pa.Array]) -> pa.RecordBatch:
-        sizes = [len(x) for x in lists]
-        words = pa.concat_arrays(lists).dictionary_encode()
+    def close(ids: pa.Array, sizes: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+        words = words.dictionary_encode()
         latin, long_at, long_ids = [], [], []
         for k, w in enumerate(words.dictionary.to_pylist()):
             raw = w.encode("utf-8", "surrogatepass")
@@ -114,24 +113,23 @@ def blocks(ranks: dict[bytes, int], block_bytes: int, longest: int):
                 raw = b""
             latin.append(raw.decode("latin-1"))
         places = words.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-        columns = [(ids, pa.list_(pa.int64())), (sizes, pa.list_(pa.int32())), (places, pa.binary()), (latin, pa.list_(pa.string())), (long_at, pa.list_(pa.int32())), (long_ids, pa.list_(pa.list_(pa.int32())))]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=["doc_ids", "sizes", "places", "words", "long_at", "long_ids"])
+        one = np.array([0, len(ids)], np.int32)
+        columns = [(places, pa.binary()), (latin, pa.list_(pa.string())), (long_at, pa.list_(pa.int32())), (long_ids, pa.list_(pa.list_(pa.int32())))]
+        arrays = [pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, pa.array(sizes, pa.int32())), *(pa.array([v], t) for v, t in columns)]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_ids", "sizes", "places", "words", "long_at", "long_ids"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lists, size = [], [], 0
         for batch in batches:
-            column = batch.column(1)
-            for k, i in enumerate(batch.column(0).to_pylist()):
-                words = column[k].values
-                own = words.nbytes
-                if ids and size + own > block_bytes:
-                    yield close(ids, lists)
-                    ids, lists, size = [], [], 0
-                ids.append(i)
-                lists.append(words)
-                size += own
-        if ids:
-            yield close(ids, lists)
+            if not batch.num_rows:
+                continue
+            lists, ids = batch.column(1), batch.column(0)
+            words, ends = lists.values, lists.offsets.to_numpy()
+            at = np.frombuffer(words.buffers()[1], np.int32 if words.type == pa.string() else np.int64)[words.offset :][ends] if len(words) else ends
+            start = 0
+            while start < len(ids):
+                stop = max(start + 1, int(np.searchsorted(at, at[start] + block_bytes, "right")) - 1)
+                yield close(ids.slice(start, stop - start), np.diff(ends[start : stop + 1]), words.slice(ends[start], ends[stop] - ends[start]))
+                start = stop
 
     return emit
 
@@ -184,7 +182,7 @@ def encode_blocks(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, t
 
 
 def round_trip(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, longest: int = 256
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20, longest: int = 256
 ) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
     encoded, ranks = encode_blocks(docs, ranks_path, pattern, id_col, text_col, block_bytes, longest)

@@ -6,8 +6,9 @@
    hash), never with all others.
 3. Verification reads signatures batch by batch and drops a pair as soon as the posterior probability of a similarity
    at or above the threshold is below `miss` (uniform prior, binomial matches); survivors are compared on full sets.
-4. Links give components. Buckets that still hold several components are compared across them, in blocks of bounded
-   size, so that no link is lost; a bucket that is one component by now needs nothing.
+4. Links give components. A bucket that is one component by now needs nothing. Where several are left, the texts
+   outside a bucket's main component are compared with all texts around it, in blocks of bounded size that return only
+   links which unite components: no link between components is lost, and no pairs are emitted.
 
 Defined results: a null text counts as empty; texts without words have an empty set and stay alone; fewer words than
 `width` make one shingle of all of them; the smallest id of a component stays; repeated ids share one fate; extra
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -149,24 +151,34 @@ def verifier(width: int, percent: int, miss: float):
     return verify
 
 
-def crosser(percent: int, miss: float):
-    """One pair of blocks of a bucket -> the pairs of different components whose signatures survive."""
+def crosser(width: int, percent: int, miss: float):
+    """A block of strays and a block of texts around the same component -> links that unite components.
 
-    def cross(pdf):
-        import pandas as pd
+    Pairs of one component, also of one united here, need no comparison; the others are verified as above.
+    """
 
+    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         bounds = fewest_matches(percent / 100, miss, BANDS * ROWS, BATCH)
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sig_l, sig_r = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(len(x), -1) for x in (left, right))
-        ids_r, comp_r, out = right.doc_id.to_numpy(), right.component.to_numpy(), []
-        same = pdf.i.iloc[0] == pdf.j.iloc[0]
-        for i, comp, sig in zip(left.doc_id, left.component, sig_l, strict=True):
-            at = np.flatnonzero((comp_r != comp) & ((ids_r > i) if same else True))
-            at = at[surviving(np.broadcast_to(sig, (len(at), len(sig))), sig_r[at], bounds)]
-            out += [(min(i, j), max(i, j)) for j in ids_r[at]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        strays, around = pdf[pdf.stray].sort_values("doc_id"), pdf[~pdf.stray].sort_values("doc_id")
+        found: list[tuple[int, int]] = []
+        if len(strays) and len(around):
+            sig_l, sig_r = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(len(x), -1) for x in (strays, around))
+            names, comp = np.unique(np.concatenate([strays.component, around.component]), return_inverse=True)
+            comp_l, comp_r = comp[: len(strays)], comp[len(strays) :]
+            ids_r, texts_r = around.doc_id.to_numpy(), around.text.to_numpy()
+            root, sets = np.arange(len(names)), {}
+            for k, (i, text) in enumerate(zip(strays.doc_id, strays.text, strict=True)):
+                own, at = None, np.flatnonzero(root[comp_r] != root[comp_l[k]])
+                for j in at[surviving(np.broadcast_to(sig_l[k], (len(at), sig_l.shape[1])), sig_r[at], bounds)]:
+                    if root[comp_r[j]] == root[comp_l[k]]:
+                        continue
+                    own = own or shingle_set(text, width)
+                    other = sets.get(j) or sets.setdefault(j, shingle_set(texts_r[j], width))
+                    both = len(own & other)
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        found.append((min(i, ids_r[j]), max(i, ids_r[j])))
+                        root[root == root[comp_r[j]]] = root[comp_l[k]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return cross
 
@@ -206,25 +218,29 @@ def near_duplicates(
 
         links = verified(pairs)
         parts = scratch.save(connected_components(scratch, links))
-        # buckets of three or more that still hold several components: compare across them, block by block
+        # buckets of three or more that still hold several components: around the main component of each such bucket,
+        # every text of another component is compared with all texts that share a bucket with it
         placed = scratch.save(
-            met.where("size > 2").select("key", "size", "doc_id")
+            met.where("size > 2").select("key", "doc_id")
             .join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        )
+        shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).where("parts > 1").select("key", "main")
+        roles = scratch.save(
+            placed.join(scratch.save(main), "key").groupBy("main", "doc_id").agg(F.first("component").alias("component"))
+            .withColumn("stray", F.col("component") != F.col("main"))
         )
-        mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-        open_rows = scratch.save(placed.join(mixed, "key", "left_semi"))
-        if not open_rows.isEmpty():
-            n_blocks = F.ceil(F.col("size") / block).cast("int")
-            blocked = (
-                open_rows.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-                .join(classes.select("doc_id", "sig"), "doc_id")
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        if not roles.isEmpty():
+            blocks = roles.groupBy("main").agg(
+                F.ceil(F.count_if("stray") / block).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("columns")
             )
-            as_left = blocked.where("own <= other").select("key", "doc_id", "component", "sig", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-            as_right = blocked.where("other <= own").select("key", "doc_id", "component", "sig", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-            crossing = as_left.unionByName(as_right).groupBy("key", "i", "j").applyInPandas(crosser(percent, miss), "a long, b long").distinct()
-            more = verified(scratch.save(crossing).join(pairs, ["a", "b"], "left_anti"))
+            full = scratch.save(roles.join(scratch.save(blocks), "main").join(sides, "doc_id"))
+            hashed, zero = F.xxhash64("doc_id"), F.lit(0)
+            names = ["main", "doc_id", "component", "sig", "text"]
+            as_stray = full.where("stray").select(*names, F.lit(True).alias("stray"), F.pmod(hashed, "rows").cast("int").alias("i"), F.explode(F.sequence(zero, F.col("columns") - 1)).alias("j"))
+            as_other = full.select(*names, F.lit(False).alias("stray"), F.pmod(hashed, "columns").cast("int").alias("j"), F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"))
+            more = scratch.save(as_stray.unionByName(as_other).groupBy("main", "i", "j").applyInPandas(crosser(width, percent, miss), "a long, b long"))
             parts = scratch.save(connected_components(scratch, links.unionByName(more)))
         found = scratch.save(
             classes.select("set_digest", F.col("doc_id").alias("node")).join(parts, "node", "left")

@@ -1 +1 @@
-"""Analytics over a knowledge base, on Spark."""
+"""Search, ingestion, graph and evaluation analytics over a collection of notes, on Spark."""

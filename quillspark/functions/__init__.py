@@ -1 +1 @@
-"""."""
+"""Column functions and small text helpers."""

@@ -6,9 +6,10 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
@@ -57,13 +58,20 @@ class Hasher:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
 
 
-def text_chunks(ids: list, texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """The rows of a batch as Python values, a few at a time."""
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield from zip(*(part.column(k).to_pylist() for k in range(part.num_columns)), strict=True)
+
+
+def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Groups texts into chunks of some `limit` bytes: ids, all bytes with a blank after each text, and the start offsets.
 
     A longer text is a chunk of its own: no text is cut.
     """
     own, parts, offsets, size = [], [], [0], 0
-    for i, text in zip(ids, texts, strict=True):
+    for i, text in rows_of(batch):
         raw = (text or "").encode("utf-8", "surrogatepass") if not isinstance(text, bytes) else text
         if own and size + len(raw) > limit:
             yield own, np.frombuffer(b"".join(parts), np.uint8), np.array(offsets, np.int64)

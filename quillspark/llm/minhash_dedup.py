@@ -83,7 +83,7 @@ def signer(width: int):
         band_salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(1 << 41))
         weights = mix(np.arange(1, width + 1, dtype=np.uint64) + np.uint64(1 << 42)) | np.uint64(1)
         for batch in batches:
-            for own, data, offsets in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for own, data, offsets in text_chunks(batch):
                 data = lower[data]
                 hasher.load(data)
                 edge = np.diff(np.concatenate([[True], blank[data], [True]]).astype(np.int8))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, checkpointed, require
+from quillspark.llm.kernels import rows_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -74,7 +75,7 @@ def tokenised(vocabulary: str, size: int, closing: int):
         encode = encoder(vocabulary)
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text in rows_of(batch):
                 ids = np.array([*encode(text or ""), closing], "<u4")
                 end = len(ids) - (len(ids) - 1) // size * size
                 start = piece = 0

@@ -13,7 +13,7 @@ repeated windows. Three digits are used (for 200 bytes: keys of 73, 185 and 200
 3. What then is open is compared window by window, at full depth, by 128-bit hashes.
 
 Groups are counted with a map-side combine, so a passage in a third of all texts reaches a task as a few rows.
-Memory in a task follows a chunk of texts (2 MB, or one longer text).
+Memory in a task follows a chunk of texts (half a MB, or one longer text).
 
 Defined results: a null text is empty; texts shorter than the window have no spans; repeated rows with one id are
 each other's copies (an id must always carry the same text); other columns are ignored; empty tables give empty
@@ -73,7 +73,7 @@ def first_digit(window: int):
         one, two = Hasher(0), Hasher(1)
         short = window - bundle_width(window) + 1
         for batch in batches:
-            for own, data, offsets in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for own, data, offsets in text_chunks(batch):
                 if len(data) >= 1 << int(PLACE_BITS):
                     raise ValueError("a text of 256 MB or more must be split before this operator")
                 one.load(data)

@@ -1,10 +1,10 @@
 """Main text of web pages by consensus paths of their hosts.
 
-1. One Arrow pass parses each page once into blocks of text outside menus, forms, adverts and the like, each with its
+1. An Arrow pass parses each page into blocks of text outside menus, forms, adverts and the like, each with its
    generalised container path (tags and classes, digits folded). The page's own choice is the deepest path that still
-   holds most of that text.
+   holds most of that text; only the choices leave the pass.
 2. Spark adds up these choices per host, weighted by the logarithm of their text, and the path with the most wins.
-3. Every page is extracted anew from its blocks with its host's winning path; a page without that path uses its own.
+3. Every page is parsed anew and extracted with its host's winning path; a page without that path uses its own.
 
 A hot host's votes are folded before the shuffle, and the winners, one row per host, meet the pages in a join that
 adaptive execution splits or broadcasts by size.
@@ -27,7 +27,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, checkpointed, require
+from quillspark.llm.common import checkpointed, require
+from quillspark.llm.kernels import rows_of
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,15 +51,10 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SPACE = re.compile(r"\s+")
 
 
-def host_of(url: str | None) -> str:
-    found = HOST.match(url or "")
-    return found[1].lower() if found else ""
-
-
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(container path, text) of the blocks that may belong to the article, in page order."""
     out: list[tuple[str, str]] = []
@@ -133,45 +129,44 @@ def own_path(blocks: list[tuple[str, str]], share: float = 0.6) -> tuple[str, in
     return best, held.get(best, 0)
 
 
-def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) -> (host, path, weight): each page's own choice."""
+    for batch in batches:
+        found = [(host, *own_path(blocks_of(page or ""))) for host, page in rows_of(batch)]
+        columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([math.log1p(f[2]) for f in found], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "weight"])
+
+
+def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, html, consensus) -> (page_id, url, text, n_chars, path)."""
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("path", pa.string())])
     for batch in batches:
         rows = []
-        for i, url, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for i, url, page, consensus in rows_of(batch):
             blocks = blocks_of(page or "")
-            path, chars = own_path(blocks)
-            rows.append({"page_id": i, "url": url, "host": host_of(url), "own": path, "vote": math.log1p(chars), "paths": [p for p, _ in blocks], "texts": [t for _, t in blocks]})
-        yield pa.RecordBatch.from_pylist(
-            rows,
-            pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("own", pa.string()), ("vote", pa.float64()), ("paths", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))]),
-        )
+            for path in (consensus, None):
+                path = own_path(blocks)[0] if path is None else path
+                texts = [t for p, t in blocks if p == path or p.startswith(path + "/")]
+                if texts:
+                    break
+            text = " ".join(texts)
+            rows.append({"page_id": i, "url": url, "text": text, "n_chars": len(text), "path": path})
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """host and consensus of each host that has any text; pages: host, html."""
+    votes = pages.mapInArrow(vote, "host string, path string, weight double").where("weight > 0").groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("votes"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("path")))
+    return checkpointed(votes.withColumn("place", place).where("place = 1").select("host", F.col("path").alias("consensus")))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page, and the path that was used."""
-    with Scratch(pages.sparkSession) as scratch:
-        parsed = scratch.save(
-            require(pages, [id_col, url_col, html_col]).mapInArrow(parse, "page_id long, url string, host string, own string, vote double, paths array<string>, texts array<string>")
-        )
-        votes = parsed.where("vote > 0").groupBy("host", "own").agg(F.round(F.sum("vote"), 6).alias("votes"))
-        ranked = votes.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("own"))))
-        winners = scratch.save(ranked.where("place = 1").select("host", F.col("own").alias("consensus")))
-
-        def under(path):
-            return F.exists("paths", lambda p: (p == path) | F.startswith(p, F.concat(path, F.lit("/"))))
-
-        joined = parsed.join(winners, "host", "left")
-        path = F.when(F.col("consensus").isNotNull() & under(F.col("consensus")), F.col("consensus")).otherwise(F.col("own"))
-        chosen = joined.withColumn("path", path).withColumn(
-            "text",
-            F.array_join(
-                F.transform(
-                    F.filter(F.arrays_zip("paths", "texts"), lambda b: (b["paths"] == F.col("path")) | F.startswith(b["paths"], F.concat(F.col("path"), F.lit("/")))),
-                    lambda b: b["texts"],
-                ),
-                " ",
-            ),
-        )
-        return checkpointed(chosen.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"), "path"))
+    rows = require(pages, [id_col, url_col, html_col]).toDF("page_id", "url", "html")
+    rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))
+    joined = rows.join(host_paths(rows.select("host", "html")), "host", "left").select("page_id", "url", "html", "consensus")
+    return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long, path string").withColumnsRenamed({"page_id": id_col, "url": url_col})
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

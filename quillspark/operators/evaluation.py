@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTH, RESAMPLES, SEED = 10, 2000, 20261002
@@ -42,3 +42,17 @@ def bootstrap(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame({"system": [pdf.system.iloc[0]], "low": [round(low, 6)], "high": [round(high, 6)]})
 
     return pairs.groupBy("system").applyInPandas(one, "system string, low double, high double")
+
+
+def flips(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Queries that only one of two runs finds: gained (b alone) or lost (a alone); both: query_id, rank."""
+    both = a.select("query_id", F.col("rank").alias("before")).join(b.select("query_id", F.col("rank").alias("after")), "query_id")
+    flip = F.when(F.col("before").isNull() & F.col("after").isNotNull(), "gained").when(F.col("before").isNotNull() & F.col("after").isNull(), "lost")
+    return both.select("query_id", flip.alias("flip")).where("flip IS NOT NULL")
+
+
+def verdict(systems: DataFrame, incumbent: Column) -> DataFrame:
+    """Adds wins: recall 0.05 above the incumbent's, no lower reciprocal rank and a p95 under 300 ms; systems: recall, mrr, p95."""
+    base = systems.where(incumbent).select(F.col("recall").alias("__recall"), F.col("mrr").alias("__mrr")).limit(1)
+    wins = (F.col("recall") >= F.col("__recall") + 0.05 - 1e-9) & (F.col("mrr") >= F.col("__mrr") - 1e-9) & (F.col("p95") < 300)
+    return systems.join(F.broadcast(base)).withColumn("wins", wins & ~incumbent).drop("__recall", "__mrr")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.markdown import chunk_note, parse_note
-from quillspark.operators import evaluation, ingest, search
+from quillspark.operators import evaluation, graph, ingest, search
 from quillspark.plans.corpus import SOURCES_SQL, TABLES, chunks, sources, table
 from quillspark.plans.shared import SHARED
 
@@ -199,6 +199,50 @@ def eval_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.bootstrap(pairs)
 
 
+def eval_flips(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten ranks against the first three."""
+    ranks = eval_ranks(spark, sf)
+    return evaluation.flips(ranks, ranks.select("query_id", F.when(F.col("rank") <= 3, F.col("rank")).alias("rank")))
+
+
+def eval_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of even and odd length stand for two systems; the even ones are the incumbent."""
+    systems = evaluation.summary(eval_ranks(spark, sf), "kind").withColumn("p95", F.lit(100) + F.col("kind"))
+    return evaluation.verdict(systems, F.col("kind") == 0).select("kind", "recall", "mrr", "p95", "wins")
+
+
+def part_links(spark: SparkSession, sf: str) -> DataFrame:
+    """A part's parent has its key without the last digit."""
+    return table(spark, sf, "part").where("p_partkey >= 10").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 10").alias("parent"))
+
+
+def ancestor_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.ancestors(part_links(spark, sf))
+
+
+def cycle_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Every even part gets a part below it as its parent, every odd one its successor."""
+    key = F.col("p_partkey")
+    proposed = table(spark, sf, "part").select(key.alias("child"), F.when(key % 2 == 0, key * 10 + key % 10).otherwise(key + 1).alias("parent"))
+    return graph.would_cycle(part_links(spark, sf), proposed)
+
+
+def window_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pack_windows(chunks(spark, sf))
+
+
+def filter_llm_output(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON as a model might return it, made of each document's columns: two names that differ in case only, an unknown type, a self-pair."""
+    entity = lambda name, kind, sure: F.struct(name.alias("name"), F.lit(kind).alias("type"), F.array("lang", name).alias("aliases"), F.lit(sure).alias("confidence"))
+    pair = lambda a, b, chunk: F.struct(a.alias("subject"), F.lit("uses").alias("relation"), b.alias("object"), F.lit(chunk).alias("chunk"), F.lit(0.5).alias("confidence"))
+    source, lang = F.col("source"), F.col("lang")
+    entities = F.array(entity(source, "tool", 1.5), entity(F.upper(source), "topic", 0.4), entity(lang, "planet", 0.9), entity(F.concat(lang, F.lit(" x")), "topic", 0.7))
+    relations = F.array(pair(F.lit("NOTE"), source, "c1"), pair(source, F.upper(source), "c2"), pair(source, F.concat(lang, F.lit(" x")), "chunk 3"), pair(lang, source, "c4"))
+    out = graph.filter_output(table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(entities.alias("entities"), relations.alias("relations"))).alias("output")))
+    names = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *(x[f] for f in fields))), "|")
+    return out.select("doc_id", names("entities", "name", "type", "confidence").alias("entities"), names("relations", "subject", "object", "chunk").alias("relations"))
+
+
 def suggest_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -243,6 +287,7 @@ QUERIES: dict[str, Query] = {
     "heading_text": heading_text, "content_hash_duplicates": content_hash_duplicates, "embed_cache_keys": embed_cache_keys, "reconcile_diff": reconcile_diff,
     "observation_classify": observation_classify, "move_pairing": move_pairing, "parse_notes": parse_notes, "chunk_documents": chunk_documents,
     "eval_first_rank": eval_ranks, "eval_summary": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf)), "eval_split_by": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf), "kind"),
+    "eval_flips": eval_flips, "eval_verdict": eval_verdict, "ancestor_chain": ancestor_chain, "cycle_check": cycle_check, "window_packing": window_packing, "filter_llm_output": filter_llm_output,
     "eval_bootstrap_ci": eval_bootstrap_ci, "suggest_round_robin": suggest_round_robin, "schedule_due_local": schedule_due_local,
     **{name: shared(sql) for name, sql in SHARED.items()},
 }
@@ -254,7 +299,23 @@ EVAL_SQL = (
 )
 SUMMARY_SQL = "count(*) AS n, round(count(rank) / count(*), 6) AS recall, round(coalesce(sum(1.0::DOUBLE / rank), 0) / count(*), 6) AS mrr, round(count(*) FILTER (WHERE rank = 1) / count(*), 6) AS hit1 FROM er"
 
+WALK_SQL = "WITH RECURSIVE links AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part WHERE p_partkey >= 10), w AS (SELECT id, parent AS ancestor, 1 AS distance FROM links UNION ALL SELECT w.id, l.parent, distance + 1 FROM w JOIN links l ON l.id = w.ancestor)"
+EVIDENCE_SQL = (
+    TEXT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + CHAT_SQL + ", h AS (SELECT x.query_id, x.doc_id, x.rank, length(c.content) AS size, x.rank AS i FROM x JOIN c ON c.chunk_id = x.chunk_id WHERE x.rank <= 16),"
+    "fits AS (SELECT DISTINCT query_id, 0::BIGINT AS i, 0::BIGINT AS used, []::BIGINT[] AS docs, []::BIGINT[] AS ranks FROM h UNION ALL "
+    "SELECT query_id, i, CASE WHEN ok THEN used + size ELSE used END, CASE WHEN ok THEN list_append(docs, doc_id) ELSE docs END, CASE WHEN ok THEN list_append(ranks, rank) ELSE ranks END FROM ("
+    "SELECT h.query_id, h.i, h.doc_id, h.rank, h.size, f.used, f.docs, f.ranks, len(f.docs) < 8 AND len(list_filter(f.docs, lambda d: d = h.doc_id)) < 2 AND f.used + h.size <= 600 AS ok FROM fits f JOIN h ON h.query_id = f.query_id AND h.i = f.i + 1)),"
+    "fin AS (SELECT query_id, unnest(ranks) AS rank FROM (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1)) "
+    "SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS n, h.doc_id, h.rank, h.size FROM fin JOIN h ON h.query_id = fin.query_id AND h.rank = fin.rank"
+)
+
 SQL: dict[str, str] = {
+    "evidence_budget": EVIDENCE_SQL,
+    "ancestor_chain": WALK_SQL + " SELECT id, ancestor, distance FROM w",
+    "cycle_check": WALK_SQL + ", pr AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 10 + p_partkey % 10 ELSE p_partkey + 1 END AS parent FROM part) SELECT child, parent, child = parent OR EXISTS (SELECT 1 FROM w WHERE w.id = pr.parent AND w.ancestor = pr.child) AS cycle FROM pr",
+    "filter_llm_output": "SELECT doc_id, source || ':tool:1.0|' || lang || ' x:topic:0.7' AS entities, 'NOTE:' || source || ':c1|' || source || ':' || lang || ' x' AS relations FROM documents",
+    "eval_flips": EVAL_SQL + " SELECT query_id, 'lost' AS flip FROM er WHERE rank > 3",
+    "eval_verdict": EVAL_SQL + ", sm AS (SELECT kind, " + SUMMARY_SQL + " GROUP BY kind) SELECT a.kind, a.recall, a.mrr, 100 + a.kind AS p95, a.kind <> 0 AND a.recall >= b.recall + 0.05 - 1e-9 AND a.mrr >= b.mrr - 1e-9 AS wins FROM sm a, sm b WHERE b.kind = 0",
     "rrf_hybrid_search": ", ".join([TEXT_SQL, LIST_SQL.format("f"), BENCH_KNN, VEC_SQL, FUSE_SQL.format(1)]),
     "rrf_hybrid_chat": ", ".join([TEXT_SQL, CHAT_SQL, BENCH_KNN, VEC_SQL, FUSE_SQL.format(2)]),
     "folder_facets": "WITH " + duck(SOURCES_SQL) + ", l AS (SELECT folder FROM s WHERE NOT deleted UNION ALL SELECT folder || '/' || lang FROM s WHERE NOT deleted) SELECT folder, count(*) AS n FROM l GROUP BY folder",

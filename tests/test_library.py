@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.markdown import LIMIT, chunk, parse, split_front
-from quillspark.operators import evaluation, ingest, search
+from quillspark.operators import evaluation, graph, ingest, search
 
 
 def one(spark, column):
@@ -108,3 +108,39 @@ def test_rest_works_without_the_optional_part(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1') for n in e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert int(done.stdout.split()[0]) > 50 and done.stdout.split()[1] == "False"
+
+
+def test_chains_end_at_the_top_and_at_cycles(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (8, 9), (9, 7)], "id int, parent int")
+    found = {(r.id, r.ancestor, r.distance) for r in graph.ancestors(links).collect()}
+    assert {f for f in found if f[0] < 7} == {(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 3, 1), (2, 4, 2), (3, 4, 1)}
+    assert {f[1:] for f in found if f[0] == 7} == {(8, 1), (9, 2), (7, 3)}
+    proposed = spark.createDataFrame([(4, 1), (1, 4), (5, 5), (4, 6)], "child int, parent int")
+    assert {(r.child, r.parent): r.cycle for r in graph.would_cycle(links, proposed).collect()} == {(4, 1): True, (1, 4): False, (5, 5): True, (4, 6): False}
+
+
+def test_windows_hold_their_size(spark):
+    chunks = spark.createDataFrame([(1, 1, "a" * 4), (1, 2, "b" * 6), (1, 3, "c"), (1, 4, "d" * 30), (1, 5, "e"), (2, 9, "")], "doc_id long, chunk_id long, content string")
+    rows = {r.chunk_id: (r.window, r.label, r["size"]) for r in graph.pack_windows(chunks, 10).collect()}
+    assert rows == {1: (0, "c1", 4), 2: (0, "c2", 6), 3: (1, "c1", 1), 4: (2, "c1", 10), 5: (3, "c1", 1), 9: (0, "c1", 0)}
+
+
+def test_output_filter_drops_and_never_repairs(spark):
+    good = (
+        '{"entities":[{"name":" Disk ","type":"device","aliases":["disk","d1","D1"],"confidence":7},{"name":"DISK","type":"tool","confidence":1},{"name":"note","type":"tool"},'
+        '{"name":"x","type":"planet"},{"name":"Box","type":"tool"}],"relations":[{"subject":"NOTE","relation":"about","object":"disk","chunk":"c1","confidence":-1},'
+        '{"subject":"NOTE","relation":"about","object":"Disk","chunk":"c2"},{"subject":"Disk","relation":"uses","object":"disk"},{"subject":"Box","relation":"likes","object":"Disk"},'
+        '{"subject":"Box","relation":"uses","object":"Disk","chunk":"c12345"}]}'
+    )
+    rows = graph.filter_output(spark.createDataFrame([(1, good), (2, None), (3, "[")], "id int, output string")).orderBy("id").collect()
+    assert [(e.name, e.type, e.aliases, e.confidence) for e in rows[0].entities] == [("Disk", "device", ["d1"], 1.0), ("Box", "tool", None, 0.0)]
+    assert [(r.subject, r.object, r.chunk, r.confidence) for r in rows[0].relations] == [("NOTE", "disk", "c1", 0.0), ("Box", "Disk", None, 0.0)]
+    assert all(not rows[i].entities and not rows[i].relations for i in (1, 2))
+
+
+def test_flips_and_verdict(spark):
+    a = spark.createDataFrame([(1, 1), (2, None), (3, None), (4, 9)], "query_id int, rank int")
+    b = spark.createDataFrame([(1, None), (2, 5), (3, None), (4, 1)], "query_id int, rank int")
+    assert {(r.query_id, r.flip) for r in evaluation.flips(a, b).collect()} == {(1, "lost"), (2, "gained")}
+    systems = spark.createDataFrame([("old", 0.6, 0.5, 90.0), ("new", 0.65, 0.5, 299.0), ("slow", 0.9, 0.9, 300.0), ("weak", 0.64, 0.9, 1.0)], "name string, recall double, mrr double, p95 double")
+    assert {r.name for r in evaluation.verdict(systems, systems.name == "old").where("wins").collect()} == {"new"}

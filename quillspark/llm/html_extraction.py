@@ -1,23 +1,25 @@
 """Main text of web pages by consensus paths of their hosts.
 
 1. An Arrow pass parses each page into blocks of text outside menus, forms, adverts and the like, each with its
-   generalised container path (tags and classes, digits folded). The page's own choice is the deepest path that still
-   holds most of that text; only the choices leave the pass.
+   generalised container path (tags and classes, digits folded). The page's own choice is the deepest path that holds
+   all of that text; only the choices leave the pass.
 2. Spark adds up these choices per host, weighted by the logarithm of their text, and the path with the most wins.
-3. Every page is parsed anew and extracted with its host's winning path; a page without that path uses its own.
+3. Every page is parsed anew. Where its host's winning path holds more than half of its text, the page is extracted
+   with that path, raised within the page's body to the container of further text; any other page uses its own.
 
 A hot host's votes are folded before the shuffle, and the winners, one row per host, meet the pages in a join that
 adaptive execution splits or broadcasts by size.
 
-Defined results: null or empty html and pages without text give an empty string; a null or odd url is the host "";
-repeated rows are extracted each; other columns are ignored; an empty table gives no rows; very long pages are parsed
-whole. Unclosed elements end with their parents, truncated pages with the page.
+Defined results: null or empty html and pages without text give an empty string; a page with a null or odd url has no
+host and uses its own path; repeated rows are extracted each; other columns are ignored; an empty table gives no rows;
+very long pages are parsed whole. Unclosed elements end with their parents, truncated pages with the page.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import os
 import re
 import sys
 from collections.abc import Iterator
@@ -46,7 +48,7 @@ OUTSIDE = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*/>|<(?P<raw>" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -117,16 +119,29 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def own_path(blocks: list[tuple[str, str]], share: float = 0.6) -> tuple[str, int]:
-    """The deepest container path that holds at least `share` of the text, and its characters."""
-    total = sum(len(t) for _, t in blocks)
-    held: dict[str, int] = {}
-    for path, text in blocks:
-        steps = path.split("/")
-        for k in range(1, len(steps) + 1):
-            held["/".join(steps[:k])] = held.get("/".join(steps[:k]), 0) + len(text)
-    best = max((p for p, n in held.items() if n >= share * total), key=lambda p: (p.count("/"), held[p], p), default="")
-    return best, held.get(best, 0)
+def held_by(blocks: list[tuple[str, str]], path: str) -> int:
+    return sum(len(t) for p, t in blocks if p == path or p.startswith(path + "/"))
+
+
+def own_path(blocks: list[tuple[str, str]]) -> tuple[str, int]:
+    """The deepest container path that holds all of the text, and its characters."""
+    best = "/".join(os.path.commonprefix([p.split("/") for p, _ in blocks]))
+    return best, held_by(blocks, best)
+
+
+def chosen_path(blocks: list[tuple[str, str]], consensus: str | None) -> str:
+    """The consensus, raised to the highest container in the body that adds text, or the page's own path."""
+    own, total = own_path(blocks)
+    if consensus is None or 2 * held_by(blocks, consensus) <= total:
+        return own
+    best, steps = consensus, consensus.split("/")
+    for k in range(len(steps) - 1, 1, -1):
+        if steps[k - 1].split(".")[0] in ("html", "body"):
+            break
+        above = "/".join(steps[:k])
+        if held_by(blocks, above) > held_by(blocks, best):
+            best = above
+    return best
 
 
 def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +159,15 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, url, page, consensus in rows_of(batch):
             blocks = blocks_of(page or "")
-            for path in (consensus, None):
-                path = own_path(blocks)[0] if path is None else path
-                texts = [t for p, t in blocks if p == path or p.startswith(path + "/")]
-                if texts:
-                    break
-            text = " ".join(texts)
+            path = chosen_path(blocks, consensus)
+            text = " ".join(t for p, t in blocks if p == path or p.startswith(path + "/"))
             rows.append({"page_id": i, "url": url, "text": text, "n_chars": len(text), "path": path})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """host and consensus of each host that has any text; pages: host, html."""
-    votes = pages.mapInArrow(vote, "host string, path string, weight double").where("weight > 0").groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("votes"))
+    votes = pages.where("host <> ''").mapInArrow(vote, "host string, path string, weight double").where("weight > 0").groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("votes"))
     place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("path")))
     return checkpointed(votes.withColumn("place", place).where("place = 1").select("host", F.col("path").alias("consensus")))
 

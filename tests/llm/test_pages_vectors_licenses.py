@@ -31,6 +31,22 @@ def test_extraction(spark):
     assert extract_pages(pages.limit(0)).count() == 0
 
 
+def test_extraction_keeps_whole_articles(spark):
+    page = lambda body: f"<html><body><nav>menu</nav>{body}<footer>end</footer></body></html>"
+    intro, long, short = "intro " * 30, "body " * 80, "short " * 20
+    nested = page(f"<article><p>{intro}</p><div class=body><p>{long}</p></div></article>")
+    sections = page(f"<article><section class=a><p>{long}</p></section><section class=b><p>{short}</p></section></article>")
+    body_only = page(f"<article><div class=body><p>{long}</p></div></article>")
+    other = page(f"<div class=story><p>{long}</p></div><article><div class=body><p>see also</p></div></article>")
+    icons = page(f"<article><p>one <svg class='i'/> two <math/> three <svg/><svg title='/>'><text>no</text></svg> {short}</p></article>")
+    rows = [(1, "http://n.example/1", nested), (2, "http://s.example/1", sections), (3, "http://n.example/2", body_only), (4, "http://n.example/3", body_only), (5, "http://n.example/4", other), (6, "http://i.example/1", icons)]
+    # pages without a host don't vote for each other
+    rows += [(7, None, body_only), (8, "odd", body_only), (9, None, page(f"<article><div class=body><p>{long}</p></div></article><div class=more>{short}</div>"))]
+    got = {r.page_id: r.text.split() for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {1: intro + long, 2: long + short, 3: long, 4: long, 5: long + "see also", 6: "one two three " + short, 7: long, 8: long, 9: long + short}
+    assert got == {k: v.split() for k, v in want.items()}
+
+
 def test_extraction_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html

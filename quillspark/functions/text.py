@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -78,6 +79,34 @@ def deep_link(vault: Column, path: Column) -> Column:
     return F.concat(F.lit("obsidian://open?vault="), quote(vault), F.lit("&file="), quote(path))
 
 
+OPERAND = re.compile(r'(?P<skip>[\s!&|()]+)|(?P<minus>-)|"(?P<quoted>[^"]*)"?|(?P<bare>[^\s"!&|()]+)')
+OR = re.compile(r"\s*or(?![\w-])(?=\s*\S)", re.I)
+
+
+def web_operands(query: str | None) -> list[dict]:
+    """Operands of a web search: those of one part belong together (and), parts are alternatives (or); never fails.
+
+    Quotes make a phrase, up to the end if they aren't closed; - before an operand negates it; "or" between two
+    operands parts them and is a word elsewhere; ! & | ( ) are blanks.
+    """
+    out, part, negated, at, text = [], 0, False, 0, query or ""
+    while m := OPERAND.match(text, at):
+        at = m.end()
+        if m["minus"]:
+            negated = not negated
+        elif not m["skip"]:
+            out.append({"part": part, "negated": negated, "operand": m["bare"] or m["quoted"] or ""})
+            negated = False
+            if other := OR.match(text, at):
+                part, at = part + 1, other.end()
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("part", "integer").add("negated", "boolean").add("operand", "string")))
+def web_operands_arrow(queries: pd.Series) -> pd.Series:
+    return queries.map(web_operands)
+
+
 @F.pandas_udf(T.StringType())
 def normalise_name(names: pd.Series) -> pd.Series:
     """NFKC, single blanks, case-folded. Built-ins lack case folding, so this one is an Arrow function."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import is_identifier, words
+from quillspark.functions.text import is_identifier, web_operands_arrow, words
 
 RRF_K, LIST, POOL = 60, 50, 200
 
@@ -36,6 +36,39 @@ def matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
+def web_clauses(queries: DataFrame) -> DataFrame:
+    """query_id, part, clause, negated, terms of web searches (query_id, text), all words of them; see web_operands.
+
+    An operand of several words is a phrase, one without words is left out, and equal ones of a part count once.
+    """
+    found = queries.select("query_id", F.explode(web_operands_arrow("text")).alias("o")).select("query_id", "o.part", "o.negated", words(F.col("o.operand")).alias("terms"))
+    return found.where(F.size("terms") > 0).distinct().withColumn("clause", F.xxhash64("negated", "terms"))
+
+
+def web_matches(postings: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, chunk_id and hits of chunks that a web search accepts; queries: query_id, text.
+
+    A chunk matches a part that has all its clauses and none of its negated ones; hits are the places where a clause of
+    a matching part begins. A part of negated clauses only matches every other chunk, with no hits.
+    """
+    clauses = web_clauses(queries)
+    terms = clauses.select("query_id", "part", "clause", "negated", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term"))
+    key = ["query_id", "part", "doc_id", "chunk_id"]
+    # chunks with all words that a part wants; only in these are the places compared
+    needed = terms.groupBy("query_id", "part", "term").agg(F.bool_or(~F.col("negated")).alias("needed"))
+    needs = needed.groupBy("query_id", "part").agg(F.count_if("needed").alias("needs"))
+    held = postings.join(F.broadcast(needed), "term").groupBy(*key).agg(F.collect_list(F.struct("term", "pos")).alias("held"), F.size(F.collect_set(F.when(F.col("needed"), F.col("term")))).alias("has"))
+    able = held.join(F.broadcast(needs), ["query_id", "part"]).where("has = needs").select(*key, F.inline("held"))
+    begins = able.join(F.broadcast(terms), ["query_id", "part", "term"]).withColumn("begin", F.col("pos") - F.col("place"))
+    whole = begins.groupBy(*key, "clause", "negated", "n", "begin").agg(F.count(F.lit(1)).alias("there")).where("there = n")
+    wanted = clauses.groupBy("query_id", "part").agg(F.count_if(~F.col("negated")).alias("wanted"))
+    seen = whole.groupBy(*key).agg(F.countDistinct(F.when(~F.col("negated"), F.col("clause"))).alias("found"), F.bool_or("negated").alias("barred"), F.collect_set(F.when(~F.col("negated"), F.col("begin"))).alias("begins"))
+    good = seen.join(F.broadcast(wanted.where("wanted > 0")), ["query_id", "part"]).where("found = wanted AND NOT barred").select("query_id", "doc_id", "chunk_id", "begins")
+    rest = chunks.select("doc_id", "chunk_id").join(F.broadcast(wanted.where("wanted = 0").select("query_id", "part"))).join(seen.where("barred").select(*key), key, "left_anti")
+    both = good.unionByName(rest.select("query_id", "doc_id", "chunk_id", F.array().cast("array<int>").alias("begins")))
+    return both.groupBy("query_id", "doc_id", "chunk_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("begins")))).cast("long").alias("hits"))
+
+
 def top(df: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col(name) <= k)
 

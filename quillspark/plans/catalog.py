@@ -60,6 +60,21 @@ def hybrid(spark: SparkSession, sf: str, chat: bool) -> DataFrame:
     return search.best_per_note(fused, 2 if chat else 1, 20).select("query_id", "doc_id", "chunk_id", "score", "by_text", "by_vector", "similarity", "rank")
 
 
+def web_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Each benchmark text as a web search: all its words have to be there."""
+    live = chunks(spark, sf)
+    return search.web_matches(search.postings(live), live, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+def websearch_match(spark: SparkSession, sf: str) -> DataFrame:
+    return search.text_list(web_hits(spark, sf)).select("query_id", "chunk_id", "hits", "rank")
+
+
+def websearch_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    fused = search.fuse(search.text_list(web_hits(spark, sf)), vector_hits(spark, sf, benchmark_vectors(spark, sf)))
+    return search.best_per_note(fused, 1, 20).select("query_id", "doc_id", "chunk_id", "score", "by_text", "by_vector", "similarity", "rank")
+
+
 def rrf_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid(spark, sf, chat=False)
 
@@ -281,7 +296,7 @@ FUSE_SQL = (
 BENCH_KNN = KNN_SQL.format("b.vec_id IN (SELECT item_id FROM benchmark)")
 
 QUERIES: dict[str, Query] = {
-    "rrf_hybrid_search": rrf_hybrid_search, "rrf_hybrid_chat": rrf_hybrid_chat, "evidence_budget": evidence_budget, "folder_facets": folder_facets, "tag_facets": tag_facets,
+    "rrf_hybrid_search": rrf_hybrid_search, "rrf_hybrid_chat": rrf_hybrid_chat, "websearch_match": websearch_match, "websearch_hybrid": websearch_hybrid, "evidence_budget": evidence_budget, "folder_facets": folder_facets, "tag_facets": tag_facets,
     "tag_normalise": tag_normalise, "term_frequency": term_frequency, "fts_or_rank": fts("or"), "fts_and_match": fts("and"), "fts_not_match": fts("not"), "chat_terms": chat_terms,
     "chat_match_rule": chat_match_rule, "knn_top200": knn_top200, "knn_post_filter": knn_post_filter, "nearest_same_type": nearest_same_type, "excerpt": excerpt, "deep_link": deep_link,
     "heading_text": heading_text, "content_hash_duplicates": content_hash_duplicates, "embed_cache_keys": embed_cache_keys, "reconcile_diff": reconcile_diff,

@@ -39,6 +39,23 @@ def test_chunker_edges():
     assert split_front("---\nbroken\n---\nx") == (None, "---\nbroken\n---\nx", True)
 
 
+def test_web_search_takes_all_words_phrases_or_and_not(spark):
+    lines = {1: "red disk in the old box", 2: "old disk red", 3: "Red disk, new", 4: "box or bag", 5: "nas-01 disk", 6: "01 nas disk red"}
+    chunks = spark.createDataFrame([(k, k * 10, v) for k, v in lines.items()], "doc_id long, chunk_id long, content string")
+    words = " ".join(f"w{k}" for k in range(40))
+    full, cut = spark.createDataFrame([(7, 70, words)], chunks.schema), spark.createDataFrame([(8, 80, words.rsplit(" ", 1)[0])], chunks.schema)
+    want = {
+        "red disk": {1, 2, 3, 6}, "red disk disk": {1, 2, 3, 6}, '"red disk"': {1, 3}, '"red disk': {1, 3}, "red -old": {3, 6}, 'disk -"red disk"': {2, 5, 6}, "new or bag": {3, 4},
+        "old box or new": {1, 3}, "box or": {4}, "or": {4}, "nas-01": {5}, "in": {1}, "-disk": {4, 7, 8}, "%% red & (old)": {1, 2}, "%% or bag": {4}, '"" -': set(), "red absent": set(), words: {7}, "--bag": {4},
+    }
+    queries = spark.createDataFrame([Row(query_id=k, text=t) for k, t in enumerate(want)] + [Row(query_id=99, text=None)])
+    live = chunks.union(full).union(cut)
+    found = search.web_matches(search.postings(live), live, queries).collect()
+    got = {t: {r.doc_id for r in found if r.query_id == k} for k, t in enumerate(want)}
+    assert got == want and len(found) == sum(map(len, want.values()))
+    assert {(r.doc_id, r.hits) for r in found if r.query_id == 0} == {(1, 2), (2, 2), (3, 2), (6, 2)}
+
+
 def test_evidence_skips_what_does_not_fit(spark):
     hits = spark.createDataFrame([Row(query_id=1, rank=k + 1, doc_id=k, size=s) for k, s in enumerate([5000, 4000, 2000, 900])])
     assert [r["rank"] for r in search.evidence(hits).orderBy("n").collect()] == [1, 3, 4]

@@ -6,7 +6,7 @@ meet the template positions in a broadcast join; the templates are a fixed libra
 in a row. For longer templates, neighbouring diagonals (words inserted, left out or changed) are merged, and a merged
 span is verified by how much of the template it covers and how far it is stretched.
 
-Defined results: a null or empty text has no words; rows repeated with the same id and text get equal results; an
+Defined results: a null or empty text has no words; repeated rows each get a row, with equal results; an
 empty table gives no rows; other columns are ignored; very long texts are scanned whole; of overlapping spans all count.
 """
 
@@ -72,7 +72,7 @@ def license_scan(
     spark = docs.sparkSession
     known = library(spark, base, templates)
     bits = bitmap(known)
-    texts = require(docs, [id_col, text_col]).toDF("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    texts = require(docs, [id_col, text_col]).toDF("doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
     n = F.size("words")
     pairs = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
@@ -80,10 +80,10 @@ def license_scan(
     )
     maybe = F.when(n > 1, F.filter(pairs, lambda p: F.get(bits, F.pmod(p["h"], F.lit(BITS)).cast("int")) != ""))
     hits = F.transform(maybe, lambda p: F.struct(p["i"].alias("i"), F.get("words", p["i"]).alias("a"), F.get("words", p["i"] + 1).alias("b")))
-    found = texts.select("doc_id", "text_key", n.cast("long").alias("n_words"), F.explode_outer(hits).alias("hit"))
-    found = found.select("doc_id", "text_key", "n_words", "hit.*").join(F.broadcast(known), ["a", "b"], "left")
-    # votes of each diagonal; equal rows vote as one
-    key = ["doc_id", "text_key", "n_words"]
+    found = texts.select("row", "doc_id", n.cast("long").alias("n_words"), F.explode_outer(hits).alias("hit"))
+    found = found.select("row", "doc_id", "n_words", "hit.*").join(F.broadcast(known), ["a", "b"], "left")
+    # votes of each diagonal, by the number of the row in its partition: ids may repeat
+    key = ["row", "doc_id", "n_words"]
     place = F.struct("at", "i")
     lines = found.groupBy(*key, "template", "label", "is_base", "n_pairs", (F.col("i") - F.col("at")).alias("diagonal")).agg(F.collect_set(place).alias("votes"))
     # neighbouring diagonals of a template become one span; base phrases stay on one
@@ -108,6 +108,6 @@ def license_scan(
         F.coalesce(F.max(F.when(F.col("valid"), F.col("cover"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_set(F.when(F.col("valid"), F.struct("first", "last", "label")))).alias("spans"), F.count(F.lit(1)).alias("n_spans"),
     )
-    return result.drop("text_key", "n_spans").withColumnRenamed("doc_id", id_col)
+    return result.drop("row", "n_spans").withColumnRenamed("doc_id", id_col)
 
 

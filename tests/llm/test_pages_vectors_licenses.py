@@ -120,6 +120,12 @@ def test_licenses_match_brute_force(spark):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
 
 
+def test_licenses_keep_repeated_rows(spark):
+    rows = [(1, "CC BY, all rights reserved")] * 3 + [(1, "cc by"), (2, None), (2, None), (None, "cc by"), (None, "cc by"), (3, "none"), (3, "none")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted([(1, 5, 2)] * 3 + [(1, 2, 1)] + [(2, 0, 0)] * 2 + [(0, 2, 1)] * 2 + [(3, 1, 0)] * 2)
+
+
 def test_merged_diagonals_find_changed_wordings(spark):
     texts = {
         1: "noise Permission is hereby kindly granted, free of charge, to any person obtaining a copy of this software and the associated documentation files (the Software), to deal in Software without restriction more",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH, WINDOW_CHARS = 8, 6000
+WINDOW_CHARS = 6000
 MAX_ENTITIES, MAX_RELATIONS, MAX_ALIASES = 30, 50, 5
 
 # Entity types, relations and the subject that stands for the note itself.
@@ -19,26 +19,40 @@ OUTPUT = (
 )
 
 
-def chains(links: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """id and its ancestors, nearest first, up to depth levels; links: id, parent (one row per id).
+def written(df: DataFrame) -> DataFrame:
+    """The rows in the shared folder, without their lineage."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/quillspark"))
+    return df.checkpoint(eager=True)
 
-    One join per level on the id; a chain ends at the top, or where it would enter a node again.
+
+def chains(links: DataFrame, depth: int | None = None) -> DataFrame:
+    """id and all its ancestors, nearest first, or depth of them; links: id, parent (one row per id).
+
+    Each round, written to the shared folder, appends to every chain that of its last node, so the rounds grow with the
+    logarithm of the longest chain. A chain ends at the top, or where it would enter a node again.
     """
-    walk = links.select("id", F.array("parent").alias("chain"))
-    for _ in range(depth - 1):
-        above = links.select(F.col("id").alias("__at"), F.col("parent").alias("__next"))
+    walk, before, reach = written(links.select("id", F.array("parent").alias("chain"))), None, 1
+    while depth is None or reach < depth:
+        above = walk.select(F.col("id").alias("__at"), F.filter("chain", lambda x: x.isNotNull()).alias("__more"))
         on = walk.join(above, F.element_at("chain", -1) == F.col("__at"), "left")
-        more = F.col("__next").isNotNull() & ~F.array_contains("chain", F.coalesce("__next", F.element_at("chain", -1)))
-        walk = on.select("id", F.when(more, F.concat("chain", F.array("__next"))).otherwise(F.col("chain")).alias("chain"))
-    return walk
+        again = F.array_position(F.transform("__more", lambda x: F.coalesce(F.array_contains("chain", x), F.lit(False))), True)
+        fresh = F.when(again > 0, F.slice("__more", F.lit(1), again.cast("int") - 1)).otherwise(F.col("__more"))
+        walk = written(on.select("id", F.when(F.size(fresh) > 0, F.concat("chain", fresh)).otherwise(F.col("chain")).alias("chain")))
+        now, reach = walk.agg(F.sum(F.size("chain"))).first()[0], 2 * reach
+        if now == before:
+            break
+        before = now
+    return walk if depth is None else walk.select("id", F.slice("chain", 1, depth).alias("chain"))
 
 
-def ancestors(links: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(links: DataFrame, depth: int | None = None) -> DataFrame:
     """id, ancestor and distance (1: the parent)."""
     return chains(links, depth).select("id", F.posexplode("chain").alias("at", "ancestor")).select("id", "ancestor", (F.col("at") + 1).alias("distance"))
 
 
-def would_cycle(links: DataFrame, proposed: DataFrame, depth: int = DEPTH) -> DataFrame:
+def would_cycle(links: DataFrame, proposed: DataFrame, depth: int | None = None) -> DataFrame:
     """child, parent and cycle: whether the parent is the child or below it; proposed: child, parent."""
     above = chains(links, depth).select(F.col("id").alias("parent"), "chain")
     below = F.coalesce(F.array_contains("chain", F.col("child")), F.lit(False))

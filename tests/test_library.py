@@ -136,6 +136,17 @@ def test_chains_end_at_the_top_and_at_cycles(spark):
     assert {(r.child, r.parent): r.cycle for r in graph.would_cycle(links, proposed).collect()} == {(4, 1): True, (1, 4): False, (5, 5): True, (4, 6): False}
 
 
+def test_long_chains_are_whole(spark):
+    ring = [(k, k % 113 + 1) for k in range(101, 113)] + [(113, 101)]
+    links = spark.createDataFrame([(k, k + 1) for k in range(1, 41)] + ring, "id int, parent int")
+    found = {r.id: list(r.chain) for r in graph.chains(links).collect()}
+    assert all(found[k] == list(range(k + 1, 42)) for k in range(1, 41))
+    assert found[105] == [*range(106, 114), *range(101, 106)] and all(len(found[k]) == 13 for k, _ in ring)
+    assert {r.id: r.chain for r in graph.chains(links, 3).collect()}[1] == [2, 3, 4]
+    proposed = spark.createDataFrame([(41, 1), (20, 10), (1, 41), (104, 110)], "child int, parent int")
+    assert {(r.child, r.parent): r.cycle for r in graph.would_cycle(links, proposed).collect()} == {(41, 1): True, (20, 10): True, (1, 41): False, (104, 110): True}
+
+
 def test_windows_hold_their_size(spark):
     chunks = spark.createDataFrame([(1, 1, "a" * 4), (1, 2, "b" * 6), (1, 3, "c"), (1, 4, "d" * 30), (1, 5, "e"), (2, 9, "")], "doc_id long, chunk_id long, content string")
     rows = {r.chunk_id: (r.window, r.label, r["size"]) for r in graph.pack_windows(chunks, 10).collect()}

@@ -8,7 +8,7 @@ leaves are compared in pairs of blocks of bounded size, with the row counts adde
 that shares several leaves counts in the first of them. Identical vectors of a label are one class with a multiplicity.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label,
-link with nothing; so do vectors of another dimension than the sample's most common one; repeated rows are copies; other
+link with nothing; only vectors of one dimension are compared; repeated rows are copies, each with its row; other
 columns are ignored; an empty table gives no rows.
 """
 
@@ -157,39 +157,44 @@ def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98,
     trees: int = 4, leaf_rows: int = 2048, spill: float = 0.02, sample_rows: int = 20_000, block: int = 2048,
 ) -> DataFrame:
-    """id, n_links, component_id and kept of each row. The driver holds sample_rows vectors at most."""
+    """id, n_links, component_id and kept of each row. The driver holds sample_rows vectors of one dimension at most."""
     spark = vectors.sparkSession
     rows = require(vectors, [id_col, vector_col, label_col]).toDF("vec_id", "embedding", "label")
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    usable = rows.where("label IS NOT NULL AND size(embedding) > 0").where(~F.coalesce(bad, F.lit(True))).where(F.exists("embedding", lambda v: v != 0))
-    empty = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    fit = F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda v: v != 0)
+    usable, useless = rows.where(F.coalesce(fit, F.lit(False))), rows.where(~F.coalesce(fit, F.lit(False)))
+    empty = useless.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     with Scratch(spark) as scratch:
-        dims = usable.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").first()
-        if dims is None:
-            return checkpointed(empty.withColumn("kept", F.lit(True)).withColumnRenamed("vec_id", id_col))
         plain = F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
-        usable = usable.where(F.size("embedding") == dims["n"]).select("vec_id", "label", plain.alias("embedding"))
+        usable = usable.select("vec_id", "label", plain.alias("embedding"))
         key = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("embedding", lambda v: v.cast("string"))), 256)
         keyed = scratch.save(usable.withColumn("key", key))
-        classes = scratch.save(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("embedding").alias("embedding")))
+        classes = scratch.save(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")))
         total = classes.count()
-        share = min(1.0, sample_rows / max(1, total))
-        sample = classes.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").limit(sample_rows).toPandas()
-        sample_vectors = unit(np.stack(sample.embedding.to_numpy()).astype(np.float64)) if len(sample) else np.zeros((0, dims["n"]))
-        depth = max(0, int(np.ceil(np.log2(max(1, total / leaf_rows)))))
-        fitted = max(0, int(np.log2(max(1, len(sample) / 32))))
-        forest = Forest(sample_vectors, trees, depth, fitted, spill)
-        down = scratch.save(classes.select("rep", "label", "size", "embedding").mapInArrow(descend(forest), "rep long, label int, size long, embedding array<double>, leaves array<long>"))
+        if not total:
+            return checkpointed(empty.withColumn("kept", F.lit(True)).withColumnRenamed("vec_id", id_col))
+        # a dimension with more classes than a leaf holds has a forest of its own; any other is one leaf
+        large = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).collect()}
+        schema = "rep long, label int, size long, embedding array<double>, leaves array<long>"
+        down = classes.where(~F.col("dim").isin(*large)).select("rep", F.col("label").cast("int").alias("label"), "size", "embedding", F.array(F.lit(0).cast("long")).alias("leaves"))
+        for dim, n in sorted(large.items()):
+            own = classes.where(F.col("dim") == dim)
+            share = min(1.0, sample_rows / n)
+            sample = own.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").limit(sample_rows).toPandas()
+            sample_vectors = unit(np.stack(sample.embedding.to_numpy()).astype(np.float64)) if len(sample) else np.zeros((0, dim))
+            forest = Forest(sample_vectors, trees, max(0, int(np.ceil(np.log2(n / leaf_rows)))), max(0, int(np.log2(max(1, len(sample) / 32)))), spill)
+            down = down.unionByName(own.select("rep", "label", "size", "embedding").mapInArrow(descend(forest), schema))
+        down = scratch.save(down.withColumn("dim", F.size("embedding")))
         placed = down.withColumn("leaf", F.explode("leaves"))
-        sizes = scratch.save(placed.groupBy("leaf", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "label", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+        sizes = scratch.save(placed.groupBy("leaf", "label", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "label", "dim", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
         blocked = (
-            placed.join(sizes, ["leaf", "label"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            placed.join(sizes, ["leaf", "label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         )
-        names = ["leaf", "label", "rep", "size", "embedding", "leaves"]
+        names = ["leaf", "label", "dim", "rep", "size", "embedding", "leaves"]
         as_left = blocked.where("own <= other").select(*names, F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
         as_right = blocked.where("other < own").select(*names, F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-        found = scratch.save(as_left.unionByName(as_right).groupBy("leaf", "label", "i", "j").applyInPandas(compare(threshold), "rep long, links long, other long"))
+        found = scratch.save(as_left.unionByName(as_right).groupBy("leaf", "label", "dim", "i", "j").applyInPandas(compare(threshold), "rep long, links long, other long"))
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
         parts = connected_components(scratch, found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
         known = scratch.save(
@@ -197,9 +202,8 @@ def near_vectors(
             .select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
         )
         linked = keyed.select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
-        alone = empty.join(keyed.select("vec_id").distinct(), "vec_id", "left_anti")
         return checkpointed(
-            linked.unionByName(alone).select(F.col("vec_id").alias(id_col), "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))
+            linked.unionByName(empty).select(F.col("vec_id").alias(id_col), "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))
         )
 
 

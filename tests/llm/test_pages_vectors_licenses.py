@@ -99,6 +99,24 @@ def test_vectors_match_brute_force(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_every_dimension_and_every_row(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for dim, n in ((8, 120), (5, 90), (3, 6)):
+        base = rng.standard_normal((n // 3, dim))
+        rows += [(1000 * dim + k, [float(np.float32(x)) for x in base[k % (n // 3)] + rng.standard_normal(dim) * 0.03], k % 2) for k in range(n)]
+    truth = {}
+    for dim in (8, 5, 3):
+        truth |= brute_vectors([r for r in rows if len(r[1]) == dim])
+    again = [(rows[0][0], None, 1), (rows[0][0], [0.0] * 8, 1)]
+    frame = spark.createDataFrame([Row(vec_id=a, embedding=b, label=c) for a, b, c in rows + again], "vec_id long, embedding array<float>, label int")
+    got = near_vectors(frame, leaf_rows=1000, block=16).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted([(k, *v) for k, v in truth.items()] + [(rows[0][0], 0, rows[0][0])] * 2)
+    # two dimensions with a forest each
+    forests = near_vectors(frame, leaf_rows=64, block=16, spill=0.05, trees=5).collect()
+    assert len(forests) == len(rows) + 2 and sum(r.n_links for r in forests) >= 0.97 * sum(n for n, _ in truth.values())
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     places = [(k, label) for phrase, label in BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]

@@ -3,8 +3,9 @@
 Texts become token ids in one Arrow pass that keeps only the pieces' places and checksums. Full pieces are sequences
 by themselves; the others are dealt by hash into groups of some `group_rows` pieces, and each group packs its own
 (Csirik et al., 2006): every piece, longest first, goes where the sum of the squared counts of open bins per residual
-gap becomes smallest. A group's rows are bounded by its parameter, so tasks don't grow with the input, and each group
-leaves a few bins unfilled at most.
+gap becomes smallest, and no more bins are opened than could hold the group while an open one fits. Then the emptiest
+bins are taken apart and their pieces placed by best fit, for as long as that saves bins. A group's rows are bounded by
+its parameter, so tasks don't grow with the input, and each group leaves one bin unfilled, as a rule.
 
 Defined results: a null or empty text is the closing token alone; only documents of more than `size` tokens are cut,
 and their first piece is the shorter one; repeated rows are packed each; other columns are ignored; an empty table
@@ -13,6 +14,7 @@ gives no pieces. Very long texts are tokenised whole.
 
 from __future__ import annotations
 
+import bisect
 import json
 import sys
 import types
@@ -90,38 +92,92 @@ def tokenised(vocabulary: str, size: int, closing: int):
     return emit
 
 
-def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each item, in the order given."""
+def sum_of_squares(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Bin of each item, in the order given.
+
+    The rule may open bins up to the fewest that could hold all items; then only an item that fits nowhere opens one.
+    Of equal changes the tightest gap counts.
+    """
+    fewest = -(-int(lengths.sum()) // size)
     open_at: list[list[int]] = [[] for _ in range(size + 1)]
     count = np.zeros(size + 1, np.int64)
-    level: list[int] = []
-    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    bins, used = np.zeros(len(lengths), np.int64), 0
+    never = np.iinfo(np.int64).max
     for k, s in enumerate(lengths):
         # taking a bin from gap g to gap g - s changes the sum by 2 * (count[g - s] - count[g] + 1)
         change = 2 * (count[: size - s + 1] - count[s:] + 1)
-        change[0] -= 1
-        change[count[s:] == 0] = np.iinfo(np.int64).max
-        change[size - s] = 2 * count[size - s] + 1 if s < size else 0
-        g = int(np.argmin(change)) + s
+        change[0] -= 2 * count[0] + 1  # a full bin doesn't count
+        change[count[s:] == 0] = never
+        change[size - s] = 2 * count[size - s] + 1 if used < fewest else never
+        at = int(np.argmin(change))
+        g = at + s if change[at] != never else size
         if g == size:
-            b = len(level)
-            level.append(0)
+            b, used = used, used + 1
         else:
             b = open_at[g].pop()
             count[g] -= 1
-        bins[k], offsets[k] = b, level[b]
-        level[b] += s
+        bins[k] = b
         if g > s:
             open_at[g - s].append(b)
             count[g - s] += 1
-    return bins, offsets
+    return bins
+
+
+def best_fit(lengths: np.ndarray, items: np.ndarray, gaps: list[tuple[int, int]], size: int, first: int) -> dict[int, int]:
+    """item -> bin, longest first, each into the smallest gap that takes it; gaps: (gap, bin), new bins from `first`."""
+    gaps, out = sorted(gaps), {}
+    for k in sorted(items.tolist(), key=lambda k: (-lengths[k], k)):
+        s = int(lengths[k])
+        at = bisect.bisect_left(gaps, (s, -1))
+        gap, b = gaps.pop(at) if at < len(gaps) else (size, first)
+        first += b == first
+        out[k] = b
+        bisect.insort(gaps, (gap - s, b))
+    return out
+
+
+def dissolved(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray:
+    """The bins with the emptiest of them taken apart, ever more, for as long as that may save a bin.
+
+    At the end all have been, so there are never more bins than best fit decreasing needs.
+    """
+    fewest, take = -(-int(lengths.sum()) // size), 4
+    while (n := int(bins.max(initial=-1)) + 1) > fewest:
+        gap = size - np.bincount(bins, lengths, n).astype(np.int64)
+        order = np.lexsort((np.arange(n), -gap))
+        open_bins = order[:take]
+        place = np.full(n, -1)
+        place[order[take:]] = np.arange(n - len(open_bins))
+        new = place[bins]
+        items = np.flatnonzero(np.isin(bins, open_bins))
+        kept = [(int(gap[b]), int(place[b])) for b in order[take:]]
+        for k, b in best_fit(lengths, items, kept, size, n - len(open_bins)).items():
+            new[k] = b
+        if new.max() + 1 < n:
+            bins, take = new, 4
+        elif take >= n:
+            break
+        else:
+            take *= 4
+    return bins
+
+
+def offsets_in(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Where each item begins in its bin, in the order given."""
+    order = np.argsort(bins, kind="stable")
+    before = np.cumsum(lengths[order]) - lengths[order]
+    first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = before - np.maximum.accumulate(np.where(first, before, 0))
+    return out
 
 
 def packer(size: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
-        bins, offsets = sum_of_squares(pdf.length.to_numpy(), size)
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=(pdf.part.to_numpy() << 32) + bins, offset=offsets)
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], ignore_index=True)
+        lengths = pdf.length.to_numpy()
+        bins = dissolved(lengths, sum_of_squares(lengths, size), size)
+        return pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=(pdf.part.to_numpy() << 32) + bins, offset=offsets_in(lengths, bins))
 
     return pack
 

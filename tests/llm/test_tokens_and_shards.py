@@ -7,10 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from quillspark.llm.byte_bpe import load_ranks, merge_long, round_trip
-from quillspark.llm.packing import pack_documents, sum_of_squares
+from quillspark.llm.byte_bpe import decode, encode, load_ranks, merge_long, round_trip
+from quillspark.llm.packing import dissolved, offsets_in, pack_documents, sum_of_squares
 from quillspark.llm.sharding import kd_shards
 
 ODD = [
@@ -28,14 +30,15 @@ def real_texts(spark, n=150):
     return [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(n).collect()]
 
 
-def test_bpe_equals_tiktoken(spark):
+@pytest.mark.parametrize("native", [False, True])
+def test_bpe_equals_tiktoken(spark, native):
     import tiktoken
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     truth = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = ODD + real_texts(spark)
-    got = {r.doc_id: r for r in round_trip(frame(spark, texts), path, P.PATTERN, block_bytes=1 << 16).collect()}
+    got = {r.doc_id: r for r in round_trip(frame(spark, texts), path, P.PATTERN, native=native, block_bytes=1 << 16).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         ids = truth.encode_ordinary(t or "")
@@ -44,6 +47,15 @@ def test_bpe_equals_tiktoken(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_ids_and_bytes_are_results(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    texts = [*ODD, "x" * 6000 + " y", "ab cd"]
+    rows = decode(encode(frame(spark, texts), path, P.PATTERN), path).collect()
+    assert all(bytes(r.decoded) == (texts[r.doc_id] or "").encode() and len(r.ids) == r.n_tokens for r in rows) and len(rows) == len(texts)
+    twice = round_trip(frame(spark, ["a b"]).union(frame(spark, ["a b"])).union(frame(spark, [None]).withColumn("doc_id", F.lit(None).cast("long"))), path, P.PATTERN)
+    assert sorted((r.doc_id is None, r.n_tokens) for r in twice.collect()) == [(False, 2), (False, 2), (True, 0)]
+
+
 def test_long_words_merge_like_short_ones():
     import tiktoken
 
@@ -85,13 +97,31 @@ def test_packing_against_tokenizers(spark):
         assert at <= 256
 
 
-def test_sum_of_squares_is_near_the_bound():
-    rng = np.random.default_rng(3)
-    lengths = np.sort(rng.integers(1, 700, 4000))[::-1]
-    bins, offsets = sum_of_squares(lengths, 1024)
-    filled = np.bincount(bins, lengths)
-    assert filled.max() <= 1024
-    assert len(filled) <= -(-lengths.sum() // 1024) * 1.01 + 1
+def best_fit_decreasing(lengths, size):
+    gaps = []
+    for s in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= s]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else size) - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("seed", "low", "high", "n"), [(3, 1, 700, 1500), (4, 300, 1024, 400), (5, 200, 520, 600), (6, 1, 2, 5), (7, 1, 1025, 1)])
+def test_packing_needs_no_more_bins_than_best_fit_decreasing(seed, low, high, n):
+    lengths = np.sort(np.random.default_rng(seed).integers(low, high, n))[::-1]
+    bins = dissolved(lengths, sum_of_squares(lengths, 1024), 1024)
+    assert np.bincount(bins, lengths).max() <= 1024 and len(set(bins)) == bins.max() + 1 <= best_fit_decreasing(lengths, 1024)
+    ends = offsets_in(lengths, bins) + lengths
+    assert all(max(ends[bins == b]) == lengths[bins == b].sum() for b in set(bins))
+
+
+def test_sequences_of_the_query(spark):
+    """At the bound for the given table: as few as its tokens could fill."""
+    from quillspark.llm.queries import op5_best_fit_packing
+
+    totals = op5_best_fit_packing(spark, "/root/testdata/sf0.001").agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("tokens")).first()
+    assert totals.n <= -(-totals.tokens // 2048) + 1
 
 
 def test_shards(spark):

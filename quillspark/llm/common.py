@@ -21,10 +21,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_key(text: str) -> Column:
+    """With the id, what tells rows apart whose ids repeat; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. One machine may go without and gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "/tmp/checkpoints/quillspark"
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
@@ -107,13 +114,6 @@ def connected_components(scratch: Scratch, links: DataFrame, max_rounds: int = 6
     )
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """Keys that hold more than one in `share` of the rows, so `share` of them at most: small enough to broadcast."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    return counts.where(F.col("n") > max(1, total // share)).select(key)
-
-
 def require(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Just the named columns: extra ones, whatever their names, can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -68,15 +68,15 @@ def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
 def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Groups texts into chunks of some `limit` bytes: ids, all bytes with a blank after each text, and the start offsets.
 
-    A longer text is a chunk of its own: no text is cut.
+    The text is the last column; several before it give tuples as ids. A longer text is a chunk of its own, never cut.
     """
     own, parts, offsets, size = [], [], [0], 0
-    for i, text in rows_of(batch):
+    for *i, text in rows_of(batch):
         raw = (text or "").encode("utf-8", "surrogatepass") if not isinstance(text, bytes) else text
         if own and size + len(raw) > limit:
             yield own, np.frombuffer(b"".join(parts), np.uint8), np.array(offsets, np.int64)
             own, parts, offsets, size = [], [], [0], 0
-        own.append(i)
+        own.append(i[0] if len(i) == 1 else tuple(i))
         parts += [raw, b" "]
         size += len(raw) + 1
         offsets.append(size)

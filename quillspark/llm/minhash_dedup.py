@@ -2,17 +2,20 @@
 
 1. One Arrow pass hashes words and shingles of whole texts with numpy and keeps a digest of the shingle set, a MinHash
    signature and its band keys. Rows with the same set fold into a class by a map-side minimum, so copies cost nothing.
-2. Band buckets: every member is paired with two leaders of its bucket (the smallest id, and the smallest by another
-   hash), never with all others.
+2. Band buckets: every member is paired with two leaders, never with all others. A large bucket is dealt into parts of
+   some `fan` members that have leaders of their own, which are paired with the bucket's, so no leader is hot.
 3. Verification reads signatures batch by batch and drops a pair as soon as the posterior probability of a similarity
    at or above the threshold is below `miss` (uniform prior, binomial matches); survivors are compared on full sets.
 4. Links give components. A bucket that is one component by now needs nothing. Where several are left, the texts
-   outside a bucket's main component are compared with all texts around it, in blocks of bounded size that return only
-   links which unite components: no link between components is lost, and no pairs are emitted.
+   outside a bucket's main component are compared with all texts around it, in blocks of bounded rows and bytes that
+   return only links which unite components: no link between components is lost, and no pairs are emitted.
+
+Classes have numbers of their own in all of this, so ids may repeat with other texts or be null.
 
 Defined results: a null text counts as empty; texts without words have an empty set and stay alone; fewer words than
-`width` make one shingle of all of them; the smallest id of a component stays; repeated ids share one fate; extra
-columns are ignored; empty tables give empty results. Very long texts are hashed whole.
+`width` make one shingle of all of them; the smallest id of a component stays; rows repeated with id and text share one
+fate; a null id counts only where a component has no other, and is kept there; extra columns are ignored; empty tables
+give empty results. Very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, checkpointed, connected_components, require
+from quillspark.llm.common import Scratch, checkpointed, connected_components, require, text_key
 from quillspark.llm.kernels import Hasher, mix, text_chunks
 
 BANDS, ROWS, BATCH = 32, 5, 32
@@ -91,10 +94,10 @@ def signer(width: int):
                 words = mix(hasher.spans(starts, ends))
                 first = np.searchsorted(starts, offsets)
                 rows = []
-                for k, i in enumerate(own):
+                for k, (i, text_key) in enumerate(own):
                     w = words[first[k] : first[k + 1]]
                     if not len(w):
-                        rows.append((i, 0, b"", b"", []))
+                        rows.append((i, text_key, 0, b"", b"", []))
                         continue
                     n = min(width, len(w))
                     h = sum(w[j : len(w) - n + 1 + j] * weights[j] for j in range(n)) + np.uint64(n)
@@ -106,14 +109,14 @@ def signer(width: int):
                     keys = np.zeros(BANDS, np.uint64) + band_salt
                     for r in range(ROWS):
                         keys = mix(keys + sig.reshape(BANDS, ROWS)[:, r])
-                    rows.append((i, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), sig.astype(np.uint16).tobytes(), keys.view(np.int64)))
+                    rows.append((i, text_key, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), sig.astype(np.uint16).tobytes(), keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary()),
-                        pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
+                        pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary()),
+                        pa.array([r[5] for r in rows], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "set_digest", "sig", "bands"],
+                    names=["doc_id", "text_key", "n_shingles", "set_digest", "sig", "bands"],
                 )
 
     return sign
@@ -159,15 +162,15 @@ def crosser(width: int, percent: int, miss: float):
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         bounds = fewest_matches(percent / 100, miss, BANDS * ROWS, BATCH)
-        strays, around = pdf[pdf.stray].sort_values("doc_id"), pdf[~pdf.stray].sort_values("doc_id")
+        strays, around = pdf[pdf.stray].sort_values("node"), pdf[~pdf.stray].sort_values("node")
         found: list[tuple[int, int]] = []
         if len(strays) and len(around):
             sig_l, sig_r = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(len(x), -1) for x in (strays, around))
             names, comp = np.unique(np.concatenate([strays.component, around.component]), return_inverse=True)
             comp_l, comp_r = comp[: len(strays)], comp[len(strays) :]
-            ids_r, texts_r = around.doc_id.to_numpy(), around.text.to_numpy()
+            ids_r, texts_r = around.node.to_numpy(), around.text.to_numpy()
             root, sets = np.arange(len(names)), {}
-            for k, (i, text) in enumerate(zip(strays.doc_id, strays.text, strict=True)):
+            for k, (i, text) in enumerate(zip(strays.node, strays.text, strict=True)):
                 own, at = None, np.flatnonzero(root[comp_r] != root[comp_l[k]])
                 for j in at[surviving(np.broadcast_to(sig_l[k], (len(at), sig_l.shape[1])), sig_r[at], bounds)]:
                     if root[comp_r[j]] == root[comp_l[k]]:
@@ -184,71 +187,80 @@ def crosser(width: int, percent: int, miss: float):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-4, block: int = 512
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-4,
+    fan: int = 256, block: int = 256, block_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """id, n_shingles, component_id and kept of every row; links at 100 * intersection >= percent * union."""
+    """id, n_shingles, component_id, kept and text_key (xxhash64 of the text) of every row.
+
+    Links are where 100 * intersection >= percent * union.
+    """
     spark: SparkSession = docs.sparkSession
-    texts = require(docs, [id_col, text_col]).toDF("doc_id", "text")
+    texts = require(docs, [id_col, text_col]).toDF("doc_id", "text").select("doc_id", text_key("text").alias("text_key"), "text")
     with Scratch(spark) as scratch:
-        signed = scratch.save(texts.mapInArrow(signer(width), "doc_id long, n_shingles long, set_digest binary, sig binary, bands array<long>"))
+        signed = scratch.save(texts.mapInArrow(signer(width), "doc_id long, text_key long, n_shingles long, set_digest binary, sig binary, bands array<long>"))
         classes = scratch.save(
-            signed.where("n_shingles > 0").groupBy("set_digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("m"))
-            .select("set_digest", "m.*")
-        )
-        members = scratch.save(classes.select("doc_id", F.explode("bands").alias("key")))
-        order = F.struct(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
-        buckets = (
-            members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"), F.min(order).alias("other"))
-            .where("size > 1").select("key", "size", "first", F.col("other.doc_id").alias("other"))
+            signed.where("n_shingles > 0").groupBy("set_digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key", "sig", "bands")).alias("m"))
+            .select(F.monotonically_increasing_id().alias("node"), "set_digest", "first_id", "m.*")
         )
-        met = scratch.save(members.join(scratch.save(buckets), "key"))
-        pairs = (
-            met.select("doc_id", F.explode(F.array("first", "other")).alias("leader")).where("doc_id <> leader")
-            .select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-        )
-        wanted = scratch.save(met.select("doc_id").distinct())
-        sides = scratch.save(
-            texts.join(wanted, "doc_id", "left_semi").join(classes.select("doc_id", "sig"), "doc_id").select("doc_id", "sig", "text")
+        members = scratch.save(classes.select("node", F.explode("bands").alias("key")))
+        sizes = scratch.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        met = scratch.save(
+            members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "node"), F.ceil(F.col("size") / fan)).cast("int"))
         )
+        order = F.struct(F.xxhash64(F.lit(7), "node"), "node")
+        parts = scratch.save(met.groupBy("key", "part").agg(F.min("node").alias("first"), F.min(order).alias("other")).select("key", "part", "first", F.col("other.node").alias("other")))
+        order = F.struct(F.xxhash64(F.lit(7), "other"), "other")
+        tops = parts.groupBy("key").agg(F.min("first").alias("top"), F.min(order)["other"].alias("top_other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        led = met.join(parts, ["key", "part"]).select("node", F.explode(F.array("first", "other")).alias("leader"))
+        leaders = parts.join(tops, "key").select(F.explode(F.array("first", "other")).alias("node"), "top", "top_other").select("node", F.explode(F.array("top", "top_other")).alias("leader"))
+        pairs = led.unionByName(leaders).where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        # a row is found again by its id (nulls apart) and its text
+        key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id0"), F.col("text_key")]
+        wanted = classes.join(met.select("node").distinct(), "node", "left_semi").select("node", "sig", *key)
+        sides = scratch.save(texts.select(*key, "text").join(wanted, ["id0", "text_key"]).dropDuplicates(["id0", "text_key"]).select("node", "sig", "text"))
 
         def verified(candidates: DataFrame) -> DataFrame:
-            a, b = (sides.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
+            a, b = (sides.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
             rows = candidates.join(b, "b").join(a, "a").select("a", "sig_a", "text_a", "b", "sig_b", "text_b")
             return scratch.save(rows.mapInArrow(verifier(width, percent, miss), "a long, b long"))
 
         links = verified(pairs)
-        parts = scratch.save(connected_components(scratch, links))
+        united = scratch.save(connected_components(scratch, links))
         # buckets of three or more that still hold several components: around the main component of each such bucket,
         # every text of another component is compared with all texts that share a bucket with it
         placed = scratch.save(
-            met.where("size > 2").select("key", "doc_id")
-            .join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            met.where("size > 2").select("key", "node").join(united, "node", "left")
+            .select("key", "node", F.coalesce("component", "node").alias("component"))
         )
         shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         main = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).where("parts > 1").select("key", "main")
         roles = scratch.save(
-            placed.join(scratch.save(main), "key").groupBy("main", "doc_id").agg(F.first("component").alias("component"))
+            placed.join(scratch.save(main), "key").groupBy("main", "node").agg(F.first("component").alias("component"))
             .withColumn("stray", F.col("component") != F.col("main"))
         )
         if not roles.isEmpty():
-            blocks = roles.groupBy("main").agg(
-                F.ceil(F.count_if("stray") / block).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("columns")
+            full = scratch.save(roles.join(sides, "node"))
+            size = F.octet_length("text").cast("long")
+
+            def cuts(n: Column, size: Column) -> Column:
+                return F.greatest(F.ceil(n / block), F.ceil(F.coalesce(size, F.lit(0)) / block_bytes)).cast("int")
+
+            blocks = full.groupBy("main").agg(
+                cuts(F.count_if("stray"), F.sum(F.when(F.col("stray"), size))).alias("rows"), cuts(F.count(F.lit(1)), F.sum(size)).alias("columns")
             )
-            full = scratch.save(roles.join(scratch.save(blocks), "main").join(sides, "doc_id"))
-            hashed, zero = F.xxhash64("doc_id"), F.lit(0)
-            names = ["main", "doc_id", "component", "sig", "text"]
+            full = full.join(scratch.save(blocks), "main")
+            hashed, zero = F.xxhash64("node"), F.lit(0)
+            names = ["main", "node", "component", "sig", "text"]
             as_stray = full.where("stray").select(*names, F.lit(True).alias("stray"), F.pmod(hashed, "rows").cast("int").alias("i"), F.explode(F.sequence(zero, F.col("columns") - 1)).alias("j"))
-            as_other = full.select(*names, F.lit(False).alias("stray"), F.pmod(hashed, "columns").cast("int").alias("j"), F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"))
+            as_other = full.where("rows > 0").select(*names, F.lit(False).alias("stray"), F.pmod(hashed, "columns").cast("int").alias("j"), F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"))
             more = scratch.save(as_stray.unionByName(as_other).groupBy("main", "i", "j").applyInPandas(crosser(width, percent, miss), "a long, b long"))
-            parts = scratch.save(connected_components(scratch, links.unionByName(more)))
-        found = scratch.save(
-            classes.select("set_digest", F.col("doc_id").alias("node")).join(parts, "node", "left")
-            .select("set_digest", F.coalesce("component", "node").alias("component_id"))
-        )
-        out = signed.select("doc_id", "n_shingles", "set_digest").join(found, "set_digest", "left").select(
-            F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-            (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"),
+            united = scratch.save(connected_components(scratch, links.unionByName(more)))
+        named = classes.select("set_digest", "first_id", "node").join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        found = scratch.save(named.join(smallest, "component").select("set_digest", "component_id"))
+        alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+        out = signed.select("doc_id", "n_shingles", "set_digest", "text_key").join(found, "set_digest", "left").select(
+            F.col("doc_id").alias(id_col), "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), "text_key"
         )
         return checkpointed(out)
 

@@ -12,7 +12,7 @@ from quillspark.llm.common import table
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.exact_dedup import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 OP1_SQL = """
@@ -78,7 +78,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).drop("text_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,17 +1,24 @@
-"""Stages of a corpus pipeline: each takes (spark, docs, sf_dir) and keeps the columns of the documents, but the last."""
+"""Stages of a corpus pipeline: each takes (spark, docs, sf_dir) and keeps the columns of the documents, but the last.
+
+Defined results, besides those of the operators: rows with a null id or an id that repeats with another text are judged
+by their own text; of rows repeated with id and text the deduplicating stages keep one; a null text stays null.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import table, text_key
 
 
-def keep_ids(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is marked as kept; of rows repeated with one id and text, one."""
-    kept = docs.join(marks.where("kept").select(id_col).distinct(), id_col, "left_semi")
-    again = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col))
+def keep_marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose id and text are marked as kept; of rows repeated with one id and text, one."""
+    # the mark of a row: its id (nulls apart) and its text
+    key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("__text")]
+    rows = docs.withColumn("__text", text_key("text"))
+    kept = rows.select("*", key[0]).join(marks.where("kept").select(key[0], F.col("text_key").alias("__text")).distinct(), ["__id", "__text"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__text"))
     return kept.withColumn("__again", again).where("__again = 1").select(*docs.columns)
 
 
@@ -27,14 +34,14 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of equal texts the one with the largest id stays."""
     from quillspark.llm.exact_dedup import exact_dedup
 
-    return keep_ids(docs, exact_dedup(docs))
+    return keep_marked(docs, exact_dedup(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8) the one with the smallest id stays."""
     from quillspark.llm.minhash_dedup import near_duplicates
 
-    return keep_ids(docs, near_duplicates(docs, width=5, percent=80))
+    return keep_marked(docs, near_duplicates(docs, width=5, percent=80))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Repeated byte windows by a depth-limited radix sort of suffixes, most significant digits first.
 
-Suffixes only matter through their first `window` bytes, and only in groups of equals. The passes sort by ever longer
-keys and never beyond that depth; what is alone in its group leaves, and the groups at full depth are exactly the
-repeated windows. Three digits are used (for 200 bytes: keys of 73, 185 and 200 bytes):
+Suffixes only matter through their first `window` bytes, and only in groups of equals. The passes order them by ever
+longer keys and never beyond that depth; what is alone in its group leaves, and the groups at full depth are exactly
+the repeated windows. Two things differ from a sort of all suffixes byte by byte, which would shuffle some 14 times the
+input: suffixes are sampled (one stands for a run of windows), and a digit is a hash of its bytes, since only equality
+counts. Three digits are used (for 200 bytes: keys of 73, 185 and 200 bytes):
 
 1. The windows of a text are bundled by their minimiser, the smallest hash among the short spans of a window. Equal
    windows choose it at the same place, so bundles with the same short span (the first digit) are the only places
@@ -10,13 +12,15 @@ repeated windows. Three digits are used (for 200 bytes: keys of 73, 185 and 200
 2. A bundle whose whole bytes occur twice is repeated as a whole: its members leave at once, and one stays as a
    witness. Bundles whose first digit is unique leave too. The rest (edges of copies) is cut into narrower bundles
    whose common part, the next digit, is longer.
-3. What then is open is compared window by window, at full depth, by 128-bit hashes.
+3. What then is open is compared window by window, at full depth.
 
-Groups are counted with a map-side combine, so a passage in a third of all texts reaches a task as a few rows.
-Memory in a task follows a chunk of texts (half a MB, or one longer text).
+Equality of whole bytes is judged by a 128-bit BLAKE2 digest of them. Groups are counted with a map-side combine; their
+members meet the results in a join where a group of more than a thousandth of all rows (a thousand such at most) is
+broadcast, so a passage in a third of all texts is never gathered in a task. Memory in a task follows a chunk of half a
+MB: longer texts are read in overlapping segments. Rows have numbers of their own.
 
-Defined results: a null text is empty; texts shorter than the window have no spans; repeated rows with one id are
-each other's copies (an id must always carry the same text); other columns are ignored; empty tables give empty
+Defined results: a null text is empty; texts shorter than the window have no spans; ids may repeat or be null, each row
+is judged by its own text; repeated rows are each other's copies; other columns are ignored; empty tables give empty
 results. Texts of one repeated character are handled exactly, with a bundle for each byte.
 """
 
@@ -36,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import Scratch, checkpointed, require
-from quillspark.llm.kernels import Hasher, mix, text_chunks, window_min
+from quillspark.llm.common import Scratch, checkpointed, require, text_key
+from quillspark.llm.kernels import CHUNK_BYTES, Hasher, mix, rows_of, window_min
 
 PLACE_BITS = np.uint64(28)
 NARROW = 16
@@ -68,49 +72,76 @@ def bundles(data: np.ndarray, offsets: np.ndarray, window: int, hasher: Hasher)
     return first[real], last[real], place[first][real]
 
 
+def segments(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, z) -> chunks: the row and first byte of each segment, all bytes with a blank after each, the start offsets.
+
+    Segments of one text overlap by a window less one byte, so each window lies in exactly one.
+    """
+    rows, starts, parts, offsets, size = [], [], [], [0], 0
+    for row, z in rows_of(batch):
+        raw = zstandard.decompress(z)
+        for at in range(0, len(raw) - window + 1, CHUNK_BYTES):
+            part = raw[at : at + CHUNK_BYTES + window - 1]
+            if rows and size + len(part) > CHUNK_BYTES:
+                yield np.array(rows), np.array(starts), np.frombuffer(b"".join(parts), np.uint8), np.array(offsets)
+                rows, starts, parts, offsets, size = [], [], [], [0], 0
+            rows.append(row)
+            starts.append(at)
+            parts += [part, b" "]
+            size += len(part) + 1
+            offsets.append(size)
+    if rows:
+        yield np.array(rows), np.array(starts), np.frombuffer(b"".join(parts), np.uint8), np.array(offsets)
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    view, blake = memoryview(data), hashlib.blake2b
+    return pa.array([blake(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
+
+
 def first_digit(window: int):
+    """A bundle is coded as its first byte << 16 | number of further windows << 8 | place of the minimiser in it."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hasher(0), Hasher(1)
-        short = window - bundle_width(window) + 1
+        hasher, short = Hasher(0), window - bundle_width(window) + 1
         for batch in batches:
-            for own, data, offsets in text_chunks(batch):
-                if len(data) >= 1 << int(PLACE_BITS):
-                    raise ValueError("a text of 256 MB or more must be split before this operator")
-                one.load(data)
-                two.load(data)
-                first, last, place = bundles(data, offsets, window, one)
-                doc = np.searchsorted(offsets, first, "right") - 1
-                low = first - place
-                whole = mix(two.spans(first, last + window) + mix((low * 512 + (last - first)).astype(np.uint64)))
+            for rows, starts, data, offsets in segments(batch, window):
+                hasher.load(data)
+                first, last, place = bundles(data, offsets, window, hasher)
+                at = np.searchsorted(offsets, first, "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(one.spans(place, place + short).view(np.int64)), pa.array(whole.view(np.int64)),
-                        pa.array(np.array(own, np.int64)[doc]), pa.array(((first - offsets[doc]) << 16) | ((last - first) << 8) | -low),
+                        pa.array(hasher.spans(place, place + short).view(np.int64)), digests(data, first, last + window),
+                        pa.array(rows[at]), pa.array(((first - offsets[at] + starts[at]) << 16) | ((last - first) << 8) | (place - first)),
                     ],
-                    names=["key", "whole", "doc_id", "bundle"],
+                    names=["key", "whole", "row", "bundle"],
                 )
 
     return emit
 
 
 def contexts(window: int):
-    """(doc_id, z, bundles, settled) -> the bytes that each bundle's windows cover."""
+    """(row, z, bundles, settled) -> the bytes that each bundle's windows cover."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full() -> pa.RecordBatch:
+            columns = [pa.array(rows, pa.int64()), pa.array(codes, pa.int64()), pa.array(flags, pa.bool_()), pa.array(out, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "bundle", "settled", "bytes"])
+
         for batch in batches:
-            ids, codes, flags, out = [], [], [], []
-            for i, z, wanted, settled in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            rows, codes, flags, out = [], [], [], []
+            for row, z, wanted, settled in rows_of(batch):
                 raw = zstandard.decompress(z)
                 for code, flag in zip(wanted, settled, strict=True):
                     start, more = code >> 16, (code >> 8) & 255
-                    ids.append(i)
+                    rows.append(row)
                     codes.append(code)
                     flags.append(flag)
                     out.append(raw[start : start + more + window])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(codes, pa.int64()), pa.array(flags, pa.bool_()), pa.array(out, pa.binary())],
-                names=["doc_id", "bundle", "settled", "bytes"],
-            )
+                    if len(rows) >= 4096:
+                        yield full()
+                        rows, codes, flags, out = [], [], [], []
+            yield full()
 
     return emit
 
@@ -122,36 +153,34 @@ def next_digit(window: int, narrow: int):
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hasher(0), Hasher(1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch.column(3).to_pylist()
-            data = np.frombuffer(b"".join(rows), np.uint8)
-            base = np.concatenate([[0], np.cumsum([len(r) for r in rows])])[:-1]
-            code = batch.column(1).to_numpy()
-            start, more, low = code >> 16, (code >> 8) & 255, -(code & 255)
-            one.load(data)
-            two.load(data)
-            # windows from low to low + more relative to the minimiser, cut at multiples of narrow
-            a, b = low // narrow, (low + more) // narrow
-            count = b - a + 1
-            row = np.repeat(np.arange(len(rows)), count)
-            cell = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            left = np.maximum(cell * narrow, low[row])
-            right = np.minimum(cell * narrow + narrow - 1, (low + more)[row])
-            zero = base[row] - low[row]  # where the minimiser is in data
-            key = one.spans(zero + cell * narrow + narrow - 1, zero + cell * narrow + window)
-            key = mix(key + mix((cell + 512).astype(np.uint64)))
-            whole = mix(two.spans(zero + left, zero + right + window) + mix(((left + 256) * 512 + (right - left)).astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(batch.column(0).to_numpy()[row]),
-                    pa.array(((start[row] + left - low[row]) << 16) | ((right - left) << 8) | -left),
-                    pa.array(code[row]), pa.array(batch.column(2).to_numpy(zero_copy_only=False)[row]),
-                ],
-                names=["key", "whole", "doc_id", "bundle", "parent", "settled"],
-            )
+        hasher = Hasher(0)
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 2048):
+                batch = whole_batch.slice(at, 2048)
+                texts = batch.column(3).to_pylist()
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                base = np.concatenate([[0], np.cumsum([len(r) for r in texts])])[:-1]
+                code = batch.column(1).to_numpy()
+                start, more, low = code >> 16, (code >> 8) & 255, -(code & 255)
+                hasher.load(data)
+                # windows from low to low + more relative to the minimiser, cut at multiples of narrow
+                a, b = low // narrow, (low + more) // narrow
+                count = b - a + 1
+                row = np.repeat(np.arange(len(texts)), count)
+                cell = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                left = np.maximum(cell * narrow, low[row])
+                right = np.minimum(cell * narrow + narrow - 1, (low + more)[row])
+                zero = base[row] - low[row]  # where the minimiser is in data
+                key = hasher.spans(zero + cell * narrow + narrow - 1, zero + cell * narrow + window)
+                key = mix(key + mix((cell + 512).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key.view(np.int64)), digests(data, zero + left, zero + right + window), pa.array(batch.column(0).to_numpy()[row]),
+                        pa.array(((start[row] + left - low[row]) << 16) | ((right - left) << 8) | -left),
+                        pa.array(code[row]), pa.array(batch.column(2).to_numpy(zero_copy_only=False)[row]),
+                    ],
+                    names=["key", "whole", "row", "bundle", "parent", "settled"],
+                )
 
     return emit
 
@@ -160,59 +189,69 @@ def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as zstd frames: they are shuffled twice."""
     squeezer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        z = [squeezer.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
+        z = [squeezer.compress((t or "").encode("utf-8", "surrogatepass")) for (t,) in rows_of(batch.select([3]))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z, pa.binary())], names=["row", "doc_id", "text_key", "z"])
+
+
+def members(rows: DataFrame, groups: DataFrame, by: list[str], size: str, total: int) -> DataFrame:
+    """The rows whose group is among `groups`, which says how large each is: large groups are broadcast, not gathered."""
+    large = F.col(size) > max(64, total // 1000)
+    hot = F.broadcast(groups.where(large).select(*by).withColumn("hot", F.lit(True)))
+    marked = rows.join(hot, by, "left")
+    cold = marked.where("hot IS NULL").join(groups.where(~large).select(*by), by, "left_semi")
+    return cold.unionByName(marked.where("hot")).select(*rows.columns)
 
 
 def radix_pass(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: key, whole, doc_id, bundle, parent, settled -> (bundles that are repeated as a whole, bundles that go on).
+    """rows: key, whole, row, bundle, parent, settled -> (bundles that are repeated as a whole, bundles that go on).
 
     Equal bundles go on as one: settled if it has copies. Keys with one bundle, or with settled ones only, are done.
     """
+    total = rows.count()
     groups = scratch.save(
         rows.groupBy("key", "whole").agg(
-            F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "parent", "bundle")).alias("one"), F.min("settled").alias("settled")
+            F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "parent", "bundle")).alias("one"), F.min("settled").alias("settled")
         )
     )
     pending = ~(F.col("settled") | (F.col("copies") > 1))
-    open_keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(pending).alias("pending")).where("kinds > 1 AND pending").select("key")
-    repeated = rows.where(~F.col("settled")).join(groups.where("copies > 1").select("key", "whole"), ["key", "whole"], "left_semi").select("doc_id", "bundle")
-    going = groups.join(open_keys, "key", "left_semi").select("one.*", (~pending).alias("settled"))
+    open_keys = scratch.save(groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(pending).alias("pending")).where("kinds > 1 AND pending").select("key", "kinds"))
+    repeated = members(rows.where(~F.col("settled")), groups.where("copies > 1"), ["key", "whole"], "copies", total).select("row", "bundle")
+    going = members(groups, open_keys, ["key"], "kinds", total).select("one.*", (~pending).alias("settled"))
     return scratch.save(repeated), scratch.save(going)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200) -> DataFrame:
-    """id and spans of each row that has any: the covered bytes as sorted, disjoint [start, end) pairs in a flat array."""
-    spark = docs.sparkSession
-    texts = require(docs, [id_col, text_col]).toDF("doc_id", "text")
-    with Scratch(spark) as scratch:
-        first = scratch.save(texts.mapInArrow(first_digit(window), "key long, whole long, doc_id long, bundle long"))
-        shared = scratch.save(first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-        rows = scratch.save(first.join(shared, "key", "left_semi").withColumns({"parent": F.col("bundle"), "settled": F.lit(False)}))
-        scratch.drop(1)
-        found, going = radix_pass(scratch, rows)
-        per_doc = going.groupBy("doc_id").agg(F.collect_list("bundle").alias("bundles"), F.collect_list("settled").alias("settled"))
-        wide = scratch.save(
-            texts.mapInArrow(squeeze, "doc_id long, z binary").join(per_doc, "doc_id").dropDuplicates(["doc_id"])
-            .mapInArrow(contexts(window), "doc_id long, bundle long, settled boolean, bytes binary")
-        )
-        schema = "key long, whole long, doc_id long, bundle long, parent long, settled boolean"
-        narrow, going = radix_pass(scratch, scratch.save(wide.mapInArrow(next_digit(window, NARROW), schema)))
-        last = scratch.save(
-            wide.drop("settled").withColumnRenamed("bundle", "parent")
-            .join(going.groupBy("doc_id", "parent").agg(F.collect_list(F.struct("bundle", "settled")).alias("parts")), ["doc_id", "parent"])
-            .select("doc_id", "parent", "bytes", F.explode("parts").alias("part"))
-            .select(
-                "doc_id", F.col("part.bundle").alias("bundle"), F.col("part.settled").alias("settled"),
-                F.expr(f"substring(bytes, CAST((part.bundle >> 16) - (parent >> 16) + 1 AS INT), CAST(((part.bundle >> 8) & 255) + {window} AS INT))").alias("bytes"),
-            )
+def compressed(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (a number), doc_id, text_key and z of each row, written once."""
+    texts = require(docs, [id_col, text_col]).toDF("doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key("text").alias("text_key"), "text")
+    return scratch.save(texts.mapInArrow(squeeze, "row long, doc_id long, text_key long, z binary"))
+
+
+def repeated_spans(scratch: Scratch, texts: DataFrame, window: int) -> DataFrame:
+    """row and spans of each row of `compressed` that has any: sorted, disjoint [start, end) pairs in a flat array."""
+    first = scratch.save(texts.select("row", "z").mapInArrow(first_digit(window), "key long, whole binary, row long, bundle long"))
+    at = scratch.n
+    shared = scratch.save(first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = scratch.save(members(first, shared, ["key"], "n", first.count()).withColumns({"parent": F.col("bundle"), "settled": F.lit(False)}))
+    scratch.drop(at)
+    found, going = radix_pass(scratch, rows)
+    per_row = going.groupBy("row").agg(F.collect_list("bundle").alias("bundles"), F.collect_list("settled").alias("settled"))
+    wide = scratch.save(texts.select("row", "z").join(per_row, "row").mapInArrow(contexts(window), "row long, bundle long, settled boolean, bytes binary"))
+    schema = "key long, whole binary, row long, bundle long, parent long, settled boolean"
+    narrow, going = radix_pass(scratch, scratch.save(wide.mapInArrow(next_digit(window, NARROW), schema)))
+    parts = going.groupBy("row", "parent").agg(F.collect_list(F.struct("bundle", "settled")).alias("parts"))
+    last = scratch.save(
+        wide.drop("settled").withColumnRenamed("bundle", "parent").join(parts, ["row", "parent"])
+        .select("row", "parent", "bytes", F.explode("parts").alias("part"))
+        .select(
+            "row", F.col("part.bundle").alias("bundle"), F.col("part.settled").alias("settled"),
+            F.expr(f"substring(bytes, CAST((part.bundle >> 16) - (parent >> 16) + 1 AS INT), CAST(((part.bundle >> 8) & 255) + {window} AS INT))").alias("bytes"),
         )
-        single, _ = radix_pass(scratch, last.mapInArrow(next_digit(window, 1), schema))
-        every = found.unionByName(narrow).unionByName(single).select(
-            "doc_id", F.shiftright("bundle", 16).alias("start"), (F.shiftright("bundle", 16) + F.shiftright("bundle", 8).bitwiseAND(F.lit(255)) + window).alias("end")
-        )
-        spans = every.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
-        return checkpointed(spans.select(F.col("doc_id").alias(id_col), merged(F.col("s.start"), F.col("s.end")).alias("spans")))
+    )
+    single, _ = radix_pass(scratch, scratch.save(last.mapInArrow(next_digit(window, 1), schema)))
+    start = F.shiftright("bundle", 16)
+    every = found.unionByName(narrow).unionByName(single).select("row", start.alias("start"), (start + F.shiftright("bundle", 8).bitwiseAND(F.lit(255)) + window).alias("end"))
+    spans = every.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    return scratch.save(spans.select("row", merged(F.col("s.start"), F.col("s.end")).alias("spans")))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -252,16 +291,23 @@ def summary(z: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200) -> DataFrame:
     """The rows with their texts cut; all columns stay."""
-    spans = repeated_spans(docs, id_col, text_col, window).toDF("__id", "__spans")
-    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col("__id"), "left")
-    return joined.withColumn(text_col, without_spans(F.col(f"`{text_col}`"), F.col("__spans"))).drop("__id", "__spans")
+    with Scratch(docs.sparkSession) as scratch:
+        texts = compressed(scratch, docs, id_col, text_col)
+        # a row is found again by its id (nulls apart) and its text; rows with the same have the same spans
+        key = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_key").alias("__text")]
+        spans = texts.select("row", *key).join(repeated_spans(scratch, texts, window), "row").groupBy("__id", "__text").agg(F.first("spans").alias("__spans"))
+        rows = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), "__text": text_key(f"`{text_col}`")})
+        joined = rows.join(checkpointed(spans), ["__id", "__text"], "left")
+        return joined.withColumn(text_col, without_spans(F.col(f"`{text_col}`"), F.col("__spans"))).select(*docs.columns)
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    spans = repeated_spans(docs, id_col, text_col, window).toDF("doc_id", "spans")
-    texts = require(docs, [id_col, text_col]).toDF("doc_id", "text").mapInArrow(squeeze, "doc_id long, z binary")
-    return texts.join(spans, "doc_id", "left").select(F.col("doc_id").alias(id_col), summary("z", "spans").alias("r")).select(id_col, "r.*")
+    with Scratch(docs.sparkSession) as scratch:
+        texts = compressed(scratch, docs, id_col, text_col)
+        spans = repeated_spans(scratch, texts, window)
+        joined = texts.select("row", "doc_id", "z").join(spans, "row", "left")
+        return checkpointed(joined.select(F.col("doc_id").alias(id_col), summary("z", "spans").alias("r")).select(id_col, "r.*"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Row
 
 import corpus_pipeline
+from quillspark.llm.common import Scratch
 from quillspark.llm.exact_dedup import DigestIndex, exact_dedup, mark_against
 from quillspark.llm.stages import exact_dedup_stage, near_dedup_stage, suffix_dedup_stage, toxicity_stage
 from quillspark.llm.toxicity import Likeness, fit, kernel, score_documents, train
@@ -42,20 +43,44 @@ def test_exact_dedup(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 7, 9]
 
 
-def test_index_takes_only_new_texts_and_needs_no_shuffle_of_its_own(spark):
+def test_index_over_batches(spark):
     index = DigestIndex(spark, "test_index", buckets=4)
     try:
         index.add(frame(spark, [(1, "a"), (2, "b"), (3, "B")]))
-        index.add(frame(spark, [(9, "A"), (10, "c"), (11, "c")]))
-        assert sorted((r.keep_id, r.group_size) for r in index.rows().collect()) == [(1, 1), (3, 2), (11, 2)]
-        plan = index.new_groups(index.rows().select("text_sha256", "keep_id"), "keep_id")._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
-        marks = {r.doc_id: r.keep_id for r in mark_against(index, frame(spark, [(1, "a"), (9, "A")])).collect()}
-        assert marks == {1: 1, 9: 1}
+        index.add(frame(spark, [(9, "A"), (10, "c"), (11, "c"), (1, "B"), (None, "d")]))
+        index.add(frame(spark, []))
+        want = [(None, 1), (3, 3), (9, 2), (11, 2)]
+        for _ in range(2):
+            assert sorted(((r.keep_id, r.group_size) for r in index.groups().collect()), key=str) == sorted(want, key=str)
+            assert "Exchange" not in plan_of(index.groups())
+            index.compact()
+        assert index.rows().count() == 4
+        marks = sorted((r.doc_id, r.keep_id, r.kept) for r in mark_against(index, frame(spark, [(1, "a"), (9, "A"), (9, "A")])).collect())
+        assert marks == [(1, 9, False), (9, 9, True), (9, 9, True)]
     finally:
         index.drop()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_folds_copies_before_the_shuffle_and_is_joined_in_its_buckets(spark, monkeypatch):
+    """What add() writes first must come from an aggregate on both sides of the exchange, below no join."""
+    plans = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df: plans.append(plan_of(df)) or save(self, df))
+    monkeypatch.setattr(DigestIndex, "append", lambda self, rows: plans.append(plan_of(rows)))
+    index = DigestIndex(spark, "test_plan_index", buckets=4)
+    try:
+        index.add(frame(spark, [(1, "a"), (2, "b")]))
+    finally:
+        index.drop()
+    folded, new = plans
+    assert "Join" not in folded and folded.index("HashAggregate") < folded.index("Exchange") < folded.rindex("HashAggregate")
+    assert "SortMergeJoin" in new and "LeftAnti" in new and "HashAggregate" not in new and new.count("Exchange") == 1
+
+
 def test_kernel_tolerates_gaps_and_insertions():
     exact, gapped, spaced, other = kernel(["grubhead", "grub-head", "g.r.u.b.h.e.a.d", "nonsense"], "grubhead")
     assert exact == 1 and 0.3 < gapped < 1 and spaced > other and other < 0.05

@@ -27,21 +27,32 @@ def summary(ranks: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def bootstrap(pairs: DataFrame) -> DataFrame:
-    """2.5 and 97.5 percentiles of the mean difference per system; pairs: system, query_id, a, b (a few hundred a system).
+def percentile(column: str, p: float) -> Column:
+    """Interpolated between the neighbours in order; 0 without values."""
+    return F.coalesce(F.percentile(column, F.lit(p)), F.lit(0.0))
 
-    The resamples come from one seeded generator per system, so results repeat.
+
+def bootstrap(ranks: DataFrame, incumbent: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
+    """low and high of each system: the 2.5 and 97.5 percentiles of its gain in found queries over the incumbent.
+
+    ranks: system, query_id, rank (null: not found); incumbent: query_id, rank. Queries are drawn jointly for both, by
+    one seeded generator, so results repeat. Draws are rows of their own and are summed over all tasks; only a query's
+    pair of outcomes, a byte, is carried to them.
     """
+    old = incumbent.select("query_id", F.col("rank").isNotNull().cast("int").alias("old"))
+    gain = ranks.select("system", "query_id", F.col("rank").isNotNull().cast("int").alias("new")).join(old, "query_id").withColumn("gain", F.col("new") - F.col("old"))
+    order = F.row_number().over(Window.partitionBy("system").orderBy("query_id")) - 1
+    vectors = gain.withColumn("at", order).groupBy("system").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "gain"))), lambda x: x["gain"].cast("byte")).alias("gains"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("query_id")
-        difference, rng = (pdf.a - pdf.b).tolist(), random.Random(SEED)
-        n = len(difference)
-        means = sorted(sum(difference[rng.randrange(n)] for _ in range(n)) / n for _ in range(RESAMPLES))
-        low, high = (means[int(p * (RESAMPLES - 1))] for p in (0.025, 0.975))
-        return pd.DataFrame({"system": [pdf.system.iloc[0]], "low": [round(low, 6)], "high": [round(high, 6)]})
+    def draws(pdf: pd.DataFrame) -> pd.Series:
+        out = []
+        for gains in pdf.gains:
+            rng, n = random.Random(seed), len(gains)
+            out.append([sum(gains[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples)])
+        return pd.Series(out)
 
-    return pairs.groupBy("system").applyInPandas(one, "system string, low double, high double")
+    means = vectors.select("system", F.explode(F.pandas_udf(draws, "array<double>")(F.struct("gains"))).alias("gain"))
+    return means.groupBy("system").agg(F.round(percentile("gain", 0.025), 6).alias("low"), F.round(percentile("gain", 0.975), 6).alias("high"))
 
 
 def flips(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -52,7 +63,33 @@ def flips(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def verdict(systems: DataFrame, incumbent: Column) -> DataFrame:
-    """Adds wins: recall 0.05 above the incumbent's, no lower reciprocal rank and a p95 under 300 ms; systems: recall, mrr, p95."""
+    """Adds wins (recall 0.05 above the incumbent's, no lower reciprocal rank, a p95 under 300 ms) and best, of the winners
+    the one with the highest recall, then reciprocal rank; systems: name, recall, mrr, p95."""
     base = systems.where(incumbent).select(F.col("recall").alias("__recall"), F.col("mrr").alias("__mrr")).limit(1)
     wins = (F.col("recall") >= F.col("__recall") + 0.05 - 1e-9) & (F.col("mrr") >= F.col("__mrr") - 1e-9) & (F.col("p95") < 300)
-    return systems.join(F.broadcast(base)).withColumn("wins", wins & ~incumbent).drop("__recall", "__mrr")
+    judged = systems.join(F.broadcast(base)).withColumn("wins", wins & ~incumbent).drop("__recall", "__mrr")
+    top = judged.where("wins").orderBy(F.desc("recall"), F.desc("mrr"), "name").limit(1).select("name", F.lit(True).alias("best"))
+    return judged.join(F.broadcast(top), "name", "left").withColumn("best", F.coalesce("best", F.lit(False)))
+
+
+def missing_targets(queries: DataFrame, live: DataFrame) -> DataFrame:
+    """query_id and target of targets that no live path has; queries: query_id, targets; live: path."""
+    return queries.select("query_id", F.explode("targets").alias("target")).join(live.select(F.col("path").alias("target")), "target", "left_anti").select("query_id", "target")
+
+
+def bake_off(queries: DataFrame, runs: DataFrame, latencies: DataFrame, incumbent: str) -> tuple[DataFrame, DataFrame]:
+    """(scores, intervals) of systems that searched the same queries.
+
+    queries: query_id, targets; runs: system, query_id, position, path; latencies: system, query_id, ms. Scores: name,
+    n, recall, mrr, hit1, p95, wins, best.
+    """
+    wanted = queries.select("query_id", F.explode("targets").alias("path"))
+    systems = runs.select("system").distinct()
+    distinct = runs.groupBy("system", "query_id", "path").agg(F.min("position").alias("position"))
+    placed = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("system", "query_id").orderBy("position"))).where(F.col("rank") <= DEPTH)
+    hits = placed.join(wanted, ["query_id", "path"]).groupBy("system", "query_id").agg(F.min("rank").alias("rank"))
+    ranks = systems.join(queries.select("query_id")).join(hits, ["system", "query_id"], "left")
+    p95 = latencies.groupBy(F.col("system").alias("name")).agg(percentile("ms", 0.95).alias("p95"))
+    scores = summary(ranks, "system").withColumnRenamed("system", "name").join(p95, "name", "left").withColumn("p95", F.coalesce("p95", F.lit(0.0)))
+    old = ranks.where(F.col("system") == incumbent).select("query_id", "rank")
+    return verdict(scores, F.col("name") == incumbent), bootstrap(ranks.where(F.col("system") != incumbent), old)

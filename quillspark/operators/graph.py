@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW_CHARS = 6000
-MAX_ENTITIES, MAX_RELATIONS, MAX_ALIASES = 30, 50, 5
+MAX_ENTITIES, MAX_RELATIONS, MAX_ALIASES, MAX_NAME, MAX_SUMMARY = 30, 50, 5, 200, 200
 
 # Entity types, relations and the subject that stands for the note itself.
 TYPES = ["project", "person", "organization", "tool", "device", "topic"]
@@ -14,7 +18,7 @@ RELATIONS = ["mentions", "about", "uses", "runs_on", "works_with", "part_of"]
 NOTE = "NOTE"
 
 OUTPUT = (
-    "struct<entities:array<struct<name:string,type:string,aliases:array<string>,confidence:double>>,"
+    "struct<summary:string,entities:array<struct<name:string,type:string,aliases:array<string>,confidence:double>>,"
     "relations:array<struct<subject:string,relation:string,object:string,chunk:string,confidence:double>>>"
 )
 
@@ -60,26 +64,58 @@ def would_cycle(links: DataFrame, proposed: DataFrame, depth: int | None = None)
 
 
 def pack_windows(chunks: DataFrame, max_chars: int = WINDOW_CHARS) -> DataFrame:
-    """doc_id, chunk_id, window, label and size: a document's chunks in order in windows of max_chars characters.
+    """doc_id, chunk_id, window, label, start and size: a document's chunks in order in windows of max_chars characters.
 
-    A longer chunk is cut to a window of its own; labels start anew at c1. Only sizes are collected, per document.
+    A part of a window is a line with its label (and its heading, a quarter of the window at most), the text and a blank
+    line. A chunk that doesn't fit into what is left opens a window; a longer one than a window is cut into several.
+    Labels start anew at c1. Only sizes are collected, per document.
     """
-    sizes = chunks.select("doc_id", F.struct("chunk_id", F.least(F.char_length("content"), F.lit(max_chars)).alias("size")).alias("c"))
-    start = F.struct(F.lit(0).alias("window"), F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<chunk_id:bigint,window:int,n:int,size:int>>").alias("out"))
+    heading = F.substring(F.coalesce("heading", F.lit("")), 1, max_chars // 4) if "heading" in chunks.columns else F.lit("")
+    extra = F.when(F.char_length(heading) > 0, F.char_length(heading) + 1).otherwise(0)
+    sizes = chunks.select("doc_id", F.struct("chunk_id", F.char_length("content").alias("size"), extra.alias("extra")).alias("c"))
+    none = F.array().cast("array<struct<chunk_id:bigint,window:int,n:int,start:int,size:int>>")
+    begin = F.struct(F.lit(0).alias("window"), F.lit(0).alias("used"), F.lit(0).alias("n"), none.alias("out"))
 
     def step(state: Column, c: Column) -> Column:
-        opens = (state["n"] > 0) & (state["used"] + c["size"] > max_chars)
-        window, n = F.when(opens, state["window"] + 1).otherwise(state["window"]), F.when(opens, 1).otherwise(state["n"] + 1)
-        used = F.when(opens, c["size"]).otherwise(state["used"] + c["size"])
-        row = F.struct(c["chunk_id"].alias("chunk_id"), window.alias("window"), n.alias("n"), c["size"].alias("size"))
-        return F.struct(window.alias("window"), used.alias("used"), n.alias("n"), F.concat(state["out"], F.array(row)).alias("out"))
+        head = lambda n: F.char_length(n.cast("string")) + 4 + c["extra"]  # noqa: E731 "[c", the number, "]", what follows it, a line end
+        opens = (state["used"] > 0) & (state["used"] + head(state["n"] + 1) + c["size"] + 2 > max_chars)
+        window, n, used = F.when(opens, state["window"] + 1).otherwise(state["window"]), F.when(opens, 1).otherwise(state["n"] + 1), F.when(opens, 0).otherwise(state["used"])
+        room = F.greatest(F.lit(max_chars) - used - head(n) - 2, F.lit(1))
+        full = F.greatest(F.lit(max_chars) - head(F.lit(1)) - 2, F.lit(1))
+        more = F.when(c["size"] > room, F.ceil((c["size"] - room) / full)).otherwise(0).cast("int")
+        start = lambda k: F.when(k == 0, 0).otherwise(room + (k - 1) * full).cast("int")
+        part = lambda k: F.struct(
+            c["chunk_id"].alias("chunk_id"), (window + k).cast("int").alias("window"), F.when(k == 0, n).otherwise(1).alias("n"), start(k).alias("start"),
+            F.least(c["size"] - start(k), F.when(k == 0, room).otherwise(full)).cast("int").alias("size"),
+        )
+        last = F.when(more == 0, used + head(n) + c["size"] + 2).otherwise(head(F.lit(1)) + c["size"] - start(more) + 2)
+        return F.struct(
+            (window + more).cast("int").alias("window"), last.cast("int").alias("used"), F.when(more == 0, n).otherwise(1).alias("n"), F.concat(state["out"], F.transform(F.sequence(F.lit(0), more), part)).alias("out")
+        )
+
+    packed = sizes.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("doc_id", F.explode(F.aggregate("cs", begin, step, lambda s: s["out"])).alias("w"))
+    return packed.select("doc_id", "w.chunk_id", "w.window", F.concat(F.lit("c"), F.col("w.n")).alias("label"), "w.start", "w.size")
+
+
+def window_texts(chunks: DataFrame, max_chars: int = WINDOW_CHARS) -> DataFrame:
+    """doc_id, window and text of each window; chunks: doc_id, chunk_id, content and perhaps heading."""
+    own = chunks.withColumn("heading", F.substring(F.coalesce("heading", F.lit("")), 1, max_chars // 4)) if "heading" in chunks.columns else chunks.withColumn("heading", F.lit(""))
+    parts = pack_windows(chunks, max_chars).join(own.select("doc_id", "chunk_id", "heading", "content"), ["doc_id", "chunk_id"])
+    head = F.concat(F.lit("["), F.col("label"), F.lit("]"), F.when(F.col("heading") != "", F.concat(F.lit(" "), F.col("heading"))).otherwise(""), F.lit("\n"))
+    part = F.struct("chunk_id", "start", F.concat(head, F.substring(F.col("content"), F.col("start") + 1, F.col("size"))).alias("text"))
+    return parts.groupBy("doc_id", "window").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n\n").alias("text"))
 
-    packed = sizes.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("doc_id", F.explode(F.aggregate("cs", start, step, lambda s: s["out"])).alias("w"))
-    return packed.select("doc_id", "w.chunk_id", "w.window", F.concat(F.lit("c"), F.col("w.n")).alias("label"), "w.size")
 
+def shown(name: Column, most: int = MAX_NAME) -> Column:
+    """A text with single blanks, none around it, and of bounded length."""
+    return F.substring(F.regexp_replace(F.regexp_replace(name, r"(?U)\s+", " "), "^ | $", ""), 1, most)
 
-def norm(name: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def normalised(lists: pd.Series) -> pd.Series:
+    """normalise_name of each text in lists of lists; null texts are empty."""
+    one = lambda t: " ".join(unicodedata.normalize("NFKC", t).split()).casefold() if isinstance(t, str) else ""
+    return lists.map(lambda rows: None if rows is None else [[one(t) for t in (r if r is not None else ())] for r in rows])
 
 
 def first_of_equals(items: Column, key) -> Column:
@@ -94,27 +130,40 @@ def clamp(value: Column) -> Column:
 
 
 def filter_output(raw: DataFrame, column: str = "output") -> DataFrame:
-    """Adds entities and relations that hold to the schema; what doesn't is dropped, never repaired.
+    """Adds summary, entities and relations that hold to the schema; what doesn't is dropped, never repaired.
 
-    Null or malformed JSON gives null for both.
+    Names compare by NFKC, single blanks and case folding, over all types. Null or malformed JSON gives null for all.
     """
+    none = F.array().cast("array<string>")
     parsed = raw.withColumn("__o", F.from_json(column, OUTPUT))
-    good = F.filter("__o.entities", lambda e: e["type"].isin(TYPES) & (norm(e["name"]) != "") & (norm(e["name"]) != "note"))
-
-    def clean(e: Column) -> Column:
-        others = F.filter(e["aliases"], lambda a: a.isNotNull() & (norm(a) != norm(e["name"])))
-        return F.struct(
-            F.trim(e["name"]).alias("name"), e["type"].alias("type"), F.slice(first_of_equals(others, norm), 1, MAX_ALIASES).alias("aliases"), clamp(e["confidence"]).alias("confidence")
-        )
-
-    kept = parsed.withColumn("entities", F.transform(F.slice(first_of_equals(good, lambda e: norm(e["name"])), 1, MAX_ENTITIES), clean))
-    names = F.transform("entities", lambda e: norm(e["name"]))
-    known = F.filter("__o.relations", lambda r: (
-        r["relation"].isin(RELATIONS) & ((r["subject"] == NOTE) | F.array_contains(names, norm(r["subject"]))) & F.array_contains(names, norm(r["object"])) & (norm(r["subject"]) != norm(r["object"]))
-    ))
-    unseen = first_of_equals(known, lambda r: F.concat_ws("\n", norm(r["subject"]), r["relation"], norm(r["object"])))
-    label = lambda r: F.when(r["chunk"].rlike(r"^c[0-9]{1,4}$"), r["chunk"])
-    relations = F.transform(F.slice(unseen, 1, MAX_RELATIONS), lambda r: F.struct(
-        r["subject"].alias("subject"), r["relation"].alias("relation"), r["object"].alias("object"), label(r).alias("chunk"), clamp(r["confidence"]).alias("confidence")
+    parsed = parsed.withColumn("__o", F.when(F.col("__o.entities").isNotNull() | F.col("__o.relations").isNotNull() | F.col("__o.summary").isNotNull(), F.col("__o")))
+    texts = F.transform("__o.entities", lambda e: F.concat(F.array(shown(e["name"])), F.transform(F.coalesce(e["aliases"], none), lambda a: shown(a))))
+    ends = F.transform("__o.relations", lambda r: F.array(shown(r["subject"]), shown(r["object"])))
+    keyed = parsed.select("*", texts.alias("__texts"), ends.alias("__ends")).select("*", normalised("__texts").alias("__names"), normalised("__ends").alias("__pairs"))
+
+    def entity(e: Column, i: Column) -> Column:
+        text, key = F.get("__texts", i), F.get("__names", i)
+        others = F.transform(F.sequence(F.lit(1), F.size(key)), lambda k: F.struct(F.get(text, k).alias("text"), F.get(key, k).alias("key")))
+        others = F.filter(others, lambda a: a["text"].isNotNull() & (a["key"] != "") & (a["key"] != key[0]))
+        aliases = F.transform(F.slice(first_of_equals(others, lambda a: a["key"]), 1, MAX_ALIASES), lambda a: a["text"])
+        return F.struct(text[0].alias("name"), e["type"].alias("type"), aliases.alias("aliases"), clamp(e["confidence"]).alias("confidence"), key[0].alias("key"))
+
+    every = F.transform("__o.entities", entity)
+    good = F.filter(every, lambda e: e["type"].isin(TYPES) & (F.coalesce(e["key"], F.lit("")) != "") & (e["key"] != "note"))
+    kept = keyed.withColumn("__kept", F.slice(first_of_equals(good, lambda e: e["key"]), 1, MAX_ENTITIES))
+    names = F.transform("__kept", lambda e: e["key"])
+
+    def relation(r: Column, i: Column) -> Column:
+        text, key = F.get("__ends", i), F.get("__pairs", i)
+        label = F.when(r["chunk"].rlike(r"^c[0-9]{1,4}$"), r["chunk"])
+        return F.struct(text[0].alias("subject"), r["relation"].alias("relation"), text[1].alias("object"), label.alias("chunk"), clamp(r["confidence"]).alias("confidence"), key[0].alias("s"), key[1].alias("o"))
+
+    known = F.filter(F.transform("__o.relations", relation), lambda r: (
+        r["relation"].isin(RELATIONS) & ((r["subject"] == NOTE) | F.array_contains(names, r["s"])) & F.array_contains(names, r["o"]) & (r["s"] != r["o"])
     ))
-    return kept.withColumn("relations", relations).drop("__o")
+    unseen = F.slice(first_of_equals(known, lambda r: F.concat_ws("\n", r["s"], r["relation"], r["o"])), 1, MAX_RELATIONS)
+    fields = lambda c, *names: F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in names)))
+    return kept.withColumns({
+        "summary": F.when(F.col("__o").isNotNull(), shown(F.coalesce(F.col("__o.summary"), F.lit("")), MAX_SUMMARY)), "relations": fields(unseen, "subject", "relation", "object", "chunk", "confidence"),
+        "entities": fields(F.col("__kept"), "name", "type", "aliases", "confidence"),
+    }).drop("__o", "__texts", "__ends", "__names", "__pairs", "__kept")

@@ -6,12 +6,22 @@ top-k has already cut. Queries are few against the corpus and of bounded size, s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import html
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import is_identifier, web_operands_arrow, words
 
 RRF_K, LIST, POOL = 60, 50, 200
+HEADING, CONTENT = 1.0, 0.1  # weights of a term
+SMALL_BATCH = 4096  # queries that may be sent to every task
 
 
 def live(sources: DataFrame, folder: str | None = None, tags: list[str] | None = None) -> DataFrame:
@@ -25,8 +35,38 @@ def live(sources: DataFrame, folder: str | None = None, tags: list[str] | None =
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """One row per occurrence of a term."""
-    return chunks.select("doc_id", "chunk_id", F.posexplode(words(F.col("content"))).alias("pos", "term"))
+    """One row per occurrence of a term: doc_id, chunk_id, pos, term, weight.
+
+    A heading column, where there is one, stands before the content and weighs more.
+    """
+    content = words(F.col("content"))
+    if "heading" not in chunks.columns:
+        return chunks.select("doc_id", "chunk_id", F.posexplode(content).alias("pos", "term"), F.lit(CONTENT).alias("weight"))
+    head = words(F.coalesce("heading", F.lit("")))
+    rows = chunks.select("doc_id", "chunk_id", F.size(head).alias("__head"), F.posexplode(F.concat(head, content)).alias("pos", "term"))
+    return rows.withColumn("weight", F.when(F.col("pos") < F.col("__head"), HEADING).otherwise(CONTENT)).drop("__head")
+
+
+class PostingsIndex:
+    """Postings kept in a table bucketed and sorted by term, so that a search reads the buckets of its terms only."""
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
+        self.spark, self.name, self.buckets = spark, name, buckets
+
+    def write(self, chunks: DataFrame) -> None:
+        rows = postings(chunks).repartition(self.buckets, "term")
+        rows.write.mode("overwrite").format("parquet").bucketBy(self.buckets, "term").sortBy("term").saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def of(self, terms: DataFrame, most: int = 10_000) -> DataFrame:
+        """The postings of the terms (query_id, term): named in the scan if they are few, which prunes buckets and row groups."""
+        known = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
+        return self.rows().where(F.col("term").isin(known)) if len(known) <= most else self.rows().join(terms.select("term").distinct(), "term", "left_semi")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -46,35 +86,110 @@ def web_clauses(queries: DataFrame) -> DataFrame:
 
 
 def web_matches(postings: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, chunk_id and hits of chunks that a web search accepts; queries: query_id, text.
+    """query_id, doc_id, chunk_id, hits and score of chunks that a web search accepts; queries: query_id, text.
 
     A chunk matches a part that has all its clauses and none of its negated ones; hits are the places where a clause of
-    a matching part begins. A part of negated clauses only matches every other chunk, with no hits.
+    a matching part begins, score is the cover density of its words. A part of negated clauses only matches every other
+    chunk, with no hits. A part is first looked for by its rarest word, so common words meet its candidates only.
     """
     clauses = web_clauses(queries)
     terms = clauses.select("query_id", "part", "clause", "negated", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term"))
-    key = ["query_id", "part", "doc_id", "chunk_id"]
-    # chunks with all words that a part wants; only in these are the places compared
-    needed = terms.groupBy("query_id", "part", "term").agg(F.bool_or(~F.col("negated")).alias("needed"))
-    needs = needed.groupBy("query_id", "part").agg(F.count_if("needed").alias("needs"))
-    held = postings.join(F.broadcast(needed), "term").groupBy(*key).agg(F.collect_list(F.struct("term", "pos")).alias("held"), F.size(F.collect_set(F.when(F.col("needed"), F.col("term")))).alias("has"))
-    able = held.join(F.broadcast(needs), ["query_id", "part"]).where("has = needs").select(*key, F.inline("held"))
-    begins = able.join(F.broadcast(terms), ["query_id", "part", "term"]).withColumn("begin", F.col("pos") - F.col("place"))
+    of, key = ["query_id", "part"], ["query_id", "part", "doc_id", "chunk_id"]
+    needed = terms.groupBy(*of, "term").agg(F.bool_or(~F.col("negated")).alias("needed"))
+    needs = needed.groupBy(*of).agg(F.count_if("needed").alias("needs"))
+    # the words of a chunk that some query has, with their places
+    asked = needed.select("term").distinct()
+    lists = postings.join(F.broadcast(asked), "term", "left_semi").groupBy("doc_id", "chunk_id", "term").agg(F.collect_list(F.struct("pos", "weight")).alias("at"))
+    seen_in = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    order = F.struct(F.coalesce("df", F.lit(0)), "term")
+    rarest = needed.where("needed").join(seen_in, "term", "left").groupBy(*of).agg(F.min(order)["term"].alias("term"))
+    candidates = lists.select("doc_id", "chunk_id", "term").join(F.broadcast(rarest), "term").select(*key)
+    held = candidates.join(F.broadcast(needed), of).join(lists, ["doc_id", "chunk_id", "term"])
+    held = held.groupBy(*key).agg(F.collect_list(F.struct("term", "needed", "at")).alias("held"), F.count_if("needed").alias("has"))
+    able = held.join(F.broadcast(needs), of).where("has = needs").select(*key, F.explode("held").alias("h"))
+    occurrences = able.select(*key, "h.term", "h.needed", F.explode("h.at").alias("o")).select(*key, "term", "needed", "o.pos", "o.weight")
+    begins = occurrences.join(F.broadcast(terms), ["query_id", "part", "term"]).withColumn("begin", F.col("pos") - F.col("place"))
     whole = begins.groupBy(*key, "clause", "negated", "n", "begin").agg(F.count(F.lit(1)).alias("there")).where("there = n")
-    wanted = clauses.groupBy("query_id", "part").agg(F.count_if(~F.col("negated")).alias("wanted"))
+    wanted = clauses.groupBy(*of).agg(F.count_if(~F.col("negated")).alias("wanted"))
     seen = whole.groupBy(*key).agg(F.countDistinct(F.when(~F.col("negated"), F.col("clause"))).alias("found"), F.bool_or("negated").alias("barred"), F.collect_set(F.when(~F.col("negated"), F.col("begin"))).alias("begins"))
-    good = seen.join(F.broadcast(wanted.where("wanted > 0")), ["query_id", "part"]).where("found = wanted AND NOT barred").select("query_id", "doc_id", "chunk_id", "begins")
-    rest = chunks.select("doc_id", "chunk_id").join(F.broadcast(wanted.where("wanted = 0").select("query_id", "part"))).join(seen.where("barred").select(*key), key, "left_anti")
-    both = good.unionByName(rest.select("query_id", "doc_id", "chunk_id", F.array().cast("array<int>").alias("begins")))
-    return both.groupBy("query_id", "doc_id", "chunk_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("begins")))).cast("long").alias("hits"))
+    density = occurrences.where("needed").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("pos", "term", "weight"))).alias("at"), F.countDistinct("term").alias("n"))
+    density = density.select(*key, cover_density("at", "n").alias("score"))
+    good = seen.join(F.broadcast(wanted.where("wanted > 0")), of).where("found = wanted AND NOT barred").join(density, key, "left").select("query_id", "doc_id", "chunk_id", "begins", "score")
+    # a part without a wanted clause takes every chunk that its negated ones leave; a chunk may hold none of their words
+    loose = wanted.where("wanted = 0").select(*of)
+    barred = postings.join(F.broadcast(terms.join(loose, of)), "term").withColumn("begin", F.col("pos") - F.col("place")).groupBy(*key, "clause", "n", "begin").agg(F.count(F.lit(1)).alias("there")).where("there = n").select(*key).distinct()
+    rest = chunks.select("doc_id", "chunk_id").join(F.broadcast(loose)).join(barred, key, "left_anti")
+    both = good.unionByName(rest.select("query_id", "doc_id", "chunk_id", F.array().cast("array<int>").alias("begins"), F.lit(0.0).alias("score")))
+    return both.groupBy("query_id", "doc_id", "chunk_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("begins")))).cast("long").alias("hits"), F.round(F.sum(F.coalesce("score", F.lit(0.0))), 9).alias("score"))
+
+
+@F.pandas_udf(T.DoubleType())
+def cover_density(places: pd.Series, terms: pd.Series) -> pd.Series:
+    """Cover density (Clarke, Cormack and Tudhope, 2000) of words at (pos, term, weight) in order.
+
+    A cover is a shortest stretch that holds every one of the terms; it counts by the harmonic mean of its weights, less
+    the more other words lie in it. With one term every occurrence is a cover.
+    """
+
+    def one(at, n: int) -> float:
+        last: dict[str, int] = {}
+        total, begun = 0.0, -1
+        for k, row in enumerate(at):
+            last[row["term"]] = k
+            if len(last) == n and (first := min(last.values())) > begun:
+                # shortest if the stretch holds its first word's term only there
+                inside = at[first : k + 1]
+                inverse = sum(1 / r["weight"] for r in inside)
+                noise = row["pos"] - at[first]["pos"] - (len(inside) - 1)
+                total += len(inside) / inverse / (1 + max(0, noise))
+                begun = first
+        return total
+
+    return pd.Series([one(a, int(n)) for a, n in zip(places, terms, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.StringType())
+def headline(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    """Up to two stretches of 12 to 30 words around the words of a query, which are marked; null where none is there.
+
+    The text is escaped before it is cut, and what then holds another tag is dropped.
+    """
+
+    def one(text: str | None, wanted) -> str | None:
+        if text is None or wanted is None:
+            return None
+        known, flat = {str(w).lower() for w in wanted}, " ".join(text.split())
+        parts = [html.escape(w, quote=False) for w in flat.split(" ")]
+        hit = [any(w in known for w in TOKEN.findall(p.lower())) for p in flat.split(" ")]
+        at, out, free = [k for k, h in enumerate(hit) if h], [], 0
+        while at and len(out) < 2:
+            begin = max(free, at[0] - 4)
+            inside = [k for k in at if k < begin + 30]
+            end = min(len(parts), max(inside[-1] + 5, begin + 12))
+            end = min(end, begin + 30)
+            out.append(" ".join(mark(parts[k], known) if hit[k] else parts[k] for k in range(begin, end)))
+            free, at = end, [k for k in at if k >= end]
+        made = " … ".join(out)
+        plain = made.replace("<mark>", "").replace("</mark>", "")
+        return made if out and "<" not in plain and ">" not in plain else None
+
+    return pd.Series([one(t, w) for t, w in zip(texts, terms, strict=True)], dtype="object")
+
+
+TOKEN = re.compile(r"\w+")
+
+
+def mark(part: str, known: set[str]) -> str:
+    """Marks the words of an escaped part that are known; the names of entities aren't words."""
+    return re.sub(r"&\w+;|\w+", lambda m: f"<mark>{m[0]}</mark>" if m[0].lower() in known else m[0], part)
 
 
 def top(df: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col(name) <= k)
 
 
-def text_list(found: DataFrame, k: int = LIST) -> DataFrame:
-    return top(found, [F.desc("hits"), F.col("chunk_id")], k)
+def text_list(found: DataFrame, k: int = LIST, by: str = "hits") -> DataFrame:
+    return top(found, [F.desc(by), F.col("chunk_id")], k)
 
 
 def chat_list(found: DataFrame) -> DataFrame:
@@ -89,11 +204,67 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
-    """Nearest k vectors of each query; queries: query_id, query_vector."""
-    pairs = vectors.join(F.broadcast(queries.select("query_id", "query_vector")))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("similarity"))
-    return top(scored, [F.desc("similarity"), F.col("vec_id")], k)
+def knn(vectors: DataFrame, queries: DataFrame, k: int = POOL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, vec_id, similarity and rank of the nearest k vectors of each query; queries: query_id, query_vector.
+
+    Exact, as products of blocks: each task keeps the best k of its vectors for every query, and these are merged. A
+    batch of up to 4096 queries goes to every task; a larger one is cut into blocks that meet blocks of the vectors.
+    """
+    wanted = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL")
+    known = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding")).where("embedding IS NOT NULL")
+    schema = "query_id long, vec_id long, similarity double"
+    n = wanted.count()
+    if n <= SMALL_BATCH:
+        few = wanted.toPandas()
+        ids, q = few.query_id.to_numpy(), unit(few.query_vector)
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})]
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    part = batch.to_pandas()
+                    best = [best_of(pd.concat([*best, products(ids, q, part.vec_id.to_numpy(), unit(part.embedding), k)]), k)]
+            yield pa.RecordBatch.from_pandas(best[0].astype({"query_id": "int64", "vec_id": "int64", "similarity": "float64"}), preserve_index=False)
+
+        found = known.mapInArrow(nearest, schema)
+    else:
+        rows = -(-known.count() // 20_000) or 1
+        columns = -(-n // SMALL_BATCH)
+        left = known.withColumn("i", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+        right = wanted.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(columns)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+        def block(v: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+            if v.empty or w.empty:
+                return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+            return products(w.query_id.to_numpy(), unit(w.query_vector), v.vec_id.to_numpy(), unit(v.embedding), k)
+
+        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(block, schema)
+    return top(found, [F.desc("similarity"), F.col("vec_id")], k)
+
+
+def unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 1))
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def products(ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The best k of a block for each query, ties by the smaller id."""
+    out, order = [], np.argsort(vec_ids, kind="stable")
+    vec_ids, v = vec_ids[order], v[order]
+    for at in range(0, len(ids), 256):
+        close = np.round(q[at : at + 256] @ v.T, 6) + 0.0
+        close[np.isnan(close)] = -2
+        first = np.argsort(-close, axis=1, kind="stable")[:, :k]
+        take = np.take_along_axis(close, first, axis=1)
+        rows = np.repeat(ids[at : at + 256], first.shape[1])
+        out.append(pd.DataFrame({"query_id": rows, "vec_id": vec_ids[first.ravel()], "similarity": take.ravel()}))
+    found = pd.concat(out)
+    return found[found.similarity > -2]
+
+
+def best_of(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True])
+    return found[found.groupby("query_id").cumcount() < k]
 
 
 def fuse(text: DataFrame, vector: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.markdown import chunk_note, parse_note
-from quillspark.operators import evaluation, graph, ingest, search
+from quillspark.operators import chat, evaluation, graph, ingest, search
 from quillspark.plans.corpus import SOURCES_SQL, TABLES, chunks, sources, table
+from quillspark.plans.catalog_model import QUERIES as MODEL_QUERIES
+from quillspark.plans.catalog_model import SQL as MODEL_QUERY_SQL
 from quillspark.plans.shared import SHARED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,11 +69,11 @@ def web_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def websearch_match(spark: SparkSession, sf: str) -> DataFrame:
-    return search.text_list(web_hits(spark, sf)).select("query_id", "chunk_id", "hits", "rank")
+    return search.text_list(web_hits(spark, sf), by="score").select("query_id", "chunk_id", "hits", "score", "rank")
 
 
 def websearch_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    fused = search.fuse(search.text_list(web_hits(spark, sf)), vector_hits(spark, sf, benchmark_vectors(spark, sf)))
+    fused = search.fuse(search.text_list(web_hits(spark, sf), by="score"), vector_hits(spark, sf, benchmark_vectors(spark, sf)))
     return search.best_per_note(fused, 1, 20).select("query_id", "doc_id", "chunk_id", "score", "by_text", "by_vector", "similarity", "rank")
 
 
@@ -124,6 +126,33 @@ def fts(kind: str) -> Query:
     return run
 
 
+def tokenise_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and places of every line of the first of equal texts."""
+    one = search.postings(chunks(spark, sf))
+    return one.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("terms"), F.max("pos").alias("last"))
+
+
+def chat_pool_top200(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top(text_hits(spark, sf), [F.desc("hits"), F.col("chunk_id")], search.POOL, "place").select("query_id", "chunk_id", "hits", "place")
+
+
+def headline(spark: SparkSession, sf: str) -> DataFrame:
+    """Marked stretches of the best three chunks of each question."""
+    terms = query_terms(spark, sf).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    best = search.text_list(text_hits(spark, sf), 3).join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id").join(F.broadcast(terms), "query_id")
+    return best.select("query_id", "chunk_id", "rank", search.headline("content", "terms").alias("headline"))
+
+
+def chat_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered sources of each benchmark text as a question."""
+    contents = chunks(spark, sf).join(sources(spark, sf).select("doc_id", "path"), "doc_id").select("chunk_id", "path", F.lit("").alias("heading"), "content")
+    return chat.retrieve(rrf_hybrid_chat(spark, sf), contents, limit=5, budget=900).select("query_id", "n", "doc_id", "score", "mode", "link")
+
+
+def capture_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.capture_title(F.concat(F.lit(" \n## "), "text")).alias("title"))
+
+
 def chat_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(X.chat_terms(F.col("text"))), " ").alias("terms"))
 
@@ -143,7 +172,7 @@ def knn_post_filter(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_same_type(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
     pairs = rows.join(F.broadcast(vector_queries(spark, sf)), (F.col("label") == F.col("query_label")) & (F.col("vec_id") != F.col("query_id")))
-    scored = pairs.select("query_id", "vec_id", F.round(search.cosine(F.col("embedding"), F.col("query_vector")), 6).alias("similarity")).where("similarity >= 0.5")
+    scored = pairs.select("query_id", "vec_id", F.round(search.cosine(F.col("embedding"), F.col("query_vector")), 6).alias("similarity")).where("similarity >= 0.2")
     return search.top(scored, [F.desc("similarity"), F.col("vec_id")], 1).drop("rank")
 
 
@@ -188,8 +217,9 @@ def observation_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def move_pairing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sources(spark, sf).select("path", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "folder")
-    return ingest.pair_moves(rows.where("folder < 'src2'"), rows.where("folder >= 'src2'"))
+    """Documents with odd ids have vanished, the others are new."""
+    rows = sources(spark, sf).select("doc_id", "path", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return ingest.pair_moves(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"))
 
 
 def parse_notes(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,28 +231,45 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """Text search ranks of each benchmark item; targets are the documents that hold its text."""
+    """Text search ranks of each benchmark item; the target is the first document, by id, of those that share a word with it and were listed."""
     bench = table(spark, sf, "benchmark")
     listed = search.text_list(text_hits(spark, sf)).select("query_id", F.col("rank").alias("position"), F.col("doc_id").alias("path"))
-    targets = search.top(listed.select("query_id", "path", "position"), [F.desc("position"), F.col("path")], 1).select("query_id", "path")
+    targets = listed.groupBy("query_id").agg(F.min("path").alias("path"))
     return evaluation.first_rank(listed, targets).join(bench.select(F.col("item_id").alias("query_id"), (F.char_length("text") % 2).alias("kind")), "query_id")
 
 
+def first_only(ranks: DataFrame, k: int) -> DataFrame:
+    return ranks.select("query_id", F.when(F.col("rank") <= k, F.col("rank")).alias("rank"))
+
+
 def eval_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """What the first ten and the first five ranks find more than the first two."""
     ranks = eval_ranks(spark, sf)
-    pairs = ranks.select(F.lit("text").alias("system"), "query_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("a"), F.when(F.col("kind") == 0, 1.0).otherwise(0.0).alias("b"))
-    return evaluation.bootstrap(pairs)
+    systems = [first_only(ranks, k).withColumn("system", F.lit(f"first {k}")) for k in (5, 10)]
+    return evaluation.bootstrap(systems[0].unionByName(systems[1]), first_only(ranks, 2))
 
 
 def eval_flips(spark: SparkSession, sf: str) -> DataFrame:
     """The first ten ranks against the first three."""
     ranks = eval_ranks(spark, sf)
-    return evaluation.flips(ranks, ranks.select("query_id", F.when(F.col("rank") <= 3, F.col("rank")).alias("rank")))
+    return evaluation.flips(ranks, first_only(ranks, 3))
+
+
+def eval_bake_off(spark: SparkSession, sf: str) -> DataFrame:
+    """Text, chat and vector lists of the benchmark as systems; a note's target is the first of all that any of them lists."""
+    found = text_hits(spark, sf)
+    lists = {"text": search.text_list(found), "chat": search.chat_list(found), "vector": vector_hits(spark, sf, benchmark_vectors(spark, sf))}
+    runs = [df.select(F.lit(name).alias("system"), "query_id", F.col("rank").alias("position"), F.col("doc_id").alias("path")) for name, df in lists.items()]
+    every = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    queries = every.groupBy("query_id").agg(F.array(F.min("path")).alias("targets"))
+    latencies = every.groupBy("system", "query_id").agg(F.count(F.lit(1)).cast("double").alias("ms"))
+    scores, _ = evaluation.bake_off(queries, every, latencies, "text")
+    return scores.select("name", "n", "recall", "mrr", "hit1", "wins", "best")
 
 
 def eval_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """Items of even and odd length stand for two systems; the even ones are the incumbent."""
-    systems = evaluation.summary(eval_ranks(spark, sf), "kind").withColumn("p95", F.lit(100) + F.col("kind"))
+    systems = evaluation.summary(eval_ranks(spark, sf), "kind").withColumns({"p95": F.lit(100) + F.col("kind"), "name": F.col("kind").cast("string")})
     return evaluation.verdict(systems, F.col("kind") == 0).select("kind", "recall", "mrr", "p95", "wins")
 
 
@@ -304,11 +351,12 @@ QUERIES: dict[str, Query] = {
     "eval_first_rank": eval_ranks, "eval_summary": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf)), "eval_split_by": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf), "kind"),
     "eval_flips": eval_flips, "eval_verdict": eval_verdict, "ancestor_chain": ancestor_chain, "cycle_check": cycle_check, "window_packing": window_packing, "filter_llm_output": filter_llm_output,
     "eval_bootstrap_ci": eval_bootstrap_ci, "suggest_round_robin": suggest_round_robin, "schedule_due_local": schedule_due_local,
-    **{name: shared(sql) for name, sql in SHARED.items()},
+    "tokenise_postings": tokenise_postings, "chat_pool_top200": chat_pool_top200, "headline": headline, "chat_retrieval": chat_retrieval, "capture_titles": capture_titles, "eval_bake_off": eval_bake_off,
+    **{name: shared(sql) for name, sql in SHARED.items()}, **MODEL_QUERIES,
 }
 
 EVAL_SQL = (
-    TEXT_SQL + ", " + LIST_SQL.format("f") + ", tg AS (SELECT query_id, doc_id FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) = 1),"
+    TEXT_SQL + ", " + LIST_SQL.format("f") + ", tg AS (SELECT query_id, doc_id FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id, rank) = 1),"
     "dp AS (SELECT query_id, doc_id, min(rank) AS position FROM x GROUP BY ALL), pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank FROM dp),"
     "er AS (SELECT tg.query_id, CASE WHEN pl.rank <= 10 THEN pl.rank END AS rank, length(b.text) % 2 AS kind FROM tg JOIN pl ON pl.query_id = tg.query_id AND pl.doc_id = tg.doc_id JOIN benchmark b ON b.item_id = tg.query_id)"
 )
@@ -324,7 +372,21 @@ EVIDENCE_SQL = (
     "SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS n, h.doc_id, h.rank, h.size FROM fin JOIN h ON h.query_id = fin.query_id AND h.rank = fin.rank"
 )
 
+MOVES_SQL = (
+    "WITH " + duck(SOURCES_SQL) + ", r AS (SELECT doc_id % 2 = 1 AS gone, path, sha256(text) AS hash, folder || '/' || lang AS f2, folder AS f1 FROM s),"
+    "l2 AS (SELECT a.hash, a.path AS old_path, b.path AS new_path FROM (SELECT *, row_number() OVER (PARTITION BY hash, f2 ORDER BY path) AS n FROM r WHERE gone) a JOIN (SELECT *, row_number() OVER (PARTITION BY hash, f2 ORDER BY path) AS n FROM r WHERE NOT gone) b ON a.hash = b.hash AND a.f2 = b.f2 AND a.n = b.n),"
+    "r1 AS (SELECT * FROM r WHERE path NOT IN (SELECT old_path FROM l2) AND path NOT IN (SELECT new_path FROM l2)),"
+    "l1 AS (SELECT a.hash, a.path AS old_path, b.path AS new_path FROM (SELECT *, row_number() OVER (PARTITION BY hash, f1 ORDER BY path) AS n FROM r1 WHERE gone) a JOIN (SELECT *, row_number() OVER (PARTITION BY hash, f1 ORDER BY path) AS n FROM r1 WHERE NOT gone) b ON a.hash = b.hash AND a.f1 = b.f1 AND a.n = b.n),"
+    "r0 AS (SELECT * FROM r1 WHERE path NOT IN (SELECT old_path FROM l1) AND path NOT IN (SELECT new_path FROM l1)),"
+    "l0 AS (SELECT a.hash, a.path AS old_path, b.path AS new_path FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM r0 WHERE gone) a JOIN (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM r0 WHERE NOT gone) b ON a.hash = b.hash AND a.n = b.n) "
+    "SELECT old_path, new_path FROM (SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0)"
+)
+
 SQL: dict[str, str] = {
+    "move_pairing": MOVES_SQL,
+    "schedule_due_local": "WITH l AS (SELECT ts, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Warsaw' AS t FROM events) SELECT CAST(t AS DATE) AS day, count(*) FILTER (WHERE hour(t) * 60 + minute(t) >= 150) AS due, min(ts) FILTER (WHERE hour(t) * 60 + minute(t) >= 150) AS first_due FROM l GROUP BY 1",
+    "tokenise_postings": "WITH " + ", ".join([duck(SOURCES_SQL), CHUNKS_SQL]) + r", w AS (SELECT doc_id, regexp_extract_all(lower(content), '[\p{L}\p{N}_]+') AS ws FROM c), m AS (SELECT doc_id, sum(len(ws))::BIGINT AS n, max(len(ws)) - 1 AS last FROM w WHERE len(ws) > 0 GROUP BY doc_id), d AS (SELECT doc_id, count(DISTINCT t) AS terms FROM (SELECT doc_id, unnest(ws) AS t FROM w) GROUP BY doc_id) SELECT m.doc_id, n, terms, last FROM m JOIN d USING (doc_id)",
+    "chat_pool_top200": TEXT_SQL + " SELECT query_id, chunk_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS place FROM f QUALIFY place <= 200",
     "evidence_budget": EVIDENCE_SQL,
     "ancestor_chain": WALK_SQL + " SELECT id, ancestor, distance FROM w",
     "cycle_check": WALK_SQL + ", pr AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 10 + p_partkey % 10 ELSE p_partkey + 1 END AS parent FROM part) SELECT child, parent, child = parent OR EXISTS (SELECT 1 FROM w WHERE w.id = pr.parent AND w.ancestor = pr.child) AS cycle FROM pr",
@@ -344,7 +406,7 @@ SQL: dict[str, str] = {
     "chat_match_rule": TEXT_SQL + ", " + CHAT_SQL + " SELECT query_id, chunk_id, hits, n_terms, rank FROM x",
     "knn_top200": "WITH " + KNN_SQL.format("b.vec_id % 20 = 0") + " SELECT * FROM kn",
     "knn_post_filter": "WITH " + duck(SOURCES_SQL) + ", " + KNN_SQL.format("b.vec_id % 20 = 0") + ", " + VEC_SQL + " SELECT query_id, doc_id, rank, similarity FROM v",
-    "nearest_same_type": "SELECT b.vec_id AS query_id, a.vec_id, " + COS + " AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id % 20 = 0 WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY similarity DESC, a.vec_id) = 1",
+    "nearest_same_type": "SELECT b.vec_id AS query_id, a.vec_id, " + COS + " AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id % 20 = 0 WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY similarity DESC, a.vec_id) = 1",
     "excerpt": r"WITH a AS (SELECT doc_id, replace(replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(regexp_replace(substr(t, 1, 240), '\s\S*$', ''), '&[a-zA-Z]*$', '') || '…' END AS excerpt FROM a",
     "deep_link": "WITH " + duck(SOURCES_SQL) + " SELECT doc_id, 'obsidian://open?vault=My%20vault&file=' || replace(path, '/', '%2F') AS link FROM s",
     "heading_text": "SELECT doc_id, source || ' ' || lang AS same, lang || ' ' || source AS other FROM documents",
@@ -356,5 +418,5 @@ SQL: dict[str, str] = {
     "eval_summary": EVAL_SQL + " SELECT " + SUMMARY_SQL,
     "eval_split_by": EVAL_SQL + " SELECT kind, " + SUMMARY_SQL + " GROUP BY kind",
     "suggest_round_robin": "WITH " + duck(SOURCES_SQL) + " SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY md5('seed:' || path), path) AS pick FROM s WHERE NOT deleted ORDER BY pick, folder LIMIT 30",
-    **{name: duck(sql) for name, sql in SHARED.items()},
+    **{name: duck(sql) for name, sql in SHARED.items()}, **MODEL_QUERY_SQL,
 }

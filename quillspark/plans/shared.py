@@ -54,7 +54,7 @@ SHARED = {
     "turn_sequence": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM {conversations}",
     "session_last_turns": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {conversations}) x WHERE back <= 3",
     "sessions_list": "SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, min_by(text, turn) AS title FROM {conversations} GROUP BY conv_id",
-    "target_validation": "SELECT l.doc_id FROM {labels} l WHERE NOT EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_id = l.doc_id)",
+    "target_validation": "SELECT b.item_id, b.item_id * 37 AS target FROM {benchmark} b WHERE NOT EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_id = b.item_id * 37)",
     "previous_run_as_of": "SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM {orders}",
     "run_progress": W + ATTEMPTS_SQL + ", " + RUNS_SQL + " SELECT r.started_at, count(a.event_id) AS attempts, count(CASE WHEN a.status = 'ok' THEN 1 END) AS ok, max(a.attempted_at) AS last_at FROM runs r LEFT JOIN attempts a ON a.attempted_at >= r.started_at AND a.attempted_at < r.finished_at GROUP BY r.started_at",
     "resolve_entities": W + ENTITIES_SQL + ", al AS (SELECT e.id, e.type, lower(p.p_brand || ' ' || CAST(p.p_partkey AS STRING)) AS norm FROM entities e JOIN {part} p ON p.p_partkey = e.id), nm AS (SELECT type, lower(name) AS norm, min(id) AS id FROM entities GROUP BY type, lower(name)), m AS (SELECT DISTINCT e.type, CASE e.id % 3 WHEN 0 THEN lower(e.name) WHEN 1 THEN al.norm ELSE 'new ' || lower(e.name) END AS norm FROM entities e JOIN al ON al.id = e.id), r AS (SELECT m.type, m.norm, coalesce(nm.id, al.id) AS id, CASE WHEN nm.id IS NOT NULL THEN 'exact' WHEN al.id IS NOT NULL THEN 'alias' ELSE 'created' END AS how FROM m LEFT JOIN nm ON nm.type = m.type AND nm.norm = m.norm LEFT JOIN al ON al.type = m.type AND al.norm = m.norm) SELECT r.type, r.norm, r.id, r.how, coalesce(e.status, 'proposed') AS status FROM r LEFT JOIN entities e ON e.id = r.id WHERE coalesce(e.status, 'proposed') <> 'rejected'",

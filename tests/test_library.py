@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.markdown import LIMIT, chunk, parse, split_front
+from quillspark.functions.markdown import LIMIT, SHARED, chunk, json_safe, parse, split_front, tags_of
 from quillspark.operators import evaluation, graph, ingest, search
 
 
@@ -31,12 +31,27 @@ def test_tags_terms_and_names(spark):
 def test_chunker_edges():
     assert chunk("```\n# not a heading\n```\n# Learning C#\ntext") == [(0, [], "```\n# not a heading\n```"), (1, ["Learning C#"], "text")]
     assert [len(c) for _, _, c in chunk("x" * 1600)] == [1600]
-    assert all(len(c) <= LIMIT for _, _, c in chunk("x" * 5000))
-    assert all(len(c) <= LIMIT for _, _, c in chunk("\n\n".join(["word " * 90] * 12)))
+    token = [c for _, _, c in chunk("x" * 5000)]
+    assert all(len(c) <= LIMIT for c in token) and token[0] == "x" * 1398 and token[1].startswith("x" * SHARED + "\n\n")
+    paragraphs = [c for _, _, c in chunk("\n\n".join(["word " * 90] * 12))]
+    assert all(len(c) <= LIMIT for c in paragraphs) and all(b.startswith("word") for b in paragraphs) and len(paragraphs) == 4
+    sentences = [c for _, _, c in chunk("One two three four. " * 200)]
+    assert all(len(c) <= LIMIT for c in sentences) and all("  " not in c for c in sentences)
     assert chunk("# A\n\n## B\nb\n# C\nc") == [(0, ["A", "B"], "b"), (1, ["C"], "c")]
-    assert parse("---\ntitle: Hi\ntags:\n- a\n- b\n---\n[[x|y]] [[x]]\n```\n[[z]]\n```", "p/q.md")[::5] == ("Hi", "a, b")
-    assert parse("text\n# Head\n[[n#h|a]] `[[no]]`", "p/q.md")[0] == "Head" and parse("text", "p/q.md")[0] == "q"
-    assert split_front("---\nbroken\n---\nx") == (None, "---\nbroken\n---\nx", True)
+    assert chunk("   ### Deep ##\nd\n#no\n~~~\n# code\n~~~~ x\n# After\na") == [(0, ["Deep"], "d\n#no\n~~~\n# code\n~~~~ x"), (1, ["After"], "a")]
+
+
+def test_notes_are_parsed():
+    text = "---\ntitle: Hi\ntags:\n- a\n- B\n- 3\nwhen: 2024-01-02\nsize: .inf\n---\n[[x|y]] [[x]]\n```\n[[z]]\n```\n`[[w]]` [[n#h|a]]"
+    title, body, front, broken, links, tags = parse(text, "p/q.md")
+    assert (title, broken, links, tags) == ("Hi", False, ["x", "n"], ["a", "b"]) and body.startswith("[[x|y]]")
+    assert front == '{"size": "inf", "tags": ["a", "B", 3], "title": "Hi", "when": "2024-01-02"}'
+    assert parse("text\n## Sub\n# Head\n", "p/q.md")[0] == "Head" and parse("```\n# no\n", "p/q.r.md")[0] == "q.r"
+    for bad in ("---\nbroken\n---\nx", "---\na: [\n---\nx", "---\n- 1\n---\nx"):
+        assert split_front(bad) == (None, bad, True)
+    assert json_safe({1: (float("nan"), "a\x00", {2})}) == {"1": ["nan", "a", [2]]}
+    assert [tags_of(v) for v in (None, 5, {"a": 1}, "#A, b  ##c,a", ["X", 1, "#x", "y" * 101])] == [[], [], [], ["a", "b", "c"], ["x"]]
+    assert len(tags_of([f"t{k}" for k in range(70)])) == 64
 
 
 def test_web_search_takes_all_words_phrases_or_and_not(spark):
@@ -72,6 +87,11 @@ def test_moves_reconcile_and_upsert(spark):
     gone = spark.createDataFrame([("h", "a/b/x.md"), ("h", "c/x.md"), ("g", "z.md")], "hash string, path string")
     new = spark.createDataFrame([("h", "a/b/y.md"), ("h", "d/x.md"), ("q", "n.md")], "hash string, path string")
     assert sorted(map(tuple, ingest.pair_moves(gone, new).collect())) == [("a/b/x.md", "a/b/y.md"), ("c/x.md", "d/x.md")]
+    assert ingest.pair_moves(gone.limit(0), new).count() == 0
+    cases = [(["Projects/NAS/x.md", "Archive/x.md", "Projects/Other/x.md"], ["Projects/NAS/y.md"], [("Projects/NAS/x.md", "Projects/NAS/y.md")]), (["b/x.md", "a/x.md"], ["c/x.md"], [("a/x.md", "c/x.md")]), (["Note.md"], ["note.md"], [("Note.md", "note.md")])]
+    for old_paths, new_paths, want in cases:
+        frames = [spark.createDataFrame([("h", p) for p in paths], "hash string, path string") for paths in (old_paths, new_paths)]
+        assert [tuple(r) for r in ingest.pair_moves(*frames).collect()] == want
     old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1)], "path string, size int, mtime int")
     now = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("d", 1, 1)], "path string, size int, mtime int")
     assert {r.path: r.change for r in ingest.reconcile(old, now).collect()} == {"a": "same", "b": "changed", "c": "missing", "d": "new"}
@@ -147,10 +167,33 @@ def test_long_chains_are_whole(spark):
     assert {(r.child, r.parent): r.cycle for r in graph.would_cycle(links, proposed).collect()} == {(41, 1): True, (20, 10): True, (1, 41): False, (104, 110): True}
 
 
+def windows_by_hand(chunks, limit):
+    out, text, n = [], "", 0
+    for content in chunks:
+        rest = content
+        while True:
+            if text and len(text) + len(f"[c{n + 1}]\n") + len(rest) + 2 > limit:
+                out, text, n = [*out, text[:-2]], "", 0
+            room = max(limit - len(text) - len(f"[c{n + 1}]\n") - 2, 1)
+            n += 1
+            text += f"[c{n}]\n{rest[:room]}\n\n"
+            rest = rest[room:]
+            if not rest:
+                break
+            out, text, n = [*out, text[:-2]], "", 0
+    return [*out, text[:-2]] if text else out
+
+
 def test_windows_hold_their_size(spark):
-    chunks = spark.createDataFrame([(1, 1, "a" * 4), (1, 2, "b" * 6), (1, 3, "c"), (1, 4, "d" * 30), (1, 5, "e"), (2, 9, "")], "doc_id long, chunk_id long, content string")
-    rows = {r.chunk_id: (r.window, r.label, r["size"]) for r in graph.pack_windows(chunks, 10).collect()}
-    assert rows == {1: (0, "c1", 4), 2: (0, "c2", 6), 3: (1, "c1", 1), 4: (2, "c1", 10), 5: (3, "c1", 1), 9: (0, "c1", 0)}
+    notes = {1: ["a" * 4, "b" * 6, "c", "d" * 90, "e", ""], 2: [""], 3: ["x" * 18] * 15 + ["y" * 500, "z" * 3], 4: ["w"] * 40}
+    rows = [(d, k, c) for d, cs in notes.items() for k, c in enumerate(cs)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id long, content string")
+    got = {}
+    for r in graph.window_texts(chunks, 40).orderBy("doc_id", "window").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {d: windows_by_hand(cs, 40) for d, cs in notes.items()} and all(len(w) <= 40 for ws in got.values() for w in ws)
+    headed = graph.window_texts(spark.createDataFrame([(1, 1, "body", "Head")], "doc_id long, chunk_id long, content string, heading string"), 40)
+    assert headed.first().text == "[c1] Head\nbody"
 
 
 def test_output_filter_drops_and_never_repairs(spark):
@@ -161,9 +204,16 @@ def test_output_filter_drops_and_never_repairs(spark):
         '{"subject":"Box","relation":"uses","object":"Disk","chunk":"c12345"}]}'
     )
     rows = graph.filter_output(spark.createDataFrame([(1, good), (2, None), (3, "[")], "id int, output string")).orderBy("id").collect()
-    assert [(e.name, e.type, e.aliases, e.confidence) for e in rows[0].entities] == [("Disk", "device", ["d1"], 1.0), ("Box", "tool", None, 0.0)]
+    assert [(e.name, e.type, e.aliases, e.confidence) for e in rows[0].entities] == [("Disk", "device", ["d1"], 1.0), ("Box", "tool", [], 0.0)]
     assert [(r.subject, r.object, r.chunk, r.confidence) for r in rows[0].relations] == [("NOTE", "disk", "c1", 0.0), ("Box", "Disk", None, 0.0)]
-    assert all(not rows[i].entities and not rows[i].relations for i in (1, 2))
+    assert all(not rows[i].entities and not rows[i].relations for i in (1, 2)) and [r.summary for r in rows] == ["", None, None]
+    folded = (
+        '{"summary":" a  b ","entities":[{"name":"Straße","type":"topic","aliases":[" STRASSE ","X","ｘ",""],"confidence":"1"},{"name":"STRASSE","type":"tool"},{"name":"Box","type":"tool"}],'
+        '"relations":[{"subject":"strasse","relation":"uses","object":"BOX","chunk":"c1 "}]}'
+    )
+    row = graph.filter_output(spark.createDataFrame([(1, folded)], "id int, output string")).first()
+    assert row.summary == "a b" and [(e.name, e.aliases, e.confidence) for e in row.entities] == [("Straße", ["X"], 0.0), ("Box", [], 0.0)]
+    assert [(r.subject, r.object, r.chunk) for r in row.relations] == [("strasse", "BOX", None)]
 
 
 def test_flips_and_verdict(spark):
@@ -171,4 +221,33 @@ def test_flips_and_verdict(spark):
     b = spark.createDataFrame([(1, None), (2, 5), (3, None), (4, 1)], "query_id int, rank int")
     assert {(r.query_id, r.flip) for r in evaluation.flips(a, b).collect()} == {(1, "lost"), (2, "gained")}
     systems = spark.createDataFrame([("old", 0.6, 0.5, 90.0), ("new", 0.65, 0.5, 299.0), ("slow", 0.9, 0.9, 300.0), ("weak", 0.64, 0.9, 1.0)], "name string, recall double, mrr double, p95 double")
-    assert {r.name for r in evaluation.verdict(systems, systems.name == "old").where("wins").collect()} == {"new"}
+    judged = evaluation.verdict(systems, systems.name == "old").collect()
+    assert {r.name for r in judged if r.wins} == {"new"} == {r.name for r in judged if r.best}
+
+
+def test_bootstrap_is_paired_and_interpolated(spark):
+    import random
+
+    a, b = [1, None, 3, None, 2, 7, None], [None, None, 1, 2, None, 1, None]
+    rng, n = random.Random(20261002), len(a)
+    drawn = []
+    for _ in range(2000):
+        at = [rng.randrange(n) for _ in range(n)]
+        drawn.append(sum((a[k] is not None) - (b[k] is not None) for k in at) / n)
+    frame = lambda v: spark.createDataFrame([("new", k, x) for k, x in enumerate(v)], "system string, query_id int, rank int")
+    import numpy as np
+
+    got = evaluation.bootstrap(frame(a), frame(b)).first()
+    assert (got.low, got.high) == tuple(round(float(np.percentile(drawn, p)), 6) for p in (2.5, 97.5))
+    assert spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40)], "x double").agg(evaluation.percentile("x", 0.5)).first()[0] == 25.0
+
+
+def test_bake_off(spark):
+    queries = spark.createDataFrame([(k, [f"p{k}"]) for k in range(20)], "query_id int, targets array<string>")
+    found = lambda name, n: [(name, k, 1, f"p{k}" if k < n else "other") for k in range(20)]
+    runs = spark.createDataFrame(found("old", 10) + found("new", 15) + found("slow", 20), "system string, query_id int, position int, path string")
+    ms = spark.createDataFrame([(s, k, v) for s, v in (("old", 50.0), ("new", 60.0), ("slow", 300.0)) for k in range(20)], "system string, query_id int, ms double")
+    scores, intervals = evaluation.bake_off(queries, runs, ms, "old")
+    assert {r["name"]: (r.recall, r.p95, r.wins, r.best) for r in scores.collect()} == {"old": (0.5, 50.0, False, False), "new": (0.75, 60.0, True, True), "slow": (1.0, 300.0, False, False)}
+    assert {r.system for r in intervals.where("low > 0").collect()} == {"new", "slow"}
+    assert [tuple(r) for r in evaluation.missing_targets(queries.limit(2), spark.createDataFrame([("p0",)], "path string")).collect()] == [(1, "p1")]

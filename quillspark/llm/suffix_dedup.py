@@ -14,7 +14,7 @@ counts. Three digits are used (for 200 bytes: keys of 73, 185 and 200 bytes):
    whose common part, the next digit, is longer.
 3. What then is open is compared window by window, at full depth.
 
-Equality of whole bytes is judged by a 128-bit BLAKE2 digest of them. Groups are counted with a map-side combine; their
+Equality of whole bytes is judged by a 96-bit BLAKE2 digest of them. Groups are counted with a map-side combine; their
 members meet the results in a join where a group of more than a thousandth of all rows (a thousand such at most) is
 broadcast, so a passage in a third of all texts is never gathered in a task. Memory in a task follows a chunk of half a
 MB: longer texts are read in overlapping segments. Rows have numbers of their own.
@@ -45,6 +45,7 @@ from quillspark.llm.kernels import CHUNK_BYTES, Hasher, mix, rows_of, window_min
 
 PLACE_BITS = np.uint64(28)
 NARROW = 16
+DIGEST = 12
 
 
 def bundle_width(window: int) -> int:
@@ -96,7 +97,7 @@ def segments(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, n
 
 def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     view, blake = memoryview(data), hashlib.blake2b
-    return pa.array([blake(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
+    return pa.array([blake(view[a:b], digest_size=DIGEST).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
 
 
 def first_digit(window: int):
@@ -196,10 +197,9 @@ def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def members(rows: DataFrame, groups: DataFrame, by: list[str], size: str, total: int) -> DataFrame:
     """The rows whose group is among `groups`, which says how large each is: large groups are broadcast, not gathered."""
     large = F.col(size) > max(64, total // 1000)
-    hot = F.broadcast(groups.where(large).select(*by).withColumn("hot", F.lit(True)))
-    marked = rows.join(hot, by, "left")
-    cold = marked.where("hot IS NULL").join(groups.where(~large).select(*by), by, "left_semi")
-    return cold.unionByName(marked.where("hot")).select(*rows.columns)
+    hot = F.broadcast(groups.where(large).select(*by))
+    cold = rows.join(hot, by, "left_anti").join(groups.where(~large).select(*by), by, "left_semi")
+    return cold.select(*rows.columns).unionByName(rows.join(hot, by, "left_semi").select(*rows.columns))
 
 
 def radix_pass(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -207,7 +207,7 @@ def radix_pass(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]
 
     Equal bundles go on as one: settled if it has copies. Keys with one bundle, or with settled ones only, are done.
     """
-    total = rows.count()
+    total, first = rows.count(), scratch.n + 1
     groups = scratch.save(
         rows.groupBy("key", "whole").agg(
             F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "parent", "bundle")).alias("one"), F.min("settled").alias("settled")
@@ -217,7 +217,10 @@ def radix_pass(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]
     open_keys = scratch.save(groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(pending).alias("pending")).where("kinds > 1 AND pending").select("key", "kinds"))
     repeated = members(rows.where(~F.col("settled")), groups.where("copies > 1"), ["key", "whole"], "copies", total).select("row", "bundle")
     going = members(groups, open_keys, ["key"], "kinds", total).select("one.*", (~pending).alias("settled"))
-    return scratch.save(repeated), scratch.save(going)
+    out = scratch.save(repeated), scratch.save(going)
+    for number in (first, first + 1):
+        scratch.drop(number)
+    return out
 
 
 def compressed(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -232,12 +235,18 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, window: int) -> DataFrame
     at = scratch.n
     shared = scratch.save(first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = scratch.save(members(first, shared, ["key"], "n", first.count()).withColumns({"parent": F.col("bundle"), "settled": F.lit(False)}))
-    scratch.drop(at)
+    for number in (at, at + 1):
+        scratch.drop(number)
+    at = scratch.n
     found, going = radix_pass(scratch, rows)
+    scratch.drop(at)
     per_row = going.groupBy("row").agg(F.collect_list("bundle").alias("bundles"), F.collect_list("settled").alias("settled"))
     wide = scratch.save(texts.select("row", "z").join(per_row, "row").mapInArrow(contexts(window), "row long, bundle long, settled boolean, bytes binary"))
     schema = "key long, whole binary, row long, bundle long, parent long, settled boolean"
-    narrow, going = radix_pass(scratch, scratch.save(wide.mapInArrow(next_digit(window, NARROW), schema)))
+    cut = scratch.save(wide.mapInArrow(next_digit(window, NARROW), schema))
+    at = scratch.n
+    narrow, going = radix_pass(scratch, cut)
+    scratch.drop(at)
     parts = going.groupBy("row", "parent").agg(F.collect_list(F.struct("bundle", "settled")).alias("parts"))
     last = scratch.save(
         wide.drop("settled").withColumnRenamed("bundle", "parent").join(parts, ["row", "parent"])

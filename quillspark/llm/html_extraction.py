@@ -12,7 +12,8 @@ adaptive execution splits or broadcasts by size.
 
 Defined results: null or empty html and pages without text give an empty string; a page with a null or odd url has no
 host and uses its own path; repeated rows are extracted each; other columns are ignored; an empty table gives no rows;
-very long pages are parsed whole. Unclosed elements end with their parents, truncated pages with the page.
+very long pages are parsed whole. Unclosed elements end with their parents, truncated pages with the page. Where names
+leave nothing of a page, an <article> or <main> below a part so named counts after all.
 """
 
 from __future__ import annotations
@@ -34,21 +35,26 @@ from quillspark.llm.kernels import rows_of
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|select|object|canvas|noembed|title"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = "script|style|noscript|template|textarea|iframe|svg|select|canvas|noembed|title|annotation|annotation-xml"
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle mspace".split())
 LEFT_OUT = frozenset("nav footer aside form button dialog head menu".split())
 HEADER = "header"
 
 # What names of classes and ids say about a part of a page that isn't the article.
-OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|notices?|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|paywall|sidebar|side|aside|menu|nav(?:bar|igation)?|breadcrumbs?|pagination|pager|toolbar|topbar|header|footer|foot|"
-    r"comments?|commentlist|disqus|replies|discussion|share|sharing|social|follow|related|recommended|recommendations|trending|widget|tags|copyright|legal)(?:$|[\s_-])",
-    re.I,
+OUTSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion promotions banner banners cookie cookies consent notice notices alert popup modal overlay "
+    "newsletter subscribe signup paywall sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar header footer foot "
+    "comment comments commentlist disqus replies discussion share sharing social follow related recommended recommendations trending widget widgets tags copyright legal".split()
 )
+# Parts of an article, and what stands before or after a name that only says how a page is laid out.
+CONTENT = frozenset("article content entry main post page story text title body section".split())
+LAYOUT = frozenset("has with without no is layout".split())
+NAME_PART = re.compile(r"[a-z]+")
+
+
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*/>|<(?P<raw>" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*/>|<(?P<raw>" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -57,8 +63,29 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SPACE = re.compile(r"\s+")
 
 
+def outside_name(name: str, in_article: bool) -> bool:
+    """Whether one class or id says that its element isn't part of the article.
+
+    A name of several parts does so by its first or last part; "has-sidebar" and "sidebar-layout" speak of the page, and
+    the header of an article belongs to it.
+    """
+    parts = NAME_PART.findall(name.lower())
+    if not parts or parts[0] in LAYOUT or parts[-1] in LAYOUT:
+        return False
+    if parts[-1] == "header" and (in_article or len(parts) > 1 and parts[0] in CONTENT - {"page", "main"}):
+        return False
+    if parts[0] in OUTSIDE:
+        return True
+    return parts[-1] in OUTSIDE and (len(parts) == 1 or not (parts[-1] in ("side", "legal", "notice", "notices") and in_article))
+
+
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(container path, text) of the blocks that may belong to the article, in page order."""
+    return parsed(page, False) or (parsed(page, True) if re.search(r"<(?:article|main)\b", page, re.I) else [])
+
+
+def parsed(page: str, reopen: bool) -> list[tuple[str, str]]:
+    """reopen: an <article> or <main> counts also below a part that isn't of the article by its name."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, path, left out
     parts: list[str] = []
@@ -77,10 +104,12 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             parts.append(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
-        if not tag or tag in INLINE and not m["rest"]:
+        if not tag or tag in INLINE and not m["rest"] and not m["close"] and not skip:
             continue
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
+                if tag in INLINE and stack[k][0] not in INLINE:
+                    break
                 if stack[k][0] == tag:
                     if tag not in INLINE:
                         end_block()
@@ -89,15 +118,19 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                     break
             continue
         names = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m["rest"])} if m["rest"].strip(" /") else {}
+        in_article = any(t[0] in ("article", "main") for t in stack)
+        if reopen and skip and tag in ("article", "main") and not any(t[0] in LEFT_OUT for t in stack):
+            skip = False
         outside = (
-            skip or tag in LEFT_OUT or tag == HEADER and not any(t[0] in ("article", "main") for t in stack)
+            skip or tag in LEFT_OUT or tag == HEADER and not in_article
             or tag not in ("html", "body", "article", "main") and bool(names) and (
-                bool(OUTSIDE.search(f"{names.get('class', '')} {names.get('id', '')}")) or names.get("role", "").lower() in ROLES
+                any(outside_name(n, in_article) for n in f"{names.get('class', '')} {names.get('id', '')}".split()) or names.get("role", "").lower() in ROLES
                 or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
             )
         )
         if tag in INLINE:
-            if outside and not skip:  # a marked inline part, such as a share link, is left out up to its end
+            # a marked inline part, such as a share link, is left out up to its end, which those like it inside don't make
+            if outside and (not skip or any(t[0] == tag for t in stack)):
                 stack.append((tag, path, True))
                 skip = True
             continue

@@ -3,8 +3,9 @@
 Every rolling pair of words is hashed. Pairs whose hash may belong to a template (a literal bitmap of bounded size)
 meet the template positions in a broadcast join; the templates are a fixed library. A hit votes for the diagonal
 "word position in the text minus position in the template". A base phrase is there where a diagonal has all its pairs
-in a row. For longer templates, neighbouring diagonals (words inserted, left out or changed) are merged, and a merged
-span is verified by how much of the template it covers and how far it is stretched.
+in a row. For longer templates, the diagonals within `slack` of one (words inserted, left out or changed) are merged with
+it, and the merged span is verified: its votes are read in the order of the text, only those that go forward in the
+template count, and they must cover enough of it within a bounded stretch. The best of neighbouring spans stays.
 
 Defined results: a null or empty text has no words; repeated rows each get a row, with equal results; an
 empty table gives no rows; other columns are ignored; very long texts are scanned whole; of overlapping spans all count.
@@ -17,30 +18,95 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import ascii_lower, require
 
-BITS = 1 << 16
+BITS = 1 << 18
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Fixed phrases of the contract and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Wordings of well-known licenses and notices.
+# Fixed wordings of well-known licenses and notices, as words of the contract's kind.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"],
-    "mit": [
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "afl-3.0": ["licensed under the academic free license version 3 0"],
+    "agpl": [
+        "under the terms of the gnu affero general public license as published by the free software foundation",
+        "you should have received a copy of the gnu affero general public license along with this program",
+    ],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "see the license for the specific language governing permissions and limitations under the license",
+        "licensed to the apache software foundation under one or more contributor license agreements",
+    ],
+    "artistic-2.0": ["this package is free software you can redistribute it and or modify it under the terms of the artistic license 2 0"],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "use of this source code is governed by a bsd style license that can be found in the license file",
+    ],
+    "bsl-1.0": ["distributed under the boost software license version 1 0"],
+    "cc-by": [
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        "this work is licensed under the creative commons attribution 4 0 international license",
+        "open access article distributed under the terms of the creative commons attribution license which permits unrestricted use distribution and reproduction in any medium provided the original work is properly cited",
+    ],
+    "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial sharealike 4 0 international license"],
+    "cc-by-nd": ["licensed under cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
+    "cc-by-sa": [
+        "licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license",
+        "text is available under the creative commons attribution sharealike license additional terms may apply",
+    ],
+    "cc0": [
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "dedicated to the public domain under the creative commons cc0 1 0 universal public domain dedication",
+    ],
+    "epl-2.0": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution",
     ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "eupl": ["licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl"],
+    "gfdl": ["permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"],
     "gpl": [
         "this work is licensed under the gnu general public license version",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "either version 2 of the license or at your option any later version", "either version 3 of the license or at your option any later version",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "you should have received a copy of the gnu general public license along with this program",
+        "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "lgpl": [
+        "under the terms of the gnu lesser general public license as published by the free software foundation",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license",
+    ],
+    "mit": [
+        "released under the mit license", "licensed under the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise",
+    ],
+    "mpl-2.0": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
+    ],
+    "ms-pl": ["this license governs use of the accompanying software if you use the software you accept this license if you do not accept the license do not use the software"],
+    "odbl": ["made available under the open database license any rights in individual contents of the database are licensed under the database contents license"],
+    "ofl-1.1": ["this font software is licensed under the sil open font license version 1 1"],
+    "psf": ["the python software foundation grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ],
+    "wtfpl": ["do what the fuck you want to public license"],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     ],
-    "lgpl": ["under the terms of the gnu lesser general public license as published by the free software foundation"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
-    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 
 
@@ -59,14 +125,14 @@ def library(spark: SparkSession, base: dict[str, str], templates: dict[str, list
 
 
 def bitmap(rows: DataFrame) -> Column:
-    """Literal bits of the library's pair hashes: a few hundred of 65,536."""
+    """Literal bits of the library's pair hashes: some 1,200 of 262,144."""
     on = {r[0] for r in rows.select(F.pmod(F.xxhash64("a", "b"), F.lit(BITS)).cast("int")).distinct().collect()}
     return F.split(F.lit(",".join("1" if k in on else "" for k in range(BITS))), ",")
 
 
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates: dict[str, list[str]] = TEMPLATES,
-    slack: int = 3, covered: float = 0.75, stretch: float = 1.5,
+    slack: int = 4, covered: float = 0.75, stretch: float = 1.5,
 ) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score and the verified spans of each row."""
     spark = docs.sparkSession
@@ -84,22 +150,25 @@ def license_scan(
     found = found.select("row", "doc_id", "n_words", "hit.*").join(F.broadcast(known), ["a", "b"], "left")
     # votes of each diagonal, by the number of the row in its partition: ids may repeat
     key = ["row", "doc_id", "n_words"]
-    place = F.struct("at", "i")
+    place = F.struct("i", "at")
     lines = found.groupBy(*key, "template", "label", "is_base", "n_pairs", (F.col("i") - F.col("at")).alias("diagonal")).agg(F.collect_set(place).alias("votes"))
-    # neighbouring diagonals of a template become one span; base phrases stay on one
-    by = Window.partitionBy(*key, "template").orderBy("diagonal")
-    fresh = F.col("is_base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > slack, F.lit(True))
-    spans = (
-        lines.withColumn("span", F.sum(fresh.cast("int")).over(by)).groupBy(*key, "template", "label", "is_base", "n_pairs", "span")
-        .agg(F.flatten(F.collect_list("votes")).alias("votes"))
-        .select(
-            *key, "label", "is_base", "n_pairs",
-            (F.size(F.array_distinct(F.transform("votes", lambda v: v["at"]))) / F.col("n_pairs")).alias("cover"),
-            F.array_min(F.transform("votes", lambda v: v["i"])).alias("first"), (F.array_max(F.transform("votes", lambda v: v["i"])) + 1).alias("last"),
-        )
+    # a diagonal and its neighbours; base phrases stay on one
+    near = Window.partitionBy(*key, "template").orderBy("diagonal").rangeBetween(-slack, slack)
+    merged = F.array_sort(F.when(F.col("is_base"), F.col("votes")).otherwise(F.flatten(F.collect_list("votes").over(near))))
+    spans = lines.select(*key, "template", "label", "is_base", "n_pairs", "diagonal", merged.alias("votes"))
+    # votes that go forward in the template, in the order of the text
+    forward = F.aggregate(
+        "votes", F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n")),
+        lambda s, v: F.when(v["at"] > s["at"], F.struct(v["at"].alias("at"), (s["n"] + 1).alias("n"))).otherwise(s), lambda s: s["n"],
+    )
+    spans = spans.select(
+        *key, "template", "label", "is_base", "n_pairs", "diagonal", (forward / F.col("n_pairs")).alias("cover"),
+        F.get("votes", 0)["i"].alias("first"), (F.element_at("votes", -1)["i"] + 1).alias("last"),
     )
     valid = F.col("is_base") & (F.col("cover") == 1) | ~F.col("is_base") & (F.col("cover") >= covered) & (F.col("last") - F.col("first") <= stretch * F.col("n_pairs") + slack)
-    spans = spans.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    best = F.max(F.when(F.coalesce(valid, F.lit(False)), F.struct("cover", -F.col("diagonal")))).over(near)
+    own = F.struct(F.col("cover"), -F.col("diagonal"))
+    spans = spans.withColumn("valid", F.coalesce(valid & (F.col("is_base") | own.eqNullSafe(best)), F.lit(False)))
     is_base = F.col("valid") & F.col("is_base")
     labels = F.array_join(F.array_sort(F.collect_set(F.when(F.col("valid"), F.col("label")))), ",")
     result = spans.groupBy(*key).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 
 from quillspark.llm.embedding_dedup import near_vectors
 from quillspark.llm.html_extraction import extract_pages
-from quillspark.llm.license_scan import BASE, license_scan
+from quillspark.llm.license_scan import BASE, TEMPLATES, license_scan
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>'
@@ -47,6 +47,25 @@ def test_extraction_keeps_whole_articles(spark):
     assert got == {k: v.split() for k, v in want.items()}
 
 
+def test_extraction_by_names(spark):
+    body = "body " * 40
+    cases = {
+        "<p>Before <a class='share'>Share</a> after text.</p>" + body: "Before after text. " + body,
+        f"<p>One <span class='share'>no <span>no</span> no</span> two <b>three</b></b> four</p>{body}": "One two three four " + body,
+        f"<div class='content has-sidebar'><article><p>{body}</p></article></div>": body,
+        f"<div class='sidebar-layout'><div class='post'><p>{body}</p></div><div class='sidebar-right'>no</div></div>": body,
+        f"<article><div class='article-header'><h1>Title</h1></div><p>{body}</p><div class='entry-footer'>no</div><div class='post-comments'><p>no</p></div></article>": "Title " + body,
+        f"<article><p>{body}<math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><object><p>kept</p></object></article>": body + "x=2 kept",
+        f"<div class='sidebar'><article><p>{body}</p></article></div>": body,
+        "<div class='ad'>buy</div><nav>menu</nav>": "",
+        f"<article><p class='legal-notice'>{body}</p></article>": "",
+        f"<article><p>{body * 3000}</p></article>": body * 3000,
+    }
+    rows = [(k, f"http://h{k}.example/", f"<html><body>{x}</body></html>") for k, x in enumerate(cases)]
+    got = {r.page_id: r.text.split() for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: v.split() for k, v in enumerate(cases.values())}
+
+
 def test_extraction_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html
@@ -99,6 +118,17 @@ def test_vectors_match_brute_force(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_recall_at_the_defaults_on_given_vectors(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rng = np.random.default_rng(7)
+    rows = [(r.vec_id, r.embedding, r.label) for r in vectors.collect()]
+    near = [(10_000 + k, [float(np.float32(x)) for x in np.array(v) + rng.standard_normal(len(v)) * 0.02 * np.linalg.norm(v)], lab) for k, (_, v, lab) in enumerate(rows)]
+    truth = brute_vectors(rows + near)
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows + near, "vec_id long, embedding array<float>, label int"), leaf_rows=32).collect()}
+    there = sum(n for n, _ in truth.values())
+    assert there > 400 and there >= sum(got.values()) >= 0.99 * there
+
+
 def test_vectors_of_every_dimension_and_every_row(spark):
     rng = np.random.default_rng(6)
     rows = []
@@ -151,3 +181,21 @@ def test_merged_diagonals_find_changed_wordings(spark):
     }
     rows = license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.labels for r in rows} == {1: "mit", 2: "", 3: "cc-by,cc-by-nc"}
+
+
+def test_every_template_is_found_and_only_in_its_order(spark):
+    rng = random.Random(3)
+    wanted = [(label, phrase) for label, phrases in TEMPLATES.items() for phrase in phrases]
+    noise = lambda n: " ".join(rng.choice(["und", "the", "of", "software", "license", "der"]) for _ in range(n))
+    texts = [f"{noise(60)}. {phrase.upper()}! {noise(60)}" for _, phrase in wanted]
+    backward = [" ".join(reversed(phrase.split())) for _, phrase in wanted if len(phrase.split()) > 9]
+    halves = ["any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction " * 30 + "permission is hereby granted free of charge to"]
+    long_text = noise(30_000) + " " + wanted[1][1]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(list(enumerate([*texts, *backward, *halves, long_text])), "doc_id long, text string")).collect()}
+    for k, (label, phrase) in enumerate(wanted):
+        assert label in got[k].labels.split(","), (label, phrase)
+        spans = [s for s in got[k].spans if s["label"] == label and abs(s["first"] - 60) <= 4]
+        assert spans and any(abs(s["last"] - (60 + len(phrase.split()) - 1)) <= 5 for s in spans)
+    assert all(not got[len(wanted) + k].labels for k in range(len(backward)))
+    assert wanted[1][0] in got[len(texts) + len(backward) + 1].labels.split(",")
+    assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from quillspark.llm.common import require
 
 DECAY, LENGTH, WIDEST = 0.6, 4, 32
+SHORTEST, LONGEST = 3, 12  # letters of a landmark
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
 
 
@@ -89,14 +90,20 @@ class Likeness:
 
     def __init__(self, landmarks: list[str], bound: int = 600_000):
         self.landmarks, self.bound = landmarks, bound
-        self.masks = [self.mask(letters([t]))[0] for t in landmarks]
-        self.need = [min(LENGTH, len(set(t))) for t in landmarks]
+        self.alphabet = np.array(sorted({ord(c) for t in landmarks for c in t}), np.uint32)
+        self.needs = [
+            (np.searchsorted(self.alphabet, [ord(c) for c in own]), np.array([t.count(c) for c in own], np.int16), min(LENGTH, len(t)))
+            for t, own in ((t, sorted(set(t))) for t in landmarks)
+        ]
         self.known: dict[str, np.ndarray | None] = {}
 
-    @staticmethod
-    def mask(codes: np.ndarray) -> np.ndarray:
-        bits = np.where(codes > 0, np.uint64(1) << (codes & np.uint32(63)).astype(np.uint64), np.uint64(0))
-        return np.bitwise_or.reduce(bits, axis=1)
+    def counts(self, codes: np.ndarray) -> np.ndarray:
+        """How often each word holds each letter of the landmarks."""
+        at = np.minimum(np.searchsorted(self.alphabet, codes), max(0, len(self.alphabet) - 1))
+        row, column = np.nonzero(self.alphabet[at] == codes) if len(self.alphabet) else (np.zeros(0, int), np.zeros(0, int))
+        out = np.zeros((len(codes), len(self.alphabet)), np.int16)
+        np.add.at(out, (row, at[row, column]), 1)
+        return out
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > self.bound:
@@ -111,14 +118,14 @@ class Likeness:
             # a long word is read in overlapping parts: no likeness spans more than half of one
             parts = [(w, w[a : a + WIDEST]) for w in group for a in range(0, max(1, len(w) - WIDEST // 2), WIDEST // 2)]
             codes = letters([x for _, x in parts])
-            masks = self.mask(codes)
+            counts = self.counts(codes)
             found: dict[str, np.ndarray] = {}
             for j, t in enumerate(self.landmarks):
-                at = np.flatnonzero(np.bitwise_count(masks & self.masks[j]) >= self.need[j])
+                # a common subsequence of p letters needs p letters in common, repeats counted
+                own, times, p = self.needs[j]
+                at = np.flatnonzero(np.minimum(counts[:, own], times).sum(axis=1) >= p)
                 if len(at):
-                    p = min(LENGTH, len(t))
-                    own = raw_kernel(letters([t]), t, p)[0]
-                    k = np.minimum(1, raw_kernel(codes[at], t, p) / own)
+                    k = np.minimum(1, raw_kernel(codes[at], t, p) / raw_kernel(letters([t]), t, p)[0])
                     for a, x in zip(at[k > 0.05], k[k > 0.05], strict=True):
                         row = found.setdefault(parts[a][0], np.zeros(len(self.landmarks)))
                         row[j] = max(row[j], x)
@@ -148,10 +155,31 @@ class Likeness:
         return out
 
 
-def copy_key(text: str | None) -> int:
-    """One MinHash value of the text's word triples: near copies mostly share it and then count once."""
-    words = (text or "").lower().split()
-    return min((zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))), default=0)
+def copy_groups(texts: list[str | None], pairs: int = 4) -> list[int]:
+    """A number for each text that near copies share: texts with one of some pairs of MinHash values of word triples in common."""
+    root = list(range(len(texts)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    first: dict[tuple[int, ...], int] = {}
+    for n, text in enumerate(texts):
+        words = (text or "").lower().split()
+        triples = np.array([zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))], np.uint64)
+        least = [int(((triples * np.uint64(2 * v + 0x9E3779B1) + np.uint64(v)) & np.uint64(0xFFFFFFFF)).min()) for v in range(2 * pairs)]
+        for v in range(0, 2 * pairs, 2):
+            other = top(first.setdefault((v, *least[v : v + 2]), n))
+            root[max(other, top(n))] = min(other, top(n))
+    return [top(n) for n in range(len(texts))]
+
+
+def marks_of(text: str | None) -> set[str]:
+    """Words and beginnings of words."""
+    words = {w.strip(".,;:!?\"'()") for w in (text or "").lower().split()}
+    return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
 def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int, chance: float = 0.5) -> list[str]:
@@ -160,20 +188,16 @@ def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int, chan
     A string needs so many toxic texts (near copies count once) that fewer than `chance` strings would reach that by
     accident. Of strings in much the same texts, the one with the most texts, then the longest, stands for all.
     """
-    marks = []
-    for t in texts:
-        words = {w.strip(".,;:!?\"'()") for w in (t or "").lower().split()}
-        marks.append({w[:n] for w in words for n in {*range(4, min(len(w), 12) + 1)}})
-    good = Counter(x for m, y in zip(marks, toxic, strict=True) if not y for x in m)
-    bad = Counter(x for m, y in zip(marks, toxic, strict=True) if y for x in m)
+    good, bad = Counter(), Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        (bad if y else good).update(marks_of(t))
     rate = min(0.5, max(1e-3, float(toxic.mean()) if len(toxic) else 0.5))
     least = max(3, math.ceil(math.log(max(2, len(bad)) / chance) / -math.log(rate)))
     holders: dict[str, set[int]] = {x: set() for x, n in bad.items() if n >= least and n >= 9 * good[x]}
-    keys = [copy_key(t) if y else 0 for t, y in zip(texts, toxic, strict=True)]
-    for k, m in enumerate(marks):
-        if toxic[k]:
-            for x in m & holders.keys():
-                holders[x].add(keys[k])
+    for group, t, y in zip(copy_groups(texts), texts, toxic, strict=True):
+        if y:
+            for x in marks_of(t) & holders.keys():
+                holders[x].add(group)
     chosen: list[str] = []
     for x in sorted((x for x in holders if len(holders[x]) >= least), key=lambda x: (-len(holders[x]), -len(x), x)):
         if len(chosen) < most and not any(len(holders[x] & holders[c]) > 0.7 * len(holders[x]) for c in chosen):
@@ -181,7 +205,7 @@ def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int, chan
     return chosen
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, most_landmarks: int = 48, cost: float = 1000.0, rounds: int = 4) -> Model:
+def fit(texts: list[str | None], toxic: np.ndarray, most_landmarks: int = 96, cost: float = 1000.0, rounds: int = 4) -> Model:
     landmarks = choose_landmarks(texts, toxic, most_landmarks)
     if not landmarks:
         return Model([], np.zeros(0), -1.0, 0.0, -50.0)
@@ -232,15 +256,16 @@ def platt(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 4000, longest: int = 1 << 16) -> Model:
     """Fits on some sample_rows labelled documents (chosen by a hash of the id), never on held-out ids.
 
-    The sampled ids are at most twice sample_rows and are broadcast to the scan of the texts.
+    The sampled ids are at most twice sample_rows and are broadcast to the scan of the texts; texts of more than
+    `longest` bytes aren't learnt from, so the driver holds a bounded number of bytes.
     """
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("id"))).dropDuplicates(["id"])
     n = usable.count()
     draw = usable.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample_rows / max(1, n))))).limit(2 * sample_rows)
-    rows = require(docs, [id_col, text_col]).toDF("id", "text").join(F.broadcast(draw), "id").select("text", "y").toPandas()
+    rows = require(docs, [id_col, text_col]).toDF("id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(F.broadcast(draw), "id").select("text", "y").toPandas()
     rows = rows.assign(key=[hash_text(t) for t in rows.text]).sort_values("key").drop_duplicates(["key", "y"])
     return fit(rows.text.tolist(), rows.y.to_numpy() == 1)
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 MAX_BYTES = 1 << 20
+BUCKETS = 64  # parts of a table by its key
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -48,23 +49,49 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 
 def read_notes(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """text, hash and read_error of each file: UTF-8 without NUL and BOM, line ends as \\n, NFC."""
+    """text, hash and read_error of each file: UTF-8 without NUL and BOM, line ends as \\n, NFC.
+
+    The content of a file above max_bytes isn't read: the filter on its length reaches the scan.
+    """
+    raw = raw.where(F.col("length") <= max_bytes).unionByName(raw.where(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary")))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    plain = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
+    plain = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n")
     error = F.when(F.col("length") > max_bytes, "too_large").when(text.isNull() | F.contains(text, F.lit("\x00")), "encoding")
     out = raw.withColumn("read_error", error).withColumn("text", F.when(error.isNull(), nfc(plain)))
     mtime = F.unix_micros("modificationTime")
     digest = (
-        F.when(F.col("read_error") == "too_large", F.sha2(F.concat_ws(":", F.lit("too_large"), F.col("length"), mtime).cast("binary"), 256))
+        F.when(F.col("read_error") == "too_large", F.sha2(F.concat_ws(":", F.lit("too_large"), F.col("length"), mtime * 1000).cast("binary"), 256))
         .when(F.col("read_error") == "encoding", F.sha2("content", 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256))
     )
     return out.select("path", F.col("length").alias("size"), mtime.alias("mtime"), "text", digest.alias("hash"), "read_error")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def by_bucket(df: DataFrame, key: str = "path") -> DataFrame:
+    """Adds the part of a table that a key belongs to."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
 def append_missing(spark: SparkSession, new: DataFrame, path: str, key: list[str]) -> None:
-    """Appends rows whose key the table lacks: replays add nothing."""
-    new = new.dropDuplicates(key)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-        new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    new.write.mode("append").parquet(path)
+    """Appends rows whose key the table lacks: replays add nothing. Only the parts of the table that these keys lie in are read."""
+    new = by_bucket(new.dropDuplicates(key), key[0])
+    if exists(spark, path):
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]
+        known = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*key)
+        new = new.join(known, key, "left_anti")
+    new.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def snapshot(sources: DataFrame, revisions: DataFrame, chunks: DataFrame, folder: str) -> None:
+    """Live sources with their current revisions and chunks as Parquet tables; the texts of revisions are left blank."""
+    live = sources.where("deleted_at IS NULL AND current_revision_id IS NOT NULL")
+    current = live.select(F.col("current_revision_id").alias("id"))
+    states = revisions.join(current, "id", "left_semi")
+    if "raw_text" in states.columns:
+        states = states.withColumn("raw_text", F.lit(""))
+    for name, df in {"sources": live, "revisions": states, "chunks": chunks.join(current.withColumnRenamed("id", "revision_id"), "revision_id", "left_semi")}.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -1,13 +1,20 @@
-"""Incremental ingestion: the file source, micro-batches, and tables that a replay leaves as they are."""
+"""Incremental ingestion: the file source, micro-batches, tables that a replay leaves as they are, and state per note."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.functions.markdown import chunk_note, parse_note
-from quillspark.sources.vault import append_missing, files, read_notes
+from quillspark.operators.graph import written
+from quillspark.sources.vault import append_missing, by_bucket, exists, files, read_notes
+
+CHUNK = "path string, hash string, title string, tags array<string>, ordinal int, headings array<string>, content string"
 
 
 def index_notes(notes: DataFrame) -> DataFrame:
@@ -16,12 +23,65 @@ def index_notes(notes: DataFrame) -> DataFrame:
     return parsed.select("path", "hash", "note.title", "note.tags", F.explode(chunk_note("note.body")).alias("chunk")).select("path", "hash", "title", "tags", "chunk.*")
 
 
-def watch(spark: SparkSession, root: str, tables: str, checkpoint: str) -> StreamingQuery:
-    """Ingests what is new below root, once: revisions by path and hash, chunks by path, hash and ordinal."""
+def replace_chunks(spark: SparkSession, notes: DataFrame, path: str) -> None:
+    """The chunks of these notes instead of those that the table has of the same paths.
+
+    Only the parts of the table that hold these paths are read and written anew, each as a whole, so a replay gives the
+    same table.
+    """
+    fresh = by_bucket(index_notes(notes))
+    touched = [r[0] for r in by_bucket(notes.select("path")).select("bucket").distinct().collect()]
+    if exists(spark, path) and touched:
+        old = spark.read.schema(CHUNK + ", bucket int").parquet(path).where(F.col("bucket").isin(touched))
+        fresh = written(fresh.unionByName(old.join(notes.select("path").distinct(), "path", "left_anti")))
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def watch(spark: SparkSession, root: str, tables: str, checkpoint: str, excluded: list[str] | None = None, every: str | None = None) -> StreamingQuery:
+    """Ingests what is new below root, once or at intervals (such as "15 minutes"): revisions by path and hash, and the
+    chunks of each note's newest state. Each batch is read and parsed once."""
 
     def batch(raw: DataFrame, _: int) -> None:
-        notes = read_notes(raw)
+        notes = written(read_notes(raw))
         append_missing(spark, notes.select("path", "hash", "size", "mtime", "read_error"), f"{tables}/revisions", ["path", "hash"])
-        append_missing(spark, index_notes(notes), f"{tables}/chunks", ["path", "hash", "ordinal"])
+        replace_chunks(spark, notes, f"{tables}/chunks")
+
+    writer = files(spark, root, excluded, streaming=True).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+STATE = "current string, state string, known array<string>, deleted boolean"
+OUTCOME = "path string, hash string, outcome string, queued boolean"
+
+
+def observe(observations: DataFrame) -> DataFrame:
+    """path, hash, outcome and queued of each observation (path, hash or null for a vanished note, read_error, seen_at) of a stream.
+
+    Each note's state is its current content, what became of it, the contents it had, and whether it is deleted. A new
+    content is new, or failed if it couldn't be read; the current one is unchanged, or restored after a deletion; an
+    older one is queued again.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        current, status, known, deleted = state.get if state.exists else (None, None, [], False)
+        known, rows = list(known), []
+        for r in pd.concat(list(frames)).sort_values("seen_at", kind="stable").itertuples():
+            bad = isinstance(r.read_error, str)
+            if not isinstance(r.hash, str):
+                outcome, queued, deleted = "deleted", False, True
+            elif r.hash not in known:
+                outcome, queued = ("failed", False) if bad else ("new", True)
+                known, deleted = [*known, r.hash], False
+                current, status = r.hash, "failed" if bad else "indexed"
+            elif r.hash == current and status == "failed" and bad:
+                outcome, queued, deleted = "unchanged", False, False
+            elif r.hash == current and not deleted:
+                outcome, queued = "unchanged", False
+            else:
+                outcome, queued = "restored" if r.hash == current else "requeued", True
+                current, status, deleted = r.hash, "indexed", False
+            rows.append((key[0], r.hash if isinstance(r.hash, str) else None, outcome, queued))
+        state.update((current, status, known, deleted))
+        yield pd.DataFrame(rows, columns=["path", "hash", "outcome", "queued"])
 
-    return files(spark, root, streaming=True).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return observations.groupBy("path").applyInPandasWithState(step, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)

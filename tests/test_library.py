@@ -131,6 +131,116 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
     assert [(r.path, r.title, r.content) for r in spark.read.parquet(f"{tmp_path}/tables/chunks").collect()] == [("a.md", "T", "body é")]
 
 
+def test_edited_notes_lose_their_old_chunks(spark, tmp_path):
+    from quillspark.streaming.ingest import watch
+
+    root = tmp_path / "vault"
+    root.mkdir()
+    (root / "a.md").write_text("# One\nfirst")
+    (root / "big.md").write_text("x" * (1 << 21))
+    (root / "b.md").write_text("stays")
+    watch(spark, str(root), f"{tmp_path}/t", f"{tmp_path}/c", ["skip/**"]).awaitTermination()
+    (root / "edit.md").write_text("second")
+    (root / "a.md").unlink()
+    (root / "edit.md").rename(root / "a.md")
+    for n in range(2):
+        watch(spark, str(root), f"{tmp_path}/t", f"{tmp_path}/c{n}", ["skip/**"]).awaitTermination()
+    assert sorted((r.path, r.content) for r in spark.read.parquet(f"{tmp_path}/t/chunks").collect()) == [("a.md", "second"), ("b.md", "stays")]
+    assert sorted((r.path, r.read_error or "") for r in spark.read.parquet(f"{tmp_path}/t/revisions").collect()) == [("a.md", ""), ("a.md", ""), ("b.md", ""), ("big.md", "too_large")]
+
+
+def test_states_of_notes_in_a_stream(spark, tmp_path):
+    import json
+
+    from quillspark.streaming.ingest import observe
+
+    steps = [("a", "h1", None), ("a", "h1", None), ("a", "h2", None), ("a", "h1", None), ("a", None, None), ("a", "h1", None), ("b", "x", "encoding"), ("b", "x", "encoding")]
+    (tmp_path / "in").mkdir()
+    schema = "path string, hash string, read_error string, seen_at long"
+    found = []
+    for part in (steps[:3], steps[3:]):
+        at = len(list((tmp_path / "in").iterdir())) * 100
+        (tmp_path / "in" / f"{at}.json").write_text("\n".join(json.dumps({"path": p, "hash": h, "read_error": e, "seen_at": at + k}) for k, (p, h, e) in enumerate(part)))
+        stream = observe(spark.readStream.schema(schema).json(f"{tmp_path}/in"))
+        stream.writeStream.format("json").option("checkpointLocation", f"{tmp_path}/ck").option("path", f"{tmp_path}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("path string, hash string, outcome string, queued boolean").json(f"{tmp_path}/out").collect()
+    assert sorted(r.outcome for r in found if r.path == "a") == sorted(["new", "unchanged", "new", "requeued", "deleted", "restored"])
+    assert sorted(r.outcome for r in found if r.path == "b") == ["failed", "unchanged"] and not any(r.queued for r in found if r.path == "b")
+
+
+def test_query_sets_report_every_error(spark, tmp_path):
+    from quillspark.sources.queryset import load
+
+    def write(text):
+        (tmp_path / "q.yaml").write_text(text)
+        return str(tmp_path / "q.yaml")
+
+    good = load(spark, write("version: 1\nqueries:\n- {id: a-1, q: ' where ', lang: en, kind: topic, targets: [' n.md ']}\n")).first()
+    assert (good.query_id, good.q, good.targets) == ("a-1", "where", ["n.md"])
+    with pytest.raises(ValueError) as e:
+        load(spark, write("version: 1\nqueries:\n- {id: A, q: '', lang: de, kind: no, targets: []}\n- 5\n- {id: b, q: x, lang: pl, kind: topic, targets: [t]}\n- {id: b, q: x, lang: pl, kind: topic, targets: [t]}\n"))
+    assert len(str(e.value).split("\n")) == 7 and "b: duplicate id" in str(e.value) and "#1: entry must be a mapping" in str(e.value)
+    for text in ("version: 2\nqueries: []", "- 1", "a: ["):
+        with pytest.raises(ValueError):
+            load(spark, write(text))
+    with pytest.raises(ValueError):
+        load(spark, str(tmp_path / "none.yaml"))
+
+
+def test_cursors_pages_and_filters(spark):
+    from quillspark.operators import paging
+
+    assert paging.decode_cursor(paging.encode_cursor(3, "ü/é"), (int, str)) == (3, "ü/é")
+    for bad in ("!", "", "e30", "WzFd" * 900, "é", paging.encode_cursor("x")):
+        with pytest.raises(ValueError):
+            paging.decode_cursor(bad, (int, str))
+    df = spark.createDataFrame([(n, c) for n in (3, 2, 1) for c in "ab"], "n int, c string")
+    order = [F.desc("n"), F.col("c")]
+    assert [tuple(r) for r in paging.page(df, paging.keyset(["n", "c"], (3, "b"), {"n"}), order, 2).collect()] == [(2, "a"), (2, "b"), (1, "a")]
+    assert paging.where_given(df, n=None, c="a").count() == 3 and df.where(paging.contains_text("c", "%")).count() == 0
+
+
+def test_search_index_reads_only_its_terms(spark):
+    chunks = spark.createDataFrame([(k, k, f"word{k} common", f"Head{k}") for k in range(50)], "doc_id long, chunk_id long, content string, heading string")
+    index = search.PostingsIndex(spark, "postings_test", buckets=4)
+    try:
+        index.write(chunks)
+        terms = spark.createDataFrame([(1, "word7"), (1, "head7")], "query_id int, term string")
+        rows = index.of(terms)
+        assert sorted((r.term, r.pos, r.weight) for r in rows.collect()) == [("head7", 0, 1.0), ("word7", 1, 0.1)]
+        assert "In(term" in rows._jdf.queryExecution().executedPlan().toString()
+        assert index.of(terms, most=1).count() == 2
+    finally:
+        index.drop()
+
+
+def test_cover_density_and_headlines(spark):
+    near = spark.createDataFrame([(1, 1, "red disk"), (2, 2, "red and a very old disk"), (3, 3, "red disk red disk"), (4, 4, "disk")], "doc_id long, chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "red disk")], "query_id int, text string")
+    scores = {r.doc_id: r.score for r in search.web_matches(search.postings(near), near, asked).collect()}
+    # covers: one of two words; one with four others in it; three of two words
+    assert scores == {1: 0.1, 2: round(0.1 / 5, 9), 3: round(0.3, 9)}
+    text = "lead " * 40 + "the <b>disk</b> & more " + "tail " * 40 + "disk again " + "end " * 30
+    marked = spark.createDataFrame([(text, ["disk"]), ("nothing", ["disk"]), (None, ["disk"]), ("A disk.", ["disk"])], "t string, w array<string>").select(search.headline("t", "w").alias("h")).collect()
+    assert [r.h is None for r in marked] == [False, True, True, False] and marked[3].h == "A <mark>disk</mark>."
+    assert marked[0].h.count("<mark>") == 2 and " … " in marked[0].h and "&lt;b&gt;" in marked[0].h and all(12 <= len(p.split()) <= 30 for p in marked[0].h.split(" … "))
+    assert one(spark, X.capture_title(F.lit("\n  ## a/b: c?  d \nnext"))) == "ab c d" and one(spark, X.capture_title(F.lit(" \n"))) == "Capture"
+    assert one(spark, X.capture_title(F.lit("word " * 20))) == ("word " * 12).strip() and one(spark, X.capture_title(F.lit("x" * 80))) == "x" * 60
+
+
+def test_knn_in_blocks_equals_one_batch(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.standard_normal(6)]) for k in range(60)] + [(60, None), (61, [1.0] * 6), (62, [1.0] * 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 3 = 0 OR vec_id > 59").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    small = sorted(map(tuple, search.knn(vectors, queries, 5).collect()))
+    monkeypatch.setattr(search, "SMALL_BATCH", 4)
+    assert sorted(map(tuple, search.knn(vectors, queries, 5).collect())) == small
+    assert len(small) == 5 * 22 and {(r[1], r[3]) for r in small if r[0] == 61} >= {(61, 1), (62, 2)}
+
+
 def test_registry_names_match():
     import __spark_entry__
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.markdown import chunk_note, parse_note
-from quillspark.operators import chat, evaluation, graph, ingest, search
+from quillspark.operators import chat, evaluation, graph, ingest, nightly, paging, review, search
 from quillspark.plans.corpus import SOURCES_SQL, TABLES, chunks, sources, table
+from quillspark.plans import model
 from quillspark.plans.catalog_model import QUERIES as MODEL_QUERIES
 from quillspark.plans.catalog_model import SQL as MODEL_QUERY_SQL
 from quillspark.plans.shared import SHARED
@@ -318,6 +319,97 @@ def schedule_due_local(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.to_date(local).alias("day")).agg(F.count_if(due).alias("due"), F.min(F.when(due, F.col("ts"))).alias("first_due"))
 
 
+# Queries of `shared` whose Spark side is an operator; their SQL stays DuckDB's side.
+
+
+def live_sources_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return search.live(sources(spark, sf), folder="src1", tags=["en"]).select("doc_id", "path")
+
+
+def substring_ilike(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").where(paging.contains_text("p_name", "an") | F.endswith(F.lower("p_brand"), F.lit("#12"))).select("p_partkey", "p_name")
+
+
+def claim_newest_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors are pending revisions of their user."""
+    state = F.when(F.col("event_type") == "error", "pending").otherwise("ok")
+    rows = table(spark, sf, "events").select("event_id", F.col("user_id").alias("source_id"), F.col("event_id").alias("revision_id"), F.col("ts").alias("observed_at"), state.alias("state"))
+    return ingest.claim_pending(rows).select("event_id", F.col("source_id").alias("revision_id"), "new_state")
+
+
+def line_edges(spark: SparkSession, sf: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("src_id"), F.col("l_partkey").alias("dst_id"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") == 1, "about").otherwise("mentions").alias("relation"),
+        F.round(1 - 5 * F.col("l_discount"), 4).alias("confidence"), F.when(flag == "N", "proposed").when(flag == "A", "accepted").otherwise("rejected").alias("status"), F.when(F.col("l_linestatus") == "F", "user").otherwise("auto").alias("decided_by"),
+    )
+
+
+def upsert_user_wins(spark: SparkSession, sf: str) -> DataFrame:
+    order = [F.col("decided_by") != "user", F.desc("confidence"), F.col("src_id"), F.col("n")]
+    return ingest.latest(line_edges(spark, sf), ["dst_id", "relation"], order).select("src_id", "dst_id", "relation", "status", "decided_by", "confidence")
+
+
+def mass_delete_guard(spark: SparkSession, sf: str) -> DataFrame:
+    counts = sources(spark, sf).groupBy("folder").agg(F.count(F.lit(1)).alias("live"), F.count_if("deleted").alias("missing"))
+    return counts.withColumn("trips", ingest.guard_trips(F.col("missing"), F.col("live")))
+
+
+def graph_status_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return review.status_matrix(model.entities(spark, sf), model.TYPES, model.STATES)
+
+
+def attempts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.col("user_id").alias("revision_id"), F.col("ts").alias("attempted_at"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"))
+
+
+def day_runs(spark: SparkSession, sf: str) -> DataFrame:
+    start = F.date_trunc("day", F.col("ts"))
+    return table(spark, sf, "events").select(start.alias("started_at")).distinct().withColumn("out_end", F.col("started_at") + F.make_interval(days=F.lit(1)))
+
+
+def nightly_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    runs = day_runs(spark, sf)
+    counts = nightly.within(attempts(spark, sf), runs, "attempted_at").groupBy("started_at").agg(F.countDistinct("revision_id").alias("attempted"), F.countDistinct(F.when(F.col("status") == "failed", F.col("revision_id"))).alias("failed"))
+    out = runs.select("started_at").join(counts, "started_at", "left").fillna(0, ["attempted", "failed"])
+    return out.withColumn("done", F.least(F.col("attempted"), F.lit(100).cast("long")))
+
+
+def run_progress(spark: SparkSession, sf: str) -> DataFrame:
+    runs = day_runs(spark, sf)
+    counts = nightly.within(attempts(spark, sf), runs, "attempted_at").groupBy("started_at").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == "ok").alias("ok"), F.max("attempted_at").alias("last_at"))
+    return runs.select("started_at").join(counts, "started_at", "left").fillna(0, ["attempts", "ok"])
+
+
+def digest_failed(spark: SparkSession, sf: str) -> DataFrame:
+    last = ingest.latest(attempts(spark, sf), ["revision_id"], [F.desc("attempted_at"), F.desc("event_id")]).where("status = 'failed'")
+    return last.select("revision_id", "attempted_at").join(F.broadcast(last.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(evaluation.percentile("value", 0.5), 6).alias("p50"), F.count(F.lit(1)).alias("n"))
+
+
+def turn_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.numbered(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "seq")
+
+
+def session_last_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.last_turns(table(spark, sf, "conversations"), 3).select("conv_id", "turn", "role", "text")
+
+
+def sessions_list(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.sessions(table(spark, sf, "conversations"))
+
+
+OPERATORS: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        live_sources_filter, substring_ilike, claim_newest_pending, upsert_user_wins, mass_delete_guard, graph_status_matrix, nightly_remaining, run_progress, digest_failed, latency_percentiles, turn_sequence,
+        session_last_turns, sessions_list,
+    )
+}
+
 CHUNKS_SQL = "c AS (SELECT doc_id, doc_id * 1000000 + i - 1 AS chunk_id, parts[i] AS content FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM s WHERE NOT deleted)))"
 POSTINGS_SQL = r"p AS (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS term FROM c)"
 IDENT = r"(length({0}) BETWEEN 2 AND 64 AND regexp_matches({0}, '[\p{{N}}._\-]'))"
@@ -352,7 +444,7 @@ QUERIES: dict[str, Query] = {
     "eval_flips": eval_flips, "eval_verdict": eval_verdict, "ancestor_chain": ancestor_chain, "cycle_check": cycle_check, "window_packing": window_packing, "filter_llm_output": filter_llm_output,
     "eval_bootstrap_ci": eval_bootstrap_ci, "suggest_round_robin": suggest_round_robin, "schedule_due_local": schedule_due_local,
     "tokenise_postings": tokenise_postings, "chat_pool_top200": chat_pool_top200, "headline": headline, "chat_retrieval": chat_retrieval, "capture_titles": capture_titles, "eval_bake_off": eval_bake_off,
-    **{name: shared(sql) for name, sql in SHARED.items()}, **MODEL_QUERIES,
+    **{name: shared(sql) for name, sql in SHARED.items()}, **OPERATORS, **MODEL_QUERIES,
 }
 
 EVAL_SQL = (

@@ -111,6 +111,65 @@ def test_toxicity_without_examples(spark):
     assert score_documents(docs.limit(0), train(docs, none)).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Without toxic examples: exact copies, near copies and repeated passages by hand, then the packed tokens' number."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as P
+    from tests.llm.test_near_and_repeats import corpus
+
+    texts = [(i, t) for i, t in corpus(21, 120, words=80)] + [(None, "a row without an id " * 3), (7, "another text under a known id"), (7, "another text under a known id")]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    best = {}
+    for i, t in texts:
+        if fold(t) not in best or (i or -1) > (best[fold(t)][0] or -1):
+            best[fold(t)] = (i, t)
+    left = list(best.values())
+    numbered = [(n, t) for n, (_, t) in enumerate(sorted(left, key=lambda r: (r[0] is None, r[0] or 0)))]
+    order = sorted(left, key=lambda r: (r[0] is None, r[0] or 0))
+    parts = brute_components(numbered, 5, 80)
+    left = [order[n] for n, (_, c) in parts.items() if n == c]
+    raws = [(t or "").encode() for _, t in left]
+    count = {}
+    for r in raws:
+        for s in range(len(r) - 199):
+            count[r[s : s + 200]] = count.get(r[s : s + 200], 0) + 1
+    want = {}
+    encode = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for (i, t), r in zip(left, raws, strict=True):
+        gone = bytearray(len(r))
+        for s in range(len(r) - 199):
+            if count[r[s : s + 200]] > 1:
+                gone[s : s + 200] = b"\1" * 200
+        kept = bytes(b for b, g in zip(r, gone, strict=True) if not g).decode("utf-8", "ignore")
+        want[(i, kept)] = len(encode.encode(kept, add_special_tokens=False).ids) + 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokens = {}
+    for r in got:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    expected = {}
+    for (i, _), n in want.items():
+        expected[i] = expected.get(i, 0) + n
+    assert tokens == expected and None in tokens
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scores_of_odd_rows(spark):
+    rows = labelled(5, 400)
+    docs = frame(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([Row(doc_id=i, toxic=y, quality=1) for i, _, y in rows])
+    odd = frame(spark, [(1, "zworfel"), (1, "zworfel"), (1, "plain"), (None, "zworfel"), (None, None), (2, "Z.w.o.r.f.e.l you")])
+    got = sorted((str(r.doc_id), r.predicted, r.held_out) for r in score_documents(odd, train(docs, labels)).collect())
+    assert len(got) == 6 and [p for i, p, _ in got if i == "1"] == [0, 1, 1] and not any(h for i, _, h in got if i == "None")
+
+
 def test_stages_keep_columns_and_decide(spark, tmp_path):
     rows = labelled(2, 400)
     labels = spark.createDataFrame([Row(doc_id=i, toxic=y, quality=1) for i, _, y in rows])

@@ -141,6 +141,35 @@ def test_shards(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_of_a_given_table_are_within_a_few_percent(spark):
+    from quillspark.llm.queries import op4_kd_sharding
+
+    rows = op4_kd_sharding(spark, "/root/testdata/sf0.01").collect()
+    load = [sum(r["size"] for r in rows if r.shard == k) for k in range(16)]
+    mean = sum(load) / 16
+    assert max(load) < 1.05 * mean and min(load) > 0.95 * mean
+
+
+def test_shards_and_packs_of_odd_rows(spark):
+    rows = [(1, "a")] * 3 + [(1, "b"), (None, "a"), (None, None), (2, None), (3, "long " * 60_000)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = kd_shards(odd, shards=2).collect()
+    assert len(placed) == len(rows) and len({r.shard for r in placed if r.text_crc32 == zlib.crc32(b"a")}) == 1
+    for shard in (0, 1):
+        own = sorted(r.slot for r in placed if r.shard == shard)
+        assert own == list(range(len(own)))
+    path = P.path("byte_bpe_50k.json")
+    packed = pack_documents(odd, path).collect()
+    short = [r for r in packed if r.doc_id != 3]
+    assert len(short) == len(rows) - 1 and all(r.piece == 0 for r in short)
+    assert sum(r.length for r in packed if r.doc_id == 3) > 60_000 and max(r.length for r in packed) == 2048
+    at = {}
+    for r in packed:
+        at.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in parts) <= 2048 and sorted(o for o, _ in parts) == [sum(n for o2, n in parts if o2 < o) for o, _ in sorted(parts)] for parts in at.values())
+    assert round_trip(odd, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == len(rows)
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert kd_shards(empty, shards=4).count() == 0

@@ -78,7 +78,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(scratch: Scratch, links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps (Kiveris et al., 2014).
 
     links: columns a, b (long). Returns one row (node, component) per node that has a link; component is the
@@ -89,7 +89,7 @@ def connected_components(scratch: Scratch, links: DataFrame, max_rounds: int = 6
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     at, before = scratch.n, None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of a node hangs on the smallest node around it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -103,12 +103,10 @@ def connected_components(scratch: Scratch, links: DataFrame, max_rounds: int = 6
         edges = scratch.save(small)
         scratch.drop(at)
         at = scratch.n
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("b")).first()
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("connected_components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

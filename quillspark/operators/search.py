@@ -71,9 +71,9 @@ class PostingsIndex:
 
 def matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, chunk_id, doc_id, hits and n_terms of chunks that hold a term; terms: query_id, term."""
-    return postings.join(F.broadcast(terms), "term").groupBy("query_id", "doc_id", "chunk_id").agg(
-        F.count(F.lit(1)).alias("hits"), F.countDistinct("term").alias("n_terms"), F.max(is_identifier(F.col("term"))).alias("identifier")
-    )
+    asked = terms.select("query_id", "term", is_identifier(F.col("term")).alias("identifier"))
+    each = postings.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n"), F.first("identifier").alias("identifier"))
+    return each.groupBy("query_id", "doc_id", "chunk_id").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("n_terms"), F.max("identifier").alias("identifier"))
 
 
 def web_clauses(queries: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 WORD = r"[\p{L}\p{N}_]+"
 TERM = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-]*[\p{L}\p{N}_])?"
 MAX_TERMS, MAX_TAGS, MAX_TAG, MAX_EXCERPT, MAX_TITLE = 16, 64, 100, 240, 60
+# Fixed signs that a file name of a captured note may not hold.
+FORBIDDEN, CONTROL = r'[\\/:*?"<>|#^\[\]]', r"[\x00-\x1f\x7f]"
 
 
 def words(text: Column) -> Column:
@@ -82,8 +84,8 @@ def deep_link(vault: Column, path: Column) -> Column:
 def capture_title(text: Column) -> Column:
     """A file name from the first line that isn't blank: no leading #, no forbidden signs, 60 characters at most, cut at a word."""
     lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S"))
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(F.get(lines, 0), F.lit("")), r"(?U)^\s*#*", ""), r"[\x00-\x1f\x7f]", " ")
-    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r'[\\/:*?"<>|#^\[\]]', ""), r"(?U)\s+", " "), r"^ | $", "")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(F.get(lines, 0), F.lit("")), r"(?U)^\s*#*", ""), CONTROL, " ")
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, FORBIDDEN, ""), r"(?U)\s+", " "), r"^ | $", "")
     head = F.regexp_replace(F.substring(flat, 1, MAX_TITLE + 1), r" [^ ]*$", "")
     short = F.when(F.char_length(head) > MAX_TITLE, F.substring(flat, 1, MAX_TITLE)).otherwise(head)
     title = F.regexp_replace(F.when(F.char_length(flat) > MAX_TITLE, short).otherwise(flat), r"[. ]+$", "")

@@ -202,25 +202,26 @@ def members(rows: DataFrame, groups: DataFrame, by: list[str], size: str, total:
     return cold.select(*rows.columns).unionByName(rows.join(hot, by, "left_semi").select(*rows.columns))
 
 
-def radix_pass(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def radix_pass(scratch: Scratch, rows: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """rows: key, whole, row, bundle, parent, settled -> (bundles that are repeated as a whole, bundles that go on).
 
     Equal bundles go on as one: settled if it has copies. Keys with one bundle, or with settled ones only, are done.
     """
-    total, first = rows.count(), scratch.n + 1
+    total = rows.count()
     groups = scratch.save(
         rows.groupBy("key", "whole").agg(
             F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "parent", "bundle")).alias("one"), F.min("settled").alias("settled")
         )
     )
+    at = scratch.n
+    repeated = scratch.save(members(rows.where(~F.col("settled")), groups.where("copies > 1"), ["key", "whole"], "copies", total).select("row", "bundle"))
+    if last:
+        return repeated, None
     pending = ~(F.col("settled") | (F.col("copies") > 1))
-    open_keys = scratch.save(groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(pending).alias("pending")).where("kinds > 1 AND pending").select("key", "kinds"))
-    repeated = members(rows.where(~F.col("settled")), groups.where("copies > 1"), ["key", "whole"], "copies", total).select("row", "bundle")
-    going = members(groups, open_keys, ["key"], "kinds", total).select("one.*", (~pending).alias("settled"))
-    out = scratch.save(repeated), scratch.save(going)
-    for number in (first, first + 1):
-        scratch.drop(number)
-    return out
+    open_keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(pending).alias("pending")).where("kinds > 1 AND pending").select("key", "kinds")
+    going = scratch.save(members(groups, open_keys, ["key"], "kinds", total).select("one.*", (~pending).alias("settled")))
+    scratch.drop(at)
+    return repeated, going
 
 
 def compressed(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -256,11 +257,11 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, window: int) -> DataFrame
             F.expr(f"substring(bytes, CAST((part.bundle >> 16) - (parent >> 16) + 1 AS INT), CAST(((part.bundle >> 8) & 255) + {window} AS INT))").alias("bytes"),
         )
     )
-    single, _ = radix_pass(scratch, scratch.save(last.mapInArrow(next_digit(window, 1), schema)))
+    single, _ = radix_pass(scratch, scratch.save(last.mapInArrow(next_digit(window, 1), schema)), last=True)
     start = F.shiftright("bundle", 16)
     every = found.unionByName(narrow).unionByName(single).select("row", start.alias("start"), (start + F.shiftright("bundle", 8).bitwiseAND(F.lit(255)) + window).alias("end"))
     spans = every.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
-    return scratch.save(spans.select("row", merged(F.col("s.start"), F.col("s.end")).alias("spans")))
+    return spans.select("row", merged(F.col("s.start"), F.col("s.end")).alias("spans"))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

@@ -86,7 +86,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     )
     first = F.row_number().over(Window.partitionBy("src_type", "src_id", "relation", "dst_id").orderBy("id", "confidence", "status", "decided_by"))
     rows = rows.withColumn("n", first).where("n = 1")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("dst_id"))).where("n = 1").drop("n")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("dst_id", "src_id"))).where("n = 1").drop("n")
 
 
 def extractions(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +124,7 @@ MODEL_SQL = {
     "chunks": "chunks AS (SELECT current_revision_id * 100 + k AS id, current_revision_id AS revision_id, k AS ordinal, k = 0 AND e.vec_id IS NOT NULL AS embedded FROM (SELECT id AS note, current_revision_id, unnest(range(0, least(4, len(string_split(text, chr(10)))))) AS k FROM notes WHERE current_revision_id IS NOT NULL) x LEFT JOIN embeddings e ON e.vec_id = x.note)",
     "entities": "entities AS (SELECT p_partkey AS id, ['project','person','organization','tool','device','topic'][p_size % 6 + 1] AS type, p_name AS name, lower(p_name) AS norm_name, " + STATE3 + "[p_size % 3 + 1] AS status, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent_id, CASE WHEN p_partkey >= 10 THEN " + STATE3 + "[p_partkey % 2 + 1] END AS parent_status, " + H.format("p_partkey % 720") + " AS created_at, p_brand FROM part)",
     "aliases": "aliases AS (SELECT id AS entity_id, type, p_brand || ' ' || id AS alias, lower(p_brand || ' ' || id) AS norm_alias FROM entities)",
-    "edges": "edges AS (SELECT * FROM (SELECT * FROM (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber <= 5 THEN 'source' ELSE 'entity' END AS src_type, CASE WHEN l_linenumber <= 5 THEN l_orderkey % 1000 ELSE l_suppkey END AS src_id, CASE l_linenumber WHEN 1 THEN 'about' WHEN 6 THEN 'uses' WHEN 7 THEN 'part_of' ELSE 'mentions' END AS relation, l_partkey AS dst_id, round(1 - 5 * l_discount, 4) AS confidence, CASE l_returnflag WHEN 'N' THEN 'proposed' WHEN 'A' THEN 'accepted' ELSE 'rejected' END AS status, CASE l_linestatus WHEN 'F' THEN 'user' ELSE 'auto' END AS decided_by, CASE WHEN l_linenumber % 2 = 0 THEN 'llm:m' ELSE 'owner' END AS origin, " + H.format("(l_orderkey * 7 + l_linenumber) % 720") + " AS created_at, CASE WHEN l_linenumber <= 5 THEN l_orderkey % 1000 * 10 + l_orderkey % 1000 % 3 END AS revision_id FROM lineitem) QUALIFY row_number() OVER (PARTITION BY src_type, src_id, relation, dst_id ORDER BY id, confidence, status, decided_by) = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY dst_id) = 1)",
+    "edges": "edges AS (SELECT * FROM (SELECT * FROM (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber <= 5 THEN 'source' ELSE 'entity' END AS src_type, CASE WHEN l_linenumber <= 5 THEN l_orderkey % 1000 ELSE l_suppkey END AS src_id, CASE l_linenumber WHEN 1 THEN 'about' WHEN 6 THEN 'uses' WHEN 7 THEN 'part_of' ELSE 'mentions' END AS relation, l_partkey AS dst_id, round(1 - 5 * l_discount, 4) AS confidence, CASE l_returnflag WHEN 'N' THEN 'proposed' WHEN 'A' THEN 'accepted' ELSE 'rejected' END AS status, CASE l_linestatus WHEN 'F' THEN 'user' ELSE 'auto' END AS decided_by, CASE WHEN l_linenumber % 2 = 0 THEN 'llm:m' ELSE 'owner' END AS origin, " + H.format("(l_orderkey * 7 + l_linenumber) % 720") + " AS created_at, CASE WHEN l_linenumber <= 5 THEN l_orderkey % 1000 * 10 + l_orderkey % 1000 % 3 END AS revision_id FROM lineitem) QUALIFY row_number() OVER (PARTITION BY src_type, src_id, relation, dst_id ORDER BY id, confidence, status, decided_by) = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY dst_id, src_id) = 1)",
     "extractions": "extractions AS (SELECT user_id * 10 + user_id % 3 AS revision_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'ok' END AS status, CASE event_type WHEN 'error' THEN 'e' || event_id % 7 END AS error, ts AS attempted_at, CASE WHEN event_type <> 'error' THEN event_type END AS summary, event_id AS id FROM events)",
     "runs": "runs AS (SELECT id, run_date, CASE WHEN id % 5 = 0 THEN 'manual' ELSE 'schedule' END AS trigger, CASE WHEN id % 7 = 0 THEN 'failed' WHEN id = 30 THEN 'running' ELSE 'complete' END AS status, run_date + INTERVAL 2 HOUR AS started_at, CASE WHEN id < 30 THEN run_date + INTERVAL 22 HOUR END AS finished_at, id AS queued_new, id % 3 AS queued_failed, (SELECT max(d2) + INTERVAL 2 HOUR FROM (SELECT DISTINCT CAST(ts AS DATE) AS d2 FROM events) y WHERE d2 < run_date AND day(d2) % 7 <> 0) AS window_start FROM (SELECT DISTINCT CAST(ts AS DATE) AS run_date, day(ts) AS id FROM events))",
 }

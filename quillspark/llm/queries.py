@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage and their SQL; the entry module adds them if the subpackage is there."""
+"""The queries of this subpackage and their SQL; the entry module adds them if the subpackage is there."""
 
 from __future__ import annotations
 
@@ -112,6 +112,42 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, links.b F
 SELECT s.doc_id, len(sh) AS n_shingles, min(r.b) AS component_id, min(r.b) = s.doc_id AS kept FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(sh)
 """
 
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillspark.llm.piece_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.source_audit import source_audit
+
+    return source_audit(table(spark, sf_dir, "documents"), least_documents=10, terms_shown=10)
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0)::HUGEINT AS n FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+p AS (SELECT c.lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY c.lang, source) + 2 * v)::HUGEINT AS p FROM c JOIN v ON v.lang = c.lang),
+t AS (SELECT c.lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY c.lang, term),
+q AS (SELECT t.lang, term, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY t.lang) + 2 * v)::HUGEINT AS q FROM t JOIN v ON v.lang = t.lang),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS o, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z
+  ON z.lang = a.lang AND z.s = a.source AND z.o = b.source),
+terms AS (SELECT p.lang, source, 'term' AS part, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -123,10 +159,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op13_source_audit": op13_source_audit,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_suffix_dedup": OP2_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op13_source_audit": OP13_SQL,
 }

@@ -1,11 +1,12 @@
 """License phrases by diagonal voting. DataFrame functions only.
 
-Every rolling pair of words is hashed. Pairs whose hash may belong to a template (a literal bitmap of bounded size)
-meet the template positions in a broadcast join; the templates are a fixed library. A hit votes for the diagonal
-"word position in the text minus position in the template". A base phrase is there where a diagonal has all its pairs
-in a row. For longer templates, the diagonals within `slack` of one (words inserted, left out or changed) are merged with
-it, and the merged span is verified: its votes are read in the order of the text, only those that go forward in the
-template count, and they must cover enough of it within a bounded stretch. The best of neighbouring spans stays.
+Every rolling pair of words is hashed and looked up in a literal table of the templates' pairs, which are a fixed
+library of bounded size. A hit votes for the diagonal "word position in the text minus position in the template". Only
+votes for templates of which the text holds enough different pairs leave their row, so common pairs don't. A base
+phrase is there where a diagonal has all its pairs in a row. For longer templates, the diagonals within `slack` of one
+(words inserted, left out or changed) are merged with it, and the merged span is verified: its votes are read in the
+order of the text, only those that go forward in the template count, and they must cover enough of it within a bounded
+stretch. The best of neighbouring spans stays.
 
 Defined results: a null or empty text has no words; repeated rows each get a row, with equal results; an
 empty table gives no rows; other columns are ignored; very long texts are scanned whole; of overlapping spans all count.
@@ -13,12 +14,14 @@ empty table gives no rows; other columns are ignored; very long texts are scanne
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ascii_lower, require
 
-BITS = 1 << 18
+SLOTS = 1 << 18
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Fixed phrases of the contract and their labels.
@@ -115,19 +118,54 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
 
 
-def library(spark: SparkSession, base: dict[str, str], templates: dict[str, list[str]]) -> DataFrame:
-    """One row per pair of words of each template: template, label, is_base, n_pairs, at, a, b."""
-    rows = []
-    for is_base, label, phrase in [(True, v, k) for k, v in base.items()] + [(False, k, p) for k, ps in templates.items() for p in ps]:
-        words = phrase.split()
-        rows += [(f"{int(is_base)}:{phrase}", label, is_base, len(words) - 1, k, a, b) for k, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    return spark.createDataFrame(rows, "template string, label string, is_base boolean, n_pairs int, at int, a string, b string")
-
-
-def bitmap(rows: DataFrame) -> Column:
-    """Literal bits of the library's pair hashes: some 1,200 of 262,144."""
-    on = {r[0] for r in rows.select(F.pmod(F.xxhash64("a", "b"), F.lit(BITS)).cast("int")).distinct().collect()}
-    return F.split(F.lit(",".join("1" if k in on else "" for k in range(BITS))), ",")
+def library(base: dict[str, str], templates: dict[str, list[str]]) -> list[tuple[str, bool, list[str]]]:
+    """(label, is_base, words) of each template, by its number."""
+    phrases = [(v, True, k) for k, v in base.items()] + [(k, False, p) for k, ps in templates.items() for p in ps]
+    return [(label, is_base, phrase.split()) for label, is_base, phrase in phrases]
+
+
+def literal(value: object, schema: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), schema)
+
+
+def places_of(words: Column, known: list[tuple[str, bool, list[str]]], spark: SparkSession) -> Column:
+    """Where pairs of an array of words stand in templates: struct<t, i, at>, t: template, i, at: places in the text and in it.
+
+    A literal table of bounded size says which of its 262,144 slots a pair of the library falls into (some 1,200 do); the
+    pairs of that slot are compared as words.
+    """
+    pairs = [(t, at, a, b) for t, (_, _, w) in enumerate(known) for at, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+    rows = spark.createDataFrame(pairs, "t int, at int, a string, b string").select("*", slot(F.col("a"), F.col("b")).alias("slot")).collect()
+    found: dict[int, list[dict]] = {}
+    for r in rows:
+        found.setdefault(r.slot, []).append({"t": r.t, "at": r.at, "a": r.a, "b": r.b})
+    numbers = {k: n for n, k in enumerate(found)}
+    slots = literal([numbers.get(k, -1) for k in range(SLOTS)], "array<int>")
+    entries = literal(list(found.values()), "array<array<struct<t:int,at:int,a:string,b:string>>>")
+    n = F.size(words)
+    numbered = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(i.alias("i"), F.get(slots, slot(F.get(words, i), F.get(words, i + 1))).alias("k")))
+    maybe = F.when(n > 1, F.filter(numbered, lambda p: p["k"] >= 0)).otherwise(F.array().cast("array<struct<i:int,k:int>>"))
+    same = lambda e, i: (e["a"] == F.get(words, i)) & (e["b"] == F.get(words, i + 1))
+    return F.flatten(F.transform(maybe, lambda p: F.transform(
+        F.filter(F.get(entries, p["k"]), lambda e: same(e, p["i"])), lambda e: F.struct(e["t"].alias("t"), p["i"].alias("i"), e["at"].alias("at"))
+    )))
+
+
+def slot(a: Column, b: Column) -> Column:
+    return F.pmod(F.xxhash64(a, b), F.lit(SLOTS)).cast("int")
+
+
+def able(hits: Column, known: list[tuple[str, bool, list[str]]], covered: float) -> Column:
+    """Templates of which a row holds so many different pairs that a span of it could be valid, wherever they stand."""
+    need = []
+    for _, is_base, words in known:
+        n = len(words) - 1
+        need.append(n if is_base else next(c for c in range(n + 1) if c / n >= covered))
+    different = F.array_distinct(F.transform(hits, lambda h: h["t"] * 1000 + h["at"]))
+    return F.aggregate(
+        F.array(different), F.array().cast("array<int>"),
+        lambda _, d: F.filter(F.array_distinct(F.transform(d, lambda x: F.floor(x / 1000).cast("int"))), lambda t: F.size(F.filter(d, lambda x: (x >= t * 1000) & (x < t * 1000 + 1000))) >= F.get(literal(need, "array<int>"), t)),
+    )
 
 
 def license_scan(
@@ -136,18 +174,15 @@ def license_scan(
 ) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score and the verified spans of each row."""
     spark = docs.sparkSession
-    known = library(spark, base, templates)
-    bits = bitmap(known)
+    known = library(base, templates)
     texts = require(docs, [id_col, text_col]).toDF("doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
-    n = F.size("words")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-        lambda i: F.struct(i.alias("i"), F.xxhash64(F.get("words", i), F.get("words", i + 1)).alias("h")),
-    )
-    maybe = F.when(n > 1, F.filter(pairs, lambda p: F.get(bits, F.pmod(p["h"], F.lit(BITS)).cast("int")) != ""))
-    hits = F.transform(maybe, lambda p: F.struct(p["i"].alias("i"), F.get("words", p["i"]).alias("a"), F.get("words", p["i"] + 1).alias("b")))
-    found = texts.select("row", "doc_id", n.cast("long").alias("n_words"), F.explode_outer(hits).alias("hit"))
-    found = found.select("row", "doc_id", "n_words", "hit.*").join(F.broadcast(known), ["a", "b"], "left")
+    texts = texts.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), places_of(F.col("words"), known, spark).alias("hits"))
+    texts = texts.select("row", "doc_id", "n_words", "hits", able(F.col("hits"), known, covered).alias("able"))
+    # only votes for templates that may be there leave their row
+    votes = F.filter("hits", lambda h: F.array_contains("able", h["t"]))
+    found = texts.select("row", "doc_id", "n_words", F.explode_outer(votes).alias("hit")).select("row", "doc_id", "n_words", "hit.*")
+    named = spark.createDataFrame([(t, f"{int(is_base)}:{' '.join(w)}", label, is_base, len(w) - 1) for t, (label, is_base, w) in enumerate(known)], "t int, template string, label string, is_base boolean, n_pairs int")
+    found = found.join(F.broadcast(named), "t", "left")
     # votes of each diagonal, by the number of the row in its partition: ids may repeat
     key = ["row", "doc_id", "n_words"]
     place = F.struct("i", "at")

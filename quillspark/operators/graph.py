@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.versions import shared_folder
+
 WINDOW_CHARS = 6000
 MAX_ENTITIES, MAX_RELATIONS, MAX_ALIASES, MAX_NAME, MAX_SUMMARY = 30, 50, 5, 200, 200
 
@@ -25,9 +27,7 @@ OUTPUT = (
 
 def written(df: DataFrame) -> DataFrame:
     """The rows in the shared folder, without their lineage."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/quillspark"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.versions import Parts, Tables, part_of, shared_folder
+
 FILES = "path string, modificationTime timestamp, length long, content binary"
 MAX_BYTES = 1 << 20
 BUCKETS = 64  # parts of a table by its key
@@ -66,32 +68,49 @@ def read_notes(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return out.select("path", F.col("length").alias("size"), mtime.alias("mtime"), "text", digest.alias("hash"), "read_error")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def append_missing(tables: Tables, name: str, new: DataFrame, key: list[str], base: int, parts: int = BUCKETS) -> tuple[str, Parts]:
+    """Staged parts with the rows whose key the table lacks beside those it has: replays add nothing. Only the parts of
+    the table that these keys lie in are read, and none is written anew."""
+    new = written_rows(new.dropDuplicates(key).withColumn("part", part_of(F.col(key[0]), parts)))
+    touched = [str(r[0]) for r in new.select("part").distinct().collect()]
+    known = tables.read(name, base, touched, new.drop("part").schema).select(*key)
+    schema, fresh = tables.stage(name, new.join(known, key, "left_anti"))
+    before = tables.parts(name, base)
+    return schema, {p: [*before.get(p, []), *own] for p, own in fresh.items()}
+
 
+def replace_rows(tables: Tables, name: str, fresh: DataFrame, keys: DataFrame, key: str, base: int, parts: int = BUCKETS) -> tuple[str, Parts]:
+    """Staged parts with these rows instead of those that the table has of the keys. Only the parts that the keys lie in
+    are read and written anew; one that is left without rows vanishes."""
+    gone = keys.select(key).distinct()
+    touched = [str(r[0]) for r in gone.select(part_of(F.col(key), parts)).distinct().collect()]
+    old = tables.read(name, base, touched, fresh.schema).join(gone, key, "left_anti")
+    schema, own = tables.stage(name, fresh.unionByName(old).withColumn("part", part_of(F.col(key), parts)))
+    return schema, {p: own.get(p, []) for p in touched}
 
-def by_bucket(df: DataFrame, key: str = "path") -> DataFrame:
-    """Adds the part of a table that a key belongs to."""
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
 
+def written_rows(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-def append_missing(spark: SparkSession, new: DataFrame, path: str, key: list[str]) -> None:
-    """Appends rows whose key the table lacks: replays add nothing. Only the parts of the table that these keys lie in are read."""
-    new = by_bucket(new.dropDuplicates(key), key[0])
-    if exists(spark, path):
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]
-        known = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*key)
-        new = new.join(known, key, "left_anti")
-    new.write.mode("append").partitionBy("bucket").parquet(path)
 
+def snapshot(tables: Tables, target: Tables, version: int | None = None) -> int:
+    """Live sources with their current revisions and chunks as tables of `target`, all of one version; returns it.
 
-def snapshot(sources: DataFrame, revisions: DataFrame, chunks: DataFrame, folder: str) -> None:
-    """Live sources with their current revisions and chunks as Parquet tables; the texts of revisions are left blank."""
+    What is written to `tables` meanwhile doesn't show. The texts of revisions are left blank.
+    """
+    version = tables.latest() if version is None else version
+    sources, revisions, chunks = (tables.read(name, version) for name in ("sources", "revisions", "chunks"))
     live = sources.where("deleted_at IS NULL AND current_revision_id IS NOT NULL")
     current = live.select(F.col("current_revision_id").alias("id"))
     states = revisions.join(current, "id", "left_semi")
     if "raw_text" in states.columns:
         states = states.withColumn("raw_text", F.lit(""))
-    for name, df in {"sources": live, "revisions": states, "chunks": chunks.join(current.withColumnRenamed("id", "revision_id"), "revision_id", "left_semi")}.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    base = target.latest()
+    rows = {"sources": live, "revisions": states, "chunks": chunks.join(current.withColumnRenamed("id", "revision_id"), "revision_id", "left_semi")}
+    changes = {}
+    for name, df in rows.items():
+        schema, own = target.stage(name, df.withColumn("part", F.lit(0)))
+        changes[name] = (schema, {**{p: [] for p in target.parts(name, base)}, **own})
+    target.commit(changes, base)
+    return version

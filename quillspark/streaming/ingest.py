@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.functions.markdown import chunk_note, parse_note
 from quillspark.operators.graph import written
-from quillspark.sources.vault import append_missing, by_bucket, exists, files, read_notes
+from quillspark.sources.vault import append_missing, files, read_notes, replace_rows
+from quillspark.sources.versions import Tables
 
-CHUNK = "path string, hash string, title string, tags array<string>, ordinal int, headings array<string>, content string"
+REVISION = ["path", "hash", "size", "mtime", "read_error"]
 
 
 def index_notes(notes: DataFrame) -> DataFrame:
@@ -23,28 +24,47 @@ def index_notes(notes: DataFrame) -> DataFrame:
     return parsed.select("path", "hash", "note.title", "note.tags", F.explode(chunk_note("note.body")).alias("chunk")).select("path", "hash", "title", "tags", "chunk.*")
 
 
-def replace_chunks(spark: SparkSession, notes: DataFrame, path: str) -> None:
-    """The chunks of these notes instead of those that the table has of the same paths.
+def newest(notes: DataFrame) -> DataFrame:
+    """Of several states of a path in a batch the one last modified."""
+    last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime"), "hash"))
+    return notes.withColumn("__last", last).where("__last = 1").drop("__last")
 
-    Only the parts of the table that hold these paths are read and written anew, each as a whole, so a replay gives the
-    same table.
+
+def ingest_notes(tables: Tables, notes: DataFrame, gone: DataFrame | None = None, mark: tuple[str, int] | None = None) -> int:
+    """A batch of notes as one version of the tables "revisions", "notes" and "chunks".
+
+    Revisions (path, hash) are appended where new; each note's newest state, and its chunks, replace those of its path. A
+    note that is empty, unreadable or gone (path) has no chunks any more, one that is gone has no state.
+    """
+    base = tables.latest()
+    if mark and tables.manifest(base)["marks"].get(mark[0], -1) >= mark[1]:
+        return base
+    now = newest(notes)
+    paths = now.select("path") if gone is None else now.select("path").union(gone.select("path"))
+    revisions = append_missing(tables, "revisions", notes.select(*REVISION), ["path", "hash"], base)
+    state = replace_rows(tables, "notes", now.select(*REVISION), paths, "path", base)
+    return tables.commit({"revisions": revisions, "notes": state, "chunks": replace_rows(tables, "chunks", index_notes(now), paths, "path", base)}, base, mark)
+
+
+def rescan(spark: SparkSession, root: str, tables: str, excluded: list[str] | None = None) -> int:
+    """Ingests what differs from the notes known: new and edited ones, and those that are gone. Returns the version.
+
+    A stream takes each path once for its checkpoint; what is edited in place, renamed or deleted is found here.
+    Spark's readers pass over files of no bytes, so such a file counts as gone.
     """
-    fresh = by_bucket(index_notes(notes))
-    touched = [r[0] for r in by_bucket(notes.select("path")).select("bucket").distinct().collect()]
-    if exists(spark, path) and touched:
-        old = spark.read.schema(CHUNK + ", bucket int").parquet(path).where(F.col("bucket").isin(touched))
-        fresh = written(fresh.unionByName(old.join(notes.select("path").distinct(), "path", "left_anti")))
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    store = Tables(spark, tables)
+    disk = written(read_notes(files(spark, root, excluded)))
+    known = store.read("notes", schema=disk.select(*REVISION).schema)
+    changed, gone = disk.join(known, ["path", "hash"], "left_anti"), known.join(disk, "path", "left_anti").select("path")
+    return store.latest() if changed.isEmpty() and gone.isEmpty() else ingest_notes(store, changed, gone)
 
 
 def watch(spark: SparkSession, root: str, tables: str, checkpoint: str, excluded: list[str] | None = None, every: str | None = None) -> StreamingQuery:
-    """Ingests what is new below root, once or at intervals (such as "15 minutes"): revisions by path and hash, and the
-    chunks of each note's newest state. Each batch is read and parsed once."""
+    """Ingests what is new below root, once or at intervals (such as "15 minutes"), each batch as one version of the
+    tables (see ingest_notes). Each batch is read and parsed once, and a replayed one changes nothing."""
 
-    def batch(raw: DataFrame, _: int) -> None:
-        notes = written(read_notes(raw))
-        append_missing(spark, notes.select("path", "hash", "size", "mtime", "read_error"), f"{tables}/revisions", ["path", "hash"])
-        replace_chunks(spark, notes, f"{tables}/chunks")
+    def batch(raw: DataFrame, number: int) -> None:
+        ingest_notes(Tables(spark, tables), written(read_notes(raw)), mark=(checkpoint, number))
 
     writer = files(spark, root, excluded, streaming=True).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.functions.markdown import LIMIT, SHARED, chunk, json_safe, parse, split_front, tags_of
 from quillspark.operators import evaluation, graph, ingest, search
+from quillspark.sources.versions import Tables
 
 
 def one(spark, column):
@@ -126,9 +127,9 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
     (root / "c.txt").write_text("no")
     for n in range(2):
         watch(spark, str(root), f"{tmp_path}/tables", f"{tmp_path}/checkpoint{n}").awaitTermination()
-    revisions = {r.path: r.read_error for r in spark.read.parquet(f"{tmp_path}/tables/revisions").collect()}
-    assert revisions == {"a.md": None, "sub/b.md": "encoding"} and spark.read.parquet(f"{tmp_path}/tables/revisions").count() == 2
-    assert [(r.path, r.title, r.content) for r in spark.read.parquet(f"{tmp_path}/tables/chunks").collect()] == [("a.md", "T", "body é")]
+    revisions = {r.path: r.read_error for r in Tables(spark, f"{tmp_path}/tables").read("revisions").collect()}
+    assert revisions == {"a.md": None, "sub/b.md": "encoding"} and Tables(spark, f"{tmp_path}/tables").read("revisions").count() == 2
+    assert [(r.path, r.title, r.content) for r in Tables(spark, f"{tmp_path}/tables").read("chunks").collect()] == [("a.md", "T", "body é")]
 
 
 def test_edited_notes_lose_their_old_chunks(spark, tmp_path):
@@ -145,8 +146,8 @@ def test_edited_notes_lose_their_old_chunks(spark, tmp_path):
     (root / "edit.md").rename(root / "a.md")
     for n in range(2):
         watch(spark, str(root), f"{tmp_path}/t", f"{tmp_path}/c{n}", ["skip/**"]).awaitTermination()
-    assert sorted((r.path, r.content) for r in spark.read.parquet(f"{tmp_path}/t/chunks").collect()) == [("a.md", "second"), ("b.md", "stays")]
-    assert sorted((r.path, r.read_error or "") for r in spark.read.parquet(f"{tmp_path}/t/revisions").collect()) == [("a.md", ""), ("a.md", ""), ("b.md", ""), ("big.md", "too_large")]
+    assert sorted((r.path, r.content) for r in Tables(spark, f"{tmp_path}/t").read("chunks").collect()) == [("a.md", "second"), ("b.md", "stays")]
+    assert sorted((r.path, r.read_error or "") for r in Tables(spark, f"{tmp_path}/t").read("revisions").collect()) == [("a.md", ""), ("a.md", ""), ("b.md", ""), ("big.md", "too_large")]
 
 
 def test_states_of_notes_in_a_stream(spark, tmp_path):

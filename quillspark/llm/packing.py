@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents by the sum-of-squares rule.
 
 Texts become token ids in one Arrow pass that keeps only the pieces' places and checksums. Full pieces are sequences
-by themselves; the others are dealt by hash into groups of some `group_rows` pieces, and each group packs its own
+by themselves; the others are dealt by a hash of their numbers into groups of some `group_rows` pieces, and each packs its own
 (Csirik et al., 2006): every piece, longest first, goes where the sum of the squared counts of open bins per residual
 gap becomes smallest, and no more bins are opened than could hold the group while an open one fits. Then the emptiest
 bins are taken apart and their pieces placed by best fit, for as long as that saves bins. A group's rows are bounded by
@@ -174,10 +174,10 @@ def offsets_in(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
 
 def packer(size: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["length", "nameless", "doc_id", "piece", "number"], ascending=[False, True, True, True, True], ignore_index=True)
         lengths = pdf.length.to_numpy()
         bins = dissolved(lengths, sum_of_squares(lengths, size), size)
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=(pdf.part.to_numpy() << 32) + bins, offset=offsets_in(lengths, bins))
+        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "nameless"]].assign(sequence_id=(pdf.part.to_numpy() << 32) + bins, offset=offsets_in(lengths, bins))
 
     return pack
 
@@ -190,15 +190,15 @@ def pack_documents(
         vocabulary = f.read()
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        pieces = scratch.save(require(docs, [id_col, text_col]).mapInArrow(tokenised(vocabulary, size, closing), PIECE))
+        pieces = require(docs, [id_col, text_col]).mapInArrow(tokenised(vocabulary, size, closing), PIECE)
+        pieces = scratch.save(pieces.withColumn("number", F.monotonically_increasing_id()))
         short = pieces.where(F.col("length") < size)
         groups = -(-short.count() // group_rows)
-        out = pieces.where(F.col("length") == size).withColumns(
-            {"sequence_id": F.monotonically_increasing_id() + F.lit(1 << 61), "offset": F.lit(0).cast("long")}
-        )
-        packed = short.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, groups)))).groupBy("part").applyInPandas(
-            packer(size), PIECE + ", sequence_id long, offset long"
-        )
+        out = pieces.where(F.col("length") == size).withColumns({"sequence_id": F.col("number") + F.lit(1 << 61), "offset": F.lit(0).cast("long")}).drop("number")
+        # by the number of the row, which doesn't repeat as ids may
+        dealt = short.withColumns({"part": F.pmod(F.xxhash64("number"), F.lit(max(1, groups))), "nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+        packed = dealt.groupBy("part").applyInPandas(packer(size), PIECE + ", nameless boolean, sequence_id long, offset long")
+        packed = packed.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
         return checkpointed(out.unionByName(packed).withColumnRenamed("doc_id", id_col))
 
 

@@ -3,7 +3,7 @@
 1. An Arrow pass counts each document's terms and sums them up over neighbouring documents of a group (lang, source),
    as far as `rows_held` rows allow: a combiner, so a term in every document leaves a task as a few rows. A row is
    (lang, term, source, document): the first document it stands for, with how many there are and their occurrences.
-2. Spark deals the rows by (lang, term) and sorts them by (lang, term, source, document) within partitions. A scan of
+2. Spark deals the rows by (lang, term) and sorts them by these, source and document within partitions. A scan of
    the run lengths, which holds one run at a time, yields each term's document frequency and its counts by source;
    terms below `least_documents` go. Each run is written once, as a row with its sources.
 3. Group sums over the kept terms give every estimate. A second scan of the runs emits partial pairs, summed over a
@@ -38,54 +38,54 @@ COUNTED = "lang string, term string, source string, document long, documents lon
 RUN = "lang string, term string, documents long, sources array<string>, counts array<long>"
 
 
-def combined(rows: pa.Table) -> pa.Table:
-    out = rows.group_by(["lang", "term", "source"]).aggregate([("document", "min"), ("documents", "sum"), ("n", "sum")])
-    return out.select(["lang", "term", "source", "document_min", "documents_sum", "n_sum"]).rename_columns(["lang", "term", "source", "document", "documents", "n"])
+def combined(held: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(held).group_by(["group", "term"]).aggregate([("document", "min"), ("documents", "sum"), ("n", "sum")])
+    return out.select(["group", "term", "document_min", "documents_sum", "n_sum"]).rename_columns(["group", "term", "document", "documents", "n"])
 
 
 def counter(rows_held: int, block_bytes: int):
     """(row, words, lang, source) -> (lang, term, source, document, documents, n)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[tuple[str, str], int] = {}
+
+        def rows_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            langs, sources = (pa.array([g[k] for g in numbers], pa.string()) for k in (0, 1))
+            for at in range(0, table.num_rows, 20_000):
+                part = table.slice(at, 20_000).combine_chunks()
+                group, term, *counts = (c.combine_chunks() for c in part.columns)
+                yield pa.RecordBatch.from_arrays([langs.take(group), term.cast(pa.string()), sources.take(group), *counts], names=["lang", "term", "source", "document", "documents", "n"])
+
         held, size = [], 0
         for batch in batches:
             done = 0
             for rows, sizes, places, data, edges in cut_blocks(batch, block_bytes) if batch.num_rows else ():
                 own = batch.slice(done, len(rows))
                 done += len(rows)
-                n_words = len(edges) - 1
                 if not len(places):
                     continue
+                group = np.array([numbers.setdefault(g, len(numbers)) for g in zip(own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True)], np.int64)
+                n_words = len(edges) - 1
                 pair, n = np.unique(np.repeat(np.arange(len(rows)), sizes) * n_words + places, return_counts=True)
-                row, word = pair // n_words, pair % n_words
-                key = pa.Table.from_arrays([own.column(2), own.column(3)], names=["lang", "source"])
-                kinds = key.append_column("at", pa.array(np.arange(len(rows)))).group_by(["lang", "source"]).aggregate([("at", "list")])
-                group = np.zeros(len(rows), np.int64)
-                for k, at in enumerate(kinds["at_list"].to_pylist()):
-                    group[at] = k
-                order = np.lexsort((row, group[row] * n_words + word))
-                code, row, n = (group[row] * n_words + word)[order], row[order], n[order]
+                row, code = pair // n_words, group[pair // n_words] * n_words + pair % n_words
+                order = np.argsort(code, kind="stable")  # pairs are in the order of rows
+                code, row, n = code[order], row[order], n[order]
                 first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                texts = pa.array([data[edges[k] : edges[k + 1]].tobytes() for k in range(n_words)], pa.binary()).cast(pa.string())
-                which = pa.array(code[first] // n_words)
-                held.append(
-                    pa.Table.from_arrays(
-                        [
-                            kinds["lang"].take(which), texts.take(pa.array(code[first] % n_words)), kinds["source"].take(which), rows.take(pa.array(row[first])),
-                            pa.array(np.diff(np.append(first, len(code)))), pa.array(np.add.reduceat(n, first)),
-                        ],
-                        names=["lang", "term", "source", "document", "documents", "n"],
-                    )
-                )
+                texts = pa.Array.from_buffers(pa.large_string(), n_words, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+                columns = [
+                    pa.array(code[first] // n_words), texts.take(pa.array(code[first] % n_words)), rows.take(pa.array(row[first])),
+                    pa.array(np.diff(np.append(first, len(code)))), pa.array(np.add.reduceat(n, first)),
+                ]
+                held.append(pa.Table.from_arrays(columns, names=["group", "term", "document", "documents", "n"]))
                 size += len(first)
                 if size > rows_held:
-                    held = [combined(pa.concat_tables(held))]
+                    held = [combined(held)]
                     size = held[0].num_rows
                     if 2 * size > rows_held:
-                        yield from held[0].combine_chunks().to_batches(max_chunksize=20_000)
+                        yield from rows_of(held[0])
                         held, size = [], 0
         if held:
-            yield from combined(pa.concat_tables(held)).combine_chunks().to_batches(max_chunksize=20_000)
+            yield from rows_of(combined(held))
 
     return emit
 
@@ -207,12 +207,13 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def term_runs(docs: DataFrame, least_documents: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rows_held: int = 400_000, block_bytes: int = 4 << 20) -> DataFrame:
+def term_runs(docs: DataFrame, least_documents: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rows_held: int = 800_000, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per lang and kept term: its documents, and its sources with their counts."""
     plain = require(docs, [text_col, lang_col, source_col]).toDF("text", "lang", "source").select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
     words = plain.select(F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("words"), "lang", "source")
     counted = words.mapInArrow(counter(rows_held, block_bytes), COUNTED)
-    order = ["lang", "term", "source", "document"]
+    # the term before its lang: a sort looks at the first bytes of its first column before anything else
+    order = ["term", "lang", "source", "document"]
     return counted.repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(scan(least_documents), RUN)
 
 
@@ -244,7 +245,7 @@ def source_audit(
         levels = groups.select("lang", F.col("zero").alias("level")).distinct()
         counts = histogram.join(groups, ["lang", "source"]).select("lang", "at", estimate(F.col("count"), F.col("n"), F.col("v")).alias("p"), "times").join(levels, "lang")
         alone = scratch.save(counts.groupBy("lang", "at", "level").agg(F.sum(apart(F.col("p"), F.col("level")) * F.col("times")).alias("alone")))
-        sorted_runs = own.select("lang", "term", "at", "p", "zero").repartition("lang", "term").sortWithinPartitions("lang", "term", "at")
+        sorted_runs = own.select("lang", "term", "at", "p", "zero").repartition("lang", "term").sortWithinPartitions("term", "lang", "at")
         both = scratch.save(sorted_runs.mapInArrow(partial_pairs(pairs_held), "lang string, a long, b long, part long").groupBy("lang", "a", "b").agg(F.sum("part").alias("part")))
         both = both.unionByName(both.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "part"))
         side = lambda n: groups.select("lang", *[F.col(c).alias(c + n) for c in ("at", "source", "zero", "own")])

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalise_name
-from quillspark.operators.graph import MAX_ALIASES, MAX_ENTITIES, MAX_RELATIONS, NOTE
-from quillspark.operators.search import cosine
+from quillspark.operators.graph import MAX_ALIASES, MAX_ENTITIES, MAX_RELATIONS, NOTE, written
+from quillspark.operators.search import knn
+from quillspark.operators.vector_index import VectorIndex
 
 AUTO_ACCEPT, SIMILAR, MAX_SUGGESTED = 0.8, 0.90, 10
 
@@ -71,11 +72,24 @@ def lookup(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFra
     return both.select("type", "norm", F.coalesce("exact", "alias").alias("id"), F.when(F.col("exact").isNotNull(), "exact").otherwise("alias").alias("match"))
 
 
-def similar(names: DataFrame, vectors: DataFrame, entities: DataFrame, floor: float = SIMILAR) -> DataFrame:
-    """type, norm and id of the nearest entity of the type that isn't rejected; names: type, norm, vector; vectors: id, embedding."""
-    open_ = entities.where("status <> 'rejected'").select("id", "type").join(vectors, "id")
-    scored = names.select("type", "norm", "vector").join(open_, "type").withColumn("similarity", cosine(F.col("vector"), F.col("embedding"))).where(F.col("similarity") >= floor)
-    return scored.groupBy("type", "norm").agg(F.min_by("id", F.struct(-F.col("similarity"), "id")).alias("id"))
+def similar(names: DataFrame, vectors: DataFrame, entities: DataFrame, floor: float = SIMILAR, index: VectorIndex | None = None) -> DataFrame:
+    """type, norm and id of the nearest entity of the type that isn't rejected; names: type, norm, vector; vectors: id, embedding.
+
+    Equal vectors of a type count once, for their smallest id. Names meet vectors as products of blocks, each task keeping
+    the nearest of its own, so no pair of a name and an entity is a row. With an index of the open entities' vectors by
+    type (see open_vectors), only the cells around a name are read.
+    """
+    asked = written(names.where("vector IS NOT NULL").groupBy("type", "vector").agg(F.collect_set("norm").alias("norms")).withColumn("query_id", F.monotonically_increasing_id()))
+    queries = asked.select("query_id", F.col("vector").alias("query_vector"), "type")
+    found = knn(open_vectors(vectors, entities), queries, 1, by="type") if index is None else index.search(queries, 1, by="type")
+    near = found.where(F.col("similarity") >= floor).join(asked, "query_id")
+    return near.select("type", F.explode("norms").alias("norm"), F.col("vec_id").alias("id"))
+
+
+def open_vectors(vectors: DataFrame, entities: DataFrame) -> DataFrame:
+    """vec_id, embedding and type of the entities that aren't rejected, equal vectors of a type once."""
+    rows = entities.where("status <> 'rejected'").select("id", "type").join(vectors.select("id", "embedding"), "id").where("embedding IS NOT NULL")
+    return rows.groupBy("type", "embedding").agg(F.min("id").alias("vec_id")).select("vec_id", "embedding", "type")
 
 
 class Resolved(NamedTuple):

@@ -204,42 +204,53 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = POOL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = POOL, id_col: str = "vec_id", vector_col: str = "embedding", by: str | None = None) -> DataFrame:
     """query_id, vec_id, similarity and rank of the nearest k vectors of each query; queries: query_id, query_vector.
 
     Exact, as products of blocks: each task keeps the best k of its vectors for every query, and these are merged. A
     batch of up to 4096 queries goes to every task; a larger one is cut into blocks that meet blocks of the vectors.
+    by: a column that both have; only vectors with the query's value are compared.
     """
-    wanted = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL")
-    known = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding")).where("embedding IS NOT NULL")
-    schema = "query_id long, vec_id long, similarity double"
-    n = wanted.count()
-    if n <= SMALL_BATCH:
-        few = wanted.toPandas()
-        ids, q = few.query_id.to_numpy(), unit(few.query_vector)
-
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = [pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})]
-            for batch in batches:
-                if batch.num_rows and len(ids):
-                    part = batch.to_pandas()
-                    best = [best_of(pd.concat([*best, products(ids, q, part.vec_id.to_numpy(), unit(part.embedding), k)]), k)]
-            yield pa.RecordBatch.from_pandas(best[0].astype({"query_id": "int64", "vec_id": "int64", "similarity": "float64"}), preserve_index=False)
-
-        found = known.mapInArrow(nearest, schema)
+    same = F.lit("") if by is None else F.col(by).cast("string")
+    wanted = queries.select("query_id", "query_vector", same.alias("by")).where("query_vector IS NOT NULL AND by IS NOT NULL")
+    known = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), same.alias("by")).where("embedding IS NOT NULL AND by IS NOT NULL")
+    few = wanted.limit(SMALL_BATCH + 1).toPandas()
+    if len(few) <= SMALL_BATCH:
+        found = known.mapInArrow(nearest(few, k), NEAREST)
     else:
         rows = -(-known.count() // 20_000) or 1
-        columns = -(-n // SMALL_BATCH)
+        columns = -(-wanted.count() // SMALL_BATCH)
         left = known.withColumn("i", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
         right = wanted.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(columns)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda v, w: scored(w, v, k), NEAREST)
+    return top(found, [F.desc("similarity"), F.col("vec_id")], k)
 
-        def block(v: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-            if v.empty or w.empty:
-                return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
-            return products(w.query_id.to_numpy(), unit(w.query_vector), v.vec_id.to_numpy(), unit(v.embedding), k)
 
-        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(block, schema)
-    return top(found, [F.desc("similarity"), F.col("vec_id")], k)
+NEAREST = "query_id long, vec_id long, similarity double"
+
+
+def nearest(queries: pd.DataFrame, k: int):
+    """vec_id, embedding, by -> the best k of a task's vectors for each query (query_id, query_vector, by)."""
+    none = pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = none
+        for batch in batches:
+            if batch.num_rows:
+                best = best_of(pd.concat([best, scored(queries, batch.to_pandas(), k)]), k)
+        yield pa.RecordBatch.from_pandas(best.astype({"query_id": "int64", "vec_id": "int64", "similarity": "float64"}), preserve_index=False)
+
+    return emit
+
+
+def scored(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k of a block of vectors for each query with the same value of `by`."""
+    out = [pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})]
+    for value, v in vectors.groupby("by", sort=False):
+        w = queries[queries.by == value]
+        if len(w):
+            out.append(products(w.query_id.to_numpy(), unit(w.query_vector), v.vec_id.to_numpy(), unit(v.embedding), k))
+    return pd.concat(out)
 
 
 def unit(vectors: pd.Series) -> np.ndarray:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.markdown import chunk_note, parse_note
-from quillspark.operators import chat, evaluation, graph, ingest, nightly, paging, review, search
+from quillspark.operators import chat, evaluation, graph, ingest, nightly, paging, resolution, review, search
+from quillspark.operators.vector_index import VectorIndex
 from quillspark.plans.corpus import SOURCES_SQL, TABLES, chunks, sources, table
 from quillspark.plans import model
 from quillspark.plans.catalog_model import QUERIES as MODEL_QUERIES
 from quillspark.plans.catalog_model import SQL as MODEL_QUERY_SQL
 from quillspark.plans.shared import SHARED
+from quillspark.sources.versions import temporary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,10 +173,41 @@ def knn_post_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nearest_same_type(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings")
-    pairs = rows.join(F.broadcast(vector_queries(spark, sf)), (F.col("label") == F.col("query_label")) & (F.col("vec_id") != F.col("query_id")))
-    scored = pairs.select("query_id", "vec_id", F.round(search.cosine(F.col("embedding"), F.col("query_vector")), 6).alias("similarity")).where("similarity >= 0.2")
-    return search.top(scored, [F.desc("similarity"), F.col("vec_id")], 1).drop("rank")
+    queries = vector_queries(spark, sf).withColumnRenamed("query_label", "label")
+    near = search.knn(table(spark, sf, "embeddings"), queries, 2, by="label").where("vec_id <> query_id AND similarity >= 0.2")
+    return search.top(near.drop("rank"), [F.desc("similarity"), F.col("vec_id")], 1).drop("rank")
+
+
+def indexed(spark: SparkSession, sf: str, k: int, run: Callable[[VectorIndex], DataFrame]) -> DataFrame:
+    """An index of all vectors, nine tenths at first, then the others and some of the first once more; what run reads of it."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    late = F.col("vec_id") % 10 == 3
+    with temporary(spark) as tables:
+        index = VectorIndex(tables)
+        index.build(rows.where(~late))
+        index.put(rows.where(late | (F.col("vec_id") % 50 == 7)))
+        index.tune(k)
+        return graph.written(run(index))
+
+
+def knn_index_top200(spark: SparkSession, sf: str) -> DataFrame:
+    """On tables of some 1600 vectors or fewer every cell is within reach and the lists are exact; see knn_index_recall."""
+    return indexed(spark, sf, search.POOL, lambda index: index.search(vector_queries(spark, sf)))
+
+
+def knn_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the ten nearest vectors of each query the index finds."""
+    exact = search.knn(table(spark, sf, "embeddings"), vector_queries(spark, sf), 10).select("query_id", "vec_id")
+    found = lambda index: exact.join(index.search(vector_queries(spark, sf), 10).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return indexed(spark, sf, 10, lambda index: found(index).groupBy("query_id").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted")))
+
+
+def similar_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as entities of the type of their label; each tenth one is a name that asks for the nearest other entity."""
+    rows = table(spark, sf, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("type"), F.lit("accepted").alias("status"))
+    names = rows.where("id % 10 = 0").select("type", F.col("id").cast("string").alias("norm"), F.col("embedding").alias("vector"))
+    rest = rows.where("id % 10 <> 0")
+    return resolution.similar(names, rest.select("id", "embedding"), rest.select("id", "type", "status"), 0.3)
 
 
 def excerpt(spark: SparkSession, sf: str) -> DataFrame:
@@ -437,7 +470,7 @@ BENCH_KNN = KNN_SQL.format("b.vec_id IN (SELECT item_id FROM benchmark)")
 QUERIES: dict[str, Query] = {
     "rrf_hybrid_search": rrf_hybrid_search, "rrf_hybrid_chat": rrf_hybrid_chat, "websearch_match": websearch_match, "websearch_hybrid": websearch_hybrid, "evidence_budget": evidence_budget, "folder_facets": folder_facets, "tag_facets": tag_facets,
     "tag_normalise": tag_normalise, "term_frequency": term_frequency, "fts_or_rank": fts("or"), "fts_and_match": fts("and"), "fts_not_match": fts("not"), "chat_terms": chat_terms,
-    "chat_match_rule": chat_match_rule, "knn_top200": knn_top200, "knn_post_filter": knn_post_filter, "nearest_same_type": nearest_same_type, "excerpt": excerpt, "deep_link": deep_link,
+    "chat_match_rule": chat_match_rule, "knn_top200": knn_top200, "knn_index_top200": knn_index_top200, "knn_index_recall": knn_index_recall, "similar_names": similar_names, "knn_post_filter": knn_post_filter, "nearest_same_type": nearest_same_type, "excerpt": excerpt, "deep_link": deep_link,
     "heading_text": heading_text, "content_hash_duplicates": content_hash_duplicates, "embed_cache_keys": embed_cache_keys, "reconcile_diff": reconcile_diff,
     "observation_classify": observation_classify, "move_pairing": move_pairing, "parse_notes": parse_notes, "chunk_documents": chunk_documents,
     "eval_first_rank": eval_ranks, "eval_summary": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf)), "eval_split_by": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf), "kind"),
@@ -497,6 +530,8 @@ SQL: dict[str, str] = {
     "chat_terms": "WITH " + TERMS_SQL + " SELECT item_id, coalesce(string_agg(term, ' ' ORDER BY term), '') AS terms FROM benchmark LEFT JOIN q ON query_id = item_id GROUP BY item_id",
     "chat_match_rule": TEXT_SQL + ", " + CHAT_SQL + " SELECT query_id, chunk_id, hits, n_terms, rank FROM x",
     "knn_top200": "WITH " + KNN_SQL.format("b.vec_id % 20 = 0") + " SELECT * FROM kn",
+    "knn_index_top200": "WITH " + KNN_SQL.format("b.vec_id % 20 = 0") + " SELECT * FROM kn",
+    "similar_names": "SELECT CAST(b.label AS VARCHAR) AS type, CAST(b.vec_id AS VARCHAR) AS norm, a.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0 WHERE " + COS + " >= 0.3 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY " + COS + " DESC, a.vec_id) = 1",
     "knn_post_filter": "WITH " + duck(SOURCES_SQL) + ", " + KNN_SQL.format("b.vec_id % 20 = 0") + ", " + VEC_SQL + " SELECT query_id, doc_id, rank, similarity FROM v",
     "nearest_same_type": "SELECT b.vec_id AS query_id, a.vec_id, " + COS + " AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id % 20 = 0 WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY similarity DESC, a.vec_id) = 1",
     "excerpt": r"WITH a AS (SELECT doc_id, replace(replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(regexp_replace(substr(t, 1, 240), '\s\S*$', ''), '&[a-zA-Z]*$', '') || '…' END AS excerpt FROM a",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTH, RESAMPLES, SEED = 10, 2000, 20261002
+POISSON = [math.ceil(65536 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(7)]  # 16-bit edges of the counts 0 to 7
 
 
 def first_rank(hits: DataFrame, targets: DataFrame, k: int = DEPTH) -> DataFrame:
@@ -32,15 +34,42 @@ def percentile(column: str, p: float) -> Column:
     return F.coalesce(F.percentile(column, F.lit(p)), F.lit(0.0))
 
 
+def gains(ranks: DataFrame, incumbent: DataFrame) -> DataFrame:
+    """system, query_id and gain: 1 where only the system finds the query's target, -1 where only the incumbent does, else 0."""
+    old = incumbent.select("query_id", F.col("rank").isNotNull().cast("int").alias("old"))
+    both = ranks.select("system", "query_id", F.col("rank").isNotNull().cast("int").alias("new")).join(old, "query_id")
+    return both.select("system", "query_id", (F.col("new") - F.col("old")).alias("gain"))
+
+
+def poisson_counts(digest: Column, at: int) -> Column:
+    """A count with mean 1 from the at-th four digits of a hexadecimal digest."""
+    u = F.conv(F.substring(digest, 4 * at + 1, 4), 16, 10).cast("int")
+    return sum((F.when(u >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
+
+
+def bootstrap_counts(ranks: DataFrame, incumbent: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
+    """low and high of each system, as `bootstrap` gives them, with Poisson counts instead of draws.
+
+    A resample takes each query as often as a count with mean 1 says, which follows from a hash of the seed, the query
+    and the resample (eight resamples a digest); the mean is over the queries taken. So each row is drawn where it lies,
+    the same for all systems and at any number of partitions, and sums are combined before they are shuffled.
+    """
+    block = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("block").cast("string")).cast("binary"))
+    rows = gains(ranks, incumbent).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 8) - 1)))).withColumn("digest", block)
+    drawn = rows.select("system", "gain", "block", F.posexplode(F.array(*[poisson_counts(F.col("digest"), k) for k in range(8)])).alias("k", "times"))
+    drawn = drawn.select("system", (8 * F.col("block") + F.col("k")).alias("resample"), "gain", "times").where((F.col("times") > 0) & (F.col("resample") < resamples))
+    means = drawn.groupBy("system", "resample").agg((F.sum(F.col("gain") * F.col("times")) / F.sum("times")).alias("gain"))
+    return means.groupBy("system").agg(F.round(percentile("gain", 0.025), 6).alias("low"), F.round(percentile("gain", 0.975), 6).alias("high"))
+
+
 def bootstrap(ranks: DataFrame, incumbent: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
     """low and high of each system: the 2.5 and 97.5 percentiles of its gain in found queries over the incumbent.
 
     ranks: system, query_id, rank (null: not found); incumbent: query_id, rank. Queries are drawn jointly for both, by
-    one seeded generator, so results repeat. Draws are rows of their own and are summed over all tasks; only a query's
-    pair of outcomes, a byte, is carried to them.
+    one seeded generator, so results repeat draw by draw. A system's gains, a byte a query, are in one row and drawn in
+    one call: for a query set that people write. Beyond that, `bootstrap_counts` draws in every task.
     """
-    old = incumbent.select("query_id", F.col("rank").isNotNull().cast("int").alias("old"))
-    gain = ranks.select("system", "query_id", F.col("rank").isNotNull().cast("int").alias("new")).join(old, "query_id").withColumn("gain", F.col("new") - F.col("old"))
+    gain = gains(ranks, incumbent)
     order = F.row_number().over(Window.partitionBy("system").orderBy("query_id")) - 1
     vectors = gain.withColumn("at", order).groupBy("system").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "gain"))), lambda x: x["gain"].cast("byte")).alias("gains"))
 

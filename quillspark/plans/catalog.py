@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.functions.markdown import chunk_note, parse_note
 from quillspark.operators import chat, evaluation, graph, ingest, nightly, paging, resolution, review, search
+from quillspark.operators.text_index import TextIndex
 from quillspark.operators.vector_index import VectorIndex
 from quillspark.plans.corpus import SOURCES_SQL, TABLES, chunks, sources, table
 from quillspark.plans import model
@@ -18,6 +19,7 @@ from quillspark.plans.catalog_model import QUERIES as MODEL_QUERIES
 from quillspark.plans.catalog_model import SQL as MODEL_QUERY_SQL
 from quillspark.plans.shared import SHARED
 from quillspark.sources.versions import temporary
+from quillspark.streaming.ingest import ingest_notes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -210,6 +212,44 @@ def similar_names(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.similar(names, rest.select("id", "embedding"), rest.select("id", "type", "status"), 0.3)
 
 
+def edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks after an edit: each tenth document ends with a word more, those after them have gone."""
+    rows = chunks(spark, sf).where("doc_id % 10 <> 4")
+    return rows.withColumn("content", F.when(F.col("doc_id") % 10 == 3, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+
+
+def edited_index(spark: SparkSession, sf: str, run: Callable[[TextIndex], DataFrame]) -> DataFrame:
+    """A text index of all chunks, then of the edit as a batch of its own."""
+    with temporary(spark) as tables:
+        index = TextIndex(tables, parts=16)
+        index.update(chunks(spark, sf))
+        index.update(edited(spark, sf).where("doc_id % 10 = 3"), gone=chunks(spark, sf).where("doc_id % 10 = 4").select("doc_id"))
+        return graph.written(run(index))
+
+
+def text_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    terms = query_terms(spark, sf)
+    return edited_index(spark, sf, lambda index: search.text_list(search.matches(index.rows(terms), terms))).select("query_id", "chunk_id", "hits", "rank")
+
+
+def text_index_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    return edited_index(spark, sf, lambda index: index.frequencies())
+
+
+def emptied_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the documents as notes, of which some are then edited, emptied, unreadable or gone."""
+    notes = table(spark, sf, "documents").select(
+        F.format_string("%08d.md", "doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("mtime"),
+        F.lit(None).cast("string").alias("read_error"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 10).alias("kind"),
+    )
+    later = notes.where("kind BETWEEN 1 AND 3").withColumn("text", F.when(F.col("kind") == 1, F.lit("  ")).when(F.col("kind") == 2, F.lit(None)).otherwise(F.lit("edited")))
+    later = later.withColumns({"hash": F.sha2(F.col("kind").cast("string").cast("binary"), 256), "read_error": F.when(F.col("kind") == 2, "encoding"), "mtime": F.lit(2).cast("long")})
+    with temporary(spark) as tables:
+        ingest_notes(tables, notes.where("text <> ''").drop("kind"))
+        ingest_notes(tables, later.drop("kind"), gone=notes.where("kind = 4").select("path"))
+        return graph.written(tables.read("chunks").groupBy("path").agg(F.first("hash").alias("hash"), F.min("ordinal").alias("first")))
+
+
 def excerpt(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
 
@@ -283,6 +323,13 @@ def eval_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.bootstrap(systems[0].unionByName(systems[1]), first_only(ranks, 2))
 
 
+def eval_bootstrap_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by Poisson counts."""
+    ranks = eval_ranks(spark, sf)
+    systems = [first_only(ranks, k).withColumn("system", F.lit(f"first {k}")) for k in (5, 10)]
+    return evaluation.bootstrap_counts(systems[0].unionByName(systems[1]), first_only(ranks, 2))
+
+
 def eval_flips(spark: SparkSession, sf: str) -> DataFrame:
     """The first ten ranks against the first three."""
     ranks = eval_ranks(spark, sf)
@@ -454,6 +501,8 @@ TERMS_SQL = (
 )
 MATCH_SQL = "f AS (SELECT query_id, doc_id, chunk_id, count(*) AS hits, count(DISTINCT p.term) AS n_terms, max(" + IDENT.format("p.term") + ") AS identifier FROM p JOIN q ON p.term = q.term GROUP BY ALL)"
 TEXT_SQL = "WITH " + ", ".join([duck(SOURCES_SQL), CHUNKS_SQL, POSTINGS_SQL, TERMS_SQL, MATCH_SQL])
+EDITED_SQL = CHUNKS_SQL.replace("c AS", "c0 AS", 1) + ", c AS (SELECT doc_id, chunk_id, CASE WHEN doc_id % 10 = 3 THEN content || ' edited' ELSE content END AS content FROM c0 WHERE doc_id % 10 <> 4)"
+EDITED_TEXT_SQL = "WITH " + ", ".join([duck(SOURCES_SQL), EDITED_SQL, POSTINGS_SQL, TERMS_SQL, MATCH_SQL])
 LIST_SQL = "x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM {0} QUALIFY rank <= 50)"
 CHAT_SQL = "pool AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= 200), ok AS (SELECT * FROM pool WHERE n_terms >= 2 OR identifier), " + LIST_SQL.format("ok")
 COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
@@ -470,12 +519,12 @@ BENCH_KNN = KNN_SQL.format("b.vec_id IN (SELECT item_id FROM benchmark)")
 QUERIES: dict[str, Query] = {
     "rrf_hybrid_search": rrf_hybrid_search, "rrf_hybrid_chat": rrf_hybrid_chat, "websearch_match": websearch_match, "websearch_hybrid": websearch_hybrid, "evidence_budget": evidence_budget, "folder_facets": folder_facets, "tag_facets": tag_facets,
     "tag_normalise": tag_normalise, "term_frequency": term_frequency, "fts_or_rank": fts("or"), "fts_and_match": fts("and"), "fts_not_match": fts("not"), "chat_terms": chat_terms,
-    "chat_match_rule": chat_match_rule, "knn_top200": knn_top200, "knn_index_top200": knn_index_top200, "knn_index_recall": knn_index_recall, "similar_names": similar_names, "knn_post_filter": knn_post_filter, "nearest_same_type": nearest_same_type, "excerpt": excerpt, "deep_link": deep_link,
+    "chat_match_rule": chat_match_rule, "knn_top200": knn_top200, "knn_index_top200": knn_index_top200, "knn_index_recall": knn_index_recall, "similar_names": similar_names, "text_index_search": text_index_search, "text_index_frequencies": text_index_frequencies, "emptied_notes": emptied_notes, "knn_post_filter": knn_post_filter, "nearest_same_type": nearest_same_type, "excerpt": excerpt, "deep_link": deep_link,
     "heading_text": heading_text, "content_hash_duplicates": content_hash_duplicates, "embed_cache_keys": embed_cache_keys, "reconcile_diff": reconcile_diff,
     "observation_classify": observation_classify, "move_pairing": move_pairing, "parse_notes": parse_notes, "chunk_documents": chunk_documents,
     "eval_first_rank": eval_ranks, "eval_summary": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf)), "eval_split_by": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf), "kind"),
     "eval_flips": eval_flips, "eval_verdict": eval_verdict, "ancestor_chain": ancestor_chain, "cycle_check": cycle_check, "window_packing": window_packing, "filter_llm_output": filter_llm_output,
-    "eval_bootstrap_ci": eval_bootstrap_ci, "suggest_round_robin": suggest_round_robin, "schedule_due_local": schedule_due_local,
+    "eval_bootstrap_ci": eval_bootstrap_ci, "eval_bootstrap_counts": eval_bootstrap_counts, "suggest_round_robin": suggest_round_robin, "schedule_due_local": schedule_due_local,
     "tokenise_postings": tokenise_postings, "chat_pool_top200": chat_pool_top200, "headline": headline, "chat_retrieval": chat_retrieval, "capture_titles": capture_titles, "eval_bake_off": eval_bake_off,
     **{name: shared(sql) for name, sql in SHARED.items()}, **OPERATORS, **MODEL_QUERIES,
 }
@@ -485,6 +534,14 @@ EVAL_SQL = (
     "dp AS (SELECT query_id, doc_id, min(rank) AS position FROM x GROUP BY ALL), pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank FROM dp),"
     "er AS (SELECT tg.query_id, CASE WHEN pl.rank <= 10 THEN pl.rank END AS rank, length(b.text) % 2 AS kind FROM tg JOIN pl ON pl.query_id = tg.query_id AND pl.doc_id = tg.doc_id JOIN benchmark b ON b.item_id = tg.query_id)"
 )
+BOOTSTRAP_SQL = (
+    ", g AS (SELECT 'first ' || k AS system, query_id, (coalesce(rank, 99) <= k)::INT - (coalesce(rank, 99) <= 2)::INT AS gain FROM er, (SELECT unnest([5, 10]) AS k)),"
+    "dg AS (SELECT system, gain, block, md5('20261002:' || query_id || ':' || block) AS h FROM g, (SELECT unnest(range(250)) AS block)),"
+    "u AS (SELECT system, 8 * block + k AS resample, gain, ('0x' || substr(h, 4 * k::INT + 1, 4))::INT / 65536 AS u FROM dg, (SELECT unnest(range(8)) AS k)),"
+    "ct AS (SELECT *, len(list_filter([0, 1, 2, 3, 4, 5, 6], lambda n: u >= list_sum(list_transform(range(n + 1), lambda j: exp(-1) / factorial(j::INT))))) AS times FROM u),"
+    "mn AS (SELECT system, resample, sum(gain * times)::DOUBLE / sum(times) AS gain FROM ct GROUP BY ALL HAVING sum(times) > 0)"
+    "SELECT system, round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high FROM mn GROUP BY system"
+)
 SUMMARY_SQL = "count(*) AS n, round(count(rank) / count(*), 6) AS recall, round(coalesce(sum(1.0::DOUBLE / rank), 0) / count(*), 6) AS mrr, round(count(*) FILTER (WHERE rank = 1) / count(*), 6) AS hit1 FROM er"
 
 WALK_SQL = "WITH RECURSIVE links AS (SELECT p_partkey AS id, p_partkey // 10 AS parent FROM part WHERE p_partkey >= 10), w AS (SELECT id, parent AS ancestor, 1 AS distance FROM links UNION ALL SELECT w.id, l.parent, distance + 1 FROM w JOIN links l ON l.id = w.ancestor)"
@@ -516,6 +573,7 @@ SQL: dict[str, str] = {
     "ancestor_chain": WALK_SQL + " SELECT id, ancestor, distance FROM w",
     "cycle_check": WALK_SQL + ", pr AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 10 + p_partkey % 10 ELSE p_partkey + 1 END AS parent FROM part) SELECT child, parent, child = parent OR EXISTS (SELECT 1 FROM w WHERE w.id = pr.parent AND w.ancestor = pr.child) AS cycle FROM pr",
     "filter_llm_output": "SELECT doc_id, source || ':tool:1.0|' || lang || ' x:topic:0.7' AS entities, 'NOTE:' || source || ':c1|' || source || ':' || lang || ' x' AS relations FROM documents",
+    "eval_bootstrap_counts": EVAL_SQL + BOOTSTRAP_SQL,
     "eval_flips": EVAL_SQL + " SELECT query_id, 'lost' AS flip FROM er WHERE rank > 3",
     "eval_verdict": EVAL_SQL + ", sm AS (SELECT kind, " + SUMMARY_SQL + " GROUP BY kind) SELECT a.kind, a.recall, a.mrr, 100 + a.kind AS p95, a.kind <> 0 AND a.recall >= b.recall + 0.05 - 1e-9 AND a.mrr >= b.mrr - 1e-9 AS wins FROM sm a, sm b WHERE b.kind = 0",
     "rrf_hybrid_search": ", ".join([TEXT_SQL, LIST_SQL.format("f"), BENCH_KNN, VEC_SQL, FUSE_SQL.format(1)]),
@@ -531,6 +589,9 @@ SQL: dict[str, str] = {
     "chat_match_rule": TEXT_SQL + ", " + CHAT_SQL + " SELECT query_id, chunk_id, hits, n_terms, rank FROM x",
     "knn_top200": "WITH " + KNN_SQL.format("b.vec_id % 20 = 0") + " SELECT * FROM kn",
     "knn_index_top200": "WITH " + KNN_SQL.format("b.vec_id % 20 = 0") + " SELECT * FROM kn",
+    "text_index_search": EDITED_TEXT_SQL + ", " + LIST_SQL.format("f") + " SELECT query_id, chunk_id, hits, rank FROM x",
+    "text_index_frequencies": EDITED_TEXT_SQL + " SELECT term, count(DISTINCT chunk_id) AS n FROM p GROUP BY term",
+    "emptied_notes": "SELECT lpad(doc_id::VARCHAR, 8, '0') || '.md' AS path, CASE WHEN doc_id % 10 = 3 THEN sha256('3') ELSE sha256(text) END AS hash, 0 AS first FROM documents WHERE doc_id % 10 = 3 OR doc_id % 10 NOT IN (1, 2, 4) AND trim(coalesce(text, '')) <> ''",
     "similar_names": "SELECT CAST(b.label AS VARCHAR) AS type, CAST(b.vec_id AS VARCHAR) AS norm, a.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0 WHERE " + COS + " >= 0.3 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY " + COS + " DESC, a.vec_id) = 1",
     "knn_post_filter": "WITH " + duck(SOURCES_SQL) + ", " + KNN_SQL.format("b.vec_id % 20 = 0") + ", " + VEC_SQL + " SELECT query_id, doc_id, rank, similarity FROM v",
     "nearest_same_type": "SELECT b.vec_id AS query_id, a.vec_id, " + COS + " AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id % 20 = 0 WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY similarity DESC, a.vec_id) = 1",

@@ -353,6 +353,17 @@ def test_bootstrap_is_paired_and_interpolated(spark):
     assert spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40)], "x double").agg(evaluation.percentile("x", 0.5)).first()[0] == 25.0
 
 
+def test_bootstrap_by_counts_repeats_and_agrees_with_draws(spark):
+    a, b = [1 if k % 3 else None for k in range(400)], [1 if k % 2 else None for k in range(400)]
+    frame = lambda v, s="new": spark.createDataFrame([(s, k, x) for k, x in enumerate(v)], "system string, query_id int, rank int")
+    both = frame(a).union(frame(b, "same"))
+    got = [sorted(map(tuple, evaluation.bootstrap_counts(both.repartition(n), frame(b)).collect())) for n in (1, 5)]
+    drawn = sorted(map(tuple, evaluation.bootstrap(both, frame(b)).collect()))
+    assert got[0] == got[1] and got[0][1] == ("same", 0.0, 0.0)
+    assert all(abs(x - y) < 0.02 for x, y in zip(got[0][0][1:], drawn[0][1:], strict=True))
+    assert evaluation.bootstrap_counts(both.limit(0), frame(b)).count() == 0
+
+
 def test_bake_off(spark):
     queries = spark.createDataFrame([(k, [f"p{k}"]) for k in range(20)], "query_id int, targets array<string>")
     found = lambda name, n: [(name, k, 1, f"p{k}" if k < n else "other") for k in range(20)]

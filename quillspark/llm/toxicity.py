@@ -2,10 +2,10 @@
 
 Training (on the driver, from a bounded sample of labelled rows): strings that mark toxic documents are the landmarks;
 a word's likeness to a landmark is the gap-weighted subsequence kernel (Lodhi et al., 2002), so inserted characters and
-gaps lower it instead of hiding the word. A sentence has, for each landmark, its most alike word; the Nyström map of
-these is what the machine sees. Labels are known for documents only, so a document stands for its worst sentence and
-the choice is repeated after each fit. Scoring is one Arrow pass over all whole texts: every word is compared with
-every landmark, distinct words once; a document's score is the calibrated margin of its worst sentence.
+gaps lower it instead of hiding the word. A document has, for each landmark, the likeness of its most alike word and how
+many different words are alike, softly and strictly, since some marks speak by their number only; the Nyström maps of
+these are what the machine sees. Scoring is one Arrow pass over all whole texts: every word is compared with every
+landmark, distinct words once.
 
 Defined results: null and empty texts get the score of a text without any likeness; repeated rows get equal scores;
 only id and text are read, other columns pass by; without toxic examples every score is 0; empty tables give no rows.
@@ -34,6 +34,7 @@ from quillspark.llm.common import require
 
 DECAY, LENGTH, WIDEST = 0.6, 4, 32
 SHORTEST, LONGEST = 3, 12  # letters of a landmark
+ALIKE = (0.5, 0.8)  # likenesses from which a word counts
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
 
 
@@ -73,13 +74,16 @@ def raw_kernel(codes: np.ndarray, landmark: str, p: int) -> np.ndarray:
 @dataclass
 class Model:
     landmarks: list[str]
-    weights: np.ndarray  # of the likenesses: the machine's weights through the Nyström map
+    weights: np.ndarray  # of the features: the machine's weights through the Nyström map
     bias: float
     slope: float
     shift: float
 
-    def margin(self, likeness: np.ndarray) -> np.ndarray:
-        return likeness @ self.weights + self.bias
+    def margin(self, features: np.ndarray) -> np.ndarray:
+        return features @ self.weights + self.bias
+
+    def of(self, features: np.ndarray) -> np.ndarray:
+        return self.score(self.margin(features))
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
@@ -131,28 +135,23 @@ class Likeness:
                         row[j] = max(row[j], x)
             self.known |= found
 
-    def sentences(self, texts: list[str | None]) -> list[np.ndarray]:
-        """For each text the likenesses of its sentences that have any, one row each."""
+    def documents(self, texts: list[str | None]) -> np.ndarray:
+        """The features of each text: for each landmark the greatest likeness, and the logarithm of how many different
+        words are alike by each of ALIKE."""
         split = []
         for t in texts:
             low = (t or "").lower()
-            words = low.split()
-            runs = [(low.count(" ", 0, m.start()), re.sub(r"\s", "", m[0])) for m in SPACED.finditer(low)]
-            split.append((words, runs))
-        self.learn({w for words, runs in split for w in words} | {w for _, runs in split for _, w in runs})
-        known, none, out = self.known, np.zeros((0, len(self.landmarks))), []
-        for words, runs in split:
-            hits = [(k, known[w]) for k, w in enumerate(words) if known[w] is not None] + [(-1 - k, known[w]) for k, (_, w) in enumerate(runs) if known[w] is not None]
-            if not hits:
-                out.append(none)
-                continue
-            ends = [k for k, w in enumerate(words) if w[-1] in ".!?"]
-            rows: dict[int, np.ndarray] = {}
-            for k, row in hits:
-                at = int(np.searchsorted(ends, k)) if k >= 0 else k
-                rows[at] = np.maximum(rows[at], row) if at in rows else row
-            out.append(np.stack(list(rows.values())))
-        return out
+            split.append({*low.split(), *(re.sub(r"\s", "", m[0]) for m in SPACED.finditer(low))})
+        self.learn(set().union(*split))
+        out = np.zeros((len(texts), 1 + len(ALIKE), len(self.landmarks)))
+        for k, words in enumerate(split):
+            rows = [self.known[w] for w in words if self.known[w] is not None]
+            if rows:
+                own = np.stack(rows)
+                out[k, 0] = own.max(axis=0)
+                for n, least in enumerate(ALIKE):
+                    out[k, 1 + n] = np.log1p((np.maximum(0, own - least) / (1 - least)).sum(axis=0))
+        return out.reshape(len(texts), (1 + len(ALIKE)) * len(self.landmarks))
 
 
 def copy_groups(texts: list[str | None], pairs: int = 4) -> list[int]:
@@ -182,47 +181,61 @@ def marks_of(text: str | None) -> set[str]:
     return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int, chance: float = 0.5) -> list[str]:
-    """Words and beginnings of words that toxic texts hold and clean ones (nearly) never do.
+def choose_landmarks(texts: list[str | None], toxic: np.ndarray, chance: float = 0.5) -> list[str]:
+    """Words and beginnings of words that toxic texts hold more often than chance has it.
 
-    A string needs so many toxic texts (near copies count once) that fewer than `chance` strings would reach that by
-    accident. Of strings in much the same texts, the one with the most texts, then the longest, stands for all.
+    A string's likelihood ratio has to be one that fewer than `chance` strings would reach by accident; near copies count
+    once. Of alike strings in much the same texts the one with the greatest ratio stands for all.
     """
-    good, bad = Counter(), Counter()
+    bad, good = Counter(), Counter()
     for t, y in zip(texts, toxic, strict=True):
-        (bad if y else good).update(marks_of(t))
-    rate = min(0.5, max(1e-3, float(toxic.mean()) if len(toxic) else 0.5))
-    least = max(3, math.ceil(math.log(max(2, len(bad)) / chance) / -math.log(rate)))
-    holders: dict[str, set[int]] = {x: set() for x, n in bad.items() if n >= least and n >= 9 * good[x]}
+        if y:
+            bad.update(marks_of(t))
+    need = 2 * math.log(max(2, len(bad)) / chance)
+    bad = Counter({x: n for x, n in bad.items() if n >= 3})
+    for t, y in zip(texts, toxic, strict=True):
+        if not y:
+            good.update(marks_of(t) & bad.keys())
+    rate = min(0.99, max(1e-3, float(toxic.mean()) if len(toxic) else 0.5))
+
+    def ratio(n: int, other: int) -> float:
+        total = n + other
+        if n < 3 or n <= max(0.25, 1.5 * rate) * total and other:
+            return 0.0
+        return 2 * (n * math.log(n / (total * rate)) + (other * math.log(other / (total * (1 - rate))) if other else 0.0))
+
+    holders: dict[str, set[int]] = {x: set() for x, n in bad.items() if ratio(n, good[x]) >= need}
     for group, t, y in zip(copy_groups(texts), texts, toxic, strict=True):
         if y:
             for x in marks_of(t) & holders.keys():
                 holders[x].add(group)
+    strength = {x: ratio(len(own), good[x]) for x, own in holders.items()}
+
+    def told(x: str, c: str) -> bool:
+        return len(holders[x] & holders[c]) > 0.7 * len(holders[x]) and (x in c or c in x or x[:SHORTEST] == c[:SHORTEST] and kernel([x], c)[0] > 0.4)
+
     chosen: list[str] = []
-    for x in sorted((x for x in holders if len(holders[x]) >= least), key=lambda x: (-len(holders[x]), -len(x), x)):
-        if len(chosen) < most and not any(len(holders[x] & holders[c]) > 0.7 * len(holders[x]) for c in chosen):
+    for x in sorted((x for x in holders if strength[x] >= need), key=lambda x: (-strength[x], -len(x), x)):
+        if not any(told(x, c) for c in chosen):
             chosen.append(x)
     return chosen
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, most_landmarks: int = 96, cost: float = 1000.0, rounds: int = 4) -> Model:
-    landmarks = choose_landmarks(texts, toxic, most_landmarks)
+def fit(texts: list[str | None], toxic: np.ndarray, cost: float = 1000.0) -> Model:
+    landmarks = choose_landmarks(texts, toxic)
     if not landmarks:
         return Model([], np.zeros(0), -1.0, 0.0, -50.0)
     gram = np.stack([kernel(landmarks, t) for t in landmarks])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(landmarks)))
-    nystrom = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    bags = [np.vstack([b, np.zeros(len(landmarks))]) for b in Likeness(landmarks).sentences(texts)]
+    nystrom = np.kron(np.eye(1 + len(ALIKE)), vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T)
+    likeness = Likeness(landmarks)
+    features = np.concatenate([likeness.documents(texts[at : at + 500]) for at in range(0, len(texts), 500)])
     sign = np.where(toxic, 1.0, -1.0)
     weight = np.where(toxic, len(toxic) / max(1, 2 * toxic.sum()), len(toxic) / max(1, 2 * (~toxic).sum()))
-    v, bias = np.ones(len(landmarks)), 0.0
-    for _ in range(rounds):
-        worst = np.stack([b[np.argmax(b @ v)] for b in bags])
-        w, bias = squared_hinge(worst @ nystrom, sign, weight * cost)
-        v = nystrom @ w
-    margins = np.array([(b @ v).max() for b in bags]) + bias
-    slope, shift = platt(margins, toxic)
-    return Model(landmarks, v, bias, slope, shift)
+    w, bias = squared_hinge(features @ nystrom, sign, weight * cost)
+    weights = nystrom @ w
+    slope, shift = platt(features @ weights + bias, toxic)
+    return Model(landmarks, weights, bias, slope, shift)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
@@ -256,16 +269,19 @@ def platt(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 4000, longest: int = 1 << 16) -> Model:
-    """Fits on some sample_rows labelled documents (chosen by a hash of the id), never on held-out ids.
-
-    The sampled ids are at most twice sample_rows and are broadcast to the scan of the texts; texts of more than
-    `longest` bytes aren't learnt from, so the driver holds a bounded number of bytes.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 4000, sample_bytes: int = 1 << 27) -> Model:
+    """Fits on a bounded sample of labelled documents, never on held-out ids: in the order of a hash of the id, the first
+    sample_rows, or those up to the one whose text brings the sum to sample_bytes. Long texts are learnt from like others.
     """
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("id"))).dropDuplicates(["id"])
     n = usable.count()
-    draw = usable.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample_rows / max(1, n))))).limit(2 * sample_rows)
-    rows = require(docs, [id_col, text_col]).toDF("id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(F.broadcast(draw), "id").select("text", "y").toPandas()
+    place = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20))
+    draw = usable.where(place < F.lit(int((1 << 20) * min(1.0, sample_rows / max(1, n))))).limit(2 * sample_rows)
+    texts = require(docs, [id_col, text_col]).toDF("id", "text")
+    sizes = texts.join(F.broadcast(draw), "id").select(place.alias("place"), "id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toPandas().sort_values(["place", "id"])
+    taken = sizes[sizes["size"].cumsum() - sizes["size"] < sample_bytes].id.drop_duplicates().tolist()
+    chosen = docs.sparkSession.createDataFrame([(int(i),) for i in taken], "id long").join(draw, "id")
+    rows = texts.join(F.broadcast(chosen), "id").select("text", "y").toPandas()
     rows = rows.assign(key=[hash_text(t) for t in rows.text]).sort_values("key").drop_duplicates(["key", "y"])
     return fit(rows.text.tolist(), rows.y.to_numpy() == 1)
 
@@ -286,9 +302,8 @@ def scorer(model: Model):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = likeness.sentences(part.column(part.num_columns - 1).to_pylist())
-                margins = np.array([max(0.0, float((s @ model.weights).max(initial=0.0))) for s in found]) + model.bias
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(margins))], names=["doc_id", "score"])
+                scores = model.of(likeness.documents(part.column(part.num_columns - 1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     return emit
 
@@ -307,11 +322,8 @@ def text_scorer(model: Model):
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         likeness = Likeness(model.landmarks)
         for texts in parts:
-            out = []
-            for at in range(0, len(texts), 1000):
-                found = likeness.sentences(texts.iloc[at : at + 1000].tolist())
-                out += [max(0.0, float((s @ model.weights).max(initial=0.0))) for s in found]
-            yield pd.Series(model.score(np.array(out) + model.bias))
+            parts = [model.of(likeness.documents(texts.iloc[at : at + 1000].tolist())) for at in range(0, len(texts), 1000)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score
 

@@ -84,8 +84,38 @@ def test_index_folds_copies_before_the_shuffle_and_is_joined_in_its_buckets(spar
 def test_kernel_tolerates_gaps_and_insertions():
     exact, gapped, spaced, other = kernel(["grubhead", "grub-head", "g.r.u.b.h.e.a.d", "nonsense"], "grubhead")
     assert exact == 1 and 0.3 < gapped < 1 and spaced > other and other < 0.05
-    alike = Likeness(["grubhead"]).sentences(["fine words. you G r u b h e a d there", None, ""])
-    assert alike[0].max() == 1 and not len(alike[1]) and not len(alike[2])
+    alike = Likeness(["grubhead"]).documents(["fine words. you G r u b h e a d there", None, ""])
+    assert alike[0, 0] == 1 and not alike[1].any() and not alike[2].any()
+    once, thrice = Likeness(["grub"]).documents(["grubby grubby plain", "grubby grubs grubber plain"])
+    assert once[0] == thrice[0] == 1 and thrice[1] > once[1] and thrice[2] > once[2]
+
+
+def test_marks_that_speak_by_their_number(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    plain = ["house", "river", "stone", "quiet", "green", "walks", "under", "seven", "paper", "cloud"]
+    texts, toxic = [], []
+    for k in range(600):
+        words = [rng.choice(plain) + str(rng.randint(0, 99)) for _ in range(30)]
+        bad = k % 6 == 0
+        # clean texts hold one such word at times, toxic ones several
+        words += [f"vorkel{rng.choice('abcdefgh')}{rng.choice('mnopq')}" for _ in range(rng.randint(3, 6) if bad else k % 4 == 1)]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(bad)
+    model = fit(texts[:400], np.array(toxic[:400]))
+    got = model.of(Likeness(model.landmarks).documents(texts[400:])) >= 0.5
+    assert (got == np.array(toxic[400:])).mean() > 0.97
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    rows = labelled(2, 300)
+    filler = "calm words of no weight " * 4000
+    docs = frame(spark, [(i, filler + t) for i, t, _ in rows])
+    labels = spark.createDataFrame([Row(doc_id=i, toxic=y, quality=1) for i, _, y in rows])
+    assert {t[:4] for t in train(docs, labels).landmarks} == {"zwor", "path", "grub"}
+    assert train(docs, labels, sample_bytes=1).landmarks == []  # one text, then the bound
 
 
 def test_toxicity_on_held_out_rows(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.functions.markdown import chunk_note, parse_note
 from quillspark.operators import chat, evaluation, graph, ingest, nightly, paging, resolution, review, search
+from quillspark.operators.embedding import EmbeddingStore
 from quillspark.operators.text_index import TextIndex
 from quillspark.operators.vector_index import VectorIndex
 from quillspark.plans.corpus import SOURCES_SQL, TABLES, chunks, sources, table
@@ -272,6 +273,22 @@ def embed_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.sha2(text.cast("binary"), 256).alias("key")).distinct()
 
 
+def sizes_of(texts: list[str]) -> list[list[float]]:
+    """Stands for an embedding model: characters and bytes of a text."""
+    return [[float(len(t)), float(len(t.encode()))] for t in texts]
+
+
+def embedding_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of all documents in a store of vectors, filled by a run over the even ids, then over all."""
+    texts = table(spark, sf, "documents").select("doc_id", X.embed_text(F.col("source"), F.array("lang"), F.col("text")).alias("text"))
+    with temporary(spark) as tables:
+        store = EmbeddingStore(tables, "sizes", dims=2, parts=16)
+        for part in (texts.where("doc_id % 2 = 0"), texts):
+            store.fill(part, sizes_of)
+        found = store.vectors(texts).where("text IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("embedding").alias("v"))
+        return graph.written(found.select("key", "n", F.col("v")[0].cast("long").alias("chars"), F.col("v")[1].cast("long").alias("bytes")))
+
+
 def reconcile_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents stand for what was known, with another size where their quality is 0; the rest is on disk."""
     docs = table(spark, sf, "documents")
@@ -520,7 +537,7 @@ QUERIES: dict[str, Query] = {
     "rrf_hybrid_search": rrf_hybrid_search, "rrf_hybrid_chat": rrf_hybrid_chat, "websearch_match": websearch_match, "websearch_hybrid": websearch_hybrid, "evidence_budget": evidence_budget, "folder_facets": folder_facets, "tag_facets": tag_facets,
     "tag_normalise": tag_normalise, "term_frequency": term_frequency, "fts_or_rank": fts("or"), "fts_and_match": fts("and"), "fts_not_match": fts("not"), "chat_terms": chat_terms,
     "chat_match_rule": chat_match_rule, "knn_top200": knn_top200, "knn_index_top200": knn_index_top200, "knn_index_recall": knn_index_recall, "similar_names": similar_names, "text_index_search": text_index_search, "text_index_frequencies": text_index_frequencies, "emptied_notes": emptied_notes, "knn_post_filter": knn_post_filter, "nearest_same_type": nearest_same_type, "excerpt": excerpt, "deep_link": deep_link,
-    "heading_text": heading_text, "content_hash_duplicates": content_hash_duplicates, "embed_cache_keys": embed_cache_keys, "reconcile_diff": reconcile_diff,
+    "heading_text": heading_text, "content_hash_duplicates": content_hash_duplicates, "embed_cache_keys": embed_cache_keys, "embedding_backfill": embedding_backfill, "reconcile_diff": reconcile_diff,
     "observation_classify": observation_classify, "move_pairing": move_pairing, "parse_notes": parse_notes, "chunk_documents": chunk_documents,
     "eval_first_rank": eval_ranks, "eval_summary": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf)), "eval_split_by": lambda spark, sf: evaluation.summary(eval_ranks(spark, sf), "kind"),
     "eval_flips": eval_flips, "eval_verdict": eval_verdict, "ancestor_chain": ancestor_chain, "cycle_check": cycle_check, "window_packing": window_packing, "filter_llm_output": filter_llm_output,
@@ -600,6 +617,7 @@ SQL: dict[str, str] = {
     "heading_text": "SELECT doc_id, source || ' ' || lang AS same, lang || ' ' || source AS other FROM documents",
     "content_hash_duplicates": "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "embed_cache_keys": "SELECT DISTINCT sha256(source || ' › ' || lang || chr(10) || chr(10) || text) AS key FROM documents",
+    "embedding_backfill": "WITH t AS (SELECT source || ' › ' || lang || chr(10) || chr(10) || text AS t FROM documents) SELECT sha256('sizes' || chr(10) || t) AS key, count(*) AS n, any_value(length(t)) AS chars, any_value(octet_length(encode(t))) AS bytes FROM t WHERE t IS NOT NULL GROUP BY 1",
     "reconcile_diff": "WITH k AS (SELECT l.doc_id, CASE WHEN quality = 0 THEN 0 ELSE n_chars END AS size FROM labels l JOIN documents USING (doc_id)), s AS (SELECT doc_id, n_chars AS size FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT coalesce(k.doc_id, s.doc_id) AS path, CASE WHEN k.doc_id IS NULL THEN 'new' WHEN s.doc_id IS NULL THEN 'missing' WHEN k.size <> s.size THEN 'changed' ELSE 'same' END AS change FROM k FULL JOIN s ON k.doc_id = s.doc_id",
     "observation_classify": "WITH o AS (SELECT d.doc_id, n_chars > 4000 AS bad, CASE quality WHEN 0 THEN 'failed' WHEN 1 THEN 'indexed' END AS st, lang = 'en' AS cur, coalesce(toxic = 1, false) AS del FROM documents d LEFT JOIN labels l USING (doc_id)), c AS (SELECT doc_id, CASE WHEN st IS NULL AND bad THEN 'failed' WHEN st IS NULL THEN 'new' WHEN st = 'failed' AND bad THEN 'unchanged' WHEN st = 'indexed' AND cur AND NOT del THEN 'unchanged' WHEN del AND cur THEN 'restored' ELSE 'requeued' END AS outcome FROM o) SELECT doc_id, outcome, outcome IN ('new', 'restored', 'requeued') AS queued FROM c",
     "eval_first_rank": EVAL_SQL + " SELECT query_id, rank, kind FROM er",

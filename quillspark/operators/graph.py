@@ -56,11 +56,65 @@ def ancestors(links: DataFrame, depth: int | None = None) -> DataFrame:
     return chains(links, depth).select("id", F.posexplode("chain").alias("at", "ancestor")).select("id", "ancestor", (F.col("at") + 1).alias("distance"))
 
 
+def jumps(links: DataFrame) -> list[DataFrame]:
+    """Level k: id, up and least of nodes with 2^k ancestors: the 2^k-th and the smallest of the 2^k nodes before it.
+
+    links: id, parent (one row per id). Each level joins narrow rows of the one before. They end where no chain is long
+    enough; what is left at the length of all links leads into cycles.
+    """
+    now = written(links.where("parent IS NOT NULL").select("id", F.col("parent").alias("up"), F.col("id").alias("least")))
+    n, out = now.count(), []
+    while now.count() > 0:
+        out.append(now)
+        if 1 << (len(out) - 1) >= n:
+            break
+        above = now.select(F.col("id").alias("__at"), F.col("up").alias("__up"), F.col("least").alias("__least"))
+        now = written(now.join(above, F.col("up") == F.col("__at")).select("id", F.col("__up").alias("up"), F.least("least", "__least").alias("least")))
+    return out
+
+
+def climbed(rows: DataFrame, levels: list[DataFrame], left: str | None = None) -> DataFrame:
+    """rows (at, ...) with `at` raised by as many links as the column `left` says, or to its top, and `steps`, their number."""
+    rows = rows.withColumn("steps", F.lit(0).cast("long"))
+    for k in range(len(levels) - 1, -1, -1):
+        step = levels[k].select(F.col("id").alias("at"), F.col("up").alias("__up"))
+        rows = rows.join(step, "at", "left")
+        goes = F.col("__up").isNotNull() if left is None else F.col("__up").isNotNull() & (F.col(left) - F.col("steps") >= F.lit(1 << k))
+        rows = written(rows.withColumns({"at": F.when(goes, F.col("__up")).otherwise(F.col("at")), "steps": F.col("steps") + F.when(goes, 1 << k).otherwise(0)}).drop("__up"))
+    return rows
+
+
 def would_cycle(links: DataFrame, proposed: DataFrame, depth: int | None = None) -> DataFrame:
-    """child, parent and cycle: whether the parent is the child or below it; proposed: child, parent."""
-    above = chains(links, depth).select(F.col("id").alias("parent"), "chain")
-    below = F.coalesce(F.array_contains("chain", F.col("child")), F.lit(False))
-    return proposed.join(above, "parent", "left").select("child", "parent", ((F.col("child") == F.col("parent")) | below).alias("cycle"))
+    """child, parent and cycle: whether the parent is the child or below it, by depth links at most; proposed: child, parent.
+
+    A node is above another if it is met where the other is raised by the difference of their depths: joins of narrow
+    rows, as many as the logarithm of the longest chain, for the nodes asked about only. A cycle in the links is cut at
+    its smallest node; what leads into it also meets all of the cycle.
+    """
+    levels, n = jumps(links), links.count()
+    cuts = None
+    if levels and 1 << (len(levels) - 1) >= n:
+        in_cycles = levels[-1].join(levels[-1].select(F.col("up").alias("id")).distinct(), "id", "left_semi")
+        cuts = written(in_cycles.where("id = least").select("id").join(links, "id").select(F.col("id").alias("top"), F.col("parent").alias("entry")))
+        if cuts.isEmpty():
+            cuts = None
+        else:
+            levels = jumps(links.join(cuts.select(F.col("top").alias("id")), "id", "left_anti"))
+    asked = written(proposed.select("child", "parent").distinct())
+    nodes = asked.select(F.col("child").alias("node")).union(asked.select("parent")) if cuts is None else asked.select(F.col("child").alias("node")).union(asked.select("parent")).union(cuts.select("entry"))
+    tops = climbed(nodes.where("node IS NOT NULL").distinct().select("node", F.col("node").alias("at")), levels).select("node", F.col("at").alias("top"), F.col("steps").alias("deep"))
+    of = lambda name: tops.select(*[F.col(c).alias(c if c == name else f"{name}_{c}") for c in ("top", "deep")], F.col("node").alias(name))
+    child, parent = of("child"), of("parent")
+    pairs = asked.join(child, "child").join(parent, "parent").where("child_top = parent_top")
+    ways = pairs.select("child", "parent", F.col("parent").alias("at"), (F.col("parent_deep") - F.col("child_deep")).alias("far"), F.lit(0).cast("long").alias("before"))
+    if cuts is not None:
+        entry = cuts.join(of("entry"), "entry").select(F.col("top").alias("parent_top"), "entry", "entry_deep")
+        round_ = pairs.join(entry, "parent_top").select("child", "parent", F.col("entry").alias("at"), (F.col("entry_deep") - F.col("child_deep")).alias("far"), (F.col("parent_deep") + 1).alias("before"))
+        ways = ways.unionByName(round_)
+    found = climbed(ways.where("far >= 0"), levels, "far").where(F.col("at") == F.col("child"))
+    found = found.where((F.col("far") + F.col("before") > 0) & (F.lit(depth is None) | (F.col("far") + F.col("before") <= F.lit(depth or 0)))).select("child", "parent", F.lit(True).alias("__meets")).distinct()
+    joined = proposed.join(found, ["child", "parent"], "left")
+    return joined.select("child", "parent", ((F.col("child") == F.col("parent")) | F.coalesce("__meets", F.lit(False))).alias("cycle"))
 
 
 def pack_windows(chunks: DataFrame, max_chars: int = WINDOW_CHARS) -> DataFrame:

@@ -278,6 +278,29 @@ def test_long_chains_are_whole(spark):
     assert {(r.child, r.parent): r.cycle for r in graph.would_cycle(links, proposed).collect()} == {(41, 1): True, (20, 10): True, (1, 41): False, (104, 110): True}
 
 
+def test_cycles_of_random_links_are_told_by_jumps(spark):
+    import random
+
+    rng = random.Random(12)
+    up = {k: rng.choice([k + 1, k + 1, rng.randint(0, 79)]) for k in range(60)} | {k: k + 1 for k in range(100, 160)} | {200: 201, 201: 202, 202: 200, 203: 200, 210: 210}
+    nodes = [*range(62), *range(100, 161, 6), 200, 201, 202, 203, 204, 210]
+
+    def meets(child, parent, depth=None):
+        seen, at = [], parent
+        while at in up and up[at] not in seen:
+            at = up[at]
+            seen.append(at)
+        return child == parent or child in seen[:depth]
+
+    asked = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(500)] + [(a, b) for a in (200, 201, 203, 210, 204) for b in (200, 202, 203, 210)]
+    links = spark.createDataFrame([*up.items()], "id int, parent int")
+    proposed = spark.createDataFrame(asked, "child int, parent int")
+    for depth in (None, 3):
+        got = {(r.child, r.parent): r.cycle for r in graph.would_cycle(links, proposed, depth).collect()}
+        assert got == {(a, b): meets(a, b, depth) for a, b in asked}
+    assert [r.cycle for r in graph.would_cycle(links.limit(0), proposed.limit(1)).collect()] == [asked[0][0] == asked[0][1]]
+
+
 def windows_by_hand(chunks, limit):
     out, text, n = [], "", 0
     for content in chunks:

@@ -17,7 +17,8 @@ counts. Three digits are used (for 200 bytes: keys of 73, 185 and 200 bytes):
 Equality of whole bytes is judged by a 96-bit BLAKE2 digest of them. Groups are counted with a map-side combine; their
 members meet the results in a join where a group of more than a thousandth of all rows (a thousand such at most) is
 broadcast, so a passage in a third of all texts is never gathered in a task. Memory in a task follows a chunk of half a
-MB: longer texts are read in overlapping segments. Rows have numbers of their own.
+MB: longer texts are read in overlapping segments, and what is collected belongs to one of these. Rows have numbers of
+their own.
 
 Defined results: a null text is empty; texts shorter than the window have no spans; ids may repeat or be null, each row
 is judged by its own text; repeated rows are each other's copies; other columns are ignored; empty tables give empty
@@ -121,8 +122,23 @@ def first_digit(window: int):
     return emit
 
 
+def pieces(window: int):
+    """(row, z) -> (row, part, z): the segments of each text, which overlap as in `segments`."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeezer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for row, z in rows_of(batch):
+                raw = zstandard.decompress(z)
+                for part, at in enumerate(range(0, len(raw) - window + 1, CHUNK_BYTES)):
+                    own = z if len(raw) <= CHUNK_BYTES else squeezer.compress(raw[at : at + CHUNK_BYTES + window - 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([part], pa.int64()), pa.array([own], pa.binary())], names=["row", "part", "z"])
+
+    return emit
+
+
 def contexts(window: int):
-    """(row, z, bundles, settled) -> the bytes that each bundle's windows cover."""
+    """(row, part, z, bundles, settled) -> the bytes that each bundle's windows cover."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def full() -> pa.RecordBatch:
@@ -131,10 +147,10 @@ def contexts(window: int):
 
         for batch in batches:
             rows, codes, flags, out = [], [], [], []
-            for row, z, wanted, settled in rows_of(batch):
+            for row, part, z, wanted, settled in rows_of(batch):
                 raw = zstandard.decompress(z)
                 for code, flag in zip(wanted, settled, strict=True):
-                    start, more = code >> 16, (code >> 8) & 255
+                    start, more = (code >> 16) - part * CHUNK_BYTES, (code >> 8) & 255
                     rows.append(row)
                     codes.append(code)
                     flags.append(flag)
@@ -241,8 +257,11 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, window: int) -> DataFrame
     at = scratch.n
     found, going = radix_pass(scratch, rows)
     scratch.drop(at)
-    per_row = going.groupBy("row").agg(F.collect_list("bundle").alias("bundles"), F.collect_list("settled").alias("settled"))
-    wide = scratch.save(texts.select("row", "z").join(per_row, "row").mapInArrow(contexts(window), "row long, bundle long, settled boolean, bytes binary"))
+    # what is collected belongs to a segment of a text
+    part = F.floor(F.shiftright("bundle", 16) / CHUNK_BYTES).alias("part")
+    per_part = going.groupBy("row", part).agg(F.collect_list("bundle").alias("bundles"), F.collect_list("settled").alias("settled"))
+    parts = texts.select("row", "z").mapInArrow(pieces(window), "row long, part long, z binary").join(per_part, ["row", "part"])
+    wide = scratch.save(parts.select("row", "part", "z", "bundles", "settled").mapInArrow(contexts(window), "row long, bundle long, settled boolean, bytes binary"))
     schema = "key long, whole binary, row long, bundle long, parent long, settled boolean"
     cut = scratch.save(wide.mapInArrow(next_digit(window, NARROW), schema))
     at = scratch.n
@@ -260,7 +279,11 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, window: int) -> DataFrame
     single, _ = radix_pass(scratch, scratch.save(last.mapInArrow(next_digit(window, 1), schema)), last=True)
     start = F.shiftright("bundle", 16)
     every = found.unionByName(narrow).unionByName(single).select("row", start.alias("start"), (start + F.shiftright("bundle", 8).bitwiseAND(F.lit(255)) + window).alias("end"))
-    spans = every.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    # first within segments, where a text of few letters has many, then the few that are left of a text
+    spans = every.groupBy("row", F.floor(F.col("start") / CHUNK_BYTES).alias("part")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    spans = spans.select("row", merged(F.col("s.start"), F.col("s.end")).alias("spans"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 1, F.lit(2)), lambda k: F.struct(F.get("spans", k).alias("start"), F.get("spans", k + 1).alias("end")))
+    spans = spans.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("s"))
     return spans.select("row", merged(F.col("s.start"), F.col("s.end")).alias("spans"))
 
 

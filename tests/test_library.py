@@ -51,6 +51,10 @@ def test_notes_are_parsed():
     for bad in ("---\nbroken\n---\nx", "---\na: [\n---\nx", "---\n- 1\n---\nx"):
         assert split_front(bad) == (None, bad, True)
     assert json_safe({1: (float("nan"), "a\x00", {2})}) == {"1": ["nan", "a", [2]]}
+    import datetime
+
+    odd = {None: datetime.date(2026, 1, 2), True: ["\\u0000", "\\\x00", -float("inf"), 1.5], (1, 2): {"x": {"b", "a"}}, "n\x00": object}
+    assert json_safe(odd) == {"None": "2026-01-02", "True": ["\\u0000", "\\", "-inf", 1.5], "(1, 2)": {"x": ["a", "b"]}, "n": str(object)}
     assert [tags_of(v) for v in (None, 5, {"a": 1}, "#A, b  ##c,a", ["X", 1, "#x", "y" * 101])] == [[], [], [], ["a", "b", "c"], ["x"]]
     assert len(tags_of([f"t{k}" for k in range(70)])) == 64
 
@@ -180,7 +184,7 @@ def test_query_sets_report_every_error(spark, tmp_path):
     assert (good.query_id, good.q, good.targets) == ("a-1", "where", ["n.md"])
     with pytest.raises(ValueError) as e:
         load(spark, write("version: 1\nqueries:\n- {id: A, q: '', lang: de, kind: no, targets: []}\n- 5\n- {id: b, q: x, lang: pl, kind: topic, targets: [t]}\n- {id: b, q: x, lang: pl, kind: topic, targets: [t]}\n"))
-    assert len(str(e.value).split("\n")) == 7 and "b: duplicate id" in str(e.value) and "#1: entry must be a mapping" in str(e.value)
+    assert len(str(e.value).split("\n")) == 7 and "b: another entry before it has this id" in str(e.value) and "#1: isn't a mapping of fields" in str(e.value)
     for text in ("version: 2\nqueries: []", "- 1", "a: ["):
         with pytest.raises(ValueError):
             load(spark, write(text))

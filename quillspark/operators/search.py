@@ -1,14 +1,14 @@
 """Search over chunks: postings, boolean matches, exact kNN, rank fusion, chat rule and evidence.
 
 Every operator takes a frame of queries, so one job answers many; ranks are windows per query, over lists that a
-top-k has already cut. Queries are few against the corpus and of bounded size, so they are broadcast.
+top-k has already cut. A batch of queries is sent to every task if it has been counted and is small, and else joined.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,11 @@ HEADING, CONTENT = 1.0, 0.1  # weights of a term
 SMALL_BATCH = 4096  # queries that may be sent to every task
 
 
+def hint(batch: DataFrame, most: int) -> Callable[[DataFrame], DataFrame]:
+    """broadcast for what is made of a batch of at most `most` rows, which are counted; nothing for a larger one."""
+    return F.broadcast if batch.limit(most + 1).count() <= most else lambda df: df
+
+
 def live(sources: DataFrame, folder: str | None = None, tags: list[str] | None = None) -> DataFrame:
     """Undeleted sources, below a folder and with all the tags where given."""
     out = sources.where(~F.col("deleted"))
@@ -72,7 +77,7 @@ class PostingsIndex:
 def matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, chunk_id, doc_id, hits and n_terms of chunks that hold a term; terms: query_id, term."""
     asked = terms.select("query_id", "term", is_identifier(F.col("term")).alias("identifier"))
-    each = postings.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n"), F.first("identifier").alias("identifier"))
+    each = postings.join(hint(terms, 16 * SMALL_BATCH)(asked), "term").groupBy("query_id", "doc_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n"), F.first("identifier").alias("identifier"))
     return each.groupBy("query_id", "doc_id", "chunk_id").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("n_terms"), F.max("identifier").alias("identifier"))
 
 
@@ -92,33 +97,33 @@ def web_matches(postings: DataFrame, chunks: DataFrame, queries: DataFrame) -> D
     a matching part begins, score is the cover density of its words. A part of negated clauses only matches every other
     chunk, with no hits. A part is first looked for by its rarest word, so common words meet its candidates only.
     """
-    clauses = web_clauses(queries)
+    small, clauses = hint(queries, SMALL_BATCH), web_clauses(queries)
     terms = clauses.select("query_id", "part", "clause", "negated", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term"))
     of, key = ["query_id", "part"], ["query_id", "part", "doc_id", "chunk_id"]
     needed = terms.groupBy(*of, "term").agg(F.bool_or(~F.col("negated")).alias("needed"))
     needs = needed.groupBy(*of).agg(F.count_if("needed").alias("needs"))
     # the words of a chunk that some query has, with their places
     asked = needed.select("term").distinct()
-    lists = postings.join(F.broadcast(asked), "term", "left_semi").groupBy("doc_id", "chunk_id", "term").agg(F.collect_list(F.struct("pos", "weight")).alias("at"))
+    lists = postings.join(small(asked), "term", "left_semi").groupBy("doc_id", "chunk_id", "term").agg(F.collect_list(F.struct("pos", "weight")).alias("at"))
     seen_in = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     order = F.struct(F.coalesce("df", F.lit(0)), "term")
     rarest = needed.where("needed").join(seen_in, "term", "left").groupBy(*of).agg(F.min(order)["term"].alias("term"))
-    candidates = lists.select("doc_id", "chunk_id", "term").join(F.broadcast(rarest), "term").select(*key)
-    held = candidates.join(F.broadcast(needed), of).join(lists, ["doc_id", "chunk_id", "term"])
+    candidates = lists.select("doc_id", "chunk_id", "term").join(small(rarest), "term").select(*key)
+    held = candidates.join(small(needed), of).join(lists, ["doc_id", "chunk_id", "term"])
     held = held.groupBy(*key).agg(F.collect_list(F.struct("term", "needed", "at")).alias("held"), F.count_if("needed").alias("has"))
-    able = held.join(F.broadcast(needs), of).where("has = needs").select(*key, F.explode("held").alias("h"))
+    able = held.join(small(needs), of).where("has = needs").select(*key, F.explode("held").alias("h"))
     occurrences = able.select(*key, "h.term", "h.needed", F.explode("h.at").alias("o")).select(*key, "term", "needed", "o.pos", "o.weight")
-    begins = occurrences.join(F.broadcast(terms), ["query_id", "part", "term"]).withColumn("begin", F.col("pos") - F.col("place"))
+    begins = occurrences.join(small(terms), ["query_id", "part", "term"]).withColumn("begin", F.col("pos") - F.col("place"))
     whole = begins.groupBy(*key, "clause", "negated", "n", "begin").agg(F.count(F.lit(1)).alias("there")).where("there = n")
     wanted = clauses.groupBy(*of).agg(F.count_if(~F.col("negated")).alias("wanted"))
     seen = whole.groupBy(*key).agg(F.countDistinct(F.when(~F.col("negated"), F.col("clause"))).alias("found"), F.bool_or("negated").alias("barred"), F.collect_set(F.when(~F.col("negated"), F.col("begin"))).alias("begins"))
     density = occurrences.where("needed").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("pos", "term", "weight"))).alias("at"), F.countDistinct("term").alias("n"))
     density = density.select(*key, cover_density("at", "n").alias("score"))
-    good = seen.join(F.broadcast(wanted.where("wanted > 0")), of).where("found = wanted AND NOT barred").join(density, key, "left").select("query_id", "doc_id", "chunk_id", "begins", "score")
+    good = seen.join(small(wanted.where("wanted > 0")), of).where("found = wanted AND NOT barred").join(density, key, "left").select("query_id", "doc_id", "chunk_id", "begins", "score")
     # a part without a wanted clause takes every chunk that its negated ones leave; a chunk may hold none of their words
     loose = wanted.where("wanted = 0").select(*of)
-    barred = postings.join(F.broadcast(terms.join(loose, of)), "term").withColumn("begin", F.col("pos") - F.col("place")).groupBy(*key, "clause", "n", "begin").agg(F.count(F.lit(1)).alias("there")).where("there = n").select(*key).distinct()
-    rest = chunks.select("doc_id", "chunk_id").join(F.broadcast(loose)).join(barred, key, "left_anti")
+    barred = postings.join(small(terms.join(loose, of)), "term").withColumn("begin", F.col("pos") - F.col("place")).groupBy(*key, "clause", "n", "begin").agg(F.count(F.lit(1)).alias("there")).where("there = n").select(*key).distinct()
+    rest = chunks.select("doc_id", "chunk_id").join(small(loose)).join(barred, key, "left_anti")
     both = good.unionByName(rest.select("query_id", "doc_id", "chunk_id", F.array().cast("array<int>").alias("begins"), F.lit(0.0).alias("score")))
     return both.groupBy("query_id", "doc_id", "chunk_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("begins")))).cast("long").alias("hits"), F.round(F.sum(F.coalesce("score", F.lit(0.0))), 9).alias("score"))
 

@@ -125,7 +125,7 @@ def fts(kind: str) -> Query:
         if kind == "or":
             return search.text_list(found).select("query_id", "chunk_id", "hits", "rank")
         if kind == "and":
-            return search.text_list(found.join(F.broadcast(wanted), "query_id").where("n_terms * 2 >= all_terms")).select("query_id", "chunk_id", "hits", "rank")
+            return search.text_list(found.join(wanted, "query_id").where("n_terms * 2 >= all_terms")).select("query_id", "chunk_id", "hits", "rank")
         first = found.groupBy("query_id").agg(F.max("hits").alias("most"))
         return found.join(first, "query_id").where("hits < most").groupBy("query_id").agg(F.count(F.lit(1)).alias("left"))
 
@@ -145,7 +145,7 @@ def chat_pool_top200(spark: SparkSession, sf: str) -> DataFrame:
 def headline(spark: SparkSession, sf: str) -> DataFrame:
     """Marked stretches of the best three chunks of each question."""
     terms = query_terms(spark, sf).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    best = search.text_list(text_hits(spark, sf), 3).join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id").join(F.broadcast(terms), "query_id")
+    best = search.text_list(text_hits(spark, sf), 3).join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id").join(terms, "query_id")
     return best.select("query_id", "chunk_id", "rank", search.headline("content", "terms").alias("headline"))
 
 

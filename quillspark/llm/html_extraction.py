@@ -3,9 +3,13 @@
 1. An Arrow pass parses each page into blocks of text outside menus, forms, adverts and the like, each with its
    generalised container path (tags and classes, digits folded). The page's own choice is the deepest path that holds
    all of that text; only the choices leave the pass.
-2. Spark adds up these choices per host, weighted by the logarithm of their text, and the path with the most wins.
+2. Spark adds up these choices per host, weighted by the logarithm of their text, and the path with the most wins. Pages
+   vote with hashes of their blocks as well: what three pages of a host and half of them all have at one path is its
+   furniture.
 3. Every page is parsed anew. Where its host's winning path holds more than half of its text, the page is extracted
-   with that path, raised within the page's body to the container of further text; any other page uses its own.
+   with that path, raised within the page's body to the container of further text; any other page uses its own. Furniture
+   is cut, but not from the container of most of the page's text, and not where it is half of the page or more, as in
+   copies of a page.
 
 A hot host's votes are folded before the shuffle, and the winners, one row per host, meet the pages in a join that
 adaptive execution splits or broadcasts by size.
@@ -18,6 +22,7 @@ leave nothing of a page, an <article> or <main> below a part so named counts aft
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import os
@@ -177,21 +182,45 @@ def chosen_path(blocks: list[tuple[str, str]], consensus: str | None) -> str:
     return best
 
 
+def block_hash(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def without_furniture(blocks: list[tuple[str, str]], furniture: set[int]) -> list[tuple[str, str]]:
+    """The blocks without those of the host's furniture that lie outside the container of most of the text."""
+    if not furniture or not blocks:
+        return blocks
+    weights: dict[str, int] = {}
+    for p, t in blocks:
+        weights[p] = weights.get(p, 0) + len(t)
+    main = max(weights, key=lambda p: (weights[p], -len(p), p))
+    kept = [(p, t) for p, t in blocks if p == main or p.startswith(main + "/") or block_hash(p, t) not in furniture]
+    return kept if 2 * sum(len(t) for _, t in kept) > sum(weights.values()) else blocks
+
+
 def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, path, weight): each page's own choice."""
+    """(host, html) -> (host, path, block, weight): each page's own choice, and each of its blocks once with a null path."""
     for batch in batches:
-        found = [(host, *own_path(blocks_of(page or ""))) for host, page in rows_of(batch)]
-        columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([math.log1p(f[2]) for f in found], pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "weight"])
+        for at in range(0, batch.num_rows, 512):
+            hosts, paths, hashes, weights = [], [], [], []
+            for host, page in rows_of(batch.slice(at, 512)):
+                blocks = blocks_of(page or "")
+                path, held = own_path(blocks)
+                own = {block_hash(p, t) for p, t in blocks}
+                hosts += [host] * (1 + len(own))
+                paths += [path, *[None] * len(own)]
+                hashes += [None, *own]
+                weights += [math.log1p(held), *[0.0] * len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.int64()), pa.array(weights, pa.float64())], names=["host", "path", "block", "weight"])
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, consensus) -> (page_id, url, text, n_chars, path)."""
+    """(page_id, url, html, consensus, furniture) -> (page_id, url, text, n_chars, path)."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("path", pa.string())])
     for batch in batches:
         rows = []
-        for i, url, page, consensus in rows_of(batch):
-            blocks = blocks_of(page or "")
+        for i, url, page, consensus, furniture in rows_of(batch):
+            blocks = without_furniture(blocks_of(page or ""), set(furniture or ()))
             path = chosen_path(blocks, consensus)
             text = " ".join(t for p, t in blocks if p == path or p.startswith(path + "/"))
             rows.append({"page_id": i, "url": url, "text": text, "n_chars": len(text), "path": path})
@@ -199,17 +228,21 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and consensus of each host that has any text; pages: host, html."""
-    votes = pages.where("host <> ''").mapInArrow(vote, "host string, path string, weight double").where("weight > 0").groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("votes"))
+    """host, consensus and furniture (hashes of blocks) of each host that has any text; pages: host, html."""
+    votes = pages.where("host <> ''").mapInArrow(vote, "host string, path string, block long, weight double")
+    votes = checkpointed(votes.groupBy("host", "path", "block").agg(F.round(F.sum("weight"), 6).alias("votes"), F.count(F.lit(1)).alias("n")).where("n > 2 OR path IS NOT NULL"))
     place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("path")))
-    return checkpointed(votes.withColumn("place", place).where("place = 1").select("host", F.col("path").alias("consensus")))
+    chosen = votes.where("path IS NOT NULL AND votes > 0").withColumn("place", place).where("place = 1").select("host", F.col("path").alias("consensus"))
+    pages_of = votes.where("path IS NOT NULL").groupBy("host").agg(F.sum("n").alias("pages"))
+    common = votes.where("block IS NOT NULL").join(pages_of, "host").where("2 * n >= pages").groupBy("host").agg(F.collect_set("block").alias("furniture"))
+    return checkpointed(chosen.join(common, "host", "left"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page, and the path that was used."""
     rows = require(pages, [id_col, url_col, html_col]).toDF("page_id", "url", "html")
     rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))
-    joined = rows.join(host_paths(rows.select("host", "html")), "host", "left").select("page_id", "url", "html", "consensus")
+    joined = rows.join(host_paths(rows.select("host", "html")), "host", "left").select("page_id", "url", "html", "consensus", "furniture")
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long, path string").withColumnsRenamed({"page_id": id_col, "url": url_col})
 
 

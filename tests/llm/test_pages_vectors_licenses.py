@@ -199,3 +199,21 @@ def test_every_template_is_found_and_only_in_its_order(spark):
     assert all(not got[len(wanted) + k].labels for k in range(len(backward)))
     assert wanted[1][0] in got[len(texts) + len(backward) + 1].labels.split(",")
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_boxes_with_unlisted_names_go_by_the_votes_of_their_host(spark):
+    from quillspark.llm import html_extraction
+
+    def page(k, box="<div class='zone'><p>Latest stories elsewhere</p><p>And one more to read</p></div>"):
+        return f"<html><body><div class='c{k}'><h1>Title {k}</h1><p>Summary</p><p>The text of page {k} is about the number {k}.</p></div>{box}</body></html>"
+
+    same = "<html><body><div class='text'><p>One text for all.</p></div><div class='more'><p>Short</p></div></body></html>"
+    rows = [(k, f"http://host.example/{k}", page(k)) for k in range(20)] + [(100 + k, f"http://copies.example/{k}", same) for k in range(6)] + [(200, "http://alone.example/", page(200))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(frame).collect()}
+    # the box goes, what the article repeats stays, copies of a page and a page alone keep all
+    assert all(got[k] == f"Title {k} Summary The text of page {k} is about the number {k}." for k in range(20))
+    assert all(got[100 + k].startswith("One text for all.") for k in range(6)) and got[200].endswith("And one more to read")
+    # without the votes, the box would stay
+    blocks = html_extraction.blocks_of(page(4))
+    assert html_extraction.without_furniture(blocks, set()) == blocks and any("elsewhere" in t for _, t in blocks)

@@ -267,7 +267,10 @@ def tombstones(spark: SparkSession, sf: str) -> DataFrame:
     notes = model.notes(spark, sf)
     gone = notes.where("id % 10 = 1").select("path")
     sources, states = ingest.tombstone(notes, model.revisions(spark, sf), gone, now())
-    return sources.agg(F.count_if(F.col("deleted_at") == now()).alias("deleted")).join(states.agg(F.count_if(F.col("state") == "superseded").alias("superseded"), F.count_if(F.col("state") == "pending").alias("pending")))
+    # a note may have died at that very time before, so what is new is told by the difference
+    dead = lambda df, name: df.agg(F.count("deleted_at").alias(name))
+    deleted = dead(sources, "after").join(dead(notes, "before")).select((F.col("after") - F.col("before")).alias("deleted"))
+    return deleted.join(states.agg(F.count_if(F.col("state") == "superseded").alias("superseded"), F.count_if(F.col("state") == "pending").alias("pending")))
 
 
 def index_swap(spark: SparkSession, sf: str) -> DataFrame:

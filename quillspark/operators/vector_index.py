@@ -13,18 +13,19 @@ zero or not finite, are not indexed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import search
 from quillspark.sources.versions import Parts, Tables, part_of
 
 PLACES = 64
+PLACE = "vec_id long, cell long, near double"
 
 
 def near_cells(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -87,10 +88,10 @@ class VectorIndex:
 
     def _staged(self, rows: DataFrame, centroids: np.ndarray) -> dict[str, tuple[str, Parts]]:
         others = [c for c in rows.columns if c not in ("vec_id", "embedding")]
-        schema = rows.select("vec_id", "embedding", *others).schema.add("cell", "long")
+        schema = rows.select("vec_id", "embedding", *others).schema.add("cell", "long").add("near", "double")
         placed = search_written(rows.select("vec_id", "embedding", *others).mapInArrow(assigned(centroids), schema))
-        own = self.tables.stage(self.rows, placed.withColumn("part", F.col("cell")).repartition("part"))
-        return {self.rows: own, self.places: self.tables.stage(self.places, placed.select("vec_id", "cell", part_of(F.col("vec_id"), PLACES).alias("part")).repartition("part"))}
+        own = self.tables.stage(self.rows, placed.drop("near").withColumn("part", F.col("cell")).repartition("part"))
+        return {self.rows: own, self.places: self.tables.stage(self.places, placed.select("vec_id", "cell", "near", part_of(F.col("vec_id"), PLACES).alias("part")).repartition("part"))}
 
     def _centroids(self, version: int) -> tuple[np.ndarray, int]:
         known = self.tables.read(self.centroids, version).orderBy("cell").toPandas()
@@ -106,7 +107,7 @@ class VectorIndex:
         rows = self._usable(vectors, dims or None)
         ids = search_written((rows.select("vec_id") if gone is None else rows.select("vec_id").union(gone.select(F.col(self.id_col).cast("long")))).distinct())
         touched = [str(r[0]) for r in ids.select(part_of(F.col("vec_id"), PLACES)).distinct().collect()]
-        places = self.tables.read(self.places, base, touched, "vec_id long, cell long")
+        places = self.tables.read(self.places, base, touched, PLACE)
         old = [str(r.cell) for r in places.join(ids, "vec_id", "left_semi").select("cell").distinct().collect()]
         fresh = self._staged(rows, centroids)
         stay = self.tables.read(self.rows, base, old).join(ids, "vec_id", "left_anti")
@@ -144,13 +145,20 @@ class VectorIndex:
         known = {r.k: r.probes for r in self.tables.read(self.tuned, version, schema="k long, probes long").collect()}
         return known[min([x for x in known if x >= k], default=max(known))] if known else 8
 
+    def radii(self, version: int) -> dict[int, float]:
+        """The widest angle between a cell's centroid and one of its vectors."""
+        widest = self.tables.read(self.places, version, schema=PLACE).groupBy("cell").agg(F.min("near").alias("near"))
+        return {r.cell: float(np.arccos(np.clip(r.near, -1.0, 1.0))) for r in widest.collect()}
+
     def sizes(self, version: int) -> dict[int, int]:
         return {r.cell: r["count"] for r in self.tables.read(self.places, version).groupBy("cell").count().collect()}
 
-    def search(self, queries: DataFrame, k: int = search.POOL, by: str | None = None, reach: int = 8, probes: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = search.POOL, by: str | None = None, reach: int = 8, probes: int | None = None, exact: bool = False) -> DataFrame:
         """query_id, vec_id, similarity and rank of k near vectors of each query (query_id, query_vector, and by).
 
         Where they are compared within values of `by` only, k and what was tuned are of all vectors: give more probes.
+        exact: a second search reads every cell that may hold a nearer vector than the k-th of the first, by the angle
+        between query and centroid less the cell's radius. On vectors in clusters that leaves out most cells, on noise none.
         """
         version = self.tables.latest()
         probes = probes or self.probes_for(k, version)
@@ -159,24 +167,33 @@ class VectorIndex:
         same = F.lit("") if by is None else F.col(by).cast("string")
         # vectors of another dimension, or an index of none, have no neighbours here
         wanted = queries.select("query_id", "query_vector", same.alias("by")).where("by IS NOT NULL").where(F.size("query_vector") == (dims or -1))
+        choose = lambda q: probed(search.unit(q.query_vector), centroids, sizes, k * reach, probes) if len(q) else []
+        found = self._nearest(wanted, version, k, same, sizes, choose)
+        if exact:
+            last = search_written(search.top(found, [F.desc("similarity"), F.col("vec_id")], k).where(F.col("rank") == k).select("query_id", F.col("similarity").alias("least")))
+            radii = np.array([r for _, r in sorted({**dict.fromkeys(range(len(centroids)), 0.0), **self.radii(version)}.items())])
+            choose = lambda q: reachable(search.unit(q.query_vector), q.least.fillna(-2).to_numpy(), centroids, sizes, radii) if len(q) else []
+            found = self._nearest(wanted.join(last, "query_id", "left"), version, k, same, sizes, choose)
+        return search.top(found, [F.desc("similarity"), F.col("vec_id")], k)
+
+    def _nearest(self, wanted: DataFrame, version: int, k: int, same: Column, sizes: np.ndarray, choose: Callable[[pd.DataFrame], list[np.ndarray]]) -> DataFrame:
+        """The best k of each task for queries, within the cells that are chosen for them."""
         few = wanted.limit(search.SMALL_BATCH + 1).toPandas()
         if len(few) <= search.SMALL_BATCH:
-            few["cells"] = probed(search.unit(few.query_vector), centroids, sizes, k * reach, probes) if len(few) else []
+            few["cells"] = choose(few)
             cells = {int(c) for own in few.cells for c in own}
             known = self.tables.read(self.rows, version, [str(c) for c in cells]).select("vec_id", "embedding", same.alias("by"), "cell")
-            found = known.mapInArrow(nearest_in_cells(few, k), search.NEAREST)
-        else:
-            known = self.tables.read(self.rows, version).select("vec_id", "embedding", same.alias("by"), "cell")
-            asked = search_written(wanted.mapInArrow(with_cells(centroids, sizes, k * reach, probes), "query_id long, query_vector array<double>, by string, cell long"))
-            n = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
-            rows = F.array(*[F.lit(max(1, -(-int(s) // 20_000))) for s in sizes])
-            columns = F.array(*[F.lit(max(1, -(-n.get(c, 0) // search.SMALL_BATCH))) for c in range(len(sizes))])
-            block = lambda key, of: F.pmod(F.xxhash64(key), F.get(of, F.col("cell").cast("int"))).cast("int")
-            every = lambda of: F.explode(F.sequence(F.lit(0), F.get(of, F.col("cell").cast("int")) - 1))
-            left = known.where(F.col("cell").isin([*n])).withColumn("i", block("vec_id", rows)).withColumn("j", every(columns))
-            right = asked.withColumn("j", block("query_id", columns)).withColumn("i", every(rows))
-            found = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(lambda v, w: search.scored(w, v, k), search.NEAREST)
-        return search.top(found, [F.desc("similarity"), F.col("vec_id")], k)
+            return known.mapInArrow(nearest_in_cells(few, k), search.NEAREST)
+        known = self.tables.read(self.rows, version).select("vec_id", "embedding", same.alias("by"), "cell")
+        asked = search_written(wanted.mapInArrow(with_cells(choose), "query_id long, query_vector array<double>, by string, cell long"))
+        n = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
+        rows = F.array(*[F.lit(max(1, -(-int(s) // 20_000))) for s in sizes])
+        columns = F.array(*[F.lit(max(1, -(-n.get(c, 0) // search.SMALL_BATCH))) for c in range(len(sizes))])
+        block = lambda key, of: F.pmod(F.xxhash64(key), F.get(of, F.col("cell").cast("int"))).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.get(of, F.col("cell").cast("int")) - 1))
+        left = known.where(F.col("cell").isin([*n])).withColumn("i", block("vec_id", rows)).withColumn("j", every(columns))
+        right = asked.withColumn("j", block("query_id", columns)).withColumn("i", every(rows))
+        return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(lambda v, w: search.scored(w, v, k), search.NEAREST)
 
 
 def search_written(df: DataFrame) -> DataFrame:
@@ -207,12 +224,15 @@ def added(rows: pa.Table) -> pa.Table:
 
 
 def assigned(centroids: np.ndarray):
-    """Rows with their cell."""
+    """Rows with their cell and their cosine to its centroid."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near_cells(flat(batch, "embedding"), centroids).astype(np.int64))], names=[*batch.schema.names, "cell"])
+                x = flat(batch, "embedding")
+                cells = near_cells(x, centroids).astype(np.int64)
+                near = np.einsum("ij,ij->i", x, centroids[cells])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(near)], names=[*batch.schema.names, "cell", "near"])
 
     return emit
 
@@ -227,6 +247,17 @@ def probed(queries: np.ndarray, centroids: np.ndarray, sizes: np.ndarray, rows:
     return out
 
 
+def reachable(queries: np.ndarray, least: np.ndarray, centroids: np.ndarray, sizes: np.ndarray, radii: np.ndarray) -> list[np.ndarray]:
+    """The cells that may hold a vector as near to a query as `least`, by the triangle inequality of angles."""
+    out = []
+    for at in range(0, len(queries), 256):
+        angle = np.arccos(np.clip(queries[at : at + 256] @ centroids.T, -1.0, 1.0))
+        bound = np.cos(np.clip(angle - radii - 1e-6, 0.0, np.pi))
+        # similarities are rounded to six places
+        out += [np.flatnonzero(ok) for ok in ~(bound < least[at : at + 256, None] - 2e-6) & (sizes > 0)]
+    return out
+
+
 def nearest_in_cells(queries: pd.DataFrame, k: int):
     """vec_id, embedding, by, cell -> the best k of a task's vectors for each query that probes their cell."""
     of: dict[int, list[int]] = {}
@@ -236,25 +267,26 @@ def nearest_in_cells(queries: pd.DataFrame, k: int):
     plain = queries[["query_id", "query_vector", "by"]]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        best = search.Best(plain, k)
         for batch in batches:
-            if batch.num_rows:
-                found = [search.scored(plain.iloc[of[c]], v, k) for c, v in batch.to_pandas().groupby("cell", sort=False) if c in of]
-                best = search.best_of(pd.concat([best, *found]), k)
-        yield pa.RecordBatch.from_pandas(best.astype({"query_id": "int64", "vec_id": "int64", "similarity": "float64"}), preserve_index=False)
+            for at in range(0, batch.num_rows, search.STEP):
+                for c, v in batch.slice(at, search.STEP).to_pandas().groupby("cell", sort=False):
+                    if c in of:
+                        best.add(v, np.array(of[c]))
+        yield from best.batches()
 
     return emit
 
 
-def with_cells(centroids: np.ndarray, sizes: np.ndarray, rows: int, probes: int):
-    """(query_id, query_vector, by) -> one row per cell that the query probes."""
+def with_cells(choose: Callable[[pd.DataFrame], list[np.ndarray]]):
+    """(query_id, query_vector, by) -> one row per cell that is chosen for the query."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                q = batch.to_pandas()
-                q["cell"] = probed(search.unit(q.query_vector), centroids, sizes, rows, probes)
-                q = q.explode("cell").astype({"cell": "int64"})
+            for at in range(0, batch.num_rows, 256):
+                q = batch.slice(at, 256).to_pandas()
+                q["cell"] = choose(q)
+                q = q.explode("cell").dropna(subset="cell").astype({"cell": "int64"})
                 q["query_vector"] = [np.asarray(v, np.float64) for v in q.query_vector]
                 yield pa.RecordBatch.from_pandas(q[["query_id", "query_vector", "by", "cell"]], preserve_index=False)
 

@@ -29,3 +29,15 @@ def test_tombstones_counts_no_note_that_died_at_that_time_before(spark, tmp_path
     sf = tables(spark, tmp_path, documents=(docs, DOCUMENTS), labels=([(k, None, 1) for k in (1, 702, 1422)], LABELS))
     got = [tuple(r) for r in catalog.QUERIES["tombstones"](spark, sf).collect()]
     assert got == by_sql(sf, "tombstones", ["documents", "labels"]) and got[0][0] == 149
+
+
+def test_index_search_gives_what_its_sql_gives_beyond_its_reach(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((4, 8))
+    # some vectors are copies, so that ranks are ties; 2000 are more than the cells of the first search hold
+    rows = [(k, [round(float(x), 2) for x in base[k % 4] * (k % 3 > 0) + rng.standard_normal(8)], k % 5) for k in range(2000)]
+    rows += [(2000 + k, rows[0][1], 0) for k in range(300)]
+    sf = tables(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    got = sorted(tuple(r) for r in catalog.QUERIES["knn_index_top200"](spark, sf).collect())
+    want = by_sql(sf, "knn_index_top200", ["embeddings"])
+    assert len(got) == 115 * 200 and {(q, r): v for q, v, _, r in got} == {(q, r): v for q, v, _, r in want}

@@ -10,8 +10,11 @@ Searches take what `rows` gives: live postings with the columns of `search.posti
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.operators import search
 from quillspark.operators.graph import written
@@ -21,6 +24,7 @@ POSTING = "doc_id long, chunk_id long, pos int, term string, weight double, segm
 TOMBSTONE = "doc_id long, segment long"
 NOTE_TERMS = "doc_id long, terms array<struct<term:string,n:bigint>>, segment long"
 FREQUENCY = "term string, n long"
+PIECE = 250_000  # rows of a part that one task sorts and writes; a part with more has several files
 
 
 def term_part(term: Column, parts: int) -> Column:
@@ -39,9 +43,17 @@ class TextIndex:
         wanted = None if numbers is None else [p for p in self.tables.parts(name, version) if int(p.split(".")[1]) in set(numbers)]
         return self.tables.read(name, version, wanted, schema)
 
-    def _staged(self, name: str, rows: DataFrame, key: str, segment: int, sort: list[str]) -> tuple[str, Parts]:
-        part = F.concat_ws(".", F.lit(str(segment)), term_part(F.col(key), self.parts).cast("string"))
-        return self.tables.stage(name, rows.withColumn("part", part).repartition("part"), sort=sort)
+    def _staged(self, name: str, rows: DataFrame, key: str, segment: int, sort: list[str], size: int = 0) -> tuple[str, Parts]:
+        """Rows in the parts of a segment; size: about how many there are. A part of many is dealt by notes, a common term too."""
+        part, pieces = term_part(F.col(key), self.parts), -(-size // (self.parts * PIECE)) or 1
+        dealt = rows.repartition(part) if pieces == 1 else rows.repartition(self.parts * pieces, part, F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(pieces)))
+        return self.tables.stage(name, dealt.withColumn("part", F.concat_ws(".", F.lit(str(segment)), part.cast("string"))), sort=sort)
+
+    def _folder(self, name: str, staged: tuple[str, Parts]) -> DataFrame:
+        """The rows that have been staged and are in no version yet."""
+        schema = T.StructType.fromJson(json.loads(staged[0]))
+        folders = [f"{self.tables.root}/{f}" for own in staged[1].values() for f in own]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def update(self, chunks: DataFrame, gone: DataFrame | None = None, mark: tuple[str, int] | None = None) -> int:
         """These chunks (doc_id, chunk_id, content, and heading where there is one) instead of all that the index has of
@@ -50,21 +62,26 @@ class TextIndex:
         if mark and self.tables.manifest(base)["marks"].get(mark[0], -1) >= mark[1]:
             return base
         segment = max(self.segments(base), default=0) + 1
-        rows = written(search.postings(chunks).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in POSTING.split(", ")[:-1]]))
+        rows = search.postings(chunks).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in POSTING.split(", ")[:-1]])
         notes = chunks.select(F.col("doc_id").cast("long"))
         notes = written((notes if gone is None else notes.union(gone.select(F.col("doc_id").cast("long")))).distinct())
         touched = [r[0] for r in notes.select(part_of(F.col("doc_id"), self.parts)).distinct().collect()]
         known = self._live(self._of("notes", base, touched, NOTE_TERMS), base, touched).join(notes, "doc_id", "left_semi")
         old = written(known.select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.*"))
+        of = F.lit(segment).cast("long").alias("segment")
+        # terms of notes are written first; what else is counted is read from them, and no posting is kept beside the index
         new = rows.groupBy("doc_id", "term").agg(F.countDistinct("chunk_id").alias("n"))
-        change = new.select("term", "n").unionByName(old.select("term", (-F.col("n")).alias("n"))).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
         terms = new.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
-        of = F.lit(segment).cast("long").alias("segment")
+        # a note's terms are an array, some hundred postings long
+        staged = self._staged("notes", terms.select("*", of), "doc_id", segment, ["doc_id"], 100 * notes.count())
+        counted = self._folder("notes", staged).select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.*")
+        change = counted.select("term", "n").unionByName(old.select("term", (-F.col("n")).alias("n"))).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
+        size = counted.agg(F.sum("n")).first()[0] or 0
         # only notes that older segments hold need a tombstone
         hidden = old.select("doc_id").distinct().select("doc_id", of)
         changes = {
-            "postings": self._staged("postings", rows.select("*", of), "term", segment, ["term", "doc_id", "chunk_id", "pos"]),
-            "notes": self._staged("notes", terms.select("*", of), "doc_id", segment, ["doc_id"]),
+            "postings": self._staged("postings", rows.select("*", of), "term", segment, ["term", "doc_id", "chunk_id", "pos"], size),
+            "notes": staged,
             "tombstones": self._staged("tombstones", hidden, "doc_id", segment, ["doc_id"]),
             "frequencies": self._staged("frequencies", change, "term", segment, ["term"]),
         }
@@ -99,12 +116,13 @@ class TextIndex:
         segment = max(self.segments(base), default=0) + 1
         of = F.lit(segment).cast("long")
         changes = {}
-        for name, rows, key, sort in (
-            ("postings", self._live(self._of("postings", base, None, POSTING), base).withColumn("segment", of), "term", ["term", "doc_id", "chunk_id", "pos"]),
-            ("notes", self._live(self._of("notes", base, None, NOTE_TERMS), base).withColumn("segment", of), "doc_id", ["doc_id"]),
-            ("frequencies", self.frequencies(base), "term", ["term"]),
+        total = self._of("frequencies", base, None, FREQUENCY).agg(F.sum("n")).first()[0] or 0
+        for name, rows, key, sort, size in (
+            ("postings", self._live(self._of("postings", base, None, POSTING), base).withColumn("segment", of), "term", ["term", "doc_id", "chunk_id", "pos"], total),
+            ("notes", self._live(self._of("notes", base, None, NOTE_TERMS), base).withColumn("segment", of), "doc_id", ["doc_id"], total),
+            ("frequencies", self.frequencies(base), "term", ["term"], 0),
         ):
-            schema, parts = self._staged(name, rows, key, segment, sort)
+            schema, parts = self._staged(name, rows, key, segment, sort, size)
             changes[name] = (schema, {**{p: [] for p in self.tables.parts(name, base)}, **parts})
         schema = self.tables.manifest(base)["tables"].get("tombstones", {}).get("schema")
         if schema:

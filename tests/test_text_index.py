@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import search
+from quillspark.operators import search, text_index
 from quillspark.operators.text_index import TextIndex
 from quillspark.sources.versions import Tables
 
@@ -72,3 +72,16 @@ def test_empty_notes_marks_and_merging_by_itself(spark, tmp_path):
     assert len(index.rows(version=version).collect()) == 3
     index.update(frame(), spark.createDataFrame([(2,)], "doc_id long"))
     assert len(index.segments()) <= 1 and index.rows().count() == 0 and index.frequencies().count() == 0
+
+
+def test_a_common_term_is_sorted_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "PIECE", 40)
+    index = TextIndex(Tables(spark, f"{tmp_path}/t"), parts=2)
+    data = [(k, k, f"the word{k % 3} the", "") for k in range(300)]
+    index.update(spark.createDataFrame(data, CHUNK))
+    asked = spark.createDataFrame([(1, "the")], "query_id int, term string")
+    files = lambda: {f for f in index.rows(asked).inputFiles() if "/postings-" in f}
+    assert len(files()) > 3 and rows(index.rows()) == rows(search.postings(spark.createDataFrame(data, CHUNK)))
+    assert {(r.doc_id, r.hits) for r in search.matches(index.rows(asked), asked).collect()} == {(k, 2) for k in range(300)}
+    index.merge()
+    assert len(files()) > 3 and index.rows().count() == 900 and {r.term: r.n for r in index.frequencies().collect()}["the"] == 300

@@ -41,3 +41,16 @@ def test_index_search_gives_what_its_sql_gives_beyond_its_reach(spark, tmp_path)
     got = sorted(tuple(r) for r in catalog.QUERIES["knn_index_top200"](spark, sf).collect())
     want = by_sql(sf, "knn_index_top200", ["embeddings"])
     assert len(got) == 115 * 200 and {(q, r): v for q, v, _, r in got} == {(q, r): v for q, v, _, r in want}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_are_counted_where_their_document_lies(spark, tmp_path):
+    docs = [(k, f"alpha beta w{k}\nbeta gamma beta", "en", "s", 30) for k in range(60)]
+    sf = tables(spark, tmp_path, documents=(docs, DOCUMENTS), labels=([(3, None, 1)], LABELS), benchmark=([(1, "alpha gamma w7"), (2, "beta beta")], "item_id long, text string"))
+    assert exchanges(catalog.QUERIES["tokenise_postings"](spark, sf)) == 1
+    for name in ("tokenise_postings", "fts_or_rank", "chat_pool_top200", "text_index_search", "text_index_frequencies"):
+        got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, sf).collect())
+        assert got == by_sql(sf, name, ["documents", "labels", "benchmark"]) and got, name

@@ -94,16 +94,24 @@ class TextIndex:
         return rows.join(last, "doc_id", "left").where(F.col("__hidden").isNull() | (F.col("segment") >= F.col("__hidden"))).drop("__hidden")
 
     def rows(self, terms: DataFrame | None = None, version: int | None = None, most: int = 10_000) -> DataFrame:
-        """Live postings, of some terms (term) where given: named in the scan and by their parts if they are few."""
+        """Live postings, of some terms (term) where given: named in the scan and by their parts if they are few.
+
+        Those of some terms are dealt by doc_id, so that what is counted per chunk or query needs no other shuffle and no
+        task's counts grow with the index; a task's are a quarter of PIECE, since many queries may ask for a common term.
+        """
         version = self.tables.latest() if version is None else version
-        known = [] if terms is None else [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
-        if terms is None or len(known) > most:
-            found = self._of("postings", version, None, POSTING)
-            found = found if terms is None else found.join(terms.select("term").distinct(), "term", "left_semi")
+        if terms is None:
+            return self._live(self._of("postings", version, None, POSTING), version).select("doc_id", "chunk_id", "pos", "term", "weight")
+        asked = terms.select("term").distinct()
+        known = [r.term for r in asked.limit(most + 1).collect()]
+        if len(known) > most:
+            chosen = lambda name, schema: self._of(name, version, None, schema).join(asked, "term", "left_semi")
         else:
             numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in known], "term string").select(term_part(F.col("term"), self.parts)).distinct().collect()]
-            found = self._of("postings", version, numbers, POSTING).where(F.col("term").isin(known))
-        return self._live(found, version).select("doc_id", "chunk_id", "pos", "term", "weight")
+            chosen = lambda name, schema: self._of(name, version, numbers, schema).where(F.col("term").isin(known))
+        size = chosen("frequencies", FREQUENCY).agg(F.sum("n")).first()[0] or 0
+        pieces = max(self.spark.sparkContext.defaultParallelism, -(-4 * size // PIECE))
+        return self._live(chosen("postings", POSTING).repartition(pieces, "doc_id"), version).select("doc_id", "chunk_id", "pos", "term", "weight")
 
     def frequencies(self, version: int | None = None) -> DataFrame:
         """term and n, the number of live chunks that hold it; no posting is read."""

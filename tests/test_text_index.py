@@ -85,3 +85,18 @@ def test_a_common_term_is_sorted_by_several_tasks(spark, tmp_path, monkeypatch):
     assert {(r.doc_id, r.hits) for r in search.matches(index.rows(asked), asked).collect()} == {(k, 2) for k in range(300)}
     index.merge()
     assert len(files()) > 3 and index.rows().count() == 900 and {r.term: r.n for r in index.frequencies().collect()}["the"] == 300
+
+
+def test_postings_of_a_search_are_dealt_by_notes_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "PIECE", 100)
+    index = TextIndex(Tables(spark, f"{tmp_path}/t"), parts=2)
+    data = [(k, 10 * k, f"the word{k} the", "") for k in range(300)]
+    index.update(spark.createDataFrame(data, CHUNK))
+    index.update(spark.createDataFrame([(5, 50, "of the", "")], CHUNK), spark.createDataFrame([(6,)], "doc_id long"))
+    asked = spark.createDataFrame([(1, "the"), (2, "word7"), (2, "the")], "query_id int, term string")
+    found, few = index.rows(asked), index.rows(asked, most=1)
+    # 301 terms of chunks are asked for at first, a quarter of 100 of them lie in a task
+    assert found.rdd.getNumPartitions() == few.rdd.getNumPartitions() == search.matches(found, asked).rdd.getNumPartitions() == 12
+    assert rows(found) == rows(few)
+    hits = {(r.query_id, r.doc_id): r.hits for r in search.matches(found, asked).collect()}
+    assert hits == {(q, k): 2 - (k == 5) + (q == 2 and k == 7) for q in (1, 2) for k in range(300) if k != 6}

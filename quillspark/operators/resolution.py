@@ -109,9 +109,11 @@ def resolve(mentions: DataFrame, relations: DataFrame, entities: DataFrame, alia
     dst_id of machine edges that were accepted before. A name is tried first, then its aliases in order, each as a
     name before as an alias; then comes the near entity, then a new one, whose id is a hash of type and name.
     """
-    m = mentions.withColumn("norm", normalise_name("name"))
-    keys = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    tried = m.select("type", "norm", F.posexplode(keys).alias("place", "key")).withColumn("key", normalise_name("key")).where("key <> ''").distinct()
+    # mentions are read by what follows some five times, so they are written once, with their names compared
+    m = written(mentions.withColumn("norm", normalise_name("name")))
+    own_keys = m.select("type", "norm", F.lit(0).alias("place"), F.col("norm").alias("key"))
+    other_keys = m.select("type", "norm", F.posexplode("aliases").alias("place", "key")).select("type", "norm", F.col("place") + 1, normalise_name("key").alias("key"))
+    tried = own_keys.union(other_keys).where("key <> ''").distinct()
     known = lookup(tried.select("type", F.col("key").alias("norm")), entities, aliases).withColumnRenamed("norm", "key")
     found = tried.join(known, ["type", "key"]).groupBy("type", "norm").agg(F.min_by(F.struct("id", "match"), F.struct("place", "key")).alias("hit")).select("type", "norm", "hit.*")
     if near is not None:
@@ -120,7 +122,7 @@ def resolve(mentions: DataFrame, relations: DataFrame, entities: DataFrame, alia
     seen = m.groupBy("type", "norm").agg(F.min("name").alias("name"))
     new_id = F.xxhash64("type", "norm")
     placed = seen.join(found, ["type", "norm"], "left").select("type", "norm", "name", F.coalesce("id", new_id).alias("id"), F.coalesce("match", F.lit("new")).alias("match"))
-    placed = placed.join(entities.select("id", F.col("status").alias("known_status")), "id", "left").withColumn("status", F.coalesce("known_status", F.lit("proposed"))).drop("known_status")
+    placed = written(placed.join(entities.select("id", F.col("status").alias("known_status")), "id", "left").withColumn("status", F.coalesce("known_status", F.lit("proposed"))).drop("known_status"))
     created = placed.where("match = 'new'").select("id", "type", "name", F.col("norm").alias("norm_name"), "status")
     own = m.join(created.select("type", F.col("norm_name").alias("norm"), F.col("id").alias("entity_id")), ["type", "norm"]).select("entity_id", "type", F.explode("aliases").alias("alias")).withColumn("norm_alias", normalise_name("alias"))
     own = own.join(created.select("type", F.col("norm_name").alias("norm_alias")), ["type", "norm_alias"], "left_anti").join(aliases.select("type", "norm_alias"), ["type", "norm_alias"], "left_anti")

@@ -114,7 +114,7 @@ def resolve_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 def resolve_relations(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring names of a note are related, in turn by each kind of relation."""
-    said = extracted(spark, sf)
+    said = graph.written(extracted(spark, sf))
     after = F.lead("name").over(Window.partitionBy("source_id").orderBy("name", "type"))
     kind = model.pick(["uses", "runs_on", "works_with", "part_of"], F.char_length("name") % 4)
     pairs = said.withColumn("object", after).where("object IS NOT NULL").select("source_id", F.col("name").alias("subject"), kind.alias("relation"), "object", "confidence", "evidence")

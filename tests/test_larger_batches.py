@@ -1,7 +1,9 @@
 """What grows with a batch: how often its rows are read, and how much a task holds of them."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from quillspark.functions import markdown
 from quillspark.operators import resolution
 
 MENTION = "source_id long, type string, name string, aliases array<string>, confidence double, evidence string"
@@ -25,3 +27,11 @@ def test_mentions_of_a_batch_are_read_once(spark):
     edges = {(r.src_type, r.src_id, r.relation, r.dst_id, r.confidence, r.status) for r in found.edges.collect()}
     assert edges == {("source", 1, "mentions", 11, 0.9, "proposed"), ("source", 1, "mentions", 10, 0.5, "proposed"), ("source", 2, "mentions", 11, 0.7, "proposed"), ("entity", 11, "part_of", 10, 0.8, "proposed")}
     assert [tuple(r) for r in found.parents.collect()] == [(11, 10)] and read.value == len(rows)
+
+
+def test_chunks_are_given_back_for_a_few_notes_at_once():
+    notes = pd.Series([None, "", *(f"# H{k}\n\n" + "Some words. " * (k * 7) for k in range(150))])
+    parts = list(markdown.chunk_note.func(iter([notes, notes[:1]])))
+    assert max(map(len, parts)) <= 64 and sum(map(len, parts)) == len(notes) + 1
+    got = [[(c["ordinal"], c["headings"], c["content"]) for c in own] for part in parts for own in part]
+    assert got == [markdown.chunk(n or "") for n in [*notes, None]]

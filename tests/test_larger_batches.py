@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import markdown
-from quillspark.operators import resolution
+from quillspark.operators import resolution, search
 
 MENTION = "source_id long, type string, name string, aliases array<string>, confidence double, evidence string"
 RELATION = "source_id long, subject string, relation string, object string, confidence double, evidence string"
@@ -35,3 +35,29 @@ def test_chunks_are_given_back_for_a_few_notes_at_once():
     assert max(map(len, parts)) <= 64 and sum(map(len, parts)) == len(notes) + 1
     got = [[(c["ordinal"], c["headings"], c["content"]) for c in own] for part in parts for own in part]
     assert got == [markdown.chunk(n or "") for n in [*notes, None]]
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written for a shuffle."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    nothing = spark.sparkContext._jvm.java.util.ArrayList()
+    stages = store.stageList(nothing, False, False, none, nothing)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_common_words_of_a_web_search_are_not_shuffled(spark):
+    common = [f"c{k}" for k in range(40)]
+    text = {k: " ".join(common[k % 5 :]) + (" rare" if k % 50 == 0 else "") for k in range(300)}
+    chunks = spark.createDataFrame([(k, 10 * k, t) for k, t in text.items()], "doc_id long, chunk_id long, content string").repartition(4, "doc_id")
+    queries = spark.createDataFrame([(1, " ".join([*common[5:], "rare"])), (2, 'rare "c38 c39" -c0'), (3, "rare absent")], "query_id int, text string")
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    # as on large tables: only what is counted is sent to every task
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.query_id, r.doc_id, r.hits) for r in search.web_matches(search.postings(chunks), chunks, queries).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # chunks with the rare word begin with c0, which the second search bars
+    assert got == {(1, k, 36) for k in range(0, 300, 50)}
+    rows = shuffled(spark) - before
+    assert rows < 2 * sum(len(t.split()) for t in text.values()) // 3

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillspark.functions.markdown import chunk_note, parse_note
+from quillspark.functions.markdown import index_note
 from quillspark.operators.graph import written
 from quillspark.sources.vault import append_missing, files, read_notes, replace_rows
 from quillspark.sources.versions import Tables
@@ -20,8 +20,8 @@ REVISION = ["path", "hash", "size", "mtime", "read_error"]
 
 def index_notes(notes: DataFrame) -> DataFrame:
     """path, hash, title, tags, ordinal, headings, content: the chunks of readable notes."""
-    parsed = notes.where("read_error IS NULL").withColumn("note", parse_note("text", "path"))
-    return parsed.select("path", "hash", "note.title", "note.tags", F.explode(chunk_note("note.body")).alias("chunk")).select("path", "hash", "title", "tags", "chunk.*")
+    parsed = notes.where("read_error IS NULL").select("path", "hash", index_note("text", "path").alias("note"))
+    return parsed.select("path", "hash", "note.title", "note.tags", F.explode("note.chunks").alias("chunk")).select("path", "hash", "title", "tags", "chunk.*")
 
 
 def newest(notes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import markdown
 from quillspark.operators import resolution, search
+from quillspark.streaming.ingest import index_notes
 
 MENTION = "source_id long, type string, name string, aliases array<string>, confidence double, evidence string"
 RELATION = "source_id long, subject string, relation string, object string, confidence double, evidence string"
@@ -37,6 +38,18 @@ def test_chunks_are_given_back_for_a_few_notes_at_once():
     assert got == [markdown.chunk(n or "") for n in [*notes, None]]
 
 
+def test_a_batch_of_notes_is_parsed_and_chunked_by_one_worker_a_task(spark):
+    texts = [None, "", "---\ntitle: T\ntags: [a, b]\n---\n# H\n\ntext", "---\n- no mapping\n---\nbody", *(f"# H{k}\n\n" + "Some words. " * (k * 7) for k in range(100))]
+    rows = [(f"f/n{k}.md", str(k), t, None) for k, t in enumerate(texts)] + [("x.md", "x", "gone", "encoding")]
+    found = index_notes(spark.createDataFrame(rows, "path string, hash string, text string, read_error string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = []
+    for path, mark, text, error in rows:
+        title, body, _, _, _, tags = markdown.parse(text or "", path)
+        want += [(path, mark, title, tags, n, above, part) for n, above, part in markdown.chunk(body) if not error]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
 def shuffled(spark):
     """Rows that all stages so far have written for a shuffle."""
     store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)

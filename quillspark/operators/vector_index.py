@@ -279,7 +279,7 @@ def nearest_in_cells(queries: pd.DataFrame, k: int):
 
 
 def with_cells(choose: Callable[[pd.DataFrame], list[np.ndarray]]):
-    """(query_id, query_vector, by) -> one row per cell that is chosen for the query."""
+    """(query_id, query_vector, by) -> one row per cell that is chosen for the query, a bounded number at once: many cells may be."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +287,9 @@ def with_cells(choose: Callable[[pd.DataFrame], list[np.ndarray]]):
                 q = batch.slice(at, 256).to_pandas()
                 q["cell"] = choose(q)
                 q = q.explode("cell").dropna(subset="cell").astype({"cell": "int64"})
-                q["query_vector"] = [np.asarray(v, np.float64) for v in q.query_vector]
-                yield pa.RecordBatch.from_pandas(q[["query_id", "query_vector", "by", "cell"]], preserve_index=False)
+                for k in range(0, len(q), search.STEP):
+                    own = q.iloc[k : k + search.STEP].copy()
+                    own["query_vector"] = [np.asarray(v, np.float64) for v in own.query_vector]
+                    yield pa.RecordBatch.from_pandas(own[["query_id", "query_vector", "by", "cell"]], preserve_index=False)
 
     return emit

@@ -1,10 +1,12 @@
 """What grows with a batch: how often its rows are read, and how much a task holds of them."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.functions import markdown
-from quillspark.operators import resolution, search
+from quillspark.operators import resolution, search, vector_index
 from quillspark.streaming.ingest import index_notes
 
 MENTION = "source_id long, type string, name string, aliases array<string>, confidence double, evidence string"
@@ -50,6 +52,14 @@ def test_a_batch_of_notes_is_parsed_and_chunked_by_one_worker_a_task(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
+def test_cells_of_queries_are_given_back_in_bounded_batches():
+    batch = pa.RecordBatch.from_pydict({"query_id": [*range(20)], "query_vector": [[float(k), 1.0] for k in range(20)], "by": [""] * 20})
+    parts = list(vector_index.with_cells(lambda q: [np.arange(1000 if k else 0) for k in range(len(q))])(iter([batch])))
+    assert max(p.num_rows for p in parts) <= search.STEP
+    rows = [(r["query_id"], r["cell"], r["query_vector"]) for p in parts for r in p.to_pylist()]
+    assert rows == [(k, c, [float(k), 1.0]) for k in range(1, 20) for c in range(1000)]
+
+
 def shuffled(spark):
     """Rows that all stages so far have written for a shuffle."""
     store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)

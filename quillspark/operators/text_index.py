@@ -1,9 +1,13 @@
 """A text index that grows: postings in segments, tombstones by note, document frequencies beside them.
 
 A batch of edits writes a segment of its own: the postings of its notes' chunks, parted by a hash of the term and sorted
-by it; tombstones, which hide what older segments hold of these notes; and by how much the number of chunks with each
-term changes, for which it reads the terms of the notes concerned and nothing else. All of it is one version of the
-tables. A search reads the parts of its terms in every segment. `merge` writes the live rows of all segments as one.
+by it; the terms of these chunks, parted by note; tombstones, which hide what older segments hold of these notes; and by
+how much the number of chunks with each term changes, for which it reads the terms of the notes concerned and nothing
+else. All of it is one version of the tables. A search reads the parts of its terms in every segment. `merge` writes the
+live rows of all segments as one.
+
+Words of a large batch are neither shuffled nor kept beside the index: they are cut, sorted and written where their
+chunks lie. So a caller deals chunks by doc_id, in pieces of some thousand notes.
 
 Searches take what `rows` gives: live postings with the columns of `search.postings`.
 """
@@ -22,15 +26,22 @@ from quillspark.sources.versions import Parts, Tables, part_of
 
 POSTING = "doc_id long, chunk_id long, pos int, term string, weight double, segment long"
 TOMBSTONE = "doc_id long, segment long"
-NOTE_TERMS = "doc_id long, terms array<struct<term:string,n:bigint>>, segment long"
+NOTE_TERMS = "doc_id long, chunk_id long, terms string, segment long"
 FREQUENCY = "term string, n long"
 PIECE = 250_000  # rows of a part that one task sorts and writes; a part with more has several files
+TASK = 8  # pieces that are sorted at once, of all parts, where chunks lie
+SENT = 1_000_000  # notes of a batch whose numbers are sent to every task that reads the terms they had
 
 
 def term_part(term: Column, parts: int) -> Column:
     return part_of(term, parts)
 
 
+def note_part(parts: int) -> Column:
+    """As Spark deals by doc_id: notes that are dealt into a multiple of the parts need no other shuffle to be written."""
+    return F.pmod(F.hash("doc_id"), F.lit(parts))
+
+
 class TextIndex:
     def __init__(self, tables: Tables, parts: int = 64, most_segments: int = 16):
         self.tables, self.spark, self.parts, self.most_segments = tables, tables.spark, parts, most_segments
@@ -43,11 +54,15 @@ class TextIndex:
         wanted = None if numbers is None else [p for p in self.tables.parts(name, version) if int(p.split(".")[1]) in set(numbers)]
         return self.tables.read(name, version, wanted, schema)
 
-    def _staged(self, name: str, rows: DataFrame, key: str, segment: int, sort: list[str], size: int = 0) -> tuple[str, Parts]:
+    def _staged(self, name: str, rows: DataFrame, part: Column, segment: int, sort: list[str], size: int = 0) -> tuple[str, Parts]:
         """Rows in the parts of a segment; size: about how many there are. A part of many is dealt by notes, a common term too."""
-        part, pieces = term_part(F.col(key), self.parts), -(-size // (self.parts * PIECE)) or 1
+        pieces = -(-size // (self.parts * PIECE)) or 1
         dealt = rows.repartition(part) if pieces == 1 else rows.repartition(self.parts * pieces, part, F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(pieces)))
-        return self.tables.stage(name, dealt.withColumn("part", F.concat_ws(".", F.lit(str(segment)), part.cast("string"))), sort=sort)
+        return self._there(name, dealt, part, segment, sort)
+
+    def _there(self, name: str, rows: DataFrame, part: Column, segment: int, sort: list[str]) -> tuple[str, Parts]:
+        """Rows in the parts of a segment, sorted and written by the tasks that have them."""
+        return self.tables.stage(name, rows.withColumn("part", F.concat_ws(".", F.lit(str(segment)), part.cast("string"))), sort=sort)
 
     def _folder(self, name: str, staged: tuple[str, Parts]) -> DataFrame:
         """The rows that have been staged and are in no version yet."""
@@ -62,34 +77,42 @@ class TextIndex:
         if mark and self.tables.manifest(base)["marks"].get(mark[0], -1) >= mark[1]:
             return base
         segment = max(self.segments(base), default=0) + 1
-        rows = search.postings(chunks).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in POSTING.split(", ")[:-1]])
-        notes = chunks.select(F.col("doc_id").cast("long"))
-        notes = written((notes if gone is None else notes.union(gone.select(F.col("doc_id").cast("long")))).distinct())
-        touched = [r[0] for r in notes.select(part_of(F.col("doc_id"), self.parts)).distinct().collect()]
-        known = self._live(self._of("notes", base, touched, NOTE_TERMS), base, touched).join(notes, "doc_id", "left_semi")
-        old = written(known.select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.*"))
         of = F.lit(segment).cast("long").alias("segment")
-        # terms of notes are written first; what else is counted is read from them, and no posting is kept beside the index
-        new = rows.groupBy("doc_id", "term").agg(F.countDistinct("chunk_id").alias("n"))
-        terms = new.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
-        # a note's terms are an array, some hundred postings long
-        staged = self._staged("notes", terms.select("*", of), "doc_id", segment, ["doc_id"], 100 * notes.count())
-        counted = self._folder("notes", staged).select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.*")
-        change = counted.select("term", "n").unionByName(old.select("term", (-F.col("n")).alias("n"))).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
-        size = counted.agg(F.sum("n")).first()[0] or 0
+        rows = search.postings(chunks).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in POSTING.split(", ")[:-1]], of)
+        terms = search.chunk_terms(chunks).select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("long"), "terms", of)
+        # terms are written first, and what else is counted is read from them: the text is read for them and for postings
+        staged = self._there("notes", terms, note_part(self.parts), segment, ["doc_id", "chunk_id"])
+        new = self._folder("notes", staged)
+        notes = new.select("doc_id")
+        notes = written((notes if gone is None else notes.union(gone.select(F.col("doc_id").cast("long")))).distinct())
+        touched = [r[0] for r in notes.select(note_part(self.parts)).distinct().collect()]
+        # what they had is cut to them before it meets tombstones, and a batch is sent to it: the index isn't shuffled
+        known = self._of("notes", base, touched, NOTE_TERMS).join(search.hint(notes, SENT)(notes), "doc_id", "left_semi")
+        known = self._live(known, base, touched)
+        each = lambda chunks, n: chunks.where("chunk_id IS NOT NULL").select(F.explode(F.split("terms", " ")).alias("term"), F.lit(n).cast("long").alias("n")).where("term <> ''")
+        change = each(new, 1).unionByName(each(known, -1)).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
+        size = new.agg(F.sum(F.size(F.split("terms", " ")))).first()[0] or 0
         # only notes that older segments hold need a tombstone
-        hidden = old.select("doc_id").distinct().select("doc_id", of)
+        hidden = known.select("doc_id").distinct().select("doc_id", of)
+        part, sort = term_part(F.col("term"), self.parts), ["term", "doc_id", "chunk_id", "pos"]
+        if size <= self.parts * PIECE:
+            postings = self._staged("postings", rows, part, segment, sort)
+        else:
+            tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // (TASK * PIECE)))
+            postings = self._there("postings", rows.coalesce(tasks), part, segment, sort)
         changes = {
-            "postings": self._staged("postings", rows.select("*", of), "term", segment, ["term", "doc_id", "chunk_id", "pos"], size),
+            "postings": postings,
             "notes": staged,
-            "tombstones": self._staged("tombstones", hidden, "doc_id", segment, ["doc_id"]),
-            "frequencies": self._staged("frequencies", change, "term", segment, ["term"]),
+            "tombstones": self._staged("tombstones", hidden, note_part(self.parts), segment, ["doc_id"]),
+            "frequencies": self._staged("frequencies", change, part, segment, ["term"]),
         }
         version = self.tables.commit(changes, base, mark)
         return self.merge() if len(self.segments(version)) > self.most_segments else version
 
     def _live(self, rows: DataFrame, version: int, numbers: list[int] | None = None) -> DataFrame:
         """Rows with a doc_id and a segment that no later tombstone hides."""
+        if not self.tables.parts("tombstones", version):
+            return rows
         last = self._of("tombstones", version, numbers, TOMBSTONE).groupBy("doc_id").agg(F.max("segment").alias("__hidden"))
         return rows.join(last, "doc_id", "left").where(F.col("__hidden").isNull() | (F.col("segment") >= F.col("__hidden"))).drop("__hidden")
 
@@ -125,12 +148,13 @@ class TextIndex:
         of = F.lit(segment).cast("long")
         changes = {}
         total = self._of("frequencies", base, None, FREQUENCY).agg(F.sum("n")).first()[0] or 0
-        for name, rows, key, sort, size in (
-            ("postings", self._live(self._of("postings", base, None, POSTING), base).withColumn("segment", of), "term", ["term", "doc_id", "chunk_id", "pos"], total),
-            ("notes", self._live(self._of("notes", base, None, NOTE_TERMS), base).withColumn("segment", of), "doc_id", ["doc_id"], total),
-            ("frequencies", self.frequencies(base), "term", ["term"], 0),
+        by_term, by_note = term_part(F.col("term"), self.parts), note_part(self.parts)
+        for name, rows, part, sort, size in (
+            ("postings", self._live(self._of("postings", base, None, POSTING), base).withColumn("segment", of), by_term, ["term", "doc_id", "chunk_id", "pos"], total),
+            ("notes", self._live(self._of("notes", base, None, NOTE_TERMS), base).withColumn("segment", of), by_note, ["doc_id", "chunk_id"], total),
+            ("frequencies", self.frequencies(base), by_term, ["term"], 0),
         ):
-            schema, parts = self._staged(name, rows, key, segment, sort, size)
+            schema, parts = self._staged(name, rows, part, segment, sort, size)
             changes[name] = (schema, {**{p: [] for p in self.tables.parts(name, base)}, **parts})
         schema = self.tables.manifest(base)["tables"].get("tombstones", {}).get("schema")
         if schema:

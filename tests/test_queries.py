@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillspark.plans import catalog
+from quillspark.plans import catalog, corpus
 
 
 def tables(spark, folder, **frames):
@@ -54,3 +54,21 @@ def test_words_are_counted_where_their_document_lies(spark, tmp_path):
     for name in ("tokenise_postings", "fts_or_rank", "chat_pool_top200", "text_index_search", "text_index_frequencies"):
         got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, sf).collect())
         assert got == by_sql(sf, name, ["documents", "labels", "benchmark"]) and got, name
+
+
+def test_text_is_shuffled_once_where_labels_are_many(spark, tmp_path):
+    docs = [(k, f"alpha w{k}\nbeta", "en", "s", 12) for k in range(60)]
+    sf = tables(spark, tmp_path, documents=(docs, DOCUMENTS), labels=([(k, None, int(k % 5 == 0)) for k in range(40)], LABELS))
+    # without a broadcast, and with other partitions of joins than pieces of documents
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "3"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        lines = corpus.chunks(spark, sf)
+        # documents by their ids, and labels to them
+        assert exchanges(lines) == 2 and exchanges(lines.groupBy("doc_id").count()) == 2
+        assert sorted(r.doc_id for r in lines.collect()) == sorted([k for k in range(60) if k >= 40 or k % 5] * 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

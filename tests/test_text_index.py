@@ -100,3 +100,37 @@ def test_postings_of_a_search_are_dealt_by_notes_by_their_number(spark, tmp_path
     assert rows(found) == rows(few)
     hits = {(r.query_id, r.doc_id): r.hits for r in search.matches(found, asked).collect()}
     assert hits == {(q, k): 2 - (k == 5) + (q == 2 and k == 7) for q in (1, 2) for k in range(300) if k != 6}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_of_a_large_batch_stay_where_their_chunks_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "PIECE", 10)
+    staged, stage = {}, Tables.stage
+    monkeypatch.setattr(Tables, "stage", lambda self, name, rows, **more: staged.setdefault(name, []).append(exchanges(rows)) or stage(self, name, rows, **more))
+    index, data = TextIndex(Tables(spark, f"{tmp_path}/t"), parts=2), [(k, 10 * k + i, f"the word{k} the", None) for k in range(200) for i in range(2)]
+    index.update(spark.createDataFrame(data, CHUNK).repartition(8, "doc_id"))
+    # the one exchange deals the chunks; each of the 8 pieces is in one of the two parts of the notes
+    assert staged["postings"] == staged["notes"] == [1] and len(index.tables.read("notes").inputFiles()) == 8
+    for sent in (text_index.SENT, 3):
+        monkeypatch.setattr(text_index, "SENT", sent)
+        edited = [(k, 10 * k, f"of word{k % 7}", "Head") for k in range(0, 200, 2)]
+        data = [c for c in data if c[0] % 2 and c[0] != 9 + sent % 2] + edited
+        index.update(spark.createDataFrame(edited, CHUNK).repartition(4, "doc_id"), spark.createDataFrame([(9 + sent % 2,)], "doc_id long"))
+        want = search.postings(spark.createDataFrame(data, CHUNK))
+        assert rows(index.rows()) == rows(want) and {r.term: r.n for r in index.frequencies().collect()} == frequencies(want)
+    index.merge()
+    assert rows(index.rows()) == rows(want) and {r.term: r.n for r in index.frequencies().collect()} == frequencies(want)
+
+
+def test_repeated_chunks_and_chunks_without_text_count_as_in_a_plain_count(spark, tmp_path):
+    index = TextIndex(Tables(spark, f"{tmp_path}/t"), parts=2)
+    data = [(1, 10, "one two two", "two"), (1, 10, "one three", ""), (1, 11, "two", None), (2, 20, None, "lost"), (3, 30, " .\n", ""), (None, None, "nobody", "")]
+    index.update(spark.createDataFrame(data, CHUNK))
+    want = search.postings(spark.createDataFrame(data, CHUNK))
+    counted = {t: n for t, n in frequencies(want).items() if n}
+    assert {r.term: r.n for r in index.frequencies().collect()} == counted == {"one": 1, "two": 2, "three": 1}
+    index.update(spark.createDataFrame([(1, 10, "one", "")], CHUNK), spark.createDataFrame([(3,), (None,)], "doc_id long"))
+    assert {r.term: r.n for r in index.frequencies().collect()} == {"one": 1}

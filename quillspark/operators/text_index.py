@@ -26,7 +26,7 @@ from quillspark.sources.versions import Parts, Tables, part_of
 
 POSTING = "doc_id long, chunk_id long, pos int, term string, weight double, segment long"
 TOMBSTONE = "doc_id long, segment long"
-NOTE_TERMS = "doc_id long, chunk_id long, terms string, segment long"
+NOTE_TERMS = "doc_id long, chunk_id long, terms string, words int, segment long"
 FREQUENCY = "term string, n long"
 PIECE = 250_000  # rows of a part that one task sorts and writes; a part with more has several files
 TASK = 8  # pieces that are sorted at once, of all parts, where chunks lie
@@ -47,11 +47,11 @@ class TextIndex:
         self.tables, self.spark, self.parts, self.most_segments = tables, tables.spark, parts, most_segments
 
     def segments(self, version: int | None = None) -> list[int]:
-        return sorted({int(p.split(".")[0]) for name in ("postings", "tombstones") for p in self.tables.parts(name, version)})
+        return sorted({int(p) // self.parts for name in ("postings", "tombstones") for p in self.tables.parts(name, version)})
 
     def _of(self, name: str, version: int, numbers: list[int] | None, schema: str) -> DataFrame:
         """The rows of a table in every segment, of the given parts."""
-        wanted = None if numbers is None else [p for p in self.tables.parts(name, version) if int(p.split(".")[1]) in set(numbers)]
+        wanted = None if numbers is None else [p for p in self.tables.parts(name, version) if int(p) % self.parts in set(numbers)]
         return self.tables.read(name, version, wanted, schema)
 
     def _staged(self, name: str, rows: DataFrame, part: Column, segment: int, sort: list[str], size: int = 0) -> tuple[str, Parts]:
@@ -61,8 +61,8 @@ class TextIndex:
         return self._there(name, dealt, part, segment, sort)
 
     def _there(self, name: str, rows: DataFrame, part: Column, segment: int, sort: list[str]) -> tuple[str, Parts]:
-        """Rows in the parts of a segment, sorted and written by the tasks that have them."""
-        return self.tables.stage(name, rows.withColumn("part", F.concat_ws(".", F.lit(str(segment)), part.cast("string"))), sort=sort)
+        """Rows in the parts of a segment, sorted and written by the tasks that have them. Parts are numbers, which sort fast."""
+        return self.tables.stage(name, rows.withColumn("part", F.lit(segment * self.parts) + part), sort=sort)
 
     def _folder(self, name: str, staged: tuple[str, Parts]) -> DataFrame:
         """The rows that have been staged and are in no version yet."""
@@ -79,7 +79,7 @@ class TextIndex:
         segment = max(self.segments(base), default=0) + 1
         of = F.lit(segment).cast("long").alias("segment")
         rows = search.postings(chunks).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in POSTING.split(", ")[:-1]], of)
-        terms = search.chunk_terms(chunks).select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("long"), "terms", of)
+        terms = search.chunk_terms(chunks).select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("long"), "terms", "words", of)
         # terms are written first, and what else is counted is read from them: the text is read for them and for postings
         staged = self._there("notes", terms, note_part(self.parts), segment, ["doc_id", "chunk_id"])
         new = self._folder("notes", staged)
@@ -91,7 +91,7 @@ class TextIndex:
         known = self._live(known, base, touched)
         each = lambda chunks, n: chunks.where("chunk_id IS NOT NULL").select(F.explode(F.split("terms", " ")).alias("term"), F.lit(n).cast("long").alias("n")).where("term <> ''")
         change = each(new, 1).unionByName(each(known, -1)).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
-        size = new.agg(F.sum(F.size(F.split("terms", " ")))).first()[0] or 0
+        size = new.agg(F.sum("words")).first()[0] or 0
         # only notes that older segments hold need a tombstone
         hidden = known.select("doc_id").distinct().select("doc_id", of)
         part, sort = term_part(F.col("term"), self.parts), ["term", "doc_id", "chunk_id", "pos"]
